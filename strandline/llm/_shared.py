@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Folder that holds the package.
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+
 #: Used only where the session names no shared folder (local tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/strandline"
 
@@ -61,3 +67,16 @@ def words_of(text):
     """Array of the words of a string column; null counts as empty."""
     parts = F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+")
     return F.filter(parts, lambda w: w != "")
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package importable in the Python workers.
+
+    A cluster is given the package as usual (installed, or ``--py-files``); where
+    the driver runs from a source tree, its folder is added to the workers' path.
+    """
+    env = df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
+    return df.mapInArrow(run, schema)

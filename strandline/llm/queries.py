@@ -6,20 +6,43 @@ equivalents of those that SQL can express.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import quality_rules
+from strandline.llm import quality_rules, sentencepiece_bpe, simhash_pigeonring
 from strandline.llm._shared import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; STRANDLINE_TOKENIZERS names another folder."""
+    folder = os.environ.get("STRANDLINE_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.profile(table(spark, sf_dir, "documents"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select(*first, "left_chars", "n_lines", "n_lines_kept")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_bpe.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+
+
 QUERIES = {
+    "op3_simhash_pigeonring": op3_simhash_pigeonring,
     "op4_quality_rules": op4_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
