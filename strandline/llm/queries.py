@@ -10,7 +10,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import quality_rules, sentencepiece_bpe, simhash_pigeonring
+from strandline.llm import (
+    html_blocks,
+    license_scan,
+    quality_rules,
+    sentencepiece_bpe,
+    simhash_pigeonring,
+    source_mixing,
+    warc,
+)
 from strandline.llm._shared import table
 
 
@@ -24,6 +32,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", "n_chars", "n_blocks", "n_kept")
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,15 +47,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*first, "left_chars", "n_lines", "n_lines_kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_holds")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_bpe.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_html_blocks": op2_html_blocks,
     "op3_simhash_pigeonring": op3_simhash_pigeonring,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_license_scan": op8_license_scan,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
