@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm import (
     html_blocks,
     license_scan,
+    multiprobe_lsh,
     quality_rules,
     sentencepiece_bpe,
     simhash_pigeonring,
@@ -61,6 +62,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe_lsh.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_license_scan": op8_license_scan,
+    "op9_multiprobe_lsh": op9_multiprobe_lsh,
     "op10_source_mixing": op10_source_mixing,
 }
 
