@@ -14,6 +14,7 @@ from strandline.llm import (
     html_blocks,
     license_scan,
     multiprobe_lsh,
+    pii_surrogates,
     quality_rules,
     sentencepiece_bpe,
     simhash_pigeonring,
@@ -33,6 +34,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.redact(docs, report=True)
+
+
 def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_blocks.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", "n_chars", "n_blocks", "n_kept")
@@ -71,6 +77,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_html_blocks": op2_html_blocks,
     "op3_simhash_pigeonring": op3_simhash_pigeonring,
     "op4_quality_rules": op4_quality_rules,
