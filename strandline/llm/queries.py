@@ -19,6 +19,7 @@ from strandline.llm import (
     sentencepiece_bpe,
     simhash_pigeonring,
     source_mixing,
+    suffix_dedup,
     warc,
 )
 from strandline.llm._shared import table
@@ -64,6 +65,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_multiprobe_lsh": op9_multiprobe_lsh,
     "op10_source_mixing": op10_source_mixing,
