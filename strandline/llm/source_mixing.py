@@ -107,8 +107,11 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return ranked.select("skey", "slot", (F.col("before") + F.col("nth")).alias("rank"))
 
 
-def streamed(sized: DataFrame, rows: int) -> DataFrame:
-    """``sized`` with ``start``: the words before a document in its source's shuffled stream."""
+def streamed(sized: DataFrame, rows: int, known: DataFrame) -> DataFrame:
+    """``sized`` with ``start``, the words before a document in its source's shuffled stream, and ``known``.
+
+    What is known of a source joins the table of its groups, not its documents.
+    """
     digits = 3
     while 16**digits * GROUP_ROWS < rows:
         digits += 1
@@ -119,6 +122,7 @@ def streamed(sized: DataFrame, rows: int) -> DataFrame:
     within = (
         Window.partitionBy("skey", "lead").orderBy("rank_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
+    sums = sums.join(known, "skey")
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return placed.join(sums, ["skey", "lead"]).withColumn("start", F.col("before") + F.col("inner"))
 
@@ -135,7 +139,7 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     known = sources.select("skey", "source_size", "target").join(counts, "skey", "left")
     known = known.withColumn("slots", F.coalesce("slots", F.lit(0)))
     placed = cut(
-        streamed(sized, rows).join(known, "skey").select(
+        streamed(sized, rows, known).select(
             "id", "skey", "size", "start", "source_size", "target", "slots"
         ),
         "placed",
