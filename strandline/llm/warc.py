@@ -239,12 +239,13 @@ def captures(found: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "metadata", F.struct("rid", "page_id", "block"))).alias("metadata"),
     )
     main = found.filter(F.col("kind").isin("response", "revisit")).alias("m")
-    whole = main.join(tied, "rid", "left")
+    # cut here, so that the join on the kept record, whose key may be hot, stands alone and can be split
+    whole = cut(main.join(tied, "rid", "left"), "captures")
     kept = found.filter(F.col("kind") == "response").groupBy(F.col("rid").alias("refers_to")).agg(
         F.max("digest").alias("kept_digest"), F.max("payload_bytes").alias("kept_bytes")
     )
     kept = kept.join(tied.select(F.col("rid").alias("refers_to"), F.col("metadata.page_id").alias("kept_page")), "refers_to", "left")
-    whole = whole.join(kept, "refers_to", "left")
+    whole = whole.join(cut(kept, "kept"), "refers_to", "left")
     return whole.select(
         F.col("metadata.page_id").alias("page_id"),
         F.col("kind").alias("record_type"),
