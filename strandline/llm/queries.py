@@ -46,7 +46,8 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,14 +229,38 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id column, fingerprint, component_id) for every row."""
+    """(id column, fingerprint, component_id, root) for every row; root is the class's least fingerprint."""
     prints = cut(fingerprints(docs, text, id_col), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = cut(placed, "placed")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
+    classes = placed.join(named, "root").select("fp", "component_id", "root")
     return prints.join(classes, "fp").select(
-        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root"
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class: the one that names it.
+
+    Of rows that repeat that id, and of classes whose rows all lack an id, the
+    largest row stays.
+    """
+    found = cut(near_duplicates(docs, text, id_col), "classes")
+    naming = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
+    naming = cut(naming, "naming")
+    kept = docs.join(naming.filter("rows = 1").select(id_col), id_col, "left_semi").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = naming.filter("rows > 1")
+    if not repeated.isEmpty():
+        rows = docs.join(repeated.select(id_col), id_col, "left_semi")
+        kept = kept.unionByName(rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(row).alias("_row")).select("_row.*"))
+    nameless = found.filter(F.col("component_id").isNull()).select("fingerprint", "root").distinct()
+    if not nameless.isEmpty():
+        rows = docs.filter(F.col(id_col).isNull()).select(row.alias("_row"), F.col(text).alias("_text"))
+        rows = fingerprints(rows, "_text", "_row").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+        rows = rows.join(nameless, "fingerprint").groupBy("root").agg(F.max("_row").alias("_row"))
+        kept = kept.unionByName(rows.select("_row.*"))
+    return kept

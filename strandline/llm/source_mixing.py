@@ -167,3 +167,16 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
         "target",
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"),
     )
+
+
+def apply_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it is taken, to the nearest whole number.
+
+    Only the document at the end of a source's stretch of stream is taken in
+    part.  Rows that repeat an id are taken as often as that id on average.
+    """
+    mixed = mix(docs, text, id_col, source)
+    times = mixed.groupBy(id_col).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
+    times = times.select(F.col(id_col).alias("_id"), F.round("_share").cast("int").alias("_times")).filter("_times > 0")
+    rows = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
