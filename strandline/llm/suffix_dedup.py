@@ -263,15 +263,24 @@ def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.select(["k1", "k2", "copies"])
             which: list[int] = []
             rows: list[tuple[int, int, int, int]] = []
+
+            def out() -> pa.RecordBatch:
+                taken = keys.take(pa.array(which, pa.int64()))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                return pa.RecordBatch.from_arrays([*taken.columns, *columns], ["k1", "k2", "copies", "a", "s", "lo", "n"])
+
             for i, value in enumerate(batch.column(3)):
-                own = list(_anchor_rows(value.as_py().encode("utf-8"), length, gram))
-                which += [i] * len(own)
-                rows += own
-            keys = batch.take(pa.array(which, pa.int64()))
-            cols = [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)]
-            yield pa.RecordBatch.from_arrays([*keys.columns[:3], *cols], ["k1", "k2", "copies", "a", "s", "lo", "n"])
+                before = len(rows)
+                rows += _anchor_rows(value.as_py().encode("utf-8"), length, gram)
+                which += [i] * (len(rows) - before)
+                if len(rows) >= 20_000:
+                    yield out()
+                    which, rows = [], []
+            if rows:
+                yield out()
 
     long_texts = texts.filter(F.octet_length("t") >= length).select("k1", "k2", "copies", "t")
     return map_arrow(long_texts, run, "k1 long, k2 long, copies long, a long, s long, lo long, n long")
