@@ -251,7 +251,9 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     found = cut(near_duplicates(docs, text, id_col), "classes")
     naming = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
     naming = cut(naming, "naming")
-    kept = docs.join(naming.filter("rows = 1").select(id_col), id_col, "left_semi").select(*docs.columns)
+    # texts are dealt by id and met there by a table of ids, at every size; they are not sorted
+    ids = naming.filter("rows = 1").select(id_col).hint("shuffle_hash")
+    kept = docs.join(ids, id_col, "left_semi").select(*docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = naming.filter("rows > 1")
     if not repeated.isEmpty():

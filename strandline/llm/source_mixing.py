@@ -178,5 +178,6 @@ def apply_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sourc
     mixed = mix(docs, text, id_col, source)
     times = mixed.groupBy(id_col).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
     times = times.select(F.col(id_col).alias("_id"), F.round("_share").cast("int").alias("_times")).filter("_times > 0")
-    rows = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
+    # texts are dealt by id and met there by a table of counts, at every size; they are not sorted
+    rows = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
