@@ -23,6 +23,7 @@ from strandline.llm import (
     warc,
 )
 from strandline.llm._shared import table
+from strandline.llm.oracle import ORACLE_SQL  # noqa: F401  the entry module reads it here
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,5 +95,3 @@ QUERIES = {
     "op9_multiprobe_lsh": op9_multiprobe_lsh,
     "op10_source_mixing": op10_source_mixing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
