@@ -14,7 +14,7 @@ def gc_windows(sequences: DataFrame, window: int, step: int, by: list[str], seq:
     """
     n = F.length(seq)
     ends = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))
-    spread = sequences.filter(n > 0).select(*by, F.posexplode(ends).alias("bin", "_k"), F.upper(seq).alias("_s"))
+    spread = sequences.filter(n > 0).select(*by, F.posexplode(ends).alias("bin", "_k"), F.translate(seq, "acgt", "ACGT").alias("_s"))
     # a window holds the bases up to the bin's end, at most ``window`` of them
     stop = F.least((F.col("bin") + 1) * step, F.length("_s"))
     start = F.greatest((F.col("bin") + 1) * step - window, F.lit(0))

@@ -490,11 +490,12 @@ def cell_tx_counts(spark, d):
 
 
 @query(
-    f"WITH {READS_SQL}, {HITS_SQL}, {_CT} SELECT cell, tx, CAST(sum(umis) AS BIGINT) umis, CAST(sum(reads) AS BIGINT) reads, round(sum(fumis), 5) fumis, CAST(count(*) AS BIGINT) n "
+    f"WITH {READS_SQL}, {HITS_SQL}, {_CT} SELECT coalesce(cell, -1) cell, coalesce(tx, -1) tx, CAST(sum(umis) AS BIGINT) umis, CAST(sum(reads) AS BIGINT) reads, round(sum(fumis), 5) fumis, CAST(count(*) AS BIGINT) n "
     "FROM ct GROUP BY ROLLUP (cell, tx)"
 )
 def cell_counts_rollup(spark, d):
-    return rounded(pl.counts_rollup(pl.umi_counts(_hits(spark, d), 3)), "fumis", digits=5)
+    out = rounded(pl.counts_rollup(pl.umi_counts(_hits(spark, d), 3)), "fumis", digits=5)
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("cell", "tx")})
 
 
 @query(f"WITH {READS_SQL}, o AS (SELECT cell, umi, snp // 10 b, min(snp) gene FROM reads GROUP BY 1, 2, 3) SELECT cell, gene, CAST(count(*) AS BIGINT) umis FROM o GROUP BY 1, 2")
@@ -533,13 +534,14 @@ _W, _S = 100, 50
 
 
 @query(
-    f"WITH s AS (SELECT doc_id, translate(upper(text), 'ATCG', 'ATCG') t, unnest(range(0, (length(text) - 1) // {_S} + 1)) b FROM documents WHERE length(text) > 0), "
+    f"WITH s AS (SELECT doc_id, translate(text, 'acgt', 'ACGT') t, unnest(range(0, (length(text) - 1) // {_S} + 1)) b FROM documents WHERE length(text) > 0), "
     f"p AS (SELECT doc_id, CAST(b AS INT) bin, substring(t, CAST(greatest((b + 1) * {_S} - {_W}, 0) AS INT) + 1, CAST(least((b + 1) * {_S}, length(t)) - greatest((b + 1) * {_S} - {_W}, 0) AS INT)) w FROM s), "
     "c AS (SELECT doc_id, bin, length(w) - length(regexp_replace(w, '[GC]', '', 'g')) gc, length(w) - length(regexp_replace(w, '[AT]', '', 'g')) at_ FROM p) "
-    f"SELECT doc_id, bin, CASE WHEN gc + at_ > 0 THEN CAST(floor(gc / (gc + at_)::DOUBLE * {_W}) AS INT) END gc FROM c"
+    f"SELECT doc_id, bin, CASE WHEN gc + at_ > 0 THEN CAST(floor(gc / (gc + at_)::DOUBLE * {_W}) AS INT) ELSE -1 END gc FROM c"
 )
 def gc_sliding(spark, d):
-    return sq.gc_windows(_read(spark, d, "documents").select("doc_id", "text"), _W, _S, ["doc_id"], "text")
+    out = sq.gc_windows(_read(spark, d, "documents").select("doc_id", "text"), _W, _S, ["doc_id"], "text")
+    return out.withColumn("gc", F.coalesce("gc", F.lit(-1)))
 
 
 # ---------------------------------------------------------------- event streams (batch side)
@@ -550,7 +552,8 @@ def gc_sliding(spark, d):
     "k AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) s FROM g) SELECT user_id, epoch_us(min(ts)) AS beg_us, CAST(count(*) AS BIGINT) n, round(sum(value), 4) total FROM k GROUP BY user_id, s"
 )
 def event_sessions(spark, d):
-    out = _read(spark, d, "events").groupBy("user_id", F.session_window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    events = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = events.groupBy("user_id", F.session_window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return rounded(out.select("user_id", F.unix_micros("session_window.start").alias("beg_us"), "n", "total"), "total", digits=4)
 
 
@@ -558,6 +561,7 @@ def event_sessions(spark, d):
     "SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, CAST(count(*) AS BIGINT) n, round(sum(value), 4) total FROM events GROUP BY 1, 2"
 )
 def event_windows(spark, d):
-    out = _read(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    events = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = events.groupBy("event_type", F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     hour = F.floor(F.unix_micros("window.start") / 3600000000).cast("long")
     return rounded(out.select("event_type", hour.alias("hour"), "n", "total"), "total", digits=4)
