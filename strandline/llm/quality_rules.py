@@ -114,8 +114,8 @@ def profile(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     )
     word_chars = F.length(F.array_join("_words", "")).cast("long")
     lost = F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + _word_chars(x))
-    out = out.select(
-        id_col,
+    figures = F.struct(
+        F.col(id_col),
         F.col("_n").cast("long").alias("n_words"),
         word_chars.alias("word_chars"),
         F.col("_symbols").cast("long").alias("n_symbols"),
@@ -125,6 +125,9 @@ def profile(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_bad")).cast("long").alias("n_lines_kept"),
     )
+    # A generator of one row: filters on the figures stay above it, where each is computed once,
+    # instead of being copied below with all that they are made of.
+    out = out.select(F.inline(F.array(figures)))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", base)
     return out.withColumn(
@@ -173,9 +176,7 @@ def clean(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     names = docs.columns
     judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     prof = profile(judged.select("_row", F.col("_row").getField(text).alias(text)), text, "_row")
-    # A generator keeps the optimiser from copying the verdict below the projections.
-    verdict = F.when(F.col("kept"), F.array(F.struct("_row", (F.col("n_lines") > F.col("n_lines_kept")).alias("cut"))))
-    kept = prof.select(F.inline(verdict))
+    kept = prof.filter("kept").select("_row", (F.col("n_lines") > F.col("n_lines_kept")).alias("cut"))
     body = F.col("_row").getField(text)
     has_symbols, boiler = F.regexp_like(body, F.lit(SYMBOLS)), _has_boilerplate(body)
     good = F.array_join(
