@@ -52,8 +52,8 @@ def read_variants(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """chrom, pos, id, ref, alts, qual, filters, info map; flags of INFO have the empty string."""
     c = lambda i: F.get("c", F.lit(i))
     return _vcf_rows(spark, path).select(
-        c(0).alias("chrom"), c(1).cast("int").alias("pos"), _missing(c(2)).alias("id"), c(3).alias("ref"),
-        F.filter(F.split(c(4), ","), lambda a: a != ".").alias("alts"), _missing(c(5)).cast("float").alias("qual"),
+        c(0).alias("chrom"), c(1).try_cast("int").alias("pos"), _missing(c(2)).alias("id"), c(3).alias("ref"),
+        F.filter(F.split(c(4), ","), lambda a: a != ".").alias("alts"), _missing(c(5)).try_cast("float").alias("qual"),
         F.when(c(6) != ".", F.split(c(6), ";")).otherwise(F.array().cast("array<string>")).alias("filters"), _info(c(7)).alias("info"),
     )
 
@@ -63,7 +63,7 @@ def read_genotypes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     names = F.array(*[F.lit(s) for s in vcf_samples(spark, path)])
     c = lambda i: F.get("c", F.lit(i))
     rows = _vcf_rows(spark, path).filter(F.size("c") > 9).select(
-        c(0).alias("chrom"), c(1).cast("int").alias("pos"), c(3).alias("ref"), F.split(c(4), ",").alias("alts"),
+        c(0).alias("chrom"), c(1).try_cast("int").alias("pos"), c(3).alias("ref"), F.split(c(4), ",").alias("alts"),
         F.split(c(8), ":").alias("_k"), F.posexplode(F.slice("c", 10, F.size("c"))).alias("_i", "_v"),
     )
     values = F.split("_v", ":")
@@ -72,12 +72,12 @@ def read_genotypes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     gt = F.col("fields")["GT"]
     part = F.split(gt, "[/|]")
     number = lambda k: _missing(F.col("fields")[k])
-    numbers = lambda k, t: F.transform(F.split(number(k), ","), lambda x: _missing(x).cast(t))
-    a1, a2 = _missing(F.get(part, F.lit(0))).cast("int"), _missing(F.get(part, F.lit(1))).cast("int")
+    numbers = lambda k, t: F.transform(F.split(number(k), ","), lambda x: _missing(x).try_cast(t))
+    a1, a2 = _missing(F.get(part, F.lit(0))).try_cast("int"), _missing(F.get(part, F.lit(1))).try_cast("int")
     return rows.select(
         "chrom", "pos", "ref", "alts", "sample", a1.alias("a1"), a2.alias("a2"), F.contains(gt, F.lit("|")).alias("phased"),
-        number("DP").cast("int").alias("dp"), number("GQ").cast("int").alias("gq"), numbers("AD", "int").alias("ad"),
-        numbers("PL", "int").alias("pl"), numbers("GP", "float").alias("gp"), number("DS").cast("float").alias("ds"), "fields",
+        number("DP").try_cast("int").alias("dp"), number("GQ").try_cast("int").alias("gq"), numbers("AD", "int").alias("ad"),
+        numbers("PL", "int").alias("pl"), numbers("GP", "float").alias("gp"), number("DS").try_cast("float").alias("ds"), "fields",
     )
 
 
@@ -87,8 +87,8 @@ def read_reads(spark: SparkSession, path: str | list[str]) -> DataFrame:
     c = lambda i: F.get("c", F.lit(i))
     tags = F.transform(F.slice("c", 12, F.greatest(F.size("c") - 11, F.lit(0))), lambda t: F.split(t, ":", 3))
     return body.filter(F.size("c") >= 11).select(
-        c(0).alias("qname"), c(1).cast("int").alias("flag"), _missing_star(c(2)).alias("chrom"), c(3).cast("int").alias("pos"),
-        c(4).cast("int").alias("mapq"), _missing_star(c(5)).alias("cigar"), _missing_star(c(9)).alias("seq"), _missing_star(c(10)).alias("qual"),
+        c(0).alias("qname"), c(1).try_cast("int").alias("flag"), _missing_star(c(2)).alias("chrom"), c(3).try_cast("int").alias("pos"),
+        c(4).try_cast("int").alias("mapq"), _missing_star(c(5)).alias("cigar"), _missing_star(c(9)).alias("seq"), _missing_star(c(10)).alias("qual"),
         F.map_from_entries(F.transform(tags, lambda t: F.struct(F.get(t, F.lit(0)), F.get(t, F.lit(2))))).alias("tags"),
     )
 
@@ -102,7 +102,7 @@ def read_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     c = F.split("value", "\t")
     rows = _lines(spark, path).filter(~F.col("value").rlike("^(#|track|browser|$)"))
     return rows.select(
-        F.get(c, F.lit(0)).alias("chrom"), (F.get(c, F.lit(1)).cast("int") + 1).alias("beg"), F.get(c, F.lit(2)).cast("int").alias("end"),
+        F.get(c, F.lit(0)).alias("chrom"), (F.get(c, F.lit(1)).try_cast("int") + 1).alias("beg"), F.get(c, F.lit(2)).try_cast("int").alias("end"),
         F.slice(c, 4, F.greatest(F.size(c) - 3, F.lit(0))).alias("rest"),
     )
 
@@ -121,8 +121,8 @@ def read_gtf(spark: SparkSession, path: str | list[str], gene_types: list[str] |
     elif chr_prefix is False:
         chrom = F.regexp_replace(chrom, "^chr", "")
     out = rows.select(
-        chrom.alias("chrom"), F.when(at(2).isin(*UTR_NAMES), "UTR").otherwise(at(2)).alias("type"), at(3).cast("int").alias("beg"),
-        at(4).cast("int").alias("end"), at(6).alias("strand"), at(7).alias("frame"), attribute(at(8), "gene_id").alias("gene_id"),
+        chrom.alias("chrom"), F.when(at(2).isin(*UTR_NAMES), "UTR").otherwise(at(2)).alias("type"), at(3).try_cast("int").alias("beg"),
+        at(4).try_cast("int").alias("end"), at(6).alias("strand"), at(7).alias("frame"), attribute(at(8), "gene_id").alias("gene_id"),
         attribute(at(8), "gene_name").alias("gene_name"), F.coalesce(attribute(at(8), "gene_type"), attribute(at(8), "gene_biotype")).alias("gene_type"),
         attribute(at(8), "transcript_id").alias("transcript_id"),
     )
@@ -148,7 +148,7 @@ def read_ped(spark: SparkSession, path: str) -> DataFrame:
     absent = lambda x: F.when(x != "0", x)
     rows = _lines(spark, path).filter(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
     rows = rows.select(
-        at(0).alias("fam"), F.split(at(1), ",").alias("samples"), absent(at(2)).alias("dad"), absent(at(3)).alias("mom"), at(4).cast("int").alias("sex")
+        at(0).alias("fam"), F.split(at(1), ",").alias("samples"), absent(at(2)).alias("dad"), absent(at(3)).alias("mom"), at(4).try_cast("int").alias("sex")
     )
     return rows.withColumn("person", F.get("samples", F.lit(0))).withColumn("sample", F.explode("samples"))
 
@@ -201,7 +201,7 @@ def read_pileup(spark: SparkSession, prefix: str, min_bq: int = 13, cap_bq: int
     places = F.sequence(F.lit(1), F.length("alleles"))
     bases = plp.filter(F.length("alleles") > 0).select("cell", "snp", "alleles", "baseqs", F.explode(places).alias("umi"))
     bases = bases.select(
-        "cell", "snp", "umi", F.substring("alleles", F.col("umi"), F.lit(1)).cast("int").alias("allele"),
+        "cell", "snp", "umi", F.substring("alleles", F.col("umi"), F.lit(1)).try_cast("int").alias("allele"),
         F.least(F.ascii(F.substring("baseqs", F.col("umi"), F.lit(1))) - 33, F.lit(cap_bq)).alias("bq"), F.lit(1).cast("long").alias("n"),
     )
     return cells, snps, bases.filter(F.col("bq") >= min_bq)
@@ -217,7 +217,7 @@ def read_matrix(spark: SparkSession, folder: str, matrix: str = "matrix.mtx", ba
     """(counts (gene, cell, umis), barcodes (cell, barcode), genes (gene, gene_id, symbol)); indices from 1."""
     rows = spark.read.text(f"{folder}/{matrix}").filter(~F.col("value").startswith("%"))
     c = F.split(F.trim("value"), r"\s+")
-    at = lambda i: F.get(c, F.lit(i)).cast("int")
+    at = lambda i: F.get(c, F.lit(i)).try_cast("int")
     # the size line comes first in the file; its offset within the file is the least
     size = rows.select(at(0).alias("genes"), at(1).alias("cells"), at(2).alias("entries")).first()
     counts = rows.select(at(0).alias("gene"), at(1).alias("cell"), at(2).alias("umis"))
@@ -245,7 +245,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def sequence_bins(fasta: DataFrame, width: int) -> DataFrame:
     """chrom, bin, seq: sequences cut to ``width`` bases, for joins by bin."""
-    last = F.greatest(F.floor((F.length("seq") - 1) / width), F.lit(0)).cast("int")
+    last = F.greatest(F.floor((F.length("seq") - 1) / width), F.lit(0)).try_cast("int")
     return fasta.select("chrom", F.posexplode(F.sequence(F.lit(0), last)).alias("bin", "_k"), "seq").select(
         "chrom", "bin", F.substring("seq", F.col("bin") * width + 1, F.lit(width)).alias("seq")
     )
@@ -266,7 +266,7 @@ def read_loadings(spark: SparkSession, path: str, header: bool) -> DataFrame:
     if header:
         first = rows.first()
         rows = rows.filter(F.col("value") != first[0]) if first else rows
-    return rows.select(F.get(c, F.lit(0)).alias("id"), F.transform(F.slice(c, 2, F.size(c)), lambda x: x.cast("double")).alias("values"))
+    return rows.select(F.get(c, F.lit(0)).alias("id"), F.transform(F.slice(c, 2, F.size(c)), lambda x: x.try_cast("double")).alias("values"))
 
 
 def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
