@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar
+from strandline.operators import genotyping as gt
 from strandline.operators import intervals as iv
 from strandline.operators import pileup as pl
 from strandline.operators import reads as rd
@@ -528,6 +529,58 @@ def hash_route_umi(spark, d):
     return _read(spark, d, "customer").select("c_custkey", scalar.string_hash(F.col("c_name")).alias("h"))
 
 
+# ---------------------------------------------------------------- genotyping
+
+_C = 0.02
+_EC = "CASE WHEN least(bq, 40) <= 1 THEN 0.75 ELSE pow(10.0, -least(bq, 40)/10.0) END"
+_F = (f"((1-e)*(1-{_C}) + e*{_C}/3)", "((1-e)/2 + e/6)", f"((1-e)*{_C} + e*(1-{_C})/3)")
+_FT = f"({_F[0]} + {_F[1]} + {_F[2]})"
+_FS = ", ".join(f"sum(ln(CASE WHEN allele = 0 THEN {_F[g]} ELSE {_F[2 - g]} END / {_FT})) l{g}" for g in range(3))
+_FP = ", ".join(f"CAST(least(floor((l{g} - greatest(l0,l1,l2)) * -10 / ln(10.0) + 0.5), 255) AS INT) pl{g}" for g in range(3))
+
+
+def _sample_bases(spark, d):
+    return views.reads(spark, d).withColumnRenamed("cell", "sample")
+
+
+@query(
+    f"WITH {READS_SQL}, b AS (SELECT *, {_EC} e FROM reads WHERE allele < 2), l AS (SELECT cell AS sample, snp, CAST(count(*) AS BIGINT) dp, "
+    f"CAST(count(*) FILTER (WHERE allele = 0) AS BIGINT) ad0, CAST(count(*) FILTER (WHERE allele = 1) AS BIGINT) ad1, {_FS} FROM b GROUP BY 1, 2) "
+    f"SELECT sample, snp, dp, ad0, ad1, {_FP} FROM l"
+)
+def contaminated_pl(spark, d):
+    return gt.contaminated_pl(_sample_bases(spark, d), _C)
+
+
+_COR = "CASE WHEN n*{xx} - {x}*{x} > 0 AND n*a - a*a > 0 THEN (n*{xa} - {x}*a) / sqrt((n*{xx} - {x}*{x}) * (n*a - a*a)) ELSE 0 END"
+
+
+@query(
+    f"WITH {READS_SQL}, p AS (SELECT cell, snp, count(*)::DOUBLE n, sum(1 - allele)::DOUBLE r, sum(allele)::DOUBLE a, sum(bq)::DOUBLE q, sum(bq*bq)::DOUBLE qq, sum(bq*allele)::DOUBLE qa, "
+    "sum(CAST(fwd AS INT))::DOUBLE s, sum(CAST(fwd AS INT)*allele)::DOUBLE sa FROM reads WHERE allele < 2 GROUP BY 1, 2), "
+    "w AS (SELECT *, ln(n + 1) w, CASE WHEN a > 0 AND r > 0 THEN 1.0 ELSE 0.0 END het FROM p) SELECT snp, count(*)::DOUBLE n_samples, sum(n) dp, "
+    "round(sum(het*w*(r+0.05)/(n+0.1)) / nullif(sum(het*w), 0), 6) abe, round(sum(het*w*(r-n/2)/sqrt(n/4+1e-3)) / sqrt(nullif(sum(het*w*w), 0)), 6) abz, "
+    f"round(sum(sqrt(n)*w*({_COR.format(x='q', xx='qq', xa='qa')})) / sqrt(sum(w*w)), 6) bqz, round(sum(sqrt(n)*w*({_COR.format(x='s', xx='s', xa='sa')})) / sqrt(sum(w*w)), 6) stz FROM w GROUP BY snp"
+)
+def site_statistics(spark, d):
+    bases = _sample_bases(spark, d)
+    hets = bases.filter("allele < 2").groupBy("sample", "snp").agg(F.count_distinct("allele").alias("k")).filter("k = 2")
+    # odd and even samples apart, as from two files, then merged
+    parts = [gt.sample_site_sums(bases.filter(F.col("sample") % 2 == k), hets) for k in (0, 1)]
+    return rounded(gt.site_statistics(gt.merge_site_sums(*parts)), "abe", "abz", "bqz", "stz")
+
+
+@query(
+    f'WITH {INTERVALS_SQL} SELECT DISTINCT CAST(a.id % 50 AS INT) cell, CAST(a.id % 997 AS INT) umi, CAST(b.id % 200 AS INT) gene FROM ivl a JOIN ivl b ON a.chrom = b.chrom '
+    'AND a.id % 2 = b.id // 3 % 2 AND a.beg <= b."end" AND b.beg <= a."end" WHERE a.id % 3 = 0 AND b.id % 3 = 1'
+)
+def gene_hits(spark, d):
+    v = views.intervals(spark, d)
+    frag = v.filter("id % 3 = 0").selectExpr("cast(id % 50 as int) as cell", "cast(id % 997 as int) as umi", "chrom", "id % 2 as strand", "beg", "end")
+    genes = v.filter("id % 3 = 1").selectExpr("'exon' as type", "chrom", "id div 3 % 2 as strand", "beg", "end", "cast(id % 200 as int) as gene_id")
+    return gt.gene_hits(frag, genes, "exon", 32)
+
+
 # ---------------------------------------------------------------- sequences
 
 _W, _S = 100, 50
