@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.filter_expr import apply_filters
 from strandline.operators import clustering, intervals, kernels, pileup, reads, sequence, variants
+from strandline.operators.lineage import cut
 from strandline.sources import binary, sinks, text
 
 COMMANDS: dict = {}
@@ -170,7 +171,7 @@ def _demuxlet(spark, o):
 @command("freemuxlet", "plp", "nsample", "rounds=10")
 def _freemuxlet(spark, o):
     _, snps, bases = text.read_pileup(spark, o.plp)
-    nine = pileup.nine_state(bases).checkpoint()
+    nine = cut(pileup.nine_state(bases))
     start = clustering.seed_clusters(nine, snps, pileup.singlet_score(nine, snps), int(o.nsample))
     return clustering.cluster_cells(nine, snps, start, rounds=int(o.rounds))[0]
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import error_of, hwe, log_sum_exp
+from strandline.operators.lineage import cut
 
 FLOOR = 1e-6
 #: A call needs this much more log likelihood than the next one.
@@ -253,9 +254,9 @@ def mixture_em(counts: DataFrame, profiles: DataFrame, rounds: int = 10, pseudo:
         score = score.join(shares, "cluster").withColumn("ll", F.col("ll") + F.log("pi"))
         w = Window.partitionBy("cell")
         posterior = score.withColumn("_m", F.max("ll").over(w)).withColumn("_e", F.exp(F.col("ll") - F.col("_m")))
-        posterior = posterior.withColumn("z", F.col("_e") / F.sum("_e").over(w)).select("cell", "cluster", "z").checkpoint()
+        posterior = cut(posterior.withColumn("z", F.col("_e") / F.sum("_e").over(w)).select("cell", "cluster", "z"))
         shares = posterior.groupBy("cluster").agg(F.avg("z").alias("pi"))
         weight = counts.join(posterior, "cell").groupBy("cluster", "gene").agg(F.sum(F.col("z") * (F.col("umis") + pseudo)).alias("w"))
-        profiles = weight.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("cluster"))).select("cluster", "gene", "p").checkpoint()
-        shares = shares.filter("pi > 0").checkpoint()
+        profiles = cut(weight.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("cluster"))).select("cluster", "gene", "p"))
+        shares = cut(shares.filter("pi > 0"))
     return posterior, profiles, shares

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalar
 from strandline.operators import genotyping as gt
+from strandline.operators import clustering, kernels
 from strandline.operators import intervals as iv
 from strandline.operators import pileup as pl
 from strandline.operators import reads as rd
@@ -618,3 +619,86 @@ def event_windows(spark, d):
     out = events.groupBy("event_type", F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     hour = F.floor(F.unix_micros("window.start") / 3600000000).cast("long")
     return rounded(out.select("event_type", hour.alias("hour"), "n", "total"), "total", digits=4)
+
+
+# ---------------------------------------------------------------- iterative kernels (no SQL: tests compare with known answers)
+
+
+def _dosages(spark, d):
+    return views.panel(spark, d).select("sample", "snp", F.when(F.col("code") > 0, F.col("code") - 1.0).alias("ds"))
+
+
+def _likelihoods(spark, d):
+    pls = vr.pl_from_gt(views.panel(spark, d))
+    return pls.select("sample", "snp", *[F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0).alias(f"l{g}") for g in range(3)])
+
+
+@query()
+def principal_components(spark, d):
+    ud, _ = kernels.principal_components(_dosages(spark, d), 2)
+    return ud.select("snp", F.round("af", 6).alias("af"), *[F.round(F.col("ud")[k], 6).alias(f"ud{k + 1}") for k in range(2)])
+
+
+@query()
+def infer_ancestry(spark, d):
+    ud, _ = kernels.principal_components(_dosages(spark, d), 2)
+    return kernels.infer_ancestry(_likelihoods(spark, d), ud, 2)
+
+
+@query()
+def individual_frequencies(spark, d):
+    _, v = kernels.principal_components(_dosages(spark, d), 2)
+    # one row per sample of the panel: as many as there are people, not reads
+    return kernels.individual_frequencies(_likelihoods(spark, d), {r["sample"]: r.v for r in v.collect()})
+
+
+@query()
+def genotype_em(spark, d):
+    return kernels.genotype_em(_likelihoods(spark, d))
+
+
+@query()
+def phase_blocks(spark, d):
+    return kernels.phase_blocks(views.panel(spark, d).select("sample", "snp", "code"), 4)
+
+
+@query()
+def verify_pairs(spark, d):
+    llks = gt.pair_likelihoods(_collapsed(spark, d), pl.genotype_shares(views.panel(spark, d)), (0.0, 0.1, 0.3, 0.5))
+    return gt.verify_pairs(llks)
+
+
+@query()
+def contamination(spark, d):
+    ud, _ = kernels.principal_components(_dosages(spark, d), 1)
+    bases = _sample_bases(spark, d).filter("allele < 2 and sample < 4").select("sample", "snp", "allele", "bq")
+    return kernels.contamination(bases, ud, 1)
+
+
+@query()
+def cluster_cells(spark, d):
+    nine, snps = clustering.cut(pl.nine_state(_collapsed(spark, d))), views.snps(spark, d)
+    start = clustering.seed_clusters(nine, snps, pl.singlet_score(nine, snps), 3)
+    return clustering.cluster_cells(nine, snps, start, rounds=3)[0]
+
+
+@query()
+def mixture_em(spark, d):
+    counts = pl.umi_counts(_hits(spark, d), 3).select("cell", F.col("tx").alias("gene"), "umis")
+    genes = counts.select("gene").distinct()
+    start = genes.withColumn("cluster", F.explode(F.array(F.lit(0), F.lit(1))))
+    weight = F.pmod(F.xxhash64("gene", "cluster"), F.lit(100)) + 1
+    start = start.withColumn("w", weight.cast("double"))
+    start = start.join(start.groupBy("cluster").agg(F.sum("w").alias("t")), "cluster").select("cluster", "gene", (F.col("w") / F.col("t")).alias("p"))
+    return pl.mixture_em(counts, start, 3)[0]
+
+
+@query()
+def delta_scores(spark, d):
+    """Change of a small model's score by one base of each document's head."""
+    clean = scalar.clean_sequence(F.substring("text", 1, 41))
+    seqs = _read(spark, d, "documents").filter(F.length("text") >= 41).select("doc_id", clean.alias("s"))
+    train = ["TTGACGTCAATTGACGTCAA", "ATTGACGTCAACTGACGTCA", "CCCGGGTTTCCCGGGTTTCC", "GGGCCCTTTGGGCCCTTTGG"]
+    model = kernels.train_svm(train, [1, 1, 0, 0], length=8, k=5, most=3)
+    parts = seqs.select("doc_id", F.left("s", F.lit(20)).alias("left"), F.substring("s", 21, 1).alias("ref"), F.lit("G").alias("alt"), F.substring("s", 22, 20).alias("right"))
+    return kernels.delta_scores(parts, model).select("doc_id", "ref", "alt", "delta")
