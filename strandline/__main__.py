@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.filter_expr import apply_filters
-from strandline.operators import clustering, intervals, kernels, pileup, reads, sequence, variants
+from strandline.operators import clustering, genotyping, intervals, kernels, pileup, reads, sequence, variants
 from strandline.operators.lineage import cut
 from strandline.sources import binary, sinks, text
 
@@ -142,13 +142,13 @@ def _update_rg(spark, o):
     return reads.merge_read_groups(r, groups).drop("tags")
 
 
-def bases_of(spark, o) -> tuple[DataFrame, DataFrame]:
-    """(collapsed bases, variants) of a SAM file at the SNPs of a VCF, by CB and UB tags."""
+def bases_of(spark, o, cell_tag: str = "CB") -> tuple[DataFrame, DataFrame]:
+    """(collapsed bases, variants) of a SAM file at the SNPs of a VCF, by a cell tag and UB."""
     sites = text.read_variants(spark, o.vcf).filter((F.size("alts") == 1) & (F.length("ref") == 1) & (F.length(F.get("alts", F.lit(0))) == 1))
     sites = sites.select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.coalesce(F.col("info")["AF"].cast("double"), F.lit(0.5)).alias("af"))
     sites = sites.withColumn("snp", F.concat_ws(":", "chrom", "pos", "ref", "alt"))
     r = reads.read_filter(text.read_reads(spark, o.sam), 0xF04, int(o.min_mq)).select(
-        "chrom", "pos", "cigar", "seq", "qual", F.col("tags")["CB"].alias("cell"), F.col("tags")["UB"].alias("umi"), "qname"
+        "chrom", "pos", "cigar", "seq", "qual", F.col("tags")[cell_tag].alias("cell"), F.col("tags")["UB"].alias("umi"), "qname"
     )
     b = reads.usable_bases(reads.base_at(r.filter("cell is not null"), sites), int(o.min_bq))
     allele = F.when(F.col("base") == F.col("ref"), 0).when(F.col("base") == F.col("alt"), 1).otherwise(2)
@@ -162,14 +162,14 @@ def _pileup(spark, o):
     return sinks.pileup_strings(collapsed)
 
 
-@command("demuxlet", "sam", "vcf", "min-mq=20", "min-bq=13", "geno-error=0.1")
-def _demuxlet(spark, o):
+@command("demultiplex", "sam", "vcf", "min-mq=20", "min-bq=13", "geno-error=0.1")
+def _demultiplex(spark, o):
     collapsed, _ = bases_of(spark, o)
     return pileup.demultiplex(collapsed, pileup.genotype_shares(coded(spark, o.vcf), float(o.geno_error)))
 
 
-@command("freemuxlet", "plp", "nsample", "rounds=10")
-def _freemuxlet(spark, o):
+@command("cluster-cells", "plp", "nsample", "rounds=10")
+def _cluster_cells(spark, o):
     _, snps, bases = text.read_pileup(spark, o.plp)
     nine = cut(pileup.nine_state(bases))
     start = clustering.seed_clusters(nine, snps, pileup.singlet_score(nine, snps), int(o.nsample))
@@ -187,8 +187,8 @@ def _dge(spark, o):
     return pileup.dge_sums(counts, "cell").join(barcodes, "cell")
 
 
-@command("kallisto-count", "sam", "max-nm=3")
-def _kallisto(spark, o):
+@command("transcript-count", "sam", "max-nm=3")
+def _transcripts(spark, o):
     r = text.read_reads(spark, o.sam)
     cell, umi = reads.barcode_from_name(F.col("qname"))
     hits = r.select(
@@ -198,6 +198,74 @@ def _kallisto(spark, o):
     return pileup.umi_counts(hits.filter("tx is not null"), int(o.max_nm))
 
 
+@command("mix-barcodes", "sam", "pairs", "drop-other=")
+def _mix(spark, o):
+    from strandline.functions.scalar import unit_hash
+
+    c = F.split("value", "\t")
+    alpha = F.coalesce(F.get(c, F.lit(2)).try_cast("double"), F.lit(0.5))
+    pairs = spark.read.text(o.pairs).select(
+        F.get(c, F.lit(0)).alias("barcode1"), F.get(c, F.lit(1)).alias("barcode2"), alpha.alias("alpha"),
+        F.coalesce(F.get(c, F.lit(3)).try_cast("double"), 1 - alpha).alias("beta"),
+    )
+    r = text.read_reads(spark, o.sam).withColumn("barcode", F.col("tags")["CB"])
+    return reads.mix_barcodes(r, pairs, unit_hash(F.col("tags")["UB"]), bool(o.drop_other)).select("qname", "chrom", "pos", "barcode")
+
+
+@command("procap-ends", "sam", "min-mq=0")
+def _procap(spark, o):
+    r = reads.read_filter(text.read_reads(spark, o.sam), 0xF04, int(o.min_mq))
+    end = F.col("pos") + reads.aligned_length(F.col("cigar")) - 1
+    rows = r.select("chrom", F.col("pos").alias("beg"), end.alias("end"), (F.col("flag").bitwiseAND(16) == 0).alias("fwd"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"))
+    return reads.procap_ends(rows)
+
+
+@command("make-dge", "sam", "gtf")
+def _make_dge(spark, o):
+    """UMIs of each cell and gene: aligned blocks of reads on exons of their strand."""
+    r = reads.read_filter(text.read_reads(spark, o.sam)).select(
+        "chrom", "pos", "cigar", F.col("tags")["CB"].alias("cell"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"),
+        F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"),
+    )
+    hits = genotyping.gene_hits(reads.aligned_blocks(r.filter("cell is not null")), text.read_gtf(spark, o.gtf))
+    return hits.groupBy("cell", "gene").agg(F.count(F.lit(1)).alias("umis"))
+
+
+@command("dge-shuffle", "mtx", "seed=1")
+def _dge_shuffle(spark, o):
+    """The matrix with its cells renamed at random: both orders are ranked and joined."""
+    counts, barcodes, _ = text.read_matrix(spark, o.mtx)
+    order = Window.orderBy(F.xxhash64(F.lit(int(o.seed)), "cell"), "cell")
+    renamed = barcodes.withColumn("to", F.row_number().over(order)).select("cell", "to")
+    return counts.join(renamed, "cell").select("gene", F.col("to").alias("cell"), "umis")
+
+
+@command("vcf-normalize-depth", "vcf", "fasta", "width=200")
+def _depth(spark, o):
+    """Depth of X and Y relative to autosomes at equal GC, from the mean depth of each site."""
+    width = int(o.width)
+    sites = coded(spark, o.vcf).groupBy("chrom", "pos").agg(F.avg("dp").alias("dp"))
+    name = F.regexp_replace("chrom", "^chr", "")
+    kind = F.when(name.rlike("^[0-9]+$"), "A").when(name.isin("X", "Y"), name)
+    gc = sequence.gc_windows(text.read_fasta(spark, o.fasta), width, width, ["chrom"])
+    keyed = sites.filter("dp is not null").withColumn("kind", kind).withColumn("bin", F.floor((F.col("pos") - 1) / width))
+    return variants.depth_ratio(keyed.filter("kind is not null").join(gc, ["chrom", "bin"]).select("kind", "gc", "dp"))
+
+
+@command("vcf-normal-form", "vcf", "fasta")
+def _normal(spark, o):
+    bins = text.sequence_bins(text.read_fasta(spark, o.fasta), 1000)
+    v = text.read_variants(spark, o.vcf).select("chrom", "pos", "ref", F.explode("alts").alias("alt"))
+    return genotyping.normalise(v, bins, 1000)
+
+
+@command("sam-genotype", "sam", "vcf", "min-mq=20", "min-bq=13", "contamination=0")
+def _genotype(spark, o):
+    """PL of each read group at the SNPs of a VCF."""
+    bases, _ = bases_of(spark, o, "RG")
+    return genotyping.contaminated_pl(bases.withColumnRenamed("cell", "sample"), float(o.contamination))
+
+
 @command("bed-shuffle", "bed", "places", "seed=1")
 def _shuffle(spark, o):
     a = text.read_bed(spark, o.bed).drop("rest").withColumn("stratum", F.lit(0))

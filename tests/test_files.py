@@ -130,10 +130,22 @@ def test_commands(spark, files):
     plp = run(spark, files, "dsc-pileup", "--sam", f"{f}/a.sam", "--vcf", f"{f}/a.vcf")
     # position 100: five aligned, two deleted, the third base after; reads r0 A, r1 G, r2 A, r3 A
     assert {(r["cell"], r["alleles"]) for r in plp} == {("c0", "00"), ("c1", "10")}
-    calls = run(spark, files, "demuxlet", "--sam", f"{f}/a.sam", "--vcf", f"{f}/a.vcf")
+    calls = run(spark, files, "demultiplex", "--sam", f"{f}/a.sam", "--vcf", f"{f}/a.vcf")
     assert {r["cell"] for r in calls} == {"c0", "c1"}
     assert [r["gc"] for r in run(spark, files, "fasta-gc-content", "--fasta", f"{f}/a.fa", "--window", "4", "--step", "2") if r["chrom"] == "c1"] == ["2", "2", "2", "4"]
     assert len(run(spark, files, "gtf-util", "--gtf", f"{f}/a.gtf")) == 1
     assert len(run(spark, files, "sc-map-stamps", "--fastq", f"{f}/a.fq")) == 4
     assert len(run(spark, files, "vcf-svd", "--vcf", f"{f}/a.vcf", "--max-pc", "2")) == 3
     assert {r["sample"] for r in run(spark, files, "vcf-infer-ancestry", "--vcf", f"{f}/a.vcf", "--model-vcf", f"{f}/a.vcf", "--max-pc", "1")} == {"A", "B", "C"}
+
+
+def test_more_commands(spark, files):
+    f = f"{files}"
+    (files / "pairs").write_text("c0\tc1\n")
+    mixed = run(spark, files, "mix-barcodes", "--sam", f"{f}/a.sam", "--pairs", f"{f}/pairs")
+    assert {r["barcode"] for r in mixed} <= {"c0.c1", "c1.c0"} and len(mixed) == 4
+    assert run(spark, files, "procap-ends", "--sam", f"{f}/a.sam") == [{"chrom": "1", "fwd": "true", "five": "91", "umis": "4", "reads": "4"}]
+    (files / "b.gtf").write_text('1\tx\texon\t95\t99\t.\t+\t.\tgene_id "g"; transcript_id "t";\n1\tx\texon\t95\t99\t.\t-\t.\tgene_id "h"; transcript_id "u";\n')
+    assert {(r["cell"], r["gene"], r["umis"]) for r in run(spark, files, "make-dge", "--sam", f"{f}/a.sam", "--gtf", f"{f}/b.gtf")} == {("c0", "g", "2"), ("c1", "g", "2")}
+    got = run(spark, files, "sam-genotype", "--sam", f"{f}/a.sam", "--vcf", f"{f}/a.vcf")
+    assert [(r["sample"], r["ad0"], r["ad1"]) for r in got] == [("a", "3", "1")] and got[0]["pl1"] == "0"
