@@ -42,8 +42,8 @@ BOILER_TAGS = frozenset("nav footer aside form button dialog menu label fieldset
 MAIN_TAGS = frozenset(["article", "main"])
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 BOILER_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent "
-    "cookie cookies copyright disclaimer disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation "
+    "ad ads adsense adv advert adverts alert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent "
+    "cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation "
     "newsletter notice notification overlay pager pagination popup promo promotion related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar "
     "topbar warning widget".split()
