@@ -124,3 +124,65 @@ def procap_ends(reads: DataFrame) -> DataFrame:
 def merge_read_groups(reads: DataFrame, groups: DataFrame) -> DataFrame:
     """Read groups renamed by (rg, keep); others stay."""
     return reads.join(groups, "rg", "left").withColumn("rg", F.coalesce("keep", "rg")).drop("keep")
+
+
+def augmented_ops(cigar: str, md: str | None, seq: str, qual: str) -> list[tuple[int, str, str, str]]:
+    """(length, op, reference, read) of an alignment with M cut into = and X by its MD text.
+
+    Stretches of equal bases carry no reference text but that of the read.
+    """
+    import re
+
+    steps: list[tuple[str, str]] = []  # (op, reference base) of every aligned or deleted base
+    for number, gone, base in re.findall(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])", md or ""):
+        if number:
+            steps += [("=", "")] * int(number)
+        elif gone:
+            steps += [("D", b) for b in gone]
+        else:
+            steps.append(("X", base))
+    out: list[tuple[int, str, str, str]] = []
+    q = at = 0
+    for n, op in ((int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+        if op in "M=X":
+            done = 0
+            while done < n:
+                kind = steps[at][0] if at < len(steps) else "="
+                end = done
+                while end < n and (steps[at + end - done][0] if at + end - done < len(steps) else "=") == kind:
+                    end += 1
+                read = seq[q : q + end - done]
+                ref = "".join(steps[at + i][1] for i in range(end - done)) if kind == "X" else read
+                out.append((end - done, kind, ref, read))
+                q += end - done
+                at += end - done
+                done = end
+        elif op == "D":
+            out.append((n, "D", "".join(b for _, b in steps[at : at + n]), ""))
+            at += n
+        else:
+            read = seq[q : q + n] if op in "IS" else ""
+            out.append((n, op, "", read))
+            q += n if op in "IS" else 0
+    return out
+
+
+def augmented(reads: DataFrame, min_bq: int = 20) -> DataFrame:
+    """``reads`` with ``ops`` (length, op, reference, read) and ``mismatches``: differing bases of enough quality, each insertion and deletion one."""
+    import pandas as pd
+
+    @F.pandas_udf("ops array<struct<len:int,op:string,ref:string,read:string>>, mismatches int")
+    def walk(cigar: pd.Series, md: pd.Series, seq: pd.Series, qual: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, m, s, b in zip(cigar, md, seq, qual):
+            ops, found, q = augmented_ops(c or "", m, s or "", b or ""), 0, 0
+            for n, op, _, read in ops:
+                if op == "X":
+                    found += sum(ord(x) - 33 >= min_bq for x in (b or "")[q : q + n])
+                found += op in "ID"
+                q += len(read)
+            rows.append(([{"len": n, "op": o, "ref": r, "read": t} for n, o, r, t in ops], found))
+        return pd.DataFrame(rows, columns=["ops", "mismatches"])
+
+    out = reads.withColumn("_w", walk("cigar", F.col("tags")["MD"], "seq", "qual"))
+    return out.withColumn("ops", F.col("_w.ops")).withColumn("mismatches", F.col("_w.mismatches")).drop("_w")
