@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +134,6 @@ def augmented_ops(cigar: str, md: str | None, seq: str, qual: str) -> list[tuple
 
     Stretches of equal bases carry no reference text but that of the read.
     """
-    import re
-
     steps: list[tuple[str, str]] = []  # (op, reference base) of every aligned or deleted base
     for number, gone, base in re.findall(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])", md or ""):
         if number:
@@ -169,8 +170,6 @@ def augmented_ops(cigar: str, md: str | None, seq: str, qual: str) -> list[tuple
 
 def augmented(reads: DataFrame, min_bq: int = 20) -> DataFrame:
     """``reads`` with ``ops`` (length, op, reference, read) and ``mismatches``: differing bases of enough quality, each insertion and deletion one."""
-    import pandas as pd
-
     @F.pandas_udf("ops array<struct<len:int,op:string,ref:string,read:string>>, mismatches int")
     def walk(cigar: pd.Series, md: pd.Series, seq: pd.Series, qual: pd.Series) -> pd.DataFrame:
         rows = []
