@@ -198,6 +198,30 @@ def _transcripts(spark, o):
     return pileup.umi_counts(hits.filter("tx is not null"), int(o.max_nm))
 
 
+@command("vcf-paste-calls", "vcfs")
+def _paste(spark, o):
+    """Samples of several call sets (paths between commas) side by side, in the long form."""
+    parts = [coded(spark, p).select("sample", "snp", "code", "dp", "gq") for p in o.vcfs.split(",")]
+    return variants.union_samples(*parts)
+
+
+@command("vcf-merge-candidate-variants", "vcfs", "max-samples=10")
+def _candidates(spark, o):
+    """Variants seen in any of several call sets: best quality, support and a bounded sample of names."""
+    parts = []
+    for p in o.vcfs.split(","):
+        sites = text.read_variants(spark, p).select(F.concat_ws(":", "chrom", "pos", "ref", F.array_join("alts", ",")).alias("snp"), "qual")
+        parts.append(coded(spark, p).filter("code > 1").join(sites, "snp").select("sample", "snp", "qual", F.coalesce("dp", F.lit(0)).alias("dp")))
+    out = variants.merge_candidates(variants.union_samples(*parts), ["snp"], int(o.max_samples))
+    return out.withColumn("samples", F.array_join("samples", ","))
+
+
+@command("vcf-site-filter", "vcf", "min-call-rate=0", "min-mac=0", "min-maf=0", "max-maf=0.5")
+def _sites(spark, o):
+    counts = variants.site_counts(coded(spark, o.vcf))
+    return variants.site_filter(counts, float(o.min_call_rate), int(o.min_mac), float(o.min_maf), float(o.max_maf))
+
+
 @command("mix-barcodes", "sam", "pairs", "drop-other=")
 def _mix(spark, o):
     from strandline.functions.scalar import unit_hash

@@ -149,3 +149,8 @@ def test_more_commands(spark, files):
     assert {(r["cell"], r["gene"], r["umis"]) for r in run(spark, files, "make-dge", "--sam", f"{f}/a.sam", "--gtf", f"{f}/b.gtf")} == {("c0", "g", "2"), ("c1", "g", "2")}
     got = run(spark, files, "sam-genotype", "--sam", f"{f}/a.sam", "--vcf", f"{f}/a.vcf")
     assert [(r["sample"], r["ad0"], r["ad1"]) for r in got] == [("a", "3", "1")] and got[0]["pl1"] == "0"
+    both = f"{f}/a.vcf,{f}/a.vcf"
+    assert len(run(spark, files, "vcf-paste-calls", "--vcfs", both)) == 18
+    found = {r["snp"]: r for r in run(spark, files, "vcf-merge-candidate-variants", "--vcfs", both)}
+    assert found["1:100:A:G"]["n_samples"] == "4" and found["1:100:A:G"]["qual"] == "50.0" and len(found) == 3
+    assert {r["snp"] for r in run(spark, files, "vcf-site-filter", "--vcf", f"{f}/a.vcf", "--min-call-rate", "0.9")} == {"1:200:C:T"}
