@@ -695,10 +695,7 @@ def mixture_em(spark, d):
 
 @query()
 def delta_scores(spark, d):
-    """Change of a small model's score by one base of each document's head."""
-    clean = scalar.clean_sequence(F.substring("text", 1, 41))
-    seqs = _read(spark, d, "documents").filter(F.length("text") >= 41).select("doc_id", clean.alias("s"))
+    """Change of a small model's score by base G at every place of every document."""
     train = ["TTGACGTCAATTGACGTCAA", "ATTGACGTCAACTGACGTCA", "CCCGGGTTTCCCGGGTTTCC", "GGGCCCTTTGGGCCCTTTGG"]
     model = kernels.train_svm(train, [1, 1, 0, 0], length=8, k=5, most=3)
-    parts = seqs.select("doc_id", F.left("s", F.lit(20)).alias("left"), F.substring("s", 21, 1).alias("ref"), F.lit("G").alias("alt"), F.substring("s", 22, 20).alias("right"))
-    return kernels.delta_scores(parts, model).select("doc_id", "ref", "alt", "delta")
+    return kernels.scan_texts(_read(spark, d, "documents"), model)
