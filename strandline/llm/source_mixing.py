@@ -11,7 +11,8 @@ cumulated targets: slot n belongs to the source whose stretch holds its point.
 Slots are ranked per source.  Slot r of a source takes tokens [r B, (r + 1) B) of
 the source's stream: its documents in a keyed random order, epoch after epoch,
 three at most.  A document's ``taken`` sums its overlaps with scheduled blocks,
-by a join on (source, block).
+by a join on (source, block).  Blocks grow with the input; a source whose target
+is short in them takes its target, to the nearest word, not whole blocks.
 
 Scale.  Prefix sums of sizes run in two levels (source and leading digits of the
 random key, then within), ranks too (source and chunk of slots), so no source is
@@ -33,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: At most so many slots; a block holds the sum of sizes over this, rounded up.
 MAX_SLOTS = 1 << 18
+#: Where blocks hold several words, targets under so many blocks are settled to the word.
+FINE_BLOCKS = 1000
 #: 2^32 divided by the golden ratio.
 GOLDEN = 2654435769
 POINTS = 1 << 32
@@ -137,20 +140,28 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     plan = schedule(sources, slots)
     counts = plan.groupBy("skey").agg(F.count(F.lit(1)).alias("slots"))
     known = sources.select("skey", "source_size", "target").join(counts, "skey", "left")
-    known = known.withColumn("slots", F.coalesce("slots", F.lit(0)))
+    scheduled = F.coalesce("slots", F.lit(0)) * F.lit(block)
+    short = F.lit(block > 1) & (F.col("target") < FINE_BLOCKS * block)
+    known = known.withColumn("limit", F.when(short, F.round("target").cast("long")).otherwise(scheduled))
+    if block > 1:
+        settled = known.filter(short).select("skey", "limit")
+        own = settled.filter("limit > 0").select(
+            "skey", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("limit") - 1) / block))).alias("rank")
+        )
+        plan = plan.join(settled, "skey", "left_anti").select("skey", "rank").unionByName(own)
     placed = cut(
         streamed(sized, rows, known).select(
-            "id", "skey", "size", "start", "source_size", "target", "slots"
+            "id", "skey", "size", "start", "source_size", "target", "limit"
         ),
         "placed",
     )
     # every epoch of a document that scheduled blocks may reach
     copies = placed.filter("size > 0").select(
         "skey", "start", "size",
-        F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))).alias("epoch"), "source_size", "slots",
+        F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))).alias("epoch"), "source_size", "limit",
     )
     copies = copies.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start"))
-    copies = copies.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("slots") * F.lit(block)))
+    copies = copies.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("limit")))
     copies = copies.filter(F.col("from") < F.col("to"))
     pieces = copies.select(
         "skey", "start", "from", "to",
