@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import map_arrow
+from strandline.llm._shared import map_arrow, spread
 
 #: The base phrases and their labels.
 BASE_PHRASES = {
@@ -73,7 +73,7 @@ def to_postfix(expression: str) -> list[str]:
         low = token.lower()
         if token == "(":
             if not operand:
-                raise ValueError("a parenthesis where an operator must stand")
+                break  # a remark behind the expression
             stack.append(token)
         elif token == ")":
             if operand:
@@ -202,7 +202,7 @@ ARROW = pa.schema(
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: the id column and the findings.  Row-local: one scan, no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("k"), F.col(text).cast("string").alias("t"))
+    source = spread(docs.select(F.col(id_col).alias("k"), F.col(text).cast("string").alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import SPACE_CLASS, WORD_CLASS, words_of
+from strandline.llm._shared import SPACE_CLASS, WORD_CLASS, spread, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -60,7 +60,7 @@ def _count(text: Column, pattern: str) -> Column:
 def profile(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per document: counts, line-rule figures and both verdicts."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(id_col), body.alias("_body"))
+    out = spread(docs).select(F.col(id_col), body.alias("_body"))
     out = out.withColumn("_words", words_of(F.col("_body")))
     out = out.withColumn("_n", F.size("_words"))
     # Words in repeated windows: windows are compared by a 64-bit hash chained over

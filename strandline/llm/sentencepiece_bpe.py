@@ -10,7 +10,8 @@ Two facts of the model, checked when it is loaded, make the pass cheap: no piece
 holds the space mark after another character, and some characters (the line
 break among them) stand in no longer piece.  No merge can then cross such a
 place, so texts are encoded as independent chunks whose ids are remembered in a
-bounded table.  A model without these properties is encoded text by text.
+bounded table, emptied at the end of a task.  A model without these properties
+is encoded text by text.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
 repeated rows are encoded alike; an empty table gives an empty result.
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import map_arrow
+from strandline.llm._shared import map_arrow, spread
 
 SPACE_MARK = "▁"
-#: Entries of each memo table of a Python worker; a full table is emptied.
-MEMO_ENTRIES = 400_000
+#: Entries of each of the two generations of the memo tables; all full ones take some 60 MB of a worker.
+CHUNK_ENTRIES = 65_536
+PAIR_ENTRIES = 131_072
 #: Longer chunks are encoded each time, not remembered.
 MEMO_CHARS = 40
 
@@ -60,6 +62,31 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Memo:
+    """A bounded table of two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 class PrefixTableEncoder:
     """Encoder of one BPE model; ids as the sentencepiece library gives them."""
 
@@ -103,8 +130,8 @@ class PrefixTableEncoder:
                     inside.update(piece)
         automaton.make_automaton()
         self.automaton = automaton
-        self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, str, list[int]]] = {}
+        self.pairs = Memo(PAIR_ENTRIES)
+        self.memo = Memo(CHUNK_ENTRIES)
         m = re.escape(SPACE_MARK)
         splits = not any(re.search(f"[^{m}]{m}", p) for p in self.ids)
         lone = "\n" if "\n" not in inside else ""
@@ -130,11 +157,10 @@ class PrefixTableEncoder:
         key = (left << 20) | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MEMO_ENTRIES:
-                self.pairs.clear()
             b = self.pieces[right]
             want = [b] if left < 0 else [self.pieces[left], b]
-            known = self.pairs[key] = self.merge("".join(want)) == want
+            known = self.merge("".join(want)) == want
+            self.pairs.put(key, known)
         return known
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -185,11 +211,9 @@ class PrefixTableEncoder:
             entry = memo.get(chunk)
             if entry is None:
                 found = self.encode_chunk(chunk)
-                entry = (found, ",".join(map(str, found)))
+                entry = (tuple(found), ",".join(map(str, found)))
                 if len(chunk) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[chunk] = entry
+                    memo.put(chunk, entry)
             ids += entry[0]
             said.append(entry[1])
         return ids, ",".join(said)
@@ -197,6 +221,11 @@ class PrefixTableEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
+    def forget(self) -> None:
+        """Empty the memo tables: idle workers are kept by Spark, and should hold the model alone."""
+        self.pairs.clear()
+        self.memo.clear()
+
 
 _LOADED: dict[str, PrefixTableEncoder] = {}
 
@@ -214,12 +243,18 @@ def encode(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_i
     Row-local: one scan, no shuffle.
     """
     key = docs.schema[id_col]
-    source = docs.select(F.col(id_col).alias("k"), F.col(text).cast("string").alias("t"))
+    source = spread(docs.select(F.col(id_col).alias("k"), F.col(text).cast("string").alias("t")))
     out_schema = f"k {key.dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out_schema += ", ids array<int>" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
+        try:
+            yield from encoded(enc, batches)
+        finally:
+            enc.forget()
+
+    def encoded(enc: PrefixTableEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         for batch in batches:
             counts, hashes, decoded, all_ids = [], [], [], []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut, map_arrow
+from strandline.llm._shared import cut, map_arrow, spread
 from strandline.llm.components import connected_components
 
 SEED = 42
@@ -91,7 +91,7 @@ def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id column, fp long) for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("k"), F.col(text).cast("string").alias("t"))
+    source = spread(docs.select(F.col(id_col).alias("k"), F.col(text).cast("string").alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut, words_of
+from strandline.llm._shared import cut, spread, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -49,7 +49,7 @@ GROUP_ROWS = 20_000
 def sizes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """(id, source, skey, size, rank_key): what mixing needs of each document."""
     name = F.col(source).cast("string")
-    return docs.select(
+    return spread(docs).select(
         F.col(id_col).alias("id"),
         name.alias("source"),
         F.coalesce(F.concat(F.lit("v"), name), F.lit("n")).alias("skey"),
