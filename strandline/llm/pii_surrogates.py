@@ -1,8 +1,8 @@
 """Operator 1: personal data and secrets replaced by keyed surrogates.
 
 Detection finds e-mail addresses, phone, card, account and social-security
-numbers, IPv4 addresses, credentials, and names (a known given name or a form of
-address before a capitalised surname).  Each entity has a canonical form; its
+numbers, IPv4 addresses, credentials, and names (a known given name, a form of
+address or an introduction such as "my name is" before capitalised words).  Each entity has a canonical form; its
 surrogate is drawn from an HMAC of key, type, canonical form and attempt, so the
 same entity gets the same surrogate in all documents (coreference), and keeps
 its format: punctuation, digit and letter classes, check digits, reserved
@@ -13,11 +13,15 @@ later "Ms Surname" agrees with the full name.
 Collision check.  All distinct entities of the corpus and their surrogates form
 a table (pre-aggregated, never gathered).  An entity whose surrogate another one
 has too, or that equals a real entity, moves to its next attempt, until none is
-left.  Only these exceptions, usually none, travel back to their documents.
+left.  Every eighth attempt makes the surrogate one character longer, so a format
+that is full (six-digit codes, say) still ends.  Only these exceptions, usually
+none, travel back to their documents.
 
 Defined cases: null texts stay null and empty ones empty, without entities;
-repeated rows are treated alike; an empty table gives an empty result; other
-columns pass through :func:`redact` unchanged but for ``n_chars``.
+repeated rows are treated alike; a credential without a letter or digit is no
+entity; detection is linear in the text, however many entities it holds; an
+empty table gives an empty result; other columns, whatever their names, pass
+through :func:`redact` unchanged but for ``n_chars``.
 """
 
 from __future__ import annotations
@@ -25,16 +29,23 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut, map_arrow
+from strandline.llm._shared import cut, map_arrow, spread
 
 DEFAULT_KEY = "strandline surrogates"
-MAX_ROUNDS = 40
+#: Attempts after which a surrogate grows by one character.
+GROW_AFTER = 8
+#: Each growth leaves a tenth of the collisions or fewer; so many rounds mean that something is wrong.
+MAX_ROUNDS = 400
+#: Parts among which the texts of one hash are dealt when exceptions travel back.
+SALTS = 32
 
 #: Given names by (script, gender), and syllables of surnames by script.
 GIVEN = {
@@ -59,6 +70,11 @@ SYLLABLES = {
 ADDRESS_M = frozenset(["Mr", "Herr", "Sr", "Señor", "Monsieur", "г-н", "Κύριος"])
 ADDRESS_F = frozenset(["Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Madame", "Mme", "г-жа", "Κυρία"])
 ADDRESS_N = frozenset(["Dr", "Prof"])
+#: Words before a name that no list needs to know; their first letter may be a capital.
+INTRODUCTIONS = (
+    "my name is", "name:", "ich heiße", "mein Name ist", "je m'appelle", "mon nom est", "me llamo", "mi nombre es",
+    "меня зовут", "με λένε",
+)
 EMAIL_DOMAINS = ("example.com", "example.net", "example.org")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -74,7 +90,7 @@ NUMERIC = (
         r"|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
-EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+EMAIL = re.compile(r"[\w.%+-]+@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)+")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{12,}")
 CREDENTIAL = re.compile(
     r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/=.~!@-]{6,})",
@@ -82,9 +98,15 @@ CREDENTIAL = re.compile(
 )
 CREDENTIAL_HINT = re.compile(r"[=:]")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+)?"
-NAME = re.compile(rf"(?<!\w)({_CAP}|г-н|г-жа)(\.?)[ \t]({_CAP})(?:[ \t]({_CAP}))?(?!\w)")
-HAS_DIGIT = re.compile(r"\d")
 GIVEN_OF = {name: kind for kind, names in GIVEN.items() for name in names}
+_LEAD = "|".join(sorted([*ADDRESS_M, *ADDRESS_F, *ADDRESS_N, *GIVEN_OF], key=lambda n: (-len(n), n)))
+#: Begins with a letter of few kinds, so that the search skips quickly; :func:`detect` looks at the character before.
+NAME = re.compile(rf"({_LEAD})(\.?)[ \t]({_CAP})(?:[ \t]({_CAP}))?(?!\w)")
+INTRODUCED = re.compile(rf"(?:{'|'.join(f'[{t[0]}{t[0].upper()}]{t[1:]}' for t in INTRODUCTIONS)})[ \t]({_CAP})(?:[ \t]({_CAP}))?(?!\w)")
+HAS_DIGIT = re.compile(r"\d")
+WORD_OR_DIGIT = re.compile(r"[A-Za-z0-9]")
+#: Words, with the parts that hyphens and apostrophes join.
+JOINED = re.compile(r"\w+(?:[-'’]\w+)*")
 
 
 def script_of(word: str) -> str:
@@ -107,13 +129,16 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             add(1, m.start(), m.end(), "secret", m[0])
     if CREDENTIAL_HINT.search(text):
         for m in CREDENTIAL.finditer(text):
-            add(1, m.start(1), m.end(1), "secret", m[1])
+            if WORD_OR_DIGIT.search(m[1]):
+                add(1, m.start(1), m.end(1), "secret", m[1])
     if HAS_DIGIT.search(text):
         for rank, (kind, pattern) in enumerate(NUMERIC):
             for m in pattern.finditer(text):
                 plain = m[0] if kind == "ip" else "".join(c for c in m[0] if c.isalnum())
                 add(2 + rank, m.start(), m.end(), kind, plain)
     for m in NAME.finditer(text):
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
         first, second, third = m[1], m[3], m[4]
         gender = "m" if first in ADDRESS_M else "f" if first in ADDRESS_F else "n" if first in ADDRESS_N else ""
         if gender:
@@ -125,21 +150,38 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         elif first in GIVEN_OF and not m[2] and second not in GIVEN_OF:
             add(9, m.start(1), m.end(1), "given", first)
             add(9, m.start(3), m.end(3), "surname", second)
-    # later mentions of a person by one part of the name
-    for kind, name in sorted({(k, c) for _, _, _, k, c in found if k in ("given", "surname")}):
-        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-            add(10, m.start(), m.end(), kind, name)
+    for m in INTRODUCED.finditer(text) if any(t[1:] in text for t in INTRODUCTIONS) else ():
+        for group in (1, 2):
+            if m[group]:
+                add(9, m.start(group), m.end(group), "given" if m[group] in GIVEN_OF else "surname", m[group])
+    # later mentions of a person by one part of the name; a given name wins over an equal surname
+    known = {c: k for k in ("surname", "given") for _, _, _, kind, c in found if kind == k}
+    if known:
+        for m in JOINED.finditer(text):
+            if m[0] in known:
+                add(10, m.start(), m.end(), known[m[0]], m[0])
+            elif not m[0].isalnum():
+                for part in re.finditer(r"\w+", m[0]):
+                    if part[0] in known:
+                        add(10, m.start() + part.start(), m.start() + part.end(), known[part[0]], part[0])
     found.sort()
     kept: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     for _, start, end, kind, canonical in found:
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             kept.append((start, end, kind, canonical))
     kept.sort()
     return kept
 
 
+@lru_cache(maxsize=4096)
+def peers(c: str) -> str:
+    """Letters that may stand for a letter: those of its kind in its block of 64 code points."""
+    base, kind = ord(c) & ~63, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(base, base + 64)) if unicodedata.category(x) == kind) or c
+
+
 class Surrogates:
     """Keyed replacements; a pure function of key, kind, canonical form and attempt."""
 
@@ -161,15 +203,20 @@ class Surrogates:
 
     def canonical(self, kind: str, canonical: str, attempt: int = 0) -> str:
         """Canonical form of the surrogate; never that of the entity itself."""
-        while True:
+        out = self._drawn(kind, canonical, attempt)
+        while out == canonical:
+            attempt += 1000  # grows by then, so that this ends
             out = self._drawn(kind, canonical, attempt)
-            if out != canonical:
-                return out
-            attempt += 1000
+        return out
 
     def _drawn(self, kind: str, canonical: str, attempt: int) -> str:
         if kind == "given":
             return self.permuted[GIVEN_OF[canonical]][canonical]
+        out = self._first(kind, canonical, attempt)
+        more = self._draws(f"{kind} more", canonical, attempt)
+        return out + "".join(str(next(more) % 10) for _ in range(0 if kind == "surname" else attempt // GROW_AFTER))
+
+    def _first(self, kind: str, canonical: str, attempt: int) -> str:
         draws = self._draws(kind, canonical, attempt)
         if kind == "surname":
             part = SYLLABLES[script_of(canonical)]
@@ -177,7 +224,7 @@ class Surrogates:
             end = ""
             if script_of(canonical) == "cyrillic":  # these show the gender
                 end = "ова" if canonical[-1] in "ая" else "ов"
-            return "".join(part[next(draws) % 16] for _ in range(size + attempt // 8)).capitalize() + end
+            return "".join(part[next(draws) % 16] for _ in range(size + attempt // GROW_AFTER)).capitalize() + end
         if kind == "email":
             local, _, domain = canonical.partition("@")
             host = self._shape(domain.split(".")[0], self._draws("domain", domain, 0))
@@ -210,10 +257,12 @@ class Surrogates:
             n = next(draws)
             if hexes:
                 out.append("0123456789abcdef"[n % 16])
-            elif c.isdigit():
+            elif c.isdecimal():
                 out.append(str(1 + n % 9) if i == 0 and c != "0" else str(n % 10))
-            elif c.isalpha():
+            elif c.isascii() and c.isalpha():
                 out.append(chr((65 if c.isupper() else 97) + n % 26))
+            elif c.isalpha():
+                out.append(peers(c)[n % len(peers(c))])
             else:
                 out.append(c)
         return "".join(out)
@@ -236,7 +285,7 @@ class Surrogates:
         """The surrogate in the punctuation of the text that it replaces."""
         if kind in ("card", "ssn", "phone", "iban"):
             rest = iter(new)
-            return "".join(next(rest) if c.isalnum() else c for c in shown)
+            return "".join(next(rest) if c.isalnum() else c for c in shown) + "".join(rest)
         if kind == "email" and shown.isupper():
             return new.upper()
         return new
@@ -272,7 +321,7 @@ def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                 ["kind", "canonical", "surrogate"],
             )
 
-    found = map_arrow(docs.select(F.col(text).cast("string").alias("t")), run, "kind string, canonical string, surrogate string")
+    found = map_arrow(spread(docs.select(F.col(text).cast("string").alias("t"))), run, "kind string, canonical string, surrogate string")
     return found.groupBy("kind", "canonical").agg(F.min("surrogate").alias("surrogate")).withColumn("attempt", F.lit(0))
 
 
@@ -312,7 +361,7 @@ def exceptions(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame
         moved = moved.select("kind", "canonical", "surrogate", "attempt", "moved")
         units = cut(map_arrow(moved, again, "kind string, canonical string, surrogate string, attempt int"), "entities")
     else:
-        raise RuntimeError("surrogates still collide; the format of some entities is too narrow")
+        raise RuntimeError("surrogates still collide")
     moved = units.filter("attempt > 0").select("kind", "canonical", "attempt")
     return moved, moved.count()
 
@@ -326,7 +375,7 @@ def redact(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", report:
     """
     names = docs.columns
     moved, n_moved = exceptions(docs, key, text)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).cast("string").alias("t"))
+    rows = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).cast("string").alias("t"))
     if n_moved:
         rows = _with_attempts(rows, moved)
     else:
@@ -379,4 +428,7 @@ def _with_attempts(rows: DataFrame, moved: DataFrame) -> DataFrame:
     own = said.join(moved, ["kind", "canonical"]).groupBy("h").agg(
         F.collect_list(F.struct("kind", "canonical", F.col("attempt").cast("int").alias("attempt"))).alias("attempts")
     )
-    return rows.join(cut(own, "attempts"), "h", "left")
+    # copies of one text are dealt over salts, each of which gets the text's exceptions
+    own = cut(own, "attempts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    return rows.join(own, ["h", "salt"], "left")
