@@ -1,18 +1,27 @@
 """Operator 2: main text of HTML pages from flat text blocks and a decision tree.
 
 A page is cut at block-level tags into flat text blocks.  Each block has its
-word count and link density, those of its neighbours, and whether it stands in
-an article or in a container that names itself boilerplate (menu, footer, advert,
-form, comments ...).  A decision tree trained on the small labelled table below
-says which blocks are the article; they are joined by an empty line.
-
+word count and link density, those of its neighbours, and four marks: whether it
+is a heading, stands in an article, stands outside on a page that has one, or
+stands in a container that names itself boilerplate (menu, footer, advert, form,
+comments ...).  A decision tree trained on the small labelled table below says
+which blocks are the article; they are joined by an empty line.  The marks settle
+well-built pages; where they are absent or misleading (plain pages, link lists
+inside an article) word counts and link densities do.
+
+Names on html, body, main and article elements say nothing of their text, nor do
+names such as ``no-sidebar`` or ``search-enabled``; an article that opens inside
+a container of a layout name (``sidebar``, ``top`` ...) is an article still.
+
+The scanner goes over a page once: its patterns never try a place in two ways.
 The tree is grown once on the driver (a few dozen splits over some hundred rows)
 and travels with the task; pages are row-local: one scan, no shuffle.
 
 Defined cases: null, empty and text-free pages give the empty string; a page cut
-off inside a tag loses that tag only; unknown character references stay as they
-are; repeated rows are extracted alike; an empty table gives an empty result;
-other columns are ignored.
+off inside a tag loses that tag only, one cut off inside a script or comment ends
+there; a quote that is never closed ends with its tag; unknown character
+references stay as they are; repeated rows are extracted alike; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import map_arrow
+from strandline.llm._shared import map_arrow, spread
 
 #: Elements by kind (HTML standard).
 BLOCK_TAGS = frozenset(
@@ -51,18 +60,26 @@ BOILER_NAMES = frozenset(
 #: Boilerplate only outside an article.
 OUTER_TAGS = frozenset(["header"])
 OUTER_NAMES = frozenset(["header", "top", "bottom"])
-
-RAW = "script|style|title|textarea|noscript|iframe|template|svg|select|object|math"
-ATTRS = r"""(?:[^<>"']|"[^"]*"|'[^']*'|["'])*?"""
+#: Names of a place on the page: an article may open inside.
+LAYOUT_NAMES = frozenset("banner bottom header menu nav navbar navigation search sidebar skip social tags toolbar top topbar".split())
+#: Elements whose own names are not read, and names that speak of a state.
+UNNAMED_TAGS = frozenset(["html", "body", "main", "article"])
+STATE_FIRST = frozenset("disable enable has hide is no not show with without".split())
+STATE_LAST = frozenset("closed disabled enabled layout off on open site".split())
+
+#: Elements whose content is no text of the page.
+RAW_TAGS = frozenset("script style title textarea noscript iframe template svg select object math".split())
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.IGNORECASE) for t in RAW_TAGS}
+#: A comment, a tag with its attributes, a declaration, or a tag cut off by the end; possessive, so linear.
+ATTRS = r"""(?>[^<>=]++|=\s*+(?>"[^"]*+"|'[^']*+')?+)*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})\b(?=[\s/>])[^>]*>.*?(?:</(?:{RAW})\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRS})/?>"
-    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.DOTALL | re.IGNORECASE,
+    rf"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRS})>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z", re.DOTALL
 )
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW.split("|")}
-RAW_START = re.compile(rf"<({RAW})\b", re.IGNORECASE)
-NAMED = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: What a container is: text, boilerplate by the name of its place, boilerplate.
+TEXT, LAYOUT, BOILER = 0, 1, 2
 
 
 @dataclass(slots=True)
@@ -75,42 +92,56 @@ class Block:
     heading: bool
 
 
-def _boiler_attrs(attrs: str, in_main: bool) -> bool:
-    for name, value in NAMED.findall(attrs):
+def _named(value: str, in_main: bool) -> int:
+    """What the names of a class or id attribute say."""
+    found = TEXT
+    for name in value.split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if not parts or parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+            continue
+        for part in parts:
+            if part in BOILER_NAMES or (part in OUTER_NAMES and not in_main):
+                found = max(found, LAYOUT if part in LAYOUT_NAMES else BOILER)
+    return found
+
+
+def _container(tag: str, attrs: str, in_main: bool) -> int:
+    """What an element's tag and attributes say of its text."""
+    if tag in BOILER_TAGS or (tag in OUTER_TAGS and not in_main):
+        return BOILER
+    found = TEXT
+    for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            for part in NAME_PART.findall(value):
-                part = part.lower()
-                if part in BOILER_NAMES or (part in OUTER_NAMES and not in_main):
-                    return True
+            if tag not in UNNAMED_TAGS:
+                found = max(found, _named(value, in_main))
         elif name == "role":
             if value.lower() in BOILER_ROLES:
-                return True
+                return BOILER
         elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        elif name == "hidden" or value.lower() == "true":
-            return True
-    return False
+            if HIDDEN_STYLE.search(value):
+                return BOILER
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return BOILER
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page, in order; blocks without a word are left out."""
     out: list[Block] = []
-    # open elements: name, in main, in boilerplate, in a link
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # open elements: name, in main, kind of container, in a link
+    stack: list[tuple[str, bool, int, bool]] = [("", False, TEXT, False)]
     pieces: list[str] = []
     links: list[str] = []
     heading = False
 
     def flush() -> None:
-        nonlocal heading
         if pieces:
             words = html_lib.unescape("".join(pieces)).split()
             if words:
-                _, main, boiler, _ = stack[-1]
+                _, main, kind, _ = stack[-1]
                 linked = len(html_lib.unescape("".join(links)).split()) if links else 0
-                out.append(Block(" ".join(words), len(words), linked, main, boiler, heading))
+                out.append(Block(" ".join(words), len(words), linked, main, kind != TEXT, heading))
             pieces.clear()
             links.clear()
 
@@ -127,32 +158,32 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            raw = RAW_START.match(page, begin)
-            if raw:  # text up to the element's own end tag goes
-                name = raw.group(1).lower()
-                start = page.find(">", begin)
-                end = RAW_END[name].search(page, start) if start >= 0 else None
+        if m.group(2) is None:
+            continue
+        tag, closing = m.group(2).lower(), m.group(1)
+        if tag in RAW_TAGS:
+            if not closing:  # what stands up to the element's own end tag goes
+                end = RAW_END[tag].search(page, at)
                 at = end.end() if end else size
-                if name in ("textarea", "iframe", "title"):
+                if tag in ("textarea", "iframe", "title"):
                     flush()
             continue
-        tag = tag.lower()
         block = tag in BLOCK_TAGS
         if block:
             flush()
             if tag in HEADINGS:
-                heading = not m.group(1)
+                heading = not closing
             elif heading:
                 heading = False
         elif tag in SPACE_TAGS:
             pieces.append(" ")
         if tag in VOID_TAGS:
             continue
-        if m.group(1):
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if stack[k - 1][2] != stack[-1][2] or stack[k - 1][1] != stack[-1][1]:
+                        flush()
                     del stack[k:]
                     break
             continue
@@ -161,31 +192,37 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             while stack[-1][0] == "a":
                 stack.pop()
-        _, main, boiler, link = stack[-1]
-        attrs = m.group(3)
+        _, main, kind, link = stack[-1]
+        own = _container(tag, m.group(3), main or tag in MAIN_TAGS)
         if tag in MAIN_TAGS:
+            if kind == LAYOUT and not main and not _named(" ".join(_names(m.group(3))), True):
+                kind = TEXT
             main = True
-        if not boiler:
-            boiler = tag in BOILER_TAGS or (tag in OUTER_TAGS and not main) or bool(attrs and _boiler_attrs(attrs, main))
-        if block or tag == "a" or boiler != stack[-1][2]:
-            if boiler != stack[-1][2]:
+        new = max(kind, own)
+        if block or tag == "a" or new != stack[-1][2]:
+            if new != stack[-1][2]:
                 flush()
-            stack.append((tag, main, boiler, link or tag == "a"))
+            stack.append((tag, main, new, link or tag == "a"))
     flush()
     return out
 
 
+def _names(attrs: str) -> list[str]:
+    return [value.strip("\"'") for name, value in ATTRIBUTE.findall(attrs) if name.lower() in ("class", "id")]
+
+
 FEATURES = (
     "words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density",
-    "in_article", "in_boilerplate", "heading",
+    "in_article", "outside_article", "in_boilerplate", "heading",
 )
 
 
 def features(page: list[Block]) -> list[tuple[float, ...]]:
     own = [(float(b.words), b.link_words / b.words) for b in page]
     padded = [(0.0, 0.0), *own, (0.0, 0.0)]
+    has = any(b.main and not b.boiler for b in page)
     return [
-        (*padded[i + 1], *padded[i], *padded[i + 2], float(b.main), float(b.boiler), float(b.heading))
+        (*padded[i + 1], *padded[i], *padded[i + 2], float(b.main), float(has and not b.main), float(b.boiler), float(b.heading))
         for i, b in enumerate(page)
     ]
 
@@ -202,8 +239,35 @@ LABELLED = (
     # short article, long footer and sidebar
     ((2, 2, 0, 1, 0, 0), (4, 0, 1, 0, 1, 1), (7, 0, 1, 0, 0, 1), (3, 0, 1, 0, 0, 1), (35, 4, 0, 1, 0, 0), (50, 0, 0, 1, 0, 0)),
     # article that links much, list items among its text
-    ((5, 0, 1, 0, 1, 1), (20, 12, 1, 0, 0, 1), (4, 0, 1, 0, 0, 1), (3, 3, 1, 0, 0, 1), (6, 2, 1, 0, 0, 1), (30, 6, 1, 0, 0, 1),
+    ((5, 0, 1, 0, 1, 1), (20, 12, 1, 0, 0, 1), (4, 0, 1, 0, 0, 1), (3, 3, 1, 0, 0, 1), (36, 2, 1, 0, 0, 1), (30, 6, 1, 0, 0, 1),
      (2, 2, 0, 1, 0, 0)),
+    # encyclopaedia article: long paragraphs full of links, a footer of long linked notices
+    ((3, 0, 1, 0, 1, 1), (60, 12, 1, 0, 0, 1), (90, 25, 1, 0, 0, 1), (4, 0, 1, 0, 1, 1), (40, 14, 1, 0, 0, 1), (130, 30, 1, 0, 0, 1), (24, 9, 1, 0, 0, 1),
+     (42, 12, 0, 1, 0, 0), (75, 20, 0, 1, 0, 0), (28, 14, 0, 1, 0, 0)),
+    # the same as a plain page
+    ((2, 2, 0, 0, 0, 0), (4, 0, 0, 0, 1, 1), (70, 16, 0, 0, 0, 1), (55, 9, 0, 0, 0, 1), (110, 34, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0)),
+    # menus right before and after long paragraphs
+    ((1, 1, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (50, 0, 1, 0, 0, 1), (61, 4, 1, 0, 0, 1), (2, 2, 0, 1, 0, 0), (4, 4, 0, 1, 0, 0)),
+    ((2, 2, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (45, 0, 0, 0, 0, 1), (72, 3, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0), (90, 0, 0, 0, 0, 1)),
+    ((1, 1, 0, 0, 0, 0), (10, 8, 0, 0, 0, 0), (64, 2, 1, 0, 0, 1), (3, 3, 1, 0, 0, 1), (57, 0, 1, 0, 0, 1), (14, 6, 0, 1, 0, 0), (80, 1, 1, 0, 0, 1)),
+    # share bars and adverts of links between the paragraphs of an article
+    ((5, 0, 1, 0, 1, 1), (4, 4, 1, 1, 0, 0), (70, 0, 1, 0, 0, 1), (2, 2, 1, 1, 0, 0), (9, 9, 1, 1, 0, 0), (41, 3, 1, 0, 0, 1), (20, 18, 1, 1, 0, 0),
+     (55, 0, 1, 0, 0, 1)),
+    ((6, 0, 1, 0, 1, 1), (58, 2, 1, 0, 0, 1), (3, 3, 1, 1, 0, 0), (64, 0, 1, 0, 0, 1), (1, 1, 1, 1, 0, 0), (37, 0, 1, 0, 0, 1), (12, 6, 1, 1, 0, 0),
+     (47, 1, 1, 0, 0, 1), (16, 10, 1, 1, 0, 0), (30, 14, 1, 1, 0, 0), (52, 0, 1, 0, 0, 1), (2, 2, 1, 0, 0, 1), (39, 0, 1, 0, 0, 1)),
+    # article with linked paragraphs beside an unnamed sidebar of linked texts
+    ((1, 1, 0, 0, 0, 0), (6, 0, 1, 0, 1, 1), (45, 8, 1, 0, 0, 1), (38, 6, 1, 0, 0, 1), (30, 12, 0, 0, 0, 0), (41, 10, 0, 0, 0, 0), (22, 7, 0, 0, 0, 0)),
+    # list of links to other pages at the end of an article, in no container that says so
+    ((7, 0, 1, 0, 1, 1), (66, 1, 1, 0, 0, 1), (48, 0, 1, 0, 0, 1), (2, 2, 1, 0, 0, 0), (6, 6, 1, 0, 0, 0), (8, 8, 1, 0, 0, 0), (5, 5, 1, 0, 0, 0),
+     (9, 9, 1, 0, 0, 0)),
+    # the same after short paragraphs, and a row of tags before them
+    ((6, 0, 1, 0, 1, 1), (1, 1, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (14, 0, 1, 0, 0, 1), (11, 0, 1, 0, 0, 1), (7, 7, 1, 0, 0, 0),
+     (10, 10, 1, 0, 0, 0), (6, 6, 1, 0, 0, 0)),
+    # article beside unnamed adverts and notices
+    ((2, 2, 0, 0, 0, 0), (11, 0, 0, 0, 0, 0), (26, 0, 0, 0, 0, 0), (9, 0, 1, 0, 1, 1), (52, 0, 1, 0, 0, 1), (3, 0, 1, 0, 0, 1), (88, 2, 1, 0, 0, 1),
+     (31, 0, 0, 0, 0, 0), (6, 2, 0, 0, 0, 0)),
+    # unnamed texts beside a one-paragraph article
+    ((60, 0, 0, 0, 0, 0), (4, 0, 0, 0, 1, 0), (18, 0, 1, 0, 0, 1), (45, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)),
     # blog of plain div elements: neither articles nor named containers
     ((1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (45, 0, 0, 0, 0, 1), (80, 2, 0, 0, 0, 1),
      (12, 0, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (5, 2, 0, 0, 0, 0)),
@@ -280,8 +344,8 @@ def extract(pages: DataFrame, html: str = "html", id_col: str = "page_id", url:
     """Per page: id, url, text, n_chars, n_blocks, n_kept."""
     tree = grow(labelled_rows())
     kind = pages.schema[id_col].dataType.simpleString()
-    source = pages.select(
-        F.col(id_col).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h")
+    source = spread(
+        pages.select(F.col(id_col).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
