@@ -7,8 +7,12 @@ the response.  Records are plain text lines and a UTF-8 payload, so Spark's own
 text writer makes the archives (``\\r\\n\\r\\n`` between records, gzip), and any
 file system that Spark writes to will do.
 
-Reading.  Each archive is read whole as one binary row and parsed by
-``Content-Length``; ``max_records`` bounds its size.  Transactions are assembled
+Archives are bounded in bytes: payloads up to ``SMALL_BYTES`` go to files of
+``MAX_RECORDS`` rows at most; longer ones are written by classes of doubling
+length, with half as many rows a file in each class.
+
+Reading.  Each archive is one binary row, unpacked as a stream and parsed by
+``Content-Length``, a record at a time.  Transactions are assembled
 by joining requests and metadata to their response or revisit through
 ``WARC-Concurrent-To``; a revisit takes length and digest of the full payload
 from the response that it refers to.  One nested row comes out per capture.
@@ -24,20 +28,24 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut, map_arrow, new_path
+from strandline.llm._shared import BATCH_BYTES, cut, map_arrow, new_path
 
 CRLF = "\r\n"
 #: All records bear one date, so that reruns give the same archives.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Rows (captures) of an archive of small payloads, and the longest of these: 200 MB a file at most, before packing.
+MAX_RECORDS = 3000
+SMALL_BYTES = 1 << 16
 #: RFC 4648 digits; a digest of 160 bits is 32 of them.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -71,12 +79,13 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 def write(
     pages: DataFrame, path: str, html: str = "html", url: str = "url", page_id: str = "page_id",
-    min_bytes: int = 0, max_records: int = 3000,
+    min_bytes: int = 0, max_records: int = MAX_RECORDS, small_bytes: int = SMALL_BYTES,
 ) -> None:
-    """Write the archives of all pages into ``path``.
+    """Write the archives of all pages into folders of ``path``.
 
     Decisions need only ids, digests and lengths: they are summed by digest
     (map-side first), so a payload that a third of all rows share is no hot key.
+    Payloads meet the decision about their digest only where it occurs twice.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     target = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
@@ -85,7 +94,7 @@ def write(
     kept = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(
         F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")
     )
-    rows = rows.join(kept.filter("n > 1").select("digest", "keeper"), "digest", "left")
+    rows = rows.join(cut(kept.filter("n > 1").select("digest", "keeper"), "keepers"), "digest", "left")
     revisit = F.coalesce(F.col("id") != F.col("keeper"), F.col("keeper").isNotNull() & F.col("id").isNull())
     own = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("none")), "digest")
     referred = F.concat_ws("/", F.col("keeper").cast("string"), "digest")
@@ -131,10 +140,16 @@ def write(
         ],
         F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)),
     )
-    out = rows.select(F.concat_ws(CRLF + CRLF, request, main, metadata).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option(
-        "maxRecordsPerFile", max_records
-    ).text(path)
+    longest = pages.agg(F.max(F.octet_length(payload))).first()[0] or 0
+    out = rows.select("bytes", F.concat_ws(CRLF + CRLF, request, main, metadata).alias("value"))
+    low = -1
+    for k in range(max(0, (longest - 1) // small_bytes).bit_length() + 1):  # a class without rows writes nothing of note
+        high = small_bytes << k
+        own = out.filter((F.col("bytes") > low) & (F.col("bytes") <= high)).select("value")
+        own.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option(
+            "maxRecordsPerFile", max(1, max_records >> k)
+        ).text(f"{path}/class-{k}")
+        low = high
 
 
 RECORD = pa.schema(
@@ -151,44 +166,40 @@ RECORD_SQL = (
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:  # one gzip member after another
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(plain)
-    at = 0
+    """Header fields (names in lower case) and block of each record of an archive, unpacked as a stream."""
+    raw = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, 1 << 18)
+    count = 0
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        line = stream.readline()
+        while line == CRLF.encode():
+            line = stream.readline()
+        if not line:
             return
-        end = data.find(b"\r\n\r\n", at)
-        head = data[at : end if end >= 0 else None].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        count += 1
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"item {count} is no WARC record")
         fields = {}
-        for line in head[1:]:
-            name, _, value = line.partition(":")
+        while (line := stream.readline()) != CRLF.encode():
+            if not line:
+                raise ValueError(f"the head of record {count} is cut short")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = stream.read(size)
         if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut short")
+            raise ValueError(f"record {count} is cut short")
         yield fields, block
-        at = end + 4 + size
 
 
 def records(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
     """All records of the archives under ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for fields, block in parse(content.as_py()):
                     kind = fields.get("warc-type")
                     payload = block
@@ -215,9 +226,10 @@ def records(spark: SparkSession, path: str, with_block: bool = True) -> DataFram
                             "block": block if with_block else None,
                         }
                     )
-                    if len(rows) == 1000:
+                    held += len(block) if with_block else 0
+                    if len(rows) == 1000 or held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, RECORD)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, RECORD)
 
@@ -245,7 +257,9 @@ def captures(found: DataFrame) -> DataFrame:
         F.max("digest").alias("kept_digest"), F.max("payload_bytes").alias("kept_bytes")
     )
     kept = kept.join(tied.select(F.col("rid").alias("refers_to"), F.col("metadata.page_id").alias("kept_page")), "refers_to", "left")
-    whole = whole.join(cut(kept, "kept"), "refers_to", "left")
+    # only revisits refer to another record
+    revisits = whole.filter("kind = 'revisit'").join(cut(kept, "kept"), "refers_to", "left")
+    whole = whole.filter("kind = 'response'").unionByName(revisits, allowMissingColumns=True)
     return whole.select(
         F.col("metadata.page_id").alias("page_id"),
         F.col("kind").alias("record_type"),
