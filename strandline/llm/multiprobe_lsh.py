@@ -11,7 +11,8 @@ inner product in double precision on the original vectors.
 
 Every row is indexed and no bucket is capped.  Buckets with many rows or many
 queries are split into blocks that meet pairwise, so that a task holds one block
-of each at a time; what leaves it is one row per query and block, not pairs.  Of
+of each at a time; what leaves it is the best ``k`` of a query in a block, not
+pairs, and these are cut to the best ``k`` of the task again before they move.  Of
 equal vectors only the ``k + 1`` smallest ids can be among the nearest ``k``, so
 only these are kept (exact, and bounds groups of copies).  Queries that found
 fewer than ``k`` are run once more against all rows, in blocks.
@@ -40,7 +41,7 @@ WIDTH = 2.2
 N_PROBES = 10
 SEED = 20240101
 #: Rows of a bucket that meet as many queries in one step.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 ROWS_SQL = "key long, id long, v array<double>"
 
 
@@ -133,7 +134,7 @@ def _hashed(vectors: DataFrame, longest: float, tables: int, n: int, width: floa
 
 
 def _ranked(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch | None:
-    """Best ``k`` of a block for each query: (query_id, found: (score, id) lists)."""
+    """Best ``k`` of a block for each query: rows (query_id, minus score, id)."""
     scores = q @ x.T
     own = query_ids[:, None] == ids[None, :]
     scores[own] = -np.inf
@@ -154,17 +155,14 @@ def _ranked(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
         exact[part] = (q[row[part]] * x[col[part]]).sum(axis=1)
     order = np.lexsort((ids[col], -exact, row))
     row, col, exact = row[order], col[order], exact[order]
-    first = np.searchsorted(row, row)
-    best = np.arange(len(row)) - first < k
-    row, col, exact = row[best], col[best], exact[best]
-    edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    found = pa.StructArray.from_arrays([pa.array(-exact), pa.array(ids[col])], ["minus", "id"])
-    lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(row)), pa.int32()), found)
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[row[edges]]), lists], ["query_id", "found"])
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids[row[best]]), pa.array(-exact[best]), pa.array(ids[col[best]])], ["query_id", "minus", "id"]
+    )
 
 
 def _meet(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, found) from rows and queries (key, s, r, id, v) of equal (key, s, r)."""
+    """(query_id, minus, id) from rows and queries (key, s, r, id, v) of equal (key, s, r)."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = index.withColumn("side", F.lit(0)).unionByName(queries.withColumn("side", F.lit(1)))
     both = both.repartition(parts, "key", "s", "r").sortWithinPartitions("key", "s", "r", "side")
@@ -206,7 +204,7 @@ def _meet(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         yield from done()
 
     columns = both.select("key", "s", "r", "side", "id", "v")
-    return map_arrow(columns, run, "query_id long, found array<struct<minus: double, id: long>>")
+    return map_arrow(columns, run, "query_id long, minus double, id long")
 
 
 def _blocks(counts: DataFrame, name: str) -> DataFrame:
@@ -214,9 +212,16 @@ def _blocks(counts: DataFrame, name: str) -> DataFrame:
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, best): the nearest ``k`` over all blocks; pairs met in several tables count once."""
-    lists = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("all"))
-    return lists.select("query_id", F.slice(F.sort_array(F.array_distinct("all")), 1, k).alias("best"))
+    """(query_id, rank, vec_id, score): the nearest ``k`` over all blocks.
+
+    A pair met in several tables has one score, so its rows share a dense rank:
+    Spark drops ranks beyond ``k`` in each task before the rows move, and the
+    repetitions after.
+    """
+    order = Window.partitionBy("query_id").orderBy("minus", "id")
+    best = found.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+    best = best.groupBy("query_id", "id").agg(F.min("rank").alias("rank"), F.min("minus").alias("minus"))
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), (-F.col("minus")).alias("score"))
 
 
 def nearest(
@@ -249,8 +254,8 @@ def nearest(
     )
     best = cut(_merged(_meet(meant, asking, k), k), "nearest")
     # an exact way for queries whose buckets held too few
-    short = queries.join(best.filter(F.size("best") >= min(k, n_rows - 1)), F.col("id") == F.col("query_id"), "left_anti")
-    short = cut(short, "short")
+    full = best.filter(F.col("rank") == min(k, n_rows - 1)).select("query_id")
+    short = cut(queries.join(full, F.col("id") == F.col("query_id"), "left_anti"), "short")
     n_short = short.count()
     if n_short:
         blocks = max(1, -(-n_rows // BLOCK_ROWS))
@@ -265,6 +270,4 @@ def nearest(
         )
         exact = _merged(_meet(every, whole, k), k)
         best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
-    return best.select("query_id", F.posexplode("best").alias("place", "near")).select(
-        "query_id", (F.col("place") + 1).alias("rank"), F.col("near.id").alias("vec_id"), (-F.col("near.minus")).alias("score")
-    )
+    return best
