@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 #: Used only by sessions of one machine (``local[...]``) that name no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/strandline"
 #: Bytes of one Arrow batch: rows may be long texts, so batches are bounded by size too.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Paths written by :func:`cut` and not yet released.
 _WRITTEN: list[str] = []
@@ -121,4 +123,19 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidied(run), schema)
+
+
+def _tidied(run: Callable) -> Callable:
+    """``run``, which at its end gives free memory back: Spark keeps idle workers for the next stage."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return tidy

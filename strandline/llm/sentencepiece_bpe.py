@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,18 +259,19 @@ def encode(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_i
     def encoded(enc: PrefixTableEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         for batch in batches:
-            counts, hashes, decoded, all_ids = [], [], [], []
+            counts, hashes, decoded, all_ids = [], [], [], array("i")
             for value in batch.column(1):
                 ids, said = enc.encode(value.as_py() or "")
                 counts.append(len(ids))
                 hashes.append(sha(said.encode("ascii")).hexdigest())
                 decoded.append(sha((enc.decode(ids) if ids else "").encode("utf-8")).hexdigest())
                 if keep_ids:
-                    all_ids.append(ids)
+                    all_ids.extend(ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(all_ids, np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

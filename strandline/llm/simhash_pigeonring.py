@@ -1,8 +1,8 @@
 """Operator 3: near duplicates by SimHash and pigeonring filtering.
 
-Fingerprint: 64 bits over the XXH64 of 4-word shingles (seed 42).  Two texts
-link if their fingerprints differ in at most four bits; a class is a connected
-component of links.
+:func:`near_duplicates`.  Fingerprint: 64 bits over the XXH64 of 4-word shingles
+(seed 42).  Two texts link if their fingerprints differ in at most four bits; a
+class is a connected component of links.
 
 Search.  Copies of one fingerprint are one node.  The 64 bits are a ring of five
 segments.  By the pigeonring principle a pair within four differences has a
@@ -13,16 +13,28 @@ about 26 bits.  Fingerprints of equal keys are candidates; the budgets of three
 and four segments prune them; the full Hamming distance decides.  Rows of a key
 arrive sorted, so a task holds one run of equal keys at a time.  A long run is
 searched breadth first and yields a spanning forest (fewer links than members),
-never all of its pairs.
+never all of its pairs; a very long one is first divided by the third segment
+with two bits blanked out, the budget of the chain of three.
+
+:func:`similar` finds texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more; at that similarity a bit differs with probability
+0.15, too often for exact segments of 64 bits.  Fingerprints are 256 bits, a ring
+of 16 segments with a budget of 54 bits (over two standard deviations above the 39
+expected).  Fingerprints that agree on a sample of bits, in one of several
+tables, are candidates; chains of up to four segments within 3, 6, 10, 13 bits
+prune them, the full distance decides, and the shingle sets of what is left are
+compared exactly.  Bits per sample follow the logarithm of the number of
+fingerprints, the number of tables the wanted recall.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked
-like any other; texts of fewer than four words are one shingle; repeated rows
+like any other; texts of fewer words than a shingle are one shingle; repeated rows
 share their class; rows without an id get a class but never name it; an empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,17 +53,30 @@ WIDTHS = (13, 13, 13, 13, 12)
 STARTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
 #: Runs of equal keys longer than this are searched breadth first.
 PAIRWISE_RUN = 8
+#: Runs longer than this are divided by their third segment.
+DIVIDED_RUN = 4096
+#: The wide ring: segments, bits of each, and the bits that may differ in all.
+WIDE_SEGMENTS = 16
+WIDE_BUDGET = 54
+#: Segments of the chains that prune candidates on the wide ring.
+WIDE_CHAIN = 4
+WIDE_SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+#: Share of pairs of exactly that similarity that some table should bring together.
+WIDE_RECALL = 0.98
+#: Distances by which forests of a long run are laid, so that a failed pair does not cut off its nearer neighbours.
+WIDE_FORESTS = (25, 38, WIDE_BUDGET)
 LANES = np.uint64(0x0101010101010101)
 
 
-def _hashes(text: str) -> list[int]:
+def _hashes(text: str, shingle_words: int = SHINGLE_WORDS) -> list[int]:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = text.encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII space splits
     if not words:
         return []
-    if len(words) < SHINGLE_WORDS:
+    if len(words) < shingle_words:
         return [digest(b" ".join(words), SEED)]
     joined = b" ".join(words)
     ends, at = [], -1
@@ -59,7 +84,7 @@ def _hashes(text: str) -> list[int]:
         at += len(w) + 1
         ends.append(at)
     begins = [0, *[e + 1 for e in ends]]
-    return [digest(joined[s:e], SEED) for s, e in zip(begins, ends[SHINGLE_WORDS - 1 :])]
+    return [digest(joined[s:e], SEED) for s, e in zip(begins, ends[shingle_words - 1 :])]
 
 
 def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -142,24 +167,50 @@ def _linked(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok & (np.bitwise_count(x) <= MAX_BITS)
 
 
-def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among distinct fingerprints of one key."""
+def _forest(fps: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among distinct fingerprints; ``near(u, rest)`` says which link to u."""
     left, right = [], []
     rest = fps
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             u = queue.pop()
-            near = np.bitwise_count(rest ^ u) <= MAX_BITS
-            if near.any():
-                found = rest[near]
-                left.append(np.full(len(found), u))
+            hit = near(u, rest)
+            if hit.any():
+                found = rest[hit]
+                left.append(np.repeat(u[None], len(found), axis=0))
                 right.append(found)
                 queue.extend(found)
-                rest = rest[~near]
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(left), np.concatenate(right)
+                rest = rest[~hit]
+    return _joined(left, fps), _joined(right, fps)
+
+
+def _joined(parts: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    return np.concatenate(parts) if parts else like[:0]
+
+
+def _run(fps: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one long run: fingerprints whose chain of two from ``start`` is within its budget."""
+
+    def near(u: np.uint64, rest: np.ndarray) -> np.ndarray:
+        return _linked(u, rest, start)
+
+    if len(fps) <= DIVIDED_RUN:
+        return _forest(fps, near)
+    third = (start + 2) % 5
+    segment = fps >> np.uint64(STARTS[third])
+    left, right = [], []
+    for i in range(WIDTHS[third]):
+        for j in range(i):
+            own = segment & np.uint64((1 << WIDTHS[third]) - 1 & ~(1 << i | 1 << j))
+            order = np.argsort(own, kind="stable")
+            edge = np.flatnonzero(np.diff(own[order])) + 1
+            for part in np.split(order, edge):
+                if len(part) > 1:
+                    a, b = _forest(fps[part], near)
+                    left.append(a)
+                    right.append(b)
+    return _joined(left, fps), _joined(right, fps)
 
 
 def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +219,7 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.append(edge, len(keys)))
     left, right = [], []
     for s, n in zip(edge[size > PAIRWISE_RUN], size[size > PAIRWISE_RUN]):
-        a, b = _forest(fps[s : s + n])
+        a, b = _run(fps[s : s + n], int(keys[s] >> 30))
         left.append(a)
         right.append(b)
     own = np.repeat(size, size)
@@ -184,9 +235,29 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok &= ((tag & 15) == 0) | ((a ^ b) & NEXT[start] != 0)
         left.append(a[ok])
         right.append(b[ok])
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(left), np.concatenate(right)
+    return _joined(left, fps), _joined(right, fps)
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch], fps_of, found) -> Iterator[pa.RecordBatch]:
+    """``found(keys, fps)`` over whole runs of equal keys of sorted batches (fp, key); ``fps_of`` makes an array of a column."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def taken() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+
+    for batch in batches:
+        k = batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(k):
+            continue
+        waiting.append((k, fps_of(batch.column(0))))
+        if k[-1] == waiting[0][0][0]:  # one run goes on: only gather
+            continue
+        keys, fps = taken()
+        end = int(np.searchsorted(keys, keys[-1]))
+        waiting = [(keys[end:], fps[end:])]
+        yield from found(keys[:end], fps[:end])
+    if waiting:
+        yield from found(*taken())
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -195,60 +266,197 @@ def links(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key")
 
+    def found(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = _links(keys, fps)
+        if len(a):
+            pair = np.unique(np.stack((a.view(np.int64), b.view(np.int64)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return _in_runs(batches, lambda c: c.to_numpy(zero_copy_only=False).view(np.uint64), found)
 
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            pair = np.unique(np.stack((a.view(np.int64), b.view(np.int64)), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+    return map_arrow(keyed.select("fp", "key"), run, "a long, b long")
 
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+# ---------------------------------------------------------------- the wide ring
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another hash of a hash, one for each lane of 64 bits."""
+    h = h + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str, shingle_words: int = WIDE_SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text."""
+    return np.unique(np.array(_hashes(text, shingle_words), np.uint64))
+
+
+def wide_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
+    """(id column, h long, fp binary) for every row; h is a hash of the text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    source = spread(docs.select(F.col(id_col).alias("k"), body.alias("t"))).withColumn("h", F.xxhash64("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column(1).to_numpy(zero_copy_only=False)
-            f = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(k):
-                continue
-            waiting.append((k, f))
-            if k[-1] == waiting[0][0][0]:  # one run goes on: only gather
-                continue
-            ks, fs = np.concatenate([held_k, *[w[0] for w in waiting]]), np.concatenate([held_f, *[w[1] for w in waiting]])
-            waiting = []
-            end = int(np.searchsorted(ks, ks[-1]))
-            held_k, held_f = ks[end:], fs[end:]
-            if end:
-                a, b = _links(ks[:end], fs[:end])
-                if len(a):
-                    yield out(a, b)
-        ks, fs = np.concatenate([held_k, *[w[0] for w in waiting]]), np.concatenate([held_f, *[w[1] for w in waiting]])
-        if len(ks):
-            a, b = _links(ks, fs)
-            if len(a):
-                yield out(a, b)
+            sets = [shingle_set(value.as_py(), shingle_words) for value in batch.column(1)]
+            counts = np.array([len(x) for x in sets], np.int64)
+            joined = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            lanes = np.stack([simhash(_mixed(joined, lane), counts) for lane in range(WIDE_SEGMENTS // 4)], axis=1)
+            fps = pa.array([x.tobytes() for x in lanes], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], ["k", "h", "fp"])
+
+    return map_arrow(source.select("k", "t", "h"), run, f"k {kind}, h long, fp binary").withColumnRenamed("k", id_col)
 
-    return map_arrow(keyed.select("fp", "key"), run, "a long, b long")
+
+def wide_tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits of a sample, tables) for ``n`` fingerprints: a random pair meets about once, a similar one with ``recall``."""
+    cosine = 2 * similarity / (1 + similarity)
+    agree = 1 - math.acos(min(cosine, 1.0)) / math.pi
+    bits = min(max(16, math.ceil(math.log2(max(n, 1)))), 60)
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)))
+
+
+def _wide_keys(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(fp, key): the sampled bits of each fingerprint in each table."""
+    rng = np.random.default_rng(SEED)
+    samples = [np.sort(rng.choice(64 * (WIDE_SEGMENTS // 4), bits, replace=False)) for _ in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            fps = _wide_array(column).view(np.uint8)
+            shown = np.unpackbits(fps, axis=1, bitorder="little").astype(np.uint64)
+            for t, sample in enumerate(samples):
+                key = np.full(len(fps), t + 1, np.uint64)
+                for place in sample:
+                    key = (key << np.uint64(1)) | shown[:, place]
+                # mixed, as the table's number is pushed out of 64 bits by long samples
+                key = _mixed(key ^ np.uint64(t << 56), t % 4)
+                yield pa.RecordBatch.from_arrays([column, pa.array(key.view(np.int64))], ["fp", "key"])
+
+    return map_arrow(nodes.select("fp"), run, "fp binary, key long")
+
+
+def _wide_array(column: pa.Array) -> np.ndarray:
+    """Fingerprints of an Arrow column as rows of 16-bit segments."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDE_SEGMENTS)
+
+
+def _wide_near(u: np.ndarray, rest: np.ndarray, most: int) -> np.ndarray:
+    """Chains within the proportional budgets from some start, then the whole distance."""
+    apart = np.bitwise_count(u ^ rest).astype(np.int64)
+    excess = WIDE_SEGMENTS * apart - most  # a chain is within its budget if its excess sums to zero or less
+    chain, ok = excess, excess <= 0
+    for step in range(1, WIDE_CHAIN):
+        chain = chain + np.roll(excess, -step, axis=-1)
+        ok &= chain <= 0
+    return ok.any(axis=-1) & (apart.sum(axis=-1) <= most)
+
+
+def _wide_links(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(a, b): pairs of fingerprints within the wide budget, enough of them to connect each run."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _wide_keys(nodes, bits, tables).repartition(parts, "key").sortWithinPartitions("key", "fp")
+
+    def found(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(edge, len(keys)))
+        left, right = [], []
+        for s, n in zip(edge[size > PAIRWISE_RUN], size[size > PAIRWISE_RUN]):
+            for most in WIDE_FORESTS:
+                a, b = _forest(fps[s : s + n], lambda u, rest: _wide_near(u, rest, most))
+                left.append(a)
+                right.append(b)
+        own = np.repeat(size, size)
+        place = np.arange(len(keys)) - np.repeat(edge, size)
+        for d in range(1, PAIRWISE_RUN):
+            i = np.flatnonzero((own <= PAIRWISE_RUN) & (place + d < own))
+            i = i[_wide_near(fps[i], fps[i + d], WIDE_BUDGET)] if len(i) else i
+            left.append(fps[i])
+            right.append(fps[i + d])
+        a, b = _joined(left, fps), _joined(right, fps)
+        if len(a):
+            pairs = sorted({tuple(sorted((x.tobytes(), y.tobytes()))) for x, y in zip(a, b)})
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_runs(batches, _wide_array, found)
+
+    return map_arrow(keyed.select("fp", "key"), run, "a binary, b binary")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle_words: int, similarity: float) -> DataFrame:
+    """``pairs`` whose shingle sets have the similarity; one text stands for each fingerprint."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = nodes.join(ends, "fp", "left_semi").select("fp", "h")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(body.alias("t")).withColumn("h", F.xxhash64("t")).join(wanted, "h").groupBy("fp").agg(F.min("t").alias("t"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(value.as_py(), shingle_words).tobytes() for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.large_binary()).cast(pa.binary())], ["fp", "s"])
+
+    held = cut(map_arrow(texts, sets, "fp binary, s binary"), "shingle-sets")
+    met = pairs.join(held.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(
+        held.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b"
+    )
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(met.select("a", "b", "x", "y"), alike, "a binary, b binary")
+
+
+def similar(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS,
+    similarity: float = SIMILARITY, recall: float = WIDE_RECALL,
+) -> DataFrame:
+    """(id column, fingerprint, component_id, root) for every row, by the Jaccard similarity of shingle sets."""
+    prints = cut(wide_fingerprints(docs, text, id_col, shingle_words), "fingerprints")
+    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("h").alias("h")), "nodes")
+    bits, tables = wide_tables(nodes.count(), similarity, recall)
+    pairs = cut(_wide_links(nodes, bits, tables).distinct(), "pairs")
+    return _classes(prints, nodes, _verified(pairs, nodes, docs, text, shingle_words, similarity), id_col)
+
+
+# ---------------------------------------------------------------- classes
+
+
+def _classes(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id column, fp, component_id, root) of every row; ``nodes`` hold the least id of each fingerprint."""
+    roots = connected_components(found).select(F.col("node").alias("fp"), "root")
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = cut(placed, "placed")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(named, "root").select("fp", "component_id", "root"), "fp").select(id_col, "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id column, fingerprint, component_id, root) for every row; root is the class's least fingerprint."""
     prints = cut(fingerprints(docs, text, id_col), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = cut(placed, "placed")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id", "root")
-    return prints.join(classes, "fp").select(
-        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root"
-    )
+    found = _classes(prints, nodes, links(nodes.select("fp")), id_col)
+    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class: the one that names it.
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each class of :func:`similar`: the one that names it.
 
     Of rows that repeat that id, and of classes whose rows all lack an id, the
-    largest row stays.
+    largest row stays.  ``options`` go to :func:`similar`.
     """
-    found = cut(near_duplicates(docs, text, id_col), "classes")
+    found = cut(similar(docs, text, id_col, **options), "classes")
     naming = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
     naming = cut(naming, "naming")
     # texts are dealt by id and met there by a table of ids, at every size; they are not sorted
@@ -259,10 +467,10 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     if not repeated.isEmpty():
         rows = docs.join(repeated.select(id_col), id_col, "left_semi")
         kept = kept.unionByName(rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(row).alias("_row")).select("_row.*"))
-    nameless = found.filter(F.col("component_id").isNull()).select("fingerprint", "root").distinct()
+    nameless = found.filter(F.col("component_id").isNull()).select("fp", "root").distinct()
     if not nameless.isEmpty():
         rows = docs.filter(F.col(id_col).isNull()).select(row.alias("_row"), F.col(text).alias("_text"))
-        rows = fingerprints(rows, "_text", "_row").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
-        rows = rows.join(nameless, "fingerprint").groupBy("root").agg(F.max("_row").alias("_row"))
+        rows = wide_fingerprints(rows, "_text", "_row", options.get("shingle_words", WIDE_SHINGLE_WORDS))
+        rows = rows.join(nameless, "fp").groupBy("root").agg(F.max("_row").alias("_row"))
         kept = kept.unionByName(rows.select("_row.*"))
     return kept

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -110,11 +111,85 @@ def test_simhash(spark):
     fps = [fingerprint(r[1]) for r in rows]
     want = sorted(((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, components(fps, [r[0] for r in rows]))), key=str)
     assert pairs(got, "doc_id", "fingerprint", "component_id") == want
-    kept = [r.doc_id for r in simhash_pigeonring.keep_one(docs(spark, rows)).collect()]
-    assert sorted(kept, key=str) == sorted({c for _, _, c in want if c is not None} | ({None} if None in [c for _, _, c in want] else set()), key=str)
     assert simhash_pigeonring.near_duplicates(docs(spark, [])).count() == 0
 
 
+def shingles(text, n=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_similar_texts(spark):
+    """Classes by Jaccard similarity of five-word shingles, against all pairs."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = awkward()
+    for group in range(12):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(60, 300))]
+        for k in range(6):
+            now = list(words)
+            for _ in range(rnd.randint(0, len(words) // 60)):
+                now[rnd.randrange(len(now))] = rnd.choice(vocabulary)
+            rows.append((1000 + 10 * group + k, " ".join(now)))
+    got = simhash_pigeonring.similar(docs(spark, rows)).collect()
+    named = {}
+    for r in got:
+        named.setdefault(r.doc_id, set()).add(r.component_id)
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    ids = sorted(i for i in sets if i is not None)
+    pairs_found = pairs_all = 0
+    for i in ids:
+        for j in ids:
+            if j < i and alike(sets[i], sets[j]):
+                pairs_all += 1
+                pairs_found += named[i] == named[j]
+    assert pairs_all > 60 and pairs_found >= 0.95 * pairs_all
+    # no class joins texts that no chain of alike texts joins
+    root = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            if j < i and alike(sets[i], sets[j]):
+                old, new = root[i], root[j]
+                root = {k: new if v == old else v for k, v in root.items()}
+    for i in ids:
+        assert root[i] == root[next(iter(named[i]))]
+    kept = [r.doc_id for r in simhash_pigeonring.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted({c for cs in named.values() for c in cs}, key=str)
+
+
+def test_wide_ring_loses_no_near_pair():
+    """The chains prune only pairs beyond the budget."""
+    rng = np.random.default_rng(1)
+    u = rng.integers(0, 1 << 16, 16).astype(np.uint16)
+    flips = (rng.random((4000, 256)) < rng.random((4000, 1)) * 0.3).astype(np.uint8)
+    rest = u ^ np.packbits(flips, axis=1).view(np.uint16)
+    near = simhash_pigeonring._wide_near(u, rest, 54)
+    assert (near == (flips.sum(axis=1) <= 54)).all() and 500 < near.sum() < 3900
+
+
+def test_long_runs_are_divided(monkeypatch):
+    rnd = random.Random(6)
+    base = rnd.getrandbits(64)
+    low = sum(simhash_pigeonring.WIDTHS[:2])
+    fps = sorted({base ^ (1 << rnd.randrange(low, 64)) ^ (1 << rnd.randrange(low, 64)) for _ in range(300)})
+    fps = np.array(fps, np.uint64)
+
+    def classes(a, b):
+        root = {int(f): int(f) for f in fps}
+        for x, y in zip(a.tolist(), b.tolist()):
+            old, new = root[x], root[y]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return len(set(root.values()))
+
+    whole = classes(*simhash_pigeonring._run(fps, 0))
+    monkeypatch.setattr(simhash_pigeonring, "DIVIDED_RUN", 10)
+    assert classes(*simhash_pigeonring._run(fps, 0)) == whole
+
+
 def test_simhash_links_lose_nothing(spark):
     """Chains and dense clusters of fingerprints, compared with all pairs."""
     rnd = random.Random(4)
@@ -281,6 +356,43 @@ def test_html(spark):
     assert got == {1: "Head & line\n\nFirst part of it.\n\nTwo.", 2: "", 3: "", 4: "Kept text &am\n\nmore"}
 
 
+LONG = "The committee met again on Tuesday and agreed, after some hours, that the old bridge over the river should be kept and mended."
+MORE = "Work will begin in the spring, when the water is low, and the road will be closed to all but walkers until the end of summer."
+LINKS = "<li><a href=/1>Ten bridges to see before autumn</a></li><li><a href=/2>How stone is cut</a></li><li><a href=/3>All our stories</a></li>"
+#: Pages labelled by hand: name, html, article text, whether the two container marks alone would give it.
+PAGES = (
+    ("names on body and article", f"<body class='has-sidebar search-enabled'><div id='page' class='no-sidebar'><article class='post comments-open'><p>{LONG}</p></article></div>", [LONG], True),
+    ("article in a sidebar layout", f"<div class='sidebar-left'><ul><li><a href=/>Home</a></li></ul><main><p>{LONG}</p><p>{MORE}</p></main></div>", [LONG, MORE], True),
+    ("comments that are articles", f"<article><p>{LONG}</p></article><section class='comments'><article class='comment'><p>{MORE}</p></article></section>", [LONG], True),
+    ("attribute texts are no names", f"<article><p title=\"class='ad' hidden\">{LONG}</p><img alt='id=ad'></article>", [LONG], True),
+    ("links at the end of an article", f"<article><h1>A bridge is kept</h1><p>{LONG}</p><p>{MORE}</p><ul>{LINKS}</ul></article>", ["A bridge is kept", LONG, MORE], False),
+    ("plain page with a menu", f"<body><div><a href=/>Home</a></div><div><a href=/n>All news</a></div><div><a href=/a>About us</a></div><p>{LONG}</p><p>{MORE}</p><div><a href=/c>Contact</a></div>", [LONG, MORE], False),
+    ("unnamed advert beside an article", f"<div>Buy two lamps and get a third one at half the price, today only.</div><article><p>{LONG}</p><p>{MORE}</p></article>", [LONG, MORE], True),
+    ("links in prose", f"<article><p>{LONG} See <a href=/x>the plan of the bridge</a> too.</p><p>{MORE}</p></article>", [f"{LONG} See the plan of the bridge too.", MORE], True),
+    ("front page", f"<body><ul>{LINKS}</ul><ul>{LINKS}</ul></body>", [], True),
+)
+
+
+def test_html_labelled_pages(spark):
+    got = {r.page_id: r.text for r in html_blocks.extract(page_table(spark, [(i, "u", p[1]) for i, p in enumerate(PAGES)])).collect()}
+    for i, (name, _, want, _) in enumerate(PAGES):
+        assert got[i] == "\n\n".join(want), name
+    for name, html, want, flags_suffice in PAGES:
+        by_flags = [b.text for b in html_blocks.blocks(html) if b.main and not b.boiler]
+        assert (by_flags == want) is flags_suffice, name
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " + " ".join(f'x{i}="y"' for i in range(30_000)), "<a " + '"' * 60_000, "<a " * 60_000, "<a x='" * 40_000, "<!--" * 60_000, "<script>" * 40_000,
+     "<a href=" * 60_000, "<svg" * 60_000, "<" * 200_000, "<div>" * 60_000, "<p a=\" b=' " * 30_000],
+)
+def test_html_is_linear(page):
+    begun = time.perf_counter()
+    html_blocks.main_text(page, html_blocks.grow(html_blocks.labelled_rows()))
+    assert time.perf_counter() - begun < 5
+
+
 def test_html_tree_fits_and_holds_out(spark):
     rows = html_blocks.labelled_rows()
     tree = html_blocks.grow(rows)
