@@ -9,19 +9,28 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere go
    whose anchor hash occurs twice or more can hold a repeat, and all starts of a
    repeated string meet under one anchor.  This loses nothing.
 3. Equal segments of an anchor are one row with a count; an anchor with one
-   segment that occurs twice is wholly repeated.  The distinct segments of the
-   other anchors are dealt out by anchor, and each task sorts the suffixes of its
-   segments by the difference-cover algorithm: triples at two thirds of the
+   segment that occurs twice is wholly repeated.
+4. The distinct segments of the other anchors are cut into slices: windows whose
+   places relative to the anchor fall into one stretch of 64.  All windows of a
+   stretch share a core of ``length`` - 63 bytes, so equal windows lie in slices
+   of equal cores: a class.  Classes of one slice are settled as in 3.  Slices of
+   the other classes are dealt out by class, and each task sorts the suffixes of
+   its slices by the difference-cover algorithm: triples at two thirds of the
    places are sorted and named, names are sorted recursively until they span
    ``length`` bytes, the other third is ordered by first character and rank of
    the rest, and merged in.  Adjacent suffixes are then compared over ``length``
    bytes.
-4. Marked stretches go back to their texts, and every document gets the result of
+5. A class too large for a part of a task (a passage that many texts share, in
+   different surroundings) is cut again, by stretches of 16, 4 and 1 places.  A
+   stretch of one place has one slice a class, so this ends, whatever is hot.
+6. Marked stretches go back to their texts, and every document gets the result of
    its text.
 
-An anchor whose distinct segments exceed ``MAX_CLASS_BYTES`` would not fit one
-task: its windows are hashed (128 bits) and counted with map-side aggregation
-instead, which is exact up to that hash and has no limit.
+Besides, ``n_passages`` counts passages of words that other documents have too:
+strings of ``PASSAGE_GRAM`` words, of least hash among those of some
+``PASSAGE_WORDS`` successive words, that stand in two documents or more.  Every
+shared passage of ``PASSAGE_WORDS`` words, however short in bytes, counts at least
+once, and nothing shared under ``PASSAGE_GRAM`` words counts.  It removes nothing.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length``
 lose nothing; repeated rows are copies of each other; rows without an id get a
@@ -44,11 +53,18 @@ from strandline.llm._shared import cut, map_arrow
 LENGTH = 400
 #: Bytes of the k-grams among which a window picks its anchor.
 GRAM = 128
-#: Bytes of one suffix sort; whole anchors are added up to it.
+#: Bytes of one suffix sort; whole classes are added up to it.
 CHUNK_BYTES = 1_500_000
-MAX_CLASS_BYTES = 48_000_000
+#: A class of more bytes is cut into shorter stretches.
+CLASS_BYTES = 256_000
+#: Places (relative to the anchor) of the stretches of each level; the last is 1.
+STRETCHES = (64, 16, 4, 1)
 #: Bytes whose anchors are found at a time; longer texts are cut with overlap.
 SPAN_BYTES = 4_000_000
+PASSAGE_WORDS = 50
+PASSAGE_GRAM = 25
+#: Overlap of spans where passages are looked for; a passage of longer words would be missed at a cut.
+PASSAGE_OVERLAP = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -198,39 +214,84 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def anchors(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, windows, place of the anchor) of each anchor of a byte array of at least ``length``."""
-    n = len(text)
-    powers, inverse = _powers(n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers)))
-    h = _mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    width = length - gram + 1
+def _sums(text: np.ndarray) -> np.ndarray:
+    """Prefix sums from which :func:`_hash` takes the hash of any stretch of bytes."""
+    powers, _ = _powers(len(text))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers)))
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least hash in each stretch of ``width`` successive ones."""
     low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+    out = len(h) - width + 1
     size = 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < width:
-        low = np.minimum(low[: n - length + 1], low[width - size : width - size + n - length + 1])
-    place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
+        low = np.minimum(low[:out], low[width - size : width - size + out])
+    return (low & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def anchors(sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows, place of the anchor) of each anchor of at least ``length`` bytes."""
+    n = len(sums) - 1
+    _, inverse = _powers(n)
+    h = _mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
+    place = _least(h, length - gram + 1)
     edge = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     return h[place[edge]].view(np.int64), edge, np.diff(np.append(edge, len(place))), place[edge]
 
 
-def _anchor_rows(text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor hash, segment hash, first window, windows) of a text, cut to spans with overlap."""
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+
+
+def passages(text: np.ndarray, sums: np.ndarray, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> np.ndarray:
+    """Distinct hashes of the chosen strings of ``gram`` words; any ``words`` successive words hold one."""
+    inside = np.concatenate(([False], _IS_WORD[text], [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edge[::2], edge[1::2]
+    if len(first) < words:
+        return np.zeros(0, np.int64)
+    b, e = first[: len(first) - gram + 1], last[gram - 1 :]
+    _, inverse = _powers(len(text))
+    h = _mixed((sums[e] - sums[b]) * inverse[b])
+    return np.unique(h[_least(h, words - gram + 1)]).view(np.int64)
+
+
+def _anchor_rows(text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(anchor hash, segment hash, first window, windows, offset of the anchor) of a text, cut to spans with overlap.
+
+    Passages follow as rows of (hash, 0, 0, 0, -1).
+    """
     import xxhash
 
     at = 0
-    while len(text) - at >= length:
+    shared: set[int] = set()
+    overlap = length - 1
+    while True:
         part = text[at : at + SPAN_BYTES]
-        h, first, n, place = anchors(np.frombuffer(part, np.uint8), length, gram)
-        for a, f, m, p in zip(h.tolist(), first.tolist(), n.tolist(), place.tolist()):
-            s = xxhash.xxh3_64_intdigest(part[f : f + m + length - 1], p - f)
-            yield a, s - (1 << 64) if s >> 63 else s, at + f, m
+        array = np.frombuffer(part, np.uint8)
+        sums = _sums(array)
+        if len(part) >= length:
+            h, first, n, place = anchors(sums, length, gram)
+            for a, f, m, p in zip(h.tolist(), first.tolist(), n.tolist(), place.tolist()):
+                s = xxhash.xxh3_64_intdigest(part[f : f + m + length - 1], p - f)
+                yield a, s - (1 << 64) if s >> 63 else s, at + f, m, p - f
+        if len(text) <= SPAN_BYTES:
+            shared.update(passages(array, sums).tolist())
         if at + SPAN_BYTES >= len(text):
-            return
-        at += SPAN_BYTES - length + 1
+            break
+        at += SPAN_BYTES - overlap
+    if len(text) > SPAN_BYTES:
+        for at in range(0, len(text), max(SPAN_BYTES - PASSAGE_OVERLAP, 1)):
+            array = np.frombuffer(text[at : at + SPAN_BYTES], np.uint8)
+            shared.update(passages(array, _sums(array)).tolist())
+            if at + SPAN_BYTES >= len(text):
+                break
+    for a in sorted(shared):
+        yield a, 0, 0, 0, -1
 
 
 # ---------------------------------------------------------------- the operator
@@ -259,18 +320,19 @@ def with_key(docs: DataFrame, text: str, *ids: str) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, copies, a, s, lo, n): one row per anchor of each text."""
+    """(k1, k2, copies, a, s, lo, n, o): one row per anchor of each text, and (o = -1) per passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.select(["k1", "k2", "copies"])
             which: list[int] = []
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple[int, int, int, int, int]] = []
 
             def out() -> pa.RecordBatch:
                 taken = keys.take(pa.array(which, pa.int64()))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                return pa.RecordBatch.from_arrays([*taken.columns, *columns], ["k1", "k2", "copies", "a", "s", "lo", "n"])
+                a, s, lo, n, o = zip(*rows)
+                columns = [pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(o, pa.int32())]
+                return pa.RecordBatch.from_arrays([*taken.columns, *columns], ["k1", "k2", "copies", "a", "s", "lo", "n", "o"])
 
             for i, value in enumerate(batch.column(3)):
                 before = len(rows)
@@ -282,14 +344,62 @@ def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
             if rows:
                 yield out()
 
-    long_texts = texts.filter(F.octet_length("t") >= length).select("k1", "k2", "copies", "t")
-    return map_arrow(long_texts, run, "k1 long, k2 long, copies long, a long, s long, lo long, n long")
+    worth = texts.filter(F.octet_length("t") >= min(length, 2 * PASSAGE_WORDS - 1)).select("k1", "k2", "copies", "t")
+    return map_arrow(worth, run, "k1 long, k2 long, copies long, a long, s long, lo long, n int, o int")
+
+
+PIECE = ("a", "s", "total", "lo", "n", "o")
+
+
+def _with_texts(texts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(t, want): each text with the list of its pieces; texts stay where they are."""
+    lists = pieces.groupBy("k1", "k2").agg(F.collect_list(F.struct(*PIECE)).alias("want"))
+    return texts.join(lists, ["k1", "k2"]).select("t", "want", "k1", "k2")
+
+
+def _slices(texts: DataFrame, pieces: DataFrame, length: int, gram: int, stretch: int) -> DataFrame:
+    """(a, s, total, c, t, r, k1, k2, lo, n, o): pieces cut by stretches of places; c is the class, t the slice, r its place in the piece."""
+    names = ["a", "s", "total", "c", "t", "r", "lo", "n", "o"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+
+        def signed(x: int) -> int:
+            return x - (1 << 64) if x >> 63 else x
+
+        for batch in batches:
+            rows: list[tuple] = []
+            which: list[int] = []
+            for i, (text, want) in enumerate(zip(batch.column(0), batch.column(1))):
+                data = text.as_py().encode("utf-8")
+                before = len(rows)
+                for w in want.as_py():
+                    lo, n, o = w["lo"], w["n"], w["o"]
+                    place = lo + o
+                    for block in range((o - n + 1) // stretch, o // stretch + 1):
+                        near, far = block * stretch, min(block * stretch + stretch - 1, length - gram)
+                        r, last = max(0, o - far), min(n - 1, o - near)
+                        core = digest(data[place - near : place - far + length], block)
+                        own = digest(data[lo + r : lo + last + length], o - r)
+                        rows.append((w["a"], w["s"], w["total"], signed(core), signed(own), r, lo + r, last - r + 1, o - r))
+                which += [i] * (len(rows) - before)
+                if len(rows) >= 20_000:
+                    yield out(batch, rows, which)
+                    rows, which = [], []
+            if rows:
+                yield out(batch, rows, which)
+
+    def out(batch: pa.RecordBatch, rows: list[tuple], which: list[int]) -> pa.RecordBatch:
+        taken = batch.select(["k1", "k2"]).take(pa.array(which, pa.int64()))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*rows)], *taken.columns], [*names, "k1", "k2"])
+
+    return map_arrow(_with_texts(texts, pieces), run, ", ".join(f"{c} long" for c in [*names, "k1", "k2"]))
 
 
-def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(a, s, total, n, seg): the bytes of the wanted segments; texts stay where they are."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "total", "lo", "n")).alias("want"))
-    joined = texts.join(lists, ["k1", "k2"]).select("t", "want")
+def _bytes_of(texts: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
+    """(a, s, total, n, seg): the bytes of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[dict]) -> pa.RecordBatch:
@@ -310,7 +420,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield out(rows)
 
-    return map_arrow(joined, run, "a long, s long, total long, n long, seg binary")
+    return map_arrow(_with_texts(texts, pieces), run, "a long, s long, total long, n long, seg binary")
 
 
 def _stretches(flags: np.ndarray, length: int) -> list[int]:
@@ -328,7 +438,7 @@ MARKS = "a long, s long, marks array<int>"
 
 
 def _sorted_marks(segments: DataFrame, length: int) -> DataFrame:
-    """(a, s, marks) by suffix sorting; all segments of an anchor meet in one task."""
+    """(a, s, marks) by suffix sorting; the slices of a class, ``CLASS_BYTES`` at most, meet in one task."""
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = segments.repartition(parts, "a").sortWithinPartitions("a")
 
@@ -361,36 +471,48 @@ def _sorted_marks(segments: DataFrame, length: int) -> DataFrame:
     return map_arrow(dealt.select("a", "s", "total", "n", "seg"), run, MARKS)
 
 
-def _counted_marks(segments: DataFrame, length: int) -> DataFrame:
-    """(a, s, marks) for anchors too large for one task: windows hashed and counted."""
+def _kinds(pieces: DataFrame, group: str, kind: str, length: int) -> DataFrame:
+    """Distinct pieces (named a, s) of the groups that hold two or more: one place of each, ``different`` and ``bytes`` of the group."""
+    kinds = pieces.groupBy(F.col(group).alias("a"), F.col(kind).alias("s")).agg(
+        F.sum("total").alias("total"), F.min(F.struct("k1", "k2", "lo", "n", "o")).alias("one")
+    )
+    groups = kinds.groupBy("a").agg(
+        F.sum("total").alias("all"), F.count(F.lit(1)).alias("different"), F.sum(F.col("one.n") + length - 1).alias("bytes")
+    )
+    return kinds.join(groups.filter(F.col("all") > 1), "a").select("a", "s", "total", "one.*", "different", "bytes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            for a, s, total, n, seg in zip(*[c.to_pylist() for c in batch.columns]):
-                digests = [xxhash.xxh3_128_digest(seg[r : r + length]) for r in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a] * n), pa.array([s] * n), pa.array([total] * n), pa.array([n] * n), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())],
-                    ["a", "s", "total", "n", "r", "w"],
-                )
+def _whole(kinds: DataFrame, length: int) -> DataFrame:
+    """Marks of pieces that are alone in their group, and so repeated."""
+    return kinds.filter("different = 1").select("a", "s", F.array(F.lit(0), (F.col("n") + length - 1).cast("int")).alias("marks"))
+
 
-    windows = cut(map_arrow(segments.select("a", "s", "total", "n", "seg"), run, "a long, s long, total long, n long, r long, w binary"), "windows")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w")
-    hit = windows.join(twice, "w").groupBy("a", "s").agg(F.sort_array(F.collect_list(F.col("r").cast("int"))).alias("rs"))
-    own = hit.select("a", "s", F.flatten(F.transform("rs", lambda r: F.array(r, r + length))).alias("marks"))
-    whole = segments.filter("total > 1").select("a", "s", F.array(F.lit(0), (F.col("n") + length - 1).cast("int")).alias("marks"))
-    return own.unionByName(whole)
+def _marks(texts: DataFrame, pieces: DataFrame, length: int, gram: int, class_bytes: int, level: int = 0) -> DataFrame:
+    """(a, s, marks) of the pieces (k1, k2, a, s, total, lo, n, o): begin and end of repeated stretches, relative to the piece."""
+    stretch = STRETCHES[level]
+    slices = cut(_slices(texts, pieces, length, gram, stretch), "slices")
+    kinds = cut(_kinds(slices, "c", "t", length), "slice-kinds")
+    mixed = kinds.filter("different > 1").drop("different")
+    marks = _whole(kinds, length)
+    fits = F.col("bytes") <= (class_bytes if stretch > 1 else 1 << 62)
+    marks = marks.unionByName(_sorted_marks(_bytes_of(texts, mixed.filter(fits), length), length))
+    large = mixed.filter(~fits)
+    if stretch > 1 and not large.isEmpty():
+        marks = marks.unionByName(_marks(texts, large, length, gram, class_bytes, level + 1))
+    found = slices.select("a", "s", "c", "t", "r").join(marks.select(F.col("a").alias("c"), F.col("s").alias("t"), "marks"), ["c", "t"])
+    moved = F.transform("marks", lambda m: m + F.col("r").cast("int"))
+    return found.groupBy("a", "s").agg(F.flatten(F.collect_list(moved)).alias("marks"))
 
 
-def _removed(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, n_bytes, n_removed, n_spans, kept_sha256, spans) of each text."""
-    joined = texts.join(marks, ["k1", "k2"], "left").select("k1", "k2", "copies", "t", "marks")
+def _removed(texts: DataFrame, marks: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, n_bytes, n_removed, n_spans, kept_sha256, spans, n_passages) of each text."""
+    joined = texts.join(marks, ["k1", "k2"], "left").join(shared, ["k1", "k2"], "left")
+    joined = joined.select("k1", "k2", "copies", "t", "marks", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, shas, spans = [], [], [], [], []
-            for copies, text, marked in zip(*[c.to_pylist() for c in batch.columns[2:]]):
+            for copies, text, marked in zip(*[c.to_pylist() for c in batch.columns[2:5]]):
                 data = text.encode("utf-8")
                 if copies > 1 and len(data) >= length:
                     found = [(0, len(data))]
@@ -416,18 +538,18 @@ def _removed(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 shas.append(sha.hexdigest())
                 spans.append([x for f in found for x in f])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.int64()))],
-                ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.int64())), batch.column(5)],
+                ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passages"],
             )
 
-    return map_arrow(joined, run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return map_arrow(joined, run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, n_passages long")
 
 
 def repeated_bytes(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int | None = None,
-    max_class_bytes: int = MAX_CLASS_BYTES,
+    class_bytes: int = CLASS_BYTES,
 ) -> DataFrame:
-    """(id column, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row.
+    """(id column, n_bytes, n_removed, n_spans, kept_sha256, spans, n_passages) for every row.
 
     ``length`` is at least 16.  ``spans`` lists begin and end of the removed runs in bytes.
     """
@@ -436,30 +558,19 @@ def repeated_bytes(
     texts = _Texts(spark, docs, text)
     try:
         found = cut(_occurrences(texts.read(), length, gram), "anchors")
-        kinds = found.groupBy("a", "s").agg(
-            F.sum("copies").alias("total"), F.min(F.struct("k1", "k2", "lo", "n")).alias("one")
-        )
-        classes = kinds.groupBy("a").agg(
-            F.sum("total").alias("all"), F.count(F.lit(1)).alias("different"), F.sum(F.col("one.n") + length - 1).alias("bytes")
-        )
-        classes = classes.filter(F.col("all") > 1)
-        kinds = cut(kinds.join(classes, "a").select("a", "s", "total", "one.*", "different", "bytes"), "classes")
-        mixed = kinds.filter("different > 1")
-        segments = _segments(texts.read(), mixed.filter(F.col("bytes") <= max_class_bytes), length)
-        marks = _sorted_marks(segments, length)
-        large = mixed.filter(F.col("bytes") > max_class_bytes)
-        if not large.isEmpty():
-            marks = marks.unionByName(_counted_marks(_segments(texts.read(), large, length), length))
-        whole = kinds.filter("different = 1").select(
-            "a", "s", F.array(F.lit(0), (F.col("n") + length - 1).cast("int")).alias("marks")
-        )
-        marks = cut(marks.unionByName(whole), "marks")
-        placed = found.join(marks, ["a", "s"]).groupBy("k1", "k2").agg(
+        segments = found.filter("o >= 0")
+        kinds = cut(_kinds(segments.withColumnRenamed("copies", "total"), "a", "s", length), "classes")
+        mixed = kinds.filter("different > 1").drop("different", "bytes")
+        marks = cut(_marks(texts.read(), mixed, length, gram, class_bytes).unionByName(_whole(kinds, length)), "marks")
+        placed = segments.join(marks, ["a", "s"]).groupBy("k1", "k2").agg(
             F.collect_list(F.struct("lo", "marks")).alias("marks")
         )
-        done = cut(_removed(texts.read(), placed, length), "removed")
+        chosen = found.filter("o < 0").select("a", "k1", "k2", "copies")
+        twice = chosen.groupBy("a").agg(F.sum("copies").alias("all")).filter(F.col("all") > 1).select("a")
+        shared = chosen.join(twice, "a").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_passages"))
+        done = cut(_removed(texts.read(), placed, shared, length), "removed")
     finally:
         texts.drop()
     return with_key(docs, text, id_col).drop("t").join(done, ["k1", "k2"]).select(
-        id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"
+        id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passages"
     )

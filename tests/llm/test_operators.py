@@ -248,17 +248,30 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("limit", [suffix_dedup.MAX_CLASS_BYTES, 100])
+@pytest.mark.parametrize("limit", [suffix_dedup.CLASS_BYTES, 100, 0])
 def test_suffix_dedup(spark, limit):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("abé \n") for _ in range(60)) for _ in range(8)]
     rows = [(i, "".join(rnd.choice(base)[rnd.randint(0, 20) : rnd.randint(30, 60)] for _ in range(rnd.randint(0, 6)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "a" * 300), (103, "ab" * 150), (None, base[0] * 2), (7, base[1])]
-    got = suffix_dedup.repeated_bytes(docs(spark, rows), length=20, max_class_bytes=limit)
+    got = suffix_dedup.repeated_bytes(docs(spark, rows), length=20, class_bytes=limit)
     want = sorted(((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 20))), key=str)
     assert pairs(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_shared_passages(spark):
+    """Every shared passage of 50 words counts, none under 25 words does."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 4)))
+    filler = lambda n: " ".join(word() + str(rnd.randrange(10**6)) for _ in range(n))
+    long, short = " ".join(word() for _ in range(50)), " ".join(word() for _ in range(24))
+    rows = [(i, f"{filler(70)} {long} {filler(rnd.randint(0, 90))}") for i in range(6)]
+    rows += [(10 + i, f"{filler(60)} {short} {filler(60)}") for i in range(6)] + [(20, long), (21, filler(300)), (22, None), (23, "")]
+    rows += [(30, "twice here " * 30)] + [(40, PROSE), (41, PROSE)]
+    got = {r.doc_id: r.n_passages for r in suffix_dedup.repeated_bytes(docs(spark, rows)).collect()}
+    assert all(got[i] > 0 for i in [*range(6), 20]) and not any(n for i, n in got.items() if i not in [*range(6), 20])
+
+
 def test_suffix_order():
     rnd = random.Random(2)
     for size, letters in ((1, 2), (7, 1), (200, 1), (300, 2), (500, 256)):
@@ -273,7 +286,7 @@ def test_anchor_spans(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPAN_BYTES", 500)
     text = bytes(random.Random(3).randrange(97, 123) for _ in range(3000))
     rows = list(suffix_dedup._anchor_rows(text, 50, 10))
-    windows = sorted(w for _, _, lo, n in rows for w in range(lo, lo + n))
+    windows = sorted(w for _, _, lo, n, o in rows if o >= 0 for w in range(lo, lo + n))
     assert windows == list(range(len(text) - 49))
 
 
