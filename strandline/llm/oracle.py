@@ -48,7 +48,7 @@ _W = f"CASE row_number() OVER (ORDER BY source NULLS LAST) % 3 WHEN 1 THEN {m.WE
 
 OP10 = f"""
 WITH s AS (SELECT doc_id id, source, coalesce('v' || source, 'n') skey, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) size,
-  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) rank_key FROM documents),
+  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '?' || md5(coalesce(text, '')))) rank_key FROM documents),
 t AS (SELECT CAST(sum(size) AS BIGINT) total, CAST(greatest(1, (sum(size) + {m.MAX_SLOTS - 1}) // {m.MAX_SLOTS}) AS BIGINT) block FROM s),
 o AS (SELECT skey, source, CAST(sum(size) AS BIGINT) source_size FROM s GROUP BY 1, 2),
 w AS (SELECT *, {_W} weight, {m.MAX_EPOCHS} * source_size AS cap FROM o),

@@ -461,7 +461,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **opti
     naming = cut(naming, "naming")
     # texts are dealt by id and met there by a table of ids, at every size; they are not sorted
     ids = naming.filter("rows = 1").select(id_col).hint("shuffle_hash")
-    kept = docs.join(ids, id_col, "left_semi").select(*docs.columns)
+    kept = docs.join(ids, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = naming.filter("rows > 1")
     if not repeated.isEmpty():

@@ -18,8 +18,11 @@ Scale.  Prefix sums of sizes run in two levels (source and leading digits of the
 random key, then within), ranks too (source and chunk of slots), so no source is
 ever in one task.  Only ids, sources and sizes are shuffled.
 
+Sources are a table of their own, a row each, which one task orders: some millions
+of sources are its limit, not documents.
+
 Defined cases: null texts have size 0; documents of size 0 take nothing; repeated
-rows are documents of their own; if all sizes are 0 all targets are 0; an empty
+rows, and rows without an id, are documents of their own; if all sizes are 0 all targets are 0; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -49,12 +52,14 @@ GROUP_ROWS = 20_000
 def sizes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """(id, source, skey, size, rank_key): what mixing needs of each document."""
     name = F.col(source).cast("string")
+    # rows without an id are told apart by their texts, so that they are no group of one key
+    nameless = F.concat(F.lit("?"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return spread(docs).select(
         F.col(id_col).alias("id"),
         name.alias("source"),
         F.coalesce(F.concat(F.lit("v"), name), F.lit("n")).alias("skey"),
         F.size(words_of(F.col(text))).cast("long").alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("rank_key"),
+        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), nameless))).alias("rank_key"),
     )
 
 
@@ -187,8 +192,9 @@ def apply_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sourc
     part.  Rows that repeat an id are taken as often as that id on average.
     """
     mixed = mix(docs, text, id_col, source)
-    times = mixed.groupBy(id_col).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
-    times = times.select(F.col(id_col).alias("_id"), F.round("_share").cast("int").alias("_times")).filter("_times > 0")
+    times = mixed.groupBy(id_col).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
+    times = times.select(F.col(id_col).alias("id"), F.round("share").cast("int").alias("times")).filter("times > 0")
     # texts are dealt by id and met there by a table of counts, at every size; they are not sorted
-    rows = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(times.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("id")))
+    return rows.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
