@@ -11,9 +11,8 @@ inner product in double precision on the original vectors.
 
 Every row is indexed and no bucket is capped.  Buckets with many rows or many
 queries are split into blocks that meet pairwise, so that a task holds one block
-of each at a time; what leaves it is the best ``k`` of a query in a block, not
-pairs, and these are cut to the best ``k`` of the task again before they move.  Of
-equal vectors only the ``k + 1`` smallest ids can be among the nearest ``k``, so
+of each at a time; what leaves a task is the best ``k`` of each query that it met,
+not pairs.  Of equal vectors only the ``k + 1`` smallest ids can be among the nearest ``k``, so
 only these are kept (exact, and bounds groups of copies).  Queries that found
 fewer than ``k`` are run once more against all rows, in blocks.
 
@@ -41,7 +40,9 @@ WIDTH = 2.2
 N_PROBES = 10
 SEED = 20240101
 #: Rows of a bucket that meet as many queries in one step.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
+#: Rows (query, minus score, id) that a task gathers before it cuts them to the best of each query.
+HELD_ROWS = 200_000
 ROWS_SQL = "key long, id long, v array<double>"
 
 
@@ -161,6 +162,17 @@ def _ranked(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     )
 
 
+def _cut(found: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The best ``k`` of each query in some results; a pair found twice counts once."""
+    query, minus, ids = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i in range(3))
+    order = np.lexsort((ids, minus, query))
+    query, minus, ids = query[order], minus[order], ids[order]
+    new = np.concatenate(([True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (minus[1:] != minus[:-1])))
+    query, minus, ids = query[new], minus[new], ids[new]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return pa.RecordBatch.from_arrays([pa.array(query[best]), pa.array(minus[best]), pa.array(ids[best])], ["query_id", "minus", "id"])
+
+
 def _meet(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, minus, id) from rows and queries (key, s, r, id, v) of equal (key, s, r)."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -169,8 +181,11 @@ def _meet(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
+        found: list[pa.RecordBatch] = []
+        n_found = 0
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> None:
+            nonlocal n_found
             rows, asks = held
             if rows and asks:
                 # vectors of one length only: the key depends on it, but keys may collide
@@ -182,7 +197,8 @@ def _meet(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         q = np.concatenate([v for _, v in asks if v.shape[1] == dim])
                         out = _ranked(np.concatenate(ids), x, np.concatenate(qs), q, k)
                         if out is not None:
-                            yield out
+                            found.append(out)
+                            n_found += out.num_rows
 
         for batch in batches:
             tags = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)], axis=1)
@@ -193,15 +209,23 @@ def _meet(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for a, b in zip(edge, [*edge[1:], len(tags)]):
                 tag = tuple(tags[a])
                 if tag != now:
-                    yield from done()
+                    done()
                     now, held = tag, ([], [])
+                    if n_found > HELD_ROWS:
+                        cut_rows = _cut(found, k)
+                        found, n_found = [cut_rows], cut_rows.num_rows
+                        if 2 * n_found > HELD_ROWS:
+                            yield cut_rows
+                            found, n_found = [], 0
                 for rows, x in parts_of:
                     lo, hi = np.searchsorted(rows, (a, b))
                     for s in (0, 1):
                         mine = np.arange(lo, hi)[side[rows[lo:hi]] == s]
                         if len(mine):
                             held[s].append((ids[rows[mine]], x[mine]))
-        yield from done()
+        done()
+        if found:
+            yield _cut(found, k)
 
     columns = both.select("key", "s", "r", "side", "id", "v")
     return map_arrow(columns, run, "query_id long, minus double, id long")
