@@ -138,8 +138,11 @@ def _flagstat(spark, o):
 def _update_rg(spark, o):
     c = F.split("value", r"\s+")
     groups = spark.read.text(o.rg_map).select(F.get(c, F.lit(0)).alias("keep"), F.explode(F.slice(c, 2, F.size(c))).alias("rg"))
-    r = text.read_reads(spark, o.sam).withColumn("rg", F.col("tags")["RG"])
-    return reads.merge_read_groups(r, groups).drop("tags")
+    r = reads.merge_read_groups(text.read_reads(spark, o.sam).withColumn("rg", F.col("tags")["RG"]), groups)
+    # the record with its group renamed; all other columns and tags as they are
+    own = F.map_filter("tags", lambda k, _: k != "RG")
+    renamed = r.withColumn("tags", F.when(F.col("rg").isNull(), own).otherwise(F.map_concat(own, F.create_map(F.lit("RG"), F.col("rg")))))
+    return renamed.select("qname", "flag", "chrom", "pos", "rg", sinks.sam_line(renamed.columns).alias("line"))
 
 
 def bases_of(spark, o, cell_tag: str = "CB") -> tuple[DataFrame, DataFrame]:

@@ -88,7 +88,7 @@ def chrom_rank(chrom: Column) -> Column:
 
 def clean_sequence(text: Column) -> Column:
     """Upper case; anything but A, C, G, T becomes A."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "A")
+    return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "A")
 
 
 def reverse_complement(text: Column) -> Column:

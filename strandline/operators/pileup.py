@@ -180,6 +180,22 @@ def call_cells(llks: DataFrame, n_samples: int, doublet_prior: float) -> DataFra
     return out.drop("_all", "_sng")
 
 
+#: Width of the cells in which sums of exponentials are formed; exp of it is far from overflow.
+LSE_STEP = 500.0
+
+
+def grouped_log_sum_exp(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by`` and ``lse``: ln of the sum of exponentials of each group.
+
+    Values are summed map-side relative to the next multiple of ``LSE_STEP`` above
+    them; the few sums of a group are then joined relative to the highest.
+    """
+    base = F.ceil(F.col(value) / LSE_STEP) * LSE_STEP
+    sums = rows.filter(F.col(value).isNotNull()).groupBy(*by, base.alias("_base")).agg(F.sum(F.exp(F.col(value) - base)).alias("_sum"))
+    part = F.col("_base") + F.log("_sum")
+    return sums.groupBy(*by).agg(log_sum_exp(F.collect_list(part)).alias("lse"))
+
+
 def best_next(scores: DataFrame, by: list[str], item: str, score: str) -> DataFrame:
     """Best and second best item of each group and the margin; ties to the smaller item."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), item)

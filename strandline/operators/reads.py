@@ -124,6 +124,38 @@ def procap_ends(reads: DataFrame) -> DataFrame:
     )
 
 
+def local_peaks(ends: DataFrame, reach: int) -> DataFrame:
+    """Ends (chrom, pos, n) that no other within ``reach`` exceeds, with ``w``: counts around weighted by nearness, reach + 1 - distance.
+
+    Each end counts at every place around it, so an aggregate of the spread
+    counts takes the place of a range join.
+    """
+    spread = ends.select("chrom", "n", "pos", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)).alias("at"))
+    near = spread.groupBy("chrom", F.col("at").alias("pos")).agg(
+        F.sum(F.col("n") * (reach + 1 - F.abs(F.col("pos") - F.col("at")))).cast("long").alias("w"), F.max("n").alias("top")
+    )
+    return ends.join(near, ["chrom", "pos"]).filter("n = top").select("chrom", "pos", "n", "w")
+
+
+def pair_peaks(plus: DataFrame, minus: DataFrame, reach: int) -> DataFrame:
+    """Pairs of peaks (chrom, pos, w) on opposite strands, minus before plus within ``reach``: each is the other's strongest partner.
+
+    Ties go to the nearer, then to the smaller position.
+    """
+    a = plus.select("chrom", F.col("pos").alias("plus"), F.col("w").alias("plus_w"), F.explode(F.sequence(F.floor((F.col("pos") - reach) / reach), F.floor(F.col("pos") / reach))).alias("_bin"))
+    b = minus.select("chrom", F.col("pos").alias("minus"), F.col("w").alias("minus_w"), F.floor(F.col("pos") / reach).alias("_bin"))
+    met = a.join(b, ["chrom", "_bin"]).filter((F.col("minus") <= F.col("plus")) & (F.col("plus") - F.col("minus") <= reach)).drop("_bin")
+    far = F.col("plus") - F.col("minus")
+    of_plus = met.groupBy("chrom", "plus").agg(F.min_by("minus", F.struct((-F.col("minus_w")).alias("w"), far.alias("d"), "minus")).alias("minus"))
+    of_minus = met.groupBy("chrom", "minus").agg(F.min_by("plus", F.struct((-F.col("plus_w")).alias("w"), far.alias("d"), "plus")).alias("plus"))
+    return of_plus.join(of_minus, ["chrom", "plus", "minus"])
+
+
+def merge_mates(one: DataFrame, two: DataFrame, order: list[str]) -> DataFrame:
+    """Reads of two files in one order, with ``mate`` 1 or 2."""
+    return one.withColumn("mate", F.lit(1)).unionByName(two.withColumn("mate", F.lit(2))).orderBy(*order, "mate")
+
+
 def merge_read_groups(reads: DataFrame, groups: DataFrame) -> DataFrame:
     """Read groups renamed by (rg, keep); others stay."""
     return reads.join(groups, "rg", "left").withColumn("rg", F.coalesce("keep", "rg")).drop("keep")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,70 @@ def site_filter(
     return sites.filter(keep if max_ac is None else keep & (F.col("ac") <= max_ac))
 
 
+def plain_site_filter(
+    sites: DataFrame, min_qual: float | None = None, min_alleles: int = 0, max_alleles: int | None = None, snps_only: bool = False,
+    filters: list[str] | None = None,
+) -> DataFrame:
+    """Bounds that need no genotypes: quality, numbers of alleles, SNPs only, and any of some FILTER names."""
+    n = F.size("alts") + 1
+    keep = n >= min_alleles
+    if max_alleles is not None:
+        keep = keep & (n <= max_alleles)
+    if min_qual is not None:
+        keep = keep & (F.col("qual") >= min_qual)
+    if snps_only:
+        keep = keep & (F.length("ref") == 1) & F.forall("alts", lambda a: a.rlike("^[ACGTNacgtn]$"))
+    if filters:
+        keep = keep & F.arrays_overlap("filters", F.array(*[F.lit(f) for f in filters]))
+    return sites.filter(keep)
+
+
+SITE_KEY = ["chrom", "pos", "ref", "alts"]
+
+
+def update_info(sites: DataFrame, other: DataFrame | None = None, remove: list[str] | None = None, replace: list[str] | None = None, add: list[str] | None = None) -> DataFrame:
+    """``sites`` with INFO fields removed, replaced where ``other`` has them at the same variant, and added from it."""
+    out = sites.withColumn("info", F.map_filter("info", lambda k, _: ~k.isin(*(remove or [""]))))
+    if other is None:
+        return out
+    side = other.select(*SITE_KEY, F.col("info").alias("_other"))
+    joined = out.join(side, SITE_KEY, "left")
+    none = F.create_map().cast("map<string,string>")
+    taken = F.map_filter(F.coalesce("_other", none), lambda k, _: k.isin(*(replace or [""])) | k.isin(*(add or [""])))
+    # fields to add give way to those that are there, fields to replace do not
+    taken = F.map_filter(taken, lambda k, _: k.isin(*(replace or [""])) | ~F.map_contains_key(F.col("info"), k))
+    own = F.map_filter("info", lambda k, _: ~F.map_contains_key(taken, k))
+    return joined.withColumn("info", F.map_concat(own, taken)).select(*sites.columns)
+
+
+def canonical_id(old: Column) -> Column:
+    """A variant's name with colons and 1-based position, from one with underscores and 0-based position; others stay."""
+    part = r"^(.+)_([0-9]+)_([^_]+)_([^_]+)$"
+    pos = (F.regexp_extract(old, part, 2).try_cast("int") + 1).cast("string")
+    new = F.concat_ws(":", F.regexp_extract(old, part, 1), pos, F.regexp_extract(old, part, 3), F.regexp_extract(old, part, 4))
+    return F.when(old.rlike(part), new).otherwise(old)
+
+
+def project_samples(panel: DataFrame, samples: DataFrame) -> DataFrame:
+    """Genotypes of the wanted samples."""
+    return panel.join(samples.select("sample").distinct(), "sample", "left_semi")
+
+
+def zip_sites(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of two tables site by site; an error if a site of one is missing in the other."""
+    both = left.join(right, keys, "inner")
+    counts = [d.count() for d in (left, right, both)]
+    if len(set(counts)) > 1:
+        raise ValueError(f"the sites differ: {counts[0]} and {counts[1]} rows, {counts[2]} in common")
+    return both
+
+
+def thin(rows: DataFrame, share: float, *keys: str, seed: int = 1) -> DataFrame:
+    """A random ``share`` of rows, decided by a hash of their keys, so that reruns and retries agree."""
+    unit = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / (1 << 30)
+    return rows.filter(unit < share)
+
+
 def ibs_matrix(queries: DataFrame, references: DataFrame) -> DataFrame:
     """Nine-cell genotype table and concordance of every query and reference sample that share sites."""
     q = queries.filter("code > 0").select(F.col("sample").alias("list_id"), "snp", F.col("code").alias("a"))
@@ -268,11 +334,36 @@ def depth_ratio(sites: DataFrame, max_depth: int = 100) -> DataFrame:
     ).withColumn("relative", F.col("depth") / F.col("auto_depth"))
 
 
-def gram_matrix(vectors: DataFrame, by: str, index: str, value: str) -> DataFrame:
-    """Inner products of all pairs of rows of a long matrix (by, index, value): X X', joined on the index."""
-    a = vectors.select(F.col(by).alias("i"), F.col(index).alias("k"), F.col(value).alias("x"))
-    b = vectors.select(F.col(by).alias("j"), F.col(index).alias("k"), F.col(value).alias("y"))
-    return a.join(b, "k").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+#: Vectors of one block of a Gram matrix.
+GRAM_BLOCK = 512
+
+
+def gram_matrix(vectors: DataFrame, by: str, value: str) -> DataFrame:
+    """(i, j, dot): inner products of all pairs i <= j of rows (by, value array), in blocks.
+
+    Rows are dealt over blocks by a hash; each pair of blocks is one matrix
+    product, so a row moves once for each block, not once for each partner.
+    """
+    n = vectors.count()
+    blocks = max(1, -(-n // GRAM_BLOCK))
+    block = F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int")
+    rows = vectors.select(F.col(by).alias("id"), F.col(value).cast("array<double>").alias("v"), block.alias("b"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("id", "v", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b")
+    kind = vectors.schema[by].dataType.simpleString()
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        one, two = rows[rows["b"] == p], rows[rows["b"] == q]
+        none = pd.DataFrame({"i": one["id"].iloc[:0], "j": one["id"].iloc[:0], "dot": []})
+        if not len(one) or not len(two):
+            return none
+        dots = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
+        a, b = np.repeat(one["id"].to_numpy(), len(two)), np.tile(two["id"].to_numpy(), len(one))
+        keep = a <= b if p == q else np.ones(len(a), bool)
+        return pd.DataFrame({"i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "dot": dots.ravel()[keep]})
+
+    return met.groupBy("p", "q").applyInPandas(product, f"i {kind}, j {kind}, dot double")
 
 
 def union_samples(*tables: DataFrame) -> DataFrame:

@@ -17,28 +17,9 @@ from strandline.operators import reads as rd
 from strandline.operators import sequence as sq
 from strandline.operators import variants as vr
 from strandline.plans import views
+from strandline.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from strandline.plans.views import INTERVALS_SQL, PANEL_SQL, READS_SQL, SNPS_SQL
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
-
-
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -110,13 +91,13 @@ def ibs_matrix(spark, d):
 
 
 @query(
-    f"WITH {PANEL_SQL}, p AS (SELECT * FROM panel WHERE snp < 4), g AS (SELECT snp FROM p GROUP BY snp HAVING count(*) FILTER (WHERE code = 1) >= 1 "
+    f"WITH {PANEL_SQL}, p AS (SELECT * FROM panel), g AS (SELECT snp FROM p GROUP BY snp HAVING count(*) FILTER (WHERE code = 1) >= 1 "
     "AND count(*) FILTER (WHERE code = 3) >= 1), s AS (SELECT DISTINCT sample FROM p) SELECT a.sample id1, b.sample id2 FROM s a JOIN s b "
     "ON a.sample < b.sample WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y USING (snp) JOIN g USING (snp) WHERE x.sample = a.sample AND "
     "y.sample = b.sample AND ((x.code = 1 AND y.code = 3) OR (x.code = 3 AND y.code = 1)))"
 )
 def ibs0_free_pairs(spark, d):
-    return vr.ibs0_free_pairs(views.panel(spark, d).filter("snp < 4"))
+    return vr.ibs0_free_pairs(views.panel(spark, d))
 
 
 _TRIO = ", ".join(
@@ -282,12 +263,10 @@ def gc_depth_norm(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT vec_id i, unnest(embedding) x, generate_subscripts(embedding, 1) k FROM embeddings WHERE vec_id < 40) "
-    "SELECT a.i, b.i j, round(sum(a.x::DOUBLE * b.x::DOUBLE), 6) dot FROM e a JOIN e b USING (k) WHERE a.i <= b.i GROUP BY 1, 2"
+    "SELECT a.vec_id i, b.vec_id j, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) dot FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id"
 )
 def gram_matrix(spark, d):
-    long = _read(spark, d, "embeddings").filter("vec_id < 40").select("vec_id", F.posexplode("embedding").alias("k", "x"))
-    return rounded(vr.gram_matrix(long.withColumn("x", F.col("x").cast("double")), "vec_id", "k", "x"), "dot")
+    return rounded(vr.gram_matrix(_read(spark, d, "embeddings"), "vec_id", "embedding"), "dot")
 
 
 # ---------------------------------------------------------------- intervals
@@ -299,7 +278,7 @@ def gram_matrix(spark, d):
     'SELECT chrom, min(beg) beg, max("end") "end" FROM g GROUP BY chrom, k'
 )
 def interval_merge(spark, d):
-    return iv.merge_intervals(views.intervals(spark, d))
+    return iv.merge_intervals(views.intervals(spark, d).drop("target"))
 
 
 @query(
@@ -311,21 +290,22 @@ def interval_total_length(spark, d):
 
 @query(
     f'WITH {INTERVALS_SQL} SELECT a.id, b.id id2, CAST(least(a."end", b."end") - greatest(a.beg, b.beg) + 1 AS INT) bases FROM ivl a JOIN ivl b '
-    'ON a.chrom = b.chrom AND a.beg <= b."end" AND b.beg <= a."end" WHERE a.id % 2 = 0 AND b.id % 2 = 1'
+    'ON a.chrom = b.chrom AND a.beg <= b."end" AND b.beg <= a."end" AND a.id < b.id'
 )
 def interval_overlap_join(spark, d):
     v = views.intervals(spark, d)
-    pairs = iv.overlap_join(v.filter("id % 2 = 0"), v.filter("id % 2 = 1").withColumnRenamed("id", "id2"), ["chrom"], 32)
+    v = v.drop("target")
+    pairs = iv.overlap_join(v, v.withColumnRenamed("id", "id2"), ["chrom"], 32).filter("id < id2")
     return pairs.select("id", "id2", iv.overlap_bases(F.col("beg"), F.col("end"), F.col("beg2"), F.col("end2")).alias("bases"))
 
 
 @query(
-    f'WITH {INTERVALS_SQL} SELECT id, chrom, beg, "end" FROM ivl a WHERE id % 2 = 0 AND EXISTS (SELECT 1 FROM ivl b WHERE b.chrom = a.chrom AND '
-    'b.id % 11 = 1 AND a.beg <= b."end" AND b.beg <= a."end")'
+    f'WITH {INTERVALS_SQL} SELECT id, chrom, beg, "end" FROM ivl a WHERE NOT target AND EXISTS (SELECT 1 FROM ivl b WHERE b.chrom = a.chrom AND '
+    'b.target AND a.beg <= b."end" AND b.beg <= a."end")'
 )
 def interval_semi_join(spark, d):
     v = views.intervals(spark, d)
-    return iv.overlapping(v.filter("id % 2 = 0"), v.filter("id % 11 = 1"), ["chrom"], 32)
+    return iv.overlapping(v.filter("not target").drop("target"), v.filter("target"), ["chrom"], 32)
 
 
 # ---------------------------------------------------------------- reads and cells
@@ -442,7 +422,7 @@ def topk_best_next(spark, d):
 
 @query(f"WITH {READS_SQL} SELECT cell, round(ln(sum(exp(-bq/10.0))), 6) lse FROM reads GROUP BY cell")
 def log_sum_exp(spark, d):
-    return views.reads(spark, d).groupBy("cell").agg(F.round(scalar.log_sum_exp(F.collect_list(-F.col("bq") / F.lit(10.0))), 6).alias("lse"))
+    return rounded(pl.grouped_log_sum_exp(views.reads(spark, d).withColumn("x", -F.col("bq") / F.lit(10.0)), ["cell"], "x"), "lse")
 
 
 _DS = [f"CASE WHEN code = {g + 1} THEN 1.0 ELSE 0.0 END" for g in range(3)]
@@ -573,12 +553,12 @@ def site_statistics(spark, d):
 
 @query(
     f'WITH {INTERVALS_SQL} SELECT DISTINCT CAST(a.id % 50 AS INT) cell, CAST(a.id % 997 AS INT) umi, CAST(b.id % 200 AS INT) gene FROM ivl a JOIN ivl b ON a.chrom = b.chrom '
-    'AND a.id % 2 = b.id // 3 % 2 AND a.beg <= b."end" AND b.beg <= a."end" WHERE a.id % 3 = 0 AND b.id % 3 = 1'
+    'AND a.id % 2 = b.id // 3 % 2 AND a.beg <= b."end" AND b.beg <= a."end"'
 )
 def gene_hits(spark, d):
     v = views.intervals(spark, d)
-    frag = v.filter("id % 3 = 0").selectExpr("cast(id % 50 as int) as cell", "cast(id % 997 as int) as umi", "chrom", "id % 2 as strand", "beg", "end")
-    genes = v.filter("id % 3 = 1").selectExpr("'exon' as type", "chrom", "id div 3 % 2 as strand", "beg", "end", "cast(id % 200 as int) as gene_id")
+    frag = v.selectExpr("cast(id % 50 as int) as cell", "cast(id % 997 as int) as umi", "chrom", "id % 2 as strand", "beg", "end")
+    genes = v.selectExpr("'exon' as type", "chrom", "id div 3 % 2 as strand", "beg", "end", "cast(id % 200 as int) as gene_id")
     return gt.gene_hits(frag, genes, "exon", 32)
 
 
@@ -699,3 +679,8 @@ def delta_scores(spark, d):
     train = ["TTGACGTCAATTGACGTCAA", "ATTGACGTCAACTGACGTCA", "CCCGGGTTTCCCGGGTTTCC", "GGGCCCTTTGGGCCCTTTGG"]
     model = kernels.train_svm(train, [1, 1, 0, 0], length=8, k=5, most=3)
     return kernels.scan_texts(_read(spark, d, "documents"), model)
+
+
+# ---------------------------------------------------------------- more, by subject; they register themselves
+
+from strandline.plans import formats, numerics  # noqa: E402, F401

@@ -42,12 +42,13 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed intervals: id, chrom, beg, end."""
+    """Closed intervals: id, chrom, beg, end, and whether they are targets."""
     return _table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as id",
         "cast(o_custkey % 22 as int) as chrom",
         "datediff(date(o_orderdate), date'1995-01-01') as beg",
         "cast(datediff(date(o_orderdate), date'1995-01-01') + o_orderkey % 30 as int) as end",
+        "o_orderpriority = '1-URGENT' as target",
     )
 
 
@@ -68,4 +69,4 @@ PANEL_SQL = """panel AS (SELECT CAST(o_custkey % 8 AS INT) sample, CAST(o_orderk
  CAST(sum(o_custkey // 8) % 4 AS INT) code, CAST(count(*) AS INT) dp, CAST(sum(o_orderkey) % 60 AS INT) gq FROM orders GROUP BY ALL)"""
 INTERVALS_SQL = """ivl AS (SELECT o_orderkey id, CAST(o_custkey % 22 AS INT) chrom,
  CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) beg,
- CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 30 AS INT) "end" FROM orders)"""
+ CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 30 AS INT) "end", o_orderpriority = '1-URGENT' target FROM orders)"""

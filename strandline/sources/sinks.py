@@ -46,12 +46,18 @@ def write_tsv(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     rows.write.mode("overwrite").csv(path, sep="\t", header=True, compression=compression, nullValue="NA")
 
 
+def sam_line(columns: list[str]):
+    """A record as a line, from the columns of the text reader; mates and tag types are written where they are known."""
+    has = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in columns else F.lit(other)
+    kinds = F.col("tag_types") if "tag_types" in columns else F.create_map().cast("map<string,string>")
+    guessed = lambda e: F.when(e["value"].rlike("^-?[0-9]+$"), "i").otherwise("Z")
+    tags = F.transform(F.map_entries("tags"), lambda e: F.concat_ws(":", e["key"], F.coalesce(kinds[e["key"]], guessed(e)), e["value"]))
+    fixed = [has("qname", "*"), has("flag", "0"), has("chrom", "*"), has("pos", "0"), has("mapq", "255"), has("cigar", "*"), has("rnext", "*"), has("pnext", "0"), has("tlen", "0")]
+    return F.concat_ws("\t", *fixed, has("seq", "*"), has("qual", "*"), tags)
+
+
 def write_sam(reads: DataFrame, path: str, header: list[str]) -> None:
-    tags = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.when(e["value"].rlike("^-?[0-9]+$"), ":i:").otherwise(":Z:"), e["value"]))
-    star = lambda c: F.coalesce(F.col(c), F.lit("*"))
-    cols = ["qname", "flag", star("chrom"), "pos", "mapq", star("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), star("seq"), star("qual")]
-    cols = [F.col(c).cast("string") if isinstance(c, str) else c for c in cols]
-    body = reads.select(chrom_rank(F.col("chrom")).alias("rank"), "pos", F.concat_ws("\t", *cols, F.array_join(tags, "\t")).alias("value"))
+    body = reads.select(chrom_rank(F.col("chrom")).alias("rank"), "pos", sam_line(reads.columns).alias("value"))
     head = reads.sparkSession.createDataFrame([(i, x) for i, x in enumerate(header)], "pos int, value string")
     head = head.select(F.struct(F.lit(-1).alias("n"), F.lit("").alias("name")).alias("rank"), "pos", "value")
     head.unionByName(body).orderBy("rank", "pos").select("value").write.mode("overwrite").text(path)

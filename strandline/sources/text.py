@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import attribute
+from strandline.operators.intervals import merge_intervals
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -20,6 +21,12 @@ def _missing(c: Column) -> Column:
     return F.when((c != ".") & (c != ""), c)
 
 
+def first_entries(entries: Column) -> Column:
+    """Map of an array of (key, value) structs; of a repeated key the first counts."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+
+
 def vcf_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(kind, id, number, type, description) of the declared fields."""
     meta = _lines(spark, path).filter(F.col("value").startswith("##") & F.contains("value", F.lit("=<ID=")))
@@ -43,7 +50,7 @@ def _vcf_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _info(text: Column) -> Column:
     pairs = F.transform(F.filter(F.split(text, ";"), lambda x: (x != "") & (x != ".")), lambda x: F.split(x, "=", 2))
-    return F.map_from_entries(
+    return first_entries(
         F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("k"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("v")))
     )
 
@@ -82,14 +89,18 @@ def read_genotypes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_reads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """SAM records: qname, flag, chrom, pos, mapq, cigar, seq, qual, tags map."""
+    """SAM records: all eleven columns, and the tags as maps of name to value and of name to type."""
     body = _lines(spark, path).filter(~F.col("value").rlike("^@[A-Z]{2}\t") & (F.length("value") > 0)).select(F.split("value", "\t").alias("c"))
     c = lambda i: F.get("c", F.lit(i))
     tags = F.transform(F.slice("c", 12, F.greatest(F.size("c") - 11, F.lit(0))), lambda t: F.split(t, ":", 3))
     return body.filter(F.size("c") >= 11).select(
         c(0).alias("qname"), c(1).try_cast("int").alias("flag"), _missing_star(c(2)).alias("chrom"), c(3).try_cast("int").alias("pos"),
-        c(4).try_cast("int").alias("mapq"), _missing_star(c(5)).alias("cigar"), _missing_star(c(9)).alias("seq"), _missing_star(c(10)).alias("qual"),
-        F.map_from_entries(F.transform(tags, lambda t: F.struct(F.get(t, F.lit(0)), F.get(t, F.lit(2))))).alias("tags"),
+        c(4).try_cast("int").alias("mapq"), _missing_star(c(5)).alias("cigar"), _missing_star(c(6)).alias("rnext"), c(7).try_cast("int").alias("pnext"),
+        c(8).try_cast("int").alias("tlen"), _missing_star(c(9)).alias("seq"), _missing_star(c(10)).alias("qual"),
+        *[
+            first_entries(F.transform(tags, lambda t: F.struct(F.get(t, F.lit(0)).alias("k"), F.get(t, F.lit(i)).alias("v")))).alias(name)
+            for name, i in (("tags", 2), ("tag_types", 1))
+        ],
     )
 
 
@@ -215,21 +226,21 @@ def attach_genotypes(snps: DataFrame, genotypes: DataFrame) -> DataFrame:
 
 def read_matrix(spark: SparkSession, folder: str, matrix: str = "matrix.mtx", barcodes: str = "barcodes.tsv", genes: str = "genes.tsv"):
     """(counts (gene, cell, umis), barcodes (cell, barcode), genes (gene, gene_id, symbol)); indices from 1."""
-    rows = spark.read.text(f"{folder}/{matrix}").filter(~F.col("value").startswith("%"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(f"{folder}/{matrix}").select("value", place.alias("place")).filter(~F.col("value").startswith("%"))
     c = F.split(F.trim("value"), r"\s+")
     at = lambda i: F.get(c, F.lit(i)).try_cast("int")
-    # the size line comes first in the file; its offset within the file is the least
-    size = rows.select(at(0).alias("genes"), at(1).alias("cells"), at(2).alias("entries")).first()
+    first = rows.agg(F.min("place")).first()[0]  # the size line comes before the entries
+    if first is not None:
+        rows = rows.filter((F.col("place.block") != first["block"]) | (F.col("place.line") != first["line"]))
     counts = rows.select(at(0).alias("gene"), at(1).alias("cell"), at(2).alias("umis"))
-    head = counts.filter((F.col("gene") == size["genes"]) & (F.col("cell") == size["cells"]) & (F.col("umis") == size["entries"]))
-    counts = counts.exceptAll(head.limit(1))
     return counts, numbered(spark, f"{folder}/{barcodes}", ["barcode"], "cell"), numbered(spark, f"{folder}/{genes}", ["gene_id", "symbol"], "gene")
 
 
 def numbered(spark: SparkSession, path: str, names: list[str], index: str) -> DataFrame:
     """Lines of a side file with their number from 1 (the order of the file)."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_o"))
+    rows = spark.read.text(path).select("value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_o"))
     rows = rows.withColumn(index, F.row_number().over(Window.orderBy("_o")))
     return rows.select(index, *[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
@@ -279,10 +290,18 @@ def chunk_paths(pattern: str, chunks: list[tuple[str, int, int]]) -> list[str]:
 
 
 def in_regions(rows: DataFrame, regions: DataFrame, pos_only: bool = False, width: int = 100_000) -> DataFrame:
-    """Rows (chrom, pos, ref) in any region; unless ``pos_only``, long alleles that reach into one count too."""
-    reach = F.col("pos") if pos_only else F.col("pos") + F.length("ref") - 1
-    spans = regions.select("chrom", F.col("beg").alias("_b"), F.col("end").alias("_e"))
+    """Rows (chrom, pos, ref) in any region; unless ``pos_only``, long alleles that reach into one count too.
+
+    Regions are merged first.  A row that reaches over several is kept where it
+    meets the first of them, in the bin where the two first touch: once.
+    """
+    order = Window.partitionBy("chrom").orderBy("beg")
+    spans = merge_intervals(regions.select("chrom", "beg", "end")).withColumn("_before", F.lag("end").over(order))
+    spans = spans.select("chrom", F.col("beg").alias("_b"), F.col("end").alias("_e"), "_before")
     spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_b") / width), F.floor(F.col("_e") / width))))
+    reach = F.col("pos") if pos_only else F.col("pos") + F.length("ref") - 1
     keyed = rows.withColumn("_r", reach).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor(F.col("_r") / width))))
-    hit = keyed.join(spans, ["chrom", "_bin"]).filter((F.col("pos") <= F.col("_e")) & (F.col("_b") <= F.col("_r")))
-    return hit.select(F.struct(*rows.columns).alias("_row")).distinct().select("_row.*")
+    first = F.floor(F.greatest("pos", "_b") / width)
+    hit = (F.col("pos") <= F.col("_e")) & (F.col("_b") <= F.col("_r")) & (F.col("_bin") == first)
+    alone = F.col("_before").isNull() | (F.col("_before") < F.col("pos"))
+    return keyed.join(spans, ["chrom", "_bin"]).filter(hit & alone).select(*[F.col(f"`{c}`") for c in rows.columns])
