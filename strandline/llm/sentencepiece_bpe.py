@@ -6,12 +6,16 @@ token if it is compatible with the last token of the prefix before it: that is,
 if BPE over the two joined strings gives back just these two.  One pass fills
 the table of last tokens; ids are then read off backwards from the end.
 
+Compatibility.  BPE over two joined tokens takes, in turn, the better next merge
+of the two until a merge over the border is better than both.  How a token comes
+together on its own (its steps: score of the next merge, first and last part) is
+worked out once for each token, so a test walks two short lists of steps.
+
 Two facts of the model, checked when it is loaded, make the pass cheap: no piece
 holds the space mark after another character, and some characters (the line
 break among them) stand in no longer piece.  No merge can then cross such a
 place, so texts are encoded as independent chunks whose ids are remembered in a
-bounded table, emptied at the end of a task.  A model without these properties
-is encoded text by text.
+bounded table.  A model without these properties is encoded text by text.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
 repeated rows are encoded alike; an empty table gives an empty result.
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from strandline.llm._shared import map_arrow, spread
 
 SPACE_MARK = "▁"
+NEVER = float("-inf")
 #: Entries of each of the two generations of the memo tables; all full ones take some 60 MB of a worker.
 CHUNK_ENTRIES = 65_536
 PAIR_ENTRIES = 131_072
@@ -85,9 +90,6 @@ class Memo:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
 
 class PrefixTableEncoder:
     """Encoder of one BPE model; ids as the sentencepiece library gives them."""
@@ -133,7 +135,9 @@ class PrefixTableEncoder:
         automaton.make_automaton()
         self.automaton = automaton
         self.pairs = Memo(PAIR_ENTRIES)
+        self.walked: dict[int, list[tuple[float, str, str]] | None] = {}
         self.memo = Memo(CHUNK_ENTRIES)
+        self.shown = [str(i) for i in range(sp.get_piece_size())]
         m = re.escape(SPACE_MARK)
         splits = not any(re.search(f"[^{m}]{m}", p) for p in self.ids)
         lone = "\n" if "\n" not in inside else ""
@@ -154,14 +158,58 @@ class PrefixTableEncoder:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
+    def steps(self, token: int) -> list[tuple[float, str, str]] | None:
+        """States of BPE over a token alone: (score of the next merge, first part, last part); None if it ends in other tokens."""
+        known = self.walked.get(token, False)
+        if known is not False:
+            return known
+        parts = list(self.pieces[token])
+        score = self.score
+        out: list[tuple[float, str, str]] | None = []
+        while True:
+            best, where = NEVER, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and s > best:
+                    best, where = s, i
+            out.append((best, parts[0], parts[-1]))
+            if where < 0:
+                break
+            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        if len(parts) > 1:
+            out = None
+        self.walked[token] = out
+        return out
+
+    def border_holds(self, left: int, right: int) -> bool:
+        """Whether BPE over two joined tokens gives back these two."""
+        a, b = self.steps(left), self.steps(right)
+        if a is None or b is None:
+            return False
+        score = self.score
+        i = j = 0
+        while True:
+            next_a, _, last = a[i]
+            next_b, first, _ = b[j]
+            over = score.get(last + first)
+            # of equal scores the leftmost merge comes first: left of the border, the border, right of it
+            if over is not None and over > next_a and over >= next_b:
+                return False
+            if next_a >= next_b:
+                if next_a == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE keeps the border between two tokens; left is -1 at the start."""
+        if left < 0:
+            return self.steps(right) is not None
         key = (left << 20) | right
         known = self.pairs.get(key)
         if known is None:
-            b = self.pieces[right]
-            want = [b] if left < 0 else [self.pieces[left], b]
-            known = self.merge("".join(want)) == want
+            known = self.border_holds(left, right)
             self.pairs.put(key, known)
         return known
 
@@ -171,17 +219,25 @@ class PrefixTableEncoder:
         step = [1] * (size + 1)
         last[0] = -1
         done = 0
-        compatible = self.compatible
+        pairs = self.pairs
+        seen = pairs.young
         for end, (length, token) in self.automaton.iter(chunk):
             end += 1
+            if last[end] != -2:
+                continue
             while done < end - 1:  # places where no token ends: characters in no piece
                 done += 1
                 if last[done] == -2:
                     last[done] = -3
-            if last[end] != -2:
-                continue
             before = last[end - length]
-            if compatible(-1 if before == -3 else before, token):
+            if before < 0:
+                holds = self.steps(token) is not None
+            else:
+                holds = seen.get(before << 20 | token)
+                if holds is None:
+                    holds = self.compatible(before, token)
+                    seen = pairs.young
+            if holds:
                 last[end], step[end] = token, length
                 done = end
         for i in range(done + 1, size + 1):
@@ -206,16 +262,20 @@ class PrefixTableEncoder:
         marked = text.replace(" ", SPACE_MARK)
         if self.dummy_prefix:
             marked = SPACE_MARK + marked
-        memo = self.memo
+        memo, shown = self.memo, self.shown
+        seen = memo.young
         ids: list[int] = []
         said: list[str] = []
         for chunk in self.chunks.findall(marked):
-            entry = memo.get(chunk)
+            entry = seen.get(chunk)
             if entry is None:
-                found = self.encode_chunk(chunk)
-                entry = (tuple(found), ",".join(map(str, found)))
-                if len(chunk) <= MEMO_CHARS:
-                    memo.put(chunk, entry)
+                entry = memo.get(chunk)
+                if entry is None:
+                    found = self.encode_chunk(chunk)
+                    entry = (tuple(found), ",".join([shown[i] for i in found]))
+                    if len(chunk) <= MEMO_CHARS:
+                        memo.put(chunk, entry)
+                seen = memo.young
             ids += entry[0]
             said.append(entry[1])
         return ids, ",".join(said)
@@ -223,11 +283,6 @@ class PrefixTableEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
-    def forget(self) -> None:
-        """Empty the memo tables: idle workers are kept by Spark, and should hold the model alone."""
-        self.pairs.clear()
-        self.memo.clear()
-
 
 _LOADED: dict[str, PrefixTableEncoder] = {}
 
@@ -251,12 +306,6 @@ def encode(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        try:
-            yield from encoded(enc, batches)
-        finally:
-            enc.forget()
-
-    def encoded(enc: PrefixTableEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         for batch in batches:
             counts, hashes, decoded, all_ids = [], [], [], array("i")
