@@ -3,7 +3,9 @@
 Operands: numbers, strings in quotes, site columns (CHROM, POS, ID, REF, ALT, QUAL, FILTER, TYPE), computed ones
 (N_ALT, N_SAMPLES, N_MISSING, F_MISSING, AC, AN, AF, MAC, MAF, %ILEN), INFO fields and per-sample FORMAT fields.
 Comparisons: = == != < <= > >= and ~ !~ (regular expression); arithmetic + - * /; functions MAX MIN AVG MEAN MEDIAN
-STDEV SUM COUNT ABS STRLEN, their per-sample forms SMPL_* and s*, N_PASS, F_PASS, BINOM, PHRED.
+STDEV SUM COUNT ABS STRLEN, their per-sample forms SMPL_* and s*, N_PASS, F_PASS, BINOM, PHRED, and those that a caller
+gives.  Vectors are indexed by one place, a range or a list: AD[0], AF[1-], AF[0,2].  @name stands for the lines of a
+file, compared as a list of strings.  TYPE compares exactly by =, and by ~ if any allele has the type.
 
 ``&`` and ``|`` combine per-sample conditions within a sample, ``&&`` and ``||`` across samples.  A vector compares
 existentially.  On missing values ``=`` holds only if both sides are missing, ``!=`` only if one is, others never.
@@ -22,7 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"|'[^']*')|(?P<op>&&|\|\||!~|!=|<=|>=|==|[-&|<>=~+*/(),\[\]])"""
+    r"""\s*(?:(?P<file>@[^\s()&|]+)|(?P<index>\[[\d,*-]+\])|(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"|'[^']*')|(?P<op>&&|\|\||!~|!=|<=|>=|==|[-&|<>=~+*/(),\[\]])"""
     r"""|(?P<name>%?[A-Za-z_][\w.]*(?:/[A-Za-z_][\w.]*)?))"""
 )
 SITE = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "TYPE", "%ILEN", "N_ALT", "N_SAMPLES", "N_MISSING", "F_MISSING", "AC", "AN", "AF", "MAC", "MAF")
@@ -66,9 +68,10 @@ def tokenize(text: str) -> list[tuple[str, str]]:
 class Parser:
     """Recursive descent: or, and, comparison, sum, product, atom."""
 
-    def __init__(self, text: str, info: set[str], formats: set[str]):
+    def __init__(self, text: str, info: set[str], formats: set[str], strings: set[str], functions: dict, lines: Callable[[str], list[str]]):
         self.tokens, self.at = tokenize(text), 0
-        self.info, self.formats = info, formats
+        self.info, self.formats, self.strings = info, formats, strings
+        self.functions, self.lines = functions, lines
 
     def peek(self) -> str | None:
         return self.tokens[self.at][1] if self.at < len(self.tokens) and self.tokens[self.at][0] == "op" else None
@@ -139,13 +142,14 @@ class Parser:
             if self.peek() == "(":
                 return self.call(word)
             value = self.field(word)
-            if self.take("["):
-                index = self.tokens[self.at][1]
+            if self.at < len(self.tokens) and self.tokens[self.at][0] == "index":
+                wanted = _places(self.tokens[self.at][1][1:-1])
                 self.at += 1
-                self.need("]")
-                i = int(index)
-                return Value(lambda s: F.filter(F.array(F.get(value.get(s), F.lit(i))), lambda x: x.isNotNull()), value.per_sample, value.text)
+                return Value(lambda s: F.filter(F.filter(value.get(s), lambda x, i: wanted(i)), lambda x: x.isNotNull()), value.per_sample, value.text)
             return value
+        if kind == "file":
+            listed = self.lines(word[1:])
+            return Value(lambda s: F.array(*[F.lit(x) for x in listed]).cast("array<string>"), False, True)
         raise ValueError(f"unexpected {word!r}")
 
     def call(self, word: str):
@@ -161,6 +165,9 @@ class Parser:
         if name == "BINOM":
             counts = first if second is None else Value(lambda s: F.concat(first.get(s), second.get(s)), first.per_sample or second.per_sample, False)
             return Value(lambda s: _binomial(counts.get(s)), counts.per_sample, False)
+        if word in self.functions:
+            own = self.functions[word]
+            return Value(lambda s: F.transform(first.get(s), lambda x: own(x)), first.per_sample, False)
         per = re.fullmatch(r"(?:SMPL_|s(?=[A-Z]))(\w+)", word)
         base = (per[1] if per else word).upper()
         if base == "STRLEN":
@@ -182,8 +189,12 @@ class Parser:
         if where in ("FORMAT", "FMT") or (not where and name in self.formats and name not in self.info) or (not where and name == "GT"):
             if name == "GT":
                 return Value(lambda s: F.array(s["GT"]), True, True)
+            if name in self.strings:
+                return Value(lambda s: _strings(s[name]), True, True)
             return Value(lambda s: _numbers(s[name]), True, False)
         if where in ("INFO", "") and (name in self.info or where == "INFO"):
+            if name in self.strings:
+                return Value(lambda s: _strings(F.col("info")[name]), False, True)
             return Value(lambda s: _numbers(F.col("info")[name]), False, False)
         raise ValueError(f"no field {word}")
 
@@ -202,6 +213,32 @@ def _numbers(text: Column) -> Column:
     return F.filter(F.coalesce(parts, F.array().cast("array<double>")), lambda x: x.isNotNull())
 
 
+def _strings(text: Column) -> Column:
+    """Parts of a comma list; missing ones left out; none for null."""
+    return F.filter(F.coalesce(F.split(text, ","), F.array().cast("array<string>")), lambda x: (x != ".") & (x != ""))
+
+
+def _places(text: str) -> Callable[[Column], Column]:
+    """Which places of a vector an index names: 3, 1-2, 1- or 0,2."""
+    spans = []
+    for part in text.split(","):
+        low, dash, high = part.partition("-")
+        if part == "*":
+            spans.append((0, None))
+        elif not low.isdigit() or (high and not high.isdigit()):
+            raise ValueError(f"cannot read the index {text!r}")
+        else:
+            spans.append((int(low), int(high) if high else None if dash else int(low)))
+
+    def wanted(i: Column) -> Column:
+        out = F.lit(False)
+        for low, high in spans:
+            out = out | ((i >= low) & (i <= high) if high is not None else i >= low)
+        return out
+
+    return wanted
+
+
 def _alleles(s: Column) -> Column:
     return F.split(F.coalesce(s["GT"], F.lit(".")), "[/|]")
 
@@ -227,7 +264,7 @@ def _site_value(name: str) -> Value:
     if name == "FILTER":
         return Value(lambda s: F.col("filters"), False, True)
     if name == "TYPE":
-        kind = lambda a: F.when(a.rlike("^<"), "other").when(F.length(a) != F.length("ref"), "indel").when(F.length(a) == 1, "snp").otherwise("mnp")
+        kind = lambda a: F.when(a == "*", "overlap").when(a.rlike(r"[\[\]]"), "bnd").when(a.rlike("^<"), "other").when(F.length(a) != F.length("ref"), "indel").when(F.length(a) == 1, "snp").otherwise("mnp")
         return Value(lambda s: F.when(F.size("alts") == 0, F.array(F.lit("ref"))).otherwise(F.transform("alts", kind)), False, True)
     if name in ("POS", "QUAL"):
         return Value(lambda s: _list(F.col(name.lower()).cast("double")), False, False)
@@ -354,15 +391,30 @@ def _joined(left: Condition, right: Condition, op: str, f) -> Condition:
     return Condition(lambda s: f(left.site(), right.site()), False)
 
 
-def compile_filter(text: str, info: set[str] | None = None, formats: set[str] | None = None) -> Column:
-    """The Column of a filter; ``info`` and ``formats`` name the fields that may stand without a prefix."""
-    return Parser(text, info or set(), formats or set()).parse().site()
+def lines_of(path: str) -> list[str]:
+    """Lines of a list that a filter names; it becomes part of the plan, so it is a short one."""
+    from pyspark.sql import SparkSession
+
+    return [r.value for r in SparkSession.getActiveSession().read.text(path).collect() if r.value]
+
+
+def compile_filter(
+    text: str, info: set[str] | None = None, formats: set[str] | None = None, strings: set[str] | None = None,
+    functions: dict[str, Callable[[Column], Column]] | None = None, lines: Callable[[str], list[str]] = lines_of,
+) -> Column:
+    """The Column of a filter.
+
+    ``info`` and ``formats`` name the fields that may stand without a prefix,
+    ``strings`` those that hold text; ``functions`` are a caller's own, of one
+    value; ``lines`` gives the list behind @name.
+    """
+    return Parser(text, info or set(), formats or set(), strings or set(), functions or {}, lines).parse().site()
 
 
-def apply_filters(rows, include: str | None = None, exclude: str | None = None, info: set[str] | None = None, formats: set[str] | None = None):
+def apply_filters(rows, include: str | None = None, exclude: str | None = None, info: set[str] | None = None, formats: set[str] | None = None, **more):
     """Rows that an include filter keeps, or an exclude filter does not drop; not both at once."""
     if include and exclude:
         raise ValueError("include and exclude exclude each other")
     if include:
-        return rows.filter(compile_filter(include, info, formats))
-    return rows.filter(~compile_filter(exclude, info, formats)) if exclude else rows
+        return rows.filter(compile_filter(include, info, formats, **more))
+    return rows.filter(~compile_filter(exclude, info, formats, **more)) if exclude else rows

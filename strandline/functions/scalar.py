@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +109,29 @@ def ploidy(chrom: Column, pos: Column, male: Column, x_start: int = 2699520, x_e
     )
 
 
+def chrom_kind(chrom: Column, pos: Column, x_start: int = 2699520, x_end: int = 154931044) -> Column:
+    """A for numbered chromosomes, X inside its own part, Y; null for others and for the ends that X shares with Y."""
+    name = F.regexp_replace(chrom, "^chr", "")
+    return F.when(name.rlike("^[0-9]+$"), "A").when((name == "X") & (pos >= x_start) & (pos <= x_end), "X").when(name == "Y", "Y")
+
+
+def log_factorial(n: Column, table: int) -> Column:
+    """ln n!: from a table up to ``table``, beyond it by Stirling's series."""
+    sums, values = 0.0, [0.0]
+    for i in range(1, table + 1):
+        sums += math.log(i)
+        values.append(sums)
+    x = n.cast("double")
+    far = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n <= table, F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))).otherwise(far)
+
+
+def log_binomial(n: Column, k: Column, p: float, table: int = 128) -> Column:
+    """ln of the probability of ``k`` successes in ``n`` draws."""
+    choose = log_factorial(n, table) - log_factorial(k, table) - log_factorial(n - k, table)
+    return choose + k * math.log(p) + (n - k) * math.log(1 - p)
+
+
 def classify_variant(ref: Column, alt: Column) -> Column:
     """SNP, MNP, INDEL, CLUMPED, VNTR or SV of one pair of alleles, after trimming shared ends.
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import error_of, hwe, log_sum_exp
+from strandline.functions.scalar import error_of, hwe, log_sum_exp, string_hash
 from strandline.operators.lineage import cut
 
 FLOOR = 1e-6
@@ -64,6 +64,43 @@ def three_state(collapsed: DataFrame) -> DataFrame:
     return _normalised(_log_states(collapsed, states), ["g0", "g1", "g2"])
 
 
+LOG_SUMS = ("n_reads", "n_ref", "n_alt", "g0", "g1", "g2")
+
+
+def log_pileup(collapsed: DataFrame) -> DataFrame:
+    """Counts and log likelihoods of each cell and variant before they are normalised: these add up."""
+    e = error_of(F.col("bq").cast("double"))
+    m = 1 - e
+    return _log_states(collapsed, [("g0", m, e / 3), ("g1", 0.5 - e / 3, 0.5 - e / 3), ("g2", e / 3, m)])
+
+
+def merged_pileups(*parts: DataFrame) -> DataFrame:
+    """Sums of several pileups; floors come once, at the end, so the order does not matter."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("cell", "snp").agg(*[F.sum(c).alias(c) for c in LOG_SUMS])
+
+
+def removed_pileup(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """``whole`` without ``part``; what has no read left is dropped."""
+    signed = part.select("cell", "snp", *[(-F.col(c)).alias(c) for c in LOG_SUMS])
+    return merged_pileups(whole.select("cell", "snp", *LOG_SUMS), signed).filter("n_reads > 0")
+
+
+def enough_counts(counts: DataFrame, per_cell: int, per_gene: int) -> DataFrame:
+    """Counts (cell, gene, umis) of cells and genes with so many molecules in all."""
+    cells = counts.groupBy("cell").agg(F.sum("umis").alias("_n")).filter(F.col("_n") >= per_cell).select("cell")
+    genes = counts.groupBy("gene").agg(F.sum("umis").alias("_n")).filter(F.col("_n") >= per_gene).select("gene")
+    return counts.join(cells, "cell", "left_semi").join(genes, "gene", "left_semi")
+
+
+def collapse_genes(counts: DataFrame, n_groups: int) -> DataFrame:
+    """Counts of cells over ``n_groups`` groups of genes, dealt by the hash of their names."""
+    group = F.pmod(string_hash(F.col("gene").cast("string")), F.lit(n_groups)).cast("int")
+    return counts.groupBy("cell", group.alias("gene_group")).agg(F.sum("umis").cast("long").alias("umis"))
+
+
 def nine_state(collapsed: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Likelihoods of pairs of genotypes g_lm mixed with share ``alpha`` of the second."""
     e = error_of(F.col("bq").cast("double"))

@@ -26,11 +26,11 @@ def gc_windows(sequences: DataFrame, window: int, step: int, by: list[str], seq:
 
 
 def kmer_counts(sequences: DataFrame, k: int, by: list[str], seq: str = "seq") -> DataFrame:
-    """k-mers of each sequence and how often they occur."""
+    """k-mers of each sequence and how often they occur; only words leave their row, not the sequence."""
     n = F.length(seq)
-    places = F.sequence(F.lit(1), n - k + 1)
-    spread = sequences.filter(n >= k).select(*by, F.col(seq).alias("_s"), F.explode(places).alias("_p"))
-    return spread.groupBy(*by, F.substring("_s", F.col("_p"), F.lit(k)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    words = F.transform(F.sequence(F.lit(1), n - k + 1), lambda p: F.substring(F.col(seq), p, F.lit(k)))
+    spread = sequences.filter(n >= k).select(*by, F.explode(words).alias("kmer"))
+    return spread.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_rows(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

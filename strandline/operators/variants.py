@@ -141,8 +141,27 @@ def zip_sites(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def thin(rows: DataFrame, share: float, *keys: str, seed: int = 1) -> DataFrame:
     """A random ``share`` of rows, decided by a hash of their keys, so that reruns and retries agree."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / (1 << 30)
-    return rows.filter(unit < share)
+    return rows.filter(F.conv(F.substring(_named_hash(seed, keys), 1, 8), 16, 10).cast("double") / (1 << 32) < share)
+
+
+def _named_hash(seed: int, keys) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
+def one_per_cluster(rows: DataFrame, cluster: list[str], keys: list[str], seed: int = 1) -> DataFrame:
+    """One row of each cluster, drawn by a seeded hash of its keys, with the cluster's size ``n``."""
+    own = [c for c in rows.columns if c not in cluster]
+    picked = rows.groupBy(*cluster).agg(F.min_by(F.struct(*own), _named_hash(seed, keys)).alias("_row"), F.count(F.lit(1)).alias("n"))
+    return picked.select(*cluster, "_row.*", "n")
+
+
+def rows_between(rows: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` (from 1) in an order, with their number ``n``.
+
+    No more than ``last`` rows are sorted at the end: Spark keeps the least of each task.
+    """
+    head = rows.orderBy(*order).limit(last)
+    return head.withColumn("n", F.row_number().over(Window.orderBy(*order))).filter(F.col("n") >= first)
 
 
 def ibs_matrix(queries: DataFrame, references: DataFrame) -> DataFrame:

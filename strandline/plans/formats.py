@@ -83,7 +83,7 @@ def vcf_genotypes_scan(spark, d):
         "*", F.lit(None).cast("string").alias("id"), F.lit(None).cast("float").alias("qual"), F.array(F.lit("PASS")).alias("filters"), F.create_map().cast("map<string,string>").alias("info")
     )
     sinks.write_vcf(sites, path, HEADER, g, PANEL_SAMPLES, ("GT", "DP", "GQ"))
-    return text.read_genotypes(spark, path).select("sample", "pos", F.coalesce(F.col("a1") + F.col("a2"), F.lit(-1)).alias("dose"), "dp", "gq")
+    return text.read_genotypes(spark, path).filter("dp is not null").select("sample", "pos", F.coalesce(F.col("a1") + F.col("a2"), F.lit(-1)).alias("dose"), "dp", "gq")
 
 
 @query(f"WITH {SITE_SQL} SELECT chrom, pos, id, ref, alt, CAST(qual AS DOUBLE) qual, flt, CAST(idp AS VARCHAR) idp FROM site")
@@ -107,7 +107,8 @@ def bcf_genotypes_scan(spark, d):
     )
     v = packed.variants_of(packed.packed_variants(rows, ["1"], PANEL_SAMPLES, [], [], ["GT", "DP"]))
     v = v.select("pos", F.explode("samples").alias("s"))
-    return v.select("s.sample", "pos", F.col("s.fields")["GT"].alias("gt"), F.col("s.fields")["DP"].alias("dp"))
+    # a packed row has all samples; those without a call have no depth
+    return v.select("s.sample", "pos", F.col("s.fields")["GT"].alias("gt"), F.col("s.fields")["DP"].alias("dp")).filter("dp <> '.'")
 
 
 @query(f"WITH {SITE_SQL} SELECT chrom, pos FROM site WHERE qual >= 20 AND alt = 'G' AND ref = 'A' AND list_has_any(string_split(flt, ';'), ['PASS', 'X'])")

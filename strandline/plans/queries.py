@@ -642,12 +642,6 @@ def phase_blocks(spark, d):
     return kernels.phase_blocks(views.panel(spark, d).select("sample", "snp", "code"), 4)
 
 
-@query()
-def verify_pairs(spark, d):
-    llks = gt.pair_likelihoods(_collapsed(spark, d), pl.genotype_shares(views.panel(spark, d)), (0.0, 0.1, 0.3, 0.5))
-    return gt.verify_pairs(llks)
-
-
 @query()
 def contamination(spark, d):
     ud, _ = kernels.principal_components(_dosages(spark, d), 1)
@@ -662,17 +656,6 @@ def cluster_cells(spark, d):
     return clustering.cluster_cells(nine, snps, start, rounds=3)[0]
 
 
-@query()
-def mixture_em(spark, d):
-    counts = pl.umi_counts(_hits(spark, d), 3).select("cell", F.col("tx").alias("gene"), "umis")
-    genes = counts.select("gene").distinct()
-    start = genes.withColumn("cluster", F.explode(F.array(F.lit(0), F.lit(1))))
-    weight = F.pmod(F.xxhash64("gene", "cluster"), F.lit(100)) + 1
-    start = start.withColumn("w", weight.cast("double"))
-    start = start.join(start.groupBy("cluster").agg(F.sum("w").alias("t")), "cluster").select("cluster", "gene", (F.col("w") / F.col("t")).alias("p"))
-    return pl.mixture_em(counts, start, 3)[0]
-
-
 @query()
 def delta_scores(spark, d):
     """Change of a small model's score by base G at every place of every document."""

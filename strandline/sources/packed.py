@@ -293,7 +293,8 @@ def encode_variants(rows: Iterable[dict], contigs: list[str], samples: list[str]
     number = {s: i for i, s in enumerate(strings)}
     out = [BCF_MAGIC, struct.pack("<I", len(header.encode())), header.encode()]
     for r in rows:
-        cells = [dict(c) for _, c in r["samples"]]
+        known = {name: dict(c) for name, c in r["samples"]}
+        cells = [known.get(name, {}) for name in samples]  # a sample without a call is missing
         alleles = [r["ref"], *r["alts"]]
         qual = struct.pack("<I", BCF_FLOAT_MISSING) if r["qual"] is None else struct.pack("<f", r["qual"])
         shared = struct.pack("<iii", places.index(r["chrom"]), r["pos"] - 1, len(r["ref"])) + qual
