@@ -11,11 +11,11 @@ of the two until a merge over the border is better than both.  How a token comes
 together on its own (its steps: score of the next merge, first and last part) is
 worked out once for each token, so a test walks two short lists of steps.
 
-Two facts of the model, checked when it is loaded, make the pass cheap: no piece
-holds the space mark after another character, and some characters (the line
-break among them) stand in no longer piece.  No merge can then cross such a
-place, so texts are encoded as independent chunks whose ids are remembered in a
-bounded table.  A model without these properties is encoded text by text.
+Three facts of the model, checked when it is loaded, make the pass cheap: no piece
+holds the space mark after another character, some characters (the line break
+among them) stand in no longer piece, and some marks follow a letter in no piece.
+No merge can then cross such a place, so texts are encoded as independent chunks
+whose ids are remembered in a bounded table.  A model without these properties is encoded text by text.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
 repeated rows are encoded alike; an empty table gives an empty result.
@@ -37,8 +37,12 @@ from strandline.llm._shared import map_arrow, spread
 
 SPACE_MARK = "▁"
 NEVER = float("-inf")
-#: Entries of each of the two generations of the memo tables; all full ones take some 60 MB of a worker.
-CHUNK_ENTRIES = 65_536
+#: Letters after which a chunk may end, and the marks before which it may, if the model allows it.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏΑ-ωЀ-ӿ"
+LETTER = re.compile(f"[{LETTERS}]")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+#: Entries of each of the two generations of the memo tables; all full ones take some 100 MB of a worker.
+CHUNK_ENTRIES = 131_072
 PAIR_ENTRIES = 131_072
 #: Longer chunks are encoded each time, not remembered.
 MEMO_CHARS = 40
@@ -141,7 +145,16 @@ class PrefixTableEncoder:
         m = re.escape(SPACE_MARK)
         splits = not any(re.search(f"[^{m}]{m}", p) for p in self.ids)
         lone = "\n" if "\n" not in inside else ""
-        self.chunks = re.compile(f"{m}*[^{m}{lone}]+|{m}+|{lone or '(?!)'}" if splits else r"(?s).+")
+        after = {b for p in self.ids for a, b in zip(p, p[1:]) if LETTER.match(a)}
+        marks = re.escape("".join(sorted(set(MARKS) - after)))
+        if not splits:
+            pattern = r"(?s).+"
+        elif not marks:
+            pattern = f"{m}*+[^{m}{lone}]++|{m}++|{lone or '(?!)'}"
+        else:  # a chunk ends between a letter and a mark
+            inner = f"(?:[{LETTERS}]++|[^{m}{lone}{marks}{LETTERS}]++[{marks}]*+)"
+            pattern = f"{m}*+[{marks}]++{inner}*+|{m}*+{inner}++|{m}++|{lone or '(?!)'}"
+        self.chunks = re.compile(pattern)
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE: join the best-scored pair, the leftmost of equals, until none is left."""
