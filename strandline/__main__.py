@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.filter_expr import apply_filters
 from strandline.operators import clustering, genotyping, intervals, kernels, pileup, reads, sequence, variants
 from strandline.operators.lineage import cut
-from strandline.sources import binary, sinks, text
+from strandline.sources import binary, profiles, sinks, text
 
 COMMANDS: dict = {}
 
@@ -316,6 +316,164 @@ def _bgen(spark, o):
     return rows.withColumn("gp", F.to_json("gp"))
 
 
+@command("vcf-update-sites", "vcf", "site-vcf=", "dbsnp=", "remove=", "replace=", "add=")
+def _update_sites(spark, o):
+    """INFO fields removed, replaced and added from a site file; names from a table of known variants."""
+    names = lambda x: x.split(",") if x else None
+    sites = text.read_variants(spark, o.vcf)
+    other = text.read_variants(spark, o.site_vcf) if o.site_vcf else None
+    out = variants.update_info(sites, other, names(o.remove), names(o.replace), names(o.add))
+    if o.dbsnp:
+        known = text.read_variants(spark, o.dbsnp).select(*variants.SITE_KEY, F.col("id").alias("_known"))
+        out = variants.join_sites(out, known, variants.SITE_KEY, "left").withColumn("id", F.coalesce("_known", "id")).drop("_known")
+    return out.withColumn("info", F.to_json("info")).withColumns({c: F.array_join(c, ",") for c in ("alts", "filters")})
+
+
+@command("vcf-delta-svm", "vcf", "fasta", "model", "flank=10")
+def _delta(spark, o):
+    """Change of a model's score by each alternate allele of SNPs, in the reference around it."""
+    width, flank = 1000, int(o.flank)
+    bins = text.sequence_bins(text.read_fasta(spark, o.fasta), width)
+    near = lambda k, name: bins.select("chrom", (F.col("bin") + k).alias("bin"), F.col("seq").alias(name))
+    v = text.read_variants(spark, o.vcf).filter(F.length("ref") == 1).select("chrom", "pos", "ref", F.explode("alts").alias("alt"))
+    v = v.withColumn("bin", F.floor((F.col("pos") - 1) / width).cast("int"))
+    for k, name in ((0, "own"), (1, "before"), (-1, "after")):
+        v = v.join(near(k, name), ["chrom", "bin"], "inner" if k == 0 else "left")
+    inside = ((F.col("pos") - 1) % width).cast("int")
+    left = F.right(F.concat(F.coalesce("before", F.lit("")), F.left("own", inside)), F.lit(flank))
+    right = F.left(F.concat(F.substring(F.col("own"), inside + 2, F.lit(width)), F.coalesce("after", F.lit(""))), F.lit(flank))
+    rows = v.select("chrom", "pos", "ref", "alt", left.alias("left"), right.alias("right"))
+    return kernels.delta_scores(rows, kernels.load_model(spark, o.model)).drop("left", "right")
+
+
+@command("bed-delta-svm-train", "positive", "negative", "fasta", "model", "length=10", "k=6", "mismatches=3", "max-regions=2000")
+def _train(spark, o):
+    """A classifier of two sets of regions; a training set fits one machine, by ``max-regions`` of each set."""
+    bins = text.sequence_bins(text.read_fasta(spark, o.fasta), 1000)
+    found = []
+    for path, label in ((o.positive, 1), (o.negative, 0)):
+        spans = text.read_bed(spark, path).select("chrom", "beg", "end").distinct()
+        spread = spans.withColumn("bin", F.explode(F.sequence(F.floor((F.col("beg") - 1) / 1000), F.floor((F.col("end") - 1) / 1000))))
+        parts = spread.join(bins, ["chrom", "bin"]).groupBy("chrom", "beg", "end").agg(F.sort_array(F.collect_list(F.struct("bin", "seq"))).alias("p"))
+        whole = F.array_join(F.transform("p", lambda x: x["seq"]), "")
+        seq = F.substring(whole, ((F.col("beg") - 1) % 1000 + 1).cast("int"), (F.col("end") - F.col("beg") + 1).cast("int"))
+        rows = parts.select(seq.alias("seq")).orderBy(F.md5("seq")).limit(int(o.max_regions)).collect()
+        found += [(r.seq, label) for r in rows]
+    model = kernels.train_svm([s for s, _ in found], [y for _, y in found], length=int(o.length), k=int(o.k), most=int(o.mismatches))
+    kernels.save_model(spark, model, o.model)
+    return spark.createDataFrame([(len(found), len(model["sequences"]))], "sequences int, vectors int")
+
+
+@command("cram-verify-bam", "sam", "vcf", "model-vcf", "max-pc=2", "min-mq=20", "min-bq=13")
+def _verify_bam(spark, o):
+    """Contamination of each read group from its bases at the sites of a reference panel."""
+    dosages = coded(spark, o.model_vcf).select("sample", "snp", F.when(F.col("code") > 0, F.col("code") - 1.0).alias("ds"))
+    ud, _ = kernels.principal_components(dosages, int(o.max_pc))
+    bases, _ = bases_of(spark, o, "RG")
+    out = kernels.contamination(bases.withColumnRenamed("cell", "sample").filter("allele < 2").select("sample", "snp", "allele", "bq"), ud, int(o.max_pc))
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("pcs", "pcs_other")})
+
+
+@command("verify-pair-id", "sam", "vcf", "min-mq=20", "min-bq=13", "geno-error=0.1", "alphas=0,0.1,0.2,0.3,0.4,0.5")
+def _verify_pair(spark, o):
+    collapsed, _ = bases_of(spark, o)
+    shares = pileup.genotype_shares(coded(spark, o.vcf), float(o.geno_error))
+    return genotyping.verify_pairs(genotyping.pair_likelihoods(collapsed, shares, tuple(float(a) for a in o.alphas.split(","))))
+
+
+@command("freemux2", "plp", "nsample", "rounds=10")
+def _freemux2(spark, o):
+    """Clusters of cells by greedy assignment in the order of their singlet scores, then by EM."""
+    _, snps, bases = text.read_pileup(spark, o.plp)
+    nine = cut(pileup.nine_state(bases))
+    start = clustering.greedy_clusters(nine, snps, pileup.singlet_score(nine, snps), int(o.nsample))
+    return clustering.cluster_cells(nine, snps, start, rounds=int(o.rounds))[0]
+
+
+@command("plp-find-mux-clust", "plp", "nsample")
+def _mux_clusters(spark, o):
+    _, snps, bases = text.read_pileup(spark, o.plp)
+    nine = cut(pileup.nine_state(bases))
+    return clustering.seed_clusters(nine, snps, pileup.singlet_score(nine, snps), int(o.nsample))
+
+
+@command("mux-pileup", "sam", "vcf", "min-mq=20", "min-bq=13")
+def _mux_pileup(spark, o):
+    """Pileup strings with the frequency of each site from its genotypes."""
+    collapsed, _ = bases_of(spark, o)
+    afs = variants.site_counts(coded(spark, o.vcf)).select("snp", "af")
+    return sinks.pileup_strings(collapsed).join(afs, "snp")
+
+
+@command("digital-pileup", "sam")
+def _digital(spark, o):
+    """Merged fragments of each cell and UMI, without strand."""
+    r = reads.read_filter(text.read_reads(spark, o.sam)).select("chrom", "pos", "cigar", F.col("tags")["CB"].alias("cell"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"))
+    blocks = reads.aligned_blocks(r.filter("cell is not null")).select("cell", "umi", "chrom", "beg", "end")
+    merged = intervals.merge_intervals(blocks, ["cell", "umi", "chrom"])
+    return merged.select("cell", "umi", F.concat_ws("", "chrom", F.lit(":"), F.col("beg").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("fragment"))
+
+
+@command("dsc-dump", "sam", "vcf", "dump", "chunks=16", "min-mq=20", "min-bq=13")
+def _dump(spark, o):
+    """Bases by chunk of cells; the sites of the dump are the result."""
+    collapsed, sites = bases_of(spark, o)
+    profiles.write_dump(collapsed.select(F.col("cell").alias("barcode"), "umi", "snp", "bq"), o.dump, int(o.chunks))
+    return sites
+
+
+@command("dsc-dump2plp", "dump")
+def _undump(spark, o):
+    rows = profiles.read_dump(spark, o.dump)
+    return rows.groupBy("barcode").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("umi").alias("umis"), F.count_distinct("snp").alias("snps"))
+
+
+@command("sc-multinom-em", "matrix", "clusters", "rounds=10", "per-cell=0", "per-gene=0")
+def _multinom(spark, o):
+    """Clusters of cells by a multinomial mixture, from a dense table of counts."""
+    counts = pileup.enough_counts(profiles.read_dense_matrix(spark, o.matrix), int(o.per_cell), int(o.per_gene))
+    k = int(o.clusters)
+    start = counts.select("gene").distinct().withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    start = start.withColumn("w", (F.pmod(F.xxhash64("gene", "cluster"), F.lit(100)) + 1).cast("double"))
+    start = start.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("cluster"))).select("cluster", "gene", "p")
+    return pileup.mixture_em(counts, start, int(o.rounds))[0]
+
+
+@command("sc-multinom-gibbs", "matrix", "clusters", "rounds=50", "seed=1")
+def _gibbs(spark, o):
+    """The same by Gibbs sampling: one chain on one machine, so the matrix must fit it."""
+    counts = profiles.read_dense_matrix(spark, o.matrix).toPandas()
+    return spark.createDataFrame(genotyping.mixture_gibbs(counts, int(o.clusters), int(o.rounds), seed=int(o.seed)))
+
+
+@command("bed-matched-shuffle", "bed", "places", "fasta", "width=100", "bins=20", "seed=1")
+def _matched(spark, o):
+    """Each interval moved to a place of its GC stratum, without replacement."""
+    width = int(o.width)
+    gc = sequence.gc_windows(text.read_fasta(spark, o.fasta), width, width, ["chrom"])
+    stratum = F.floor(F.coalesce("gc", F.lit(0)) * int(o.bins) / width).alias("stratum")
+    strata = lambda path: profiles.gc_at(text.read_bed(spark, path).drop("rest").withColumn("pos", F.col("beg")), gc, width).select("chrom", "beg", "end", stratum)
+    return intervals.shuffle_intervals(strata(o.bed), strata(o.places), int(o.seed))
+
+
+@command("m3vcf-subsample", "m3vcf", "haplotypes")
+def _subsample(spark, o):
+    """Alleles of some haplotypes (numbers from 0 between commas) of a file of haplotype blocks."""
+    wanted = [int(h) for h in o.haplotypes.split(",")]
+    return binary.haplotype_alleles(binary.read_haplotype_blocks(spark, o.m3vcf), wanted)
+
+
+@command("vcf-ref-phase", "vcf", "size=8")
+def _ref_phase(spark, o):
+    """Haplotypes of blocks of common variants and the carriers of the rare ones between them."""
+    return variants.haplotype_blocks(text.read_genotypes(spark, o.vcf), int(o.size))
+
+
+@command("run-test", "tsv")
+def _run_test(spark, o):
+    return spark.read.text(o.tsv).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("characters"))
+
+
 @command("tsv-util", "tsv")
 def _tsv(spark, o):
     return spark.read.text(o.tsv).select(F.array_join(F.transform(F.split("value", r"\s+"), lambda x: x.try_cast("double").cast("string")), "\t", "NA").alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalar import error_of
 from strandline.operators.intervals import overlap_join
-from strandline.operators.pileup import _log_states
+from strandline.operators.pileup import pair_scores
 
 MAX_QUALITY = 40
 MAX_ERROR = 0.75
@@ -98,41 +98,19 @@ def pair_likelihoods(collapsed: DataFrame, shares: DataFrame, alphas: tuple[floa
 
     At alpha 0 only the first sample counts, at one half the order does not matter.
     """
-    e = error_of(F.col("bq").cast("double"))
-    m = 1 - e
-    one = shares.select(F.col("sample").alias("s1"), "snp", *[F.col(f"p{g}").alias(f"a{g}") for g in range(3)])
-    two = shares.select(F.col("sample").alias("s2"), "snp", *[F.col(f"p{g}").alias(f"b{g}") for g in range(3)])
-    out = None
-    for alpha in alphas:
-        states = []
-        for l in range(3):
-            for k in range(3):
-                p = l / 2 + (k - l) * alpha / 2
-                states.append((f"g{l}{k}", m * (1 - p) + e / 3 * p, e / 3 * (1 - p) + m * p))
-        logs = _log_states(collapsed, states)
-        names = [s[0] for s in states]
-        scaled = logs.withColumn("_t", F.greatest(*names)).withColumns({n: F.exp(F.col(n) - F.col("_t")) + 1e-10 for n in names})
-        met = scaled.join(one, "snp").join(two, "snp").filter("s1 = s2" if alpha == 0 else "s1 < s2" if alpha == 0.5 else "s1 <> s2")
-        mixed = sum(
-            (F.col(f"a{l}") * F.col(f"b{k}") * F.col(f"g{l}{k}") for l in range(3) for k in range(3) if (l, k) != (0, 0)),
-            F.col("a0") * F.col("b0") * F.col("g00"),
-        )
-        single = F.col("a0") * F.col("g00") + F.col("a1") * F.col("g11") + F.col("a2") * F.col("g22")
-        part = met.groupBy("cell", "s1", "s2").agg(F.sum(F.log(single if alpha == 0 else mixed) + F.col("_t")).alias("llk"), F.count(F.lit(1)).alias("n_snps"))
-        part = part.withColumn("alpha", F.lit(float(alpha)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return pair_scores(collapsed, shares, alphas).select("cell", "s1", "s2", "alpha", "llk", "n_snps")
 
 
 def verify_pairs(llks: DataFrame) -> DataFrame:
     """Best single sample, best pair and its share of each cell, and the gain of the pair."""
     single = F.col("alpha") == 0
-    pick = lambda cond: F.max(F.when(cond, F.struct("llk", (-F.col("s1")).alias("s1"), (-F.col("s2")).alias("s2"), "alpha")))
+    # ties go to the smaller samples, whatever their type, then to the larger share
+    order = F.struct((-F.col("llk")).alias("l"), "s1", "s2", (-F.col("alpha")).alias("a"))
+    pick = lambda cond: F.min_by(F.struct("llk", "s1", "s2", "alpha"), F.when(cond, order))
     best = llks.groupBy("cell").agg(pick(single).alias("one"), pick(~single).alias("two"), F.max("n_snps").alias("n_snps"))
     return best.select(
-        "cell", "n_snps", (-F.col("one.s1")).alias("sm_id"), F.col("one.llk").alias("llk1"), (-F.col("two.s1")).alias("sm1_id"),
-        (-F.col("two.s2")).alias("sm2_id"), F.col("two.alpha").alias("alpha"), F.col("two.llk").alias("llk12"),
-        (F.col("two.llk") - F.col("one.llk")).alias("gain"),
+        "cell", "n_snps", F.col("one.s1").alias("sm_id"), F.col("one.llk").alias("llk1"), F.col("two.s1").alias("sm1_id"), F.col("two.s2").alias("sm2_id"),
+        F.col("two.alpha").alias("alpha"), F.col("two.llk").alias("llk12"), (F.col("two.llk") - F.col("one.llk")).alias("gain"),
     )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,36 +161,108 @@ def genotype_shares(panel: DataFrame, error: float = 0.1) -> DataFrame:
     return joined.select("sample", "snp", *blended)
 
 
-def demultiplex(collapsed: DataFrame, shares: DataFrame, doublet_prior: float = 0.5, alpha: float = 0.5) -> DataFrame:
-    """Best singlet, second singlet and best doublet of each cell, its call and posteriors.
+#: Genotype shares of one block of samples in a cell's matrix products.
+PAIR_ROWS = 2_000_000
+
+
+def posterior_shares(pls: DataFrame, afs: DataFrame) -> DataFrame:
+    """Genotype shares p0, p1, p2 from PL (sample, snp, pl0, pl1, pl2) and the frequency of each site."""
+    joined = pls.join(afs.select("snp", "af"), "snp")
+    weight = [F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0) * h for g, h in enumerate(hwe(F.col("af")))]
+    total = weight[0] + weight[1] + weight[2]
+    return joined.select("sample", "snp", *[(w / total).alias(f"p{g}") for g, w in enumerate(weight)])
+
 
-    Every cell meets the samples at its variants through an equi-join; log
-    likelihoods of (cell, sample, sample) are aggregated map-side.  Singlets mix a
-    sample with itself.
+def blended_shares(shares: DataFrame, error: float) -> DataFrame:
+    """Genotype shares mixed with the mean of their site by an error."""
+    means = shares.groupBy("snp").agg(*[F.avg(f"p{g}").alias(f"m{g}") for g in range(3)])
+    return shares.join(means, "snp").select("sample", "snp", *[((1 - error) * F.col(f"p{g}") + error * F.col(f"m{g}")).alias(f"p{g}") for g in range(3)])
+
+
+def pair_scores(collapsed: DataFrame, shares: DataFrame, alphas: tuple[float, ...], singles: bool = False) -> DataFrame:
+    """(cell, s1, s2, alpha, llk, n_snps, n_reads): log likelihoods where a share ``alpha`` of a cell's bases comes from s2.
+
+    At alpha 0 only s1 counts (s1 = s2), at one half the order does not matter
+    (s1 < s2), else it does.  With ``singles`` the pairs of a sample with itself
+    come too, scaled as the first alpha.  A variant's genotype shares of all samples are one
+    row, so a cell meets a row for each of its variants, not one for each pair of
+    samples; pairs arise inside the cell's group, as matrix products.
     """
     e = error_of(F.col("bq").cast("double"))
     m = 1 - e
-    states = []
-    for l in range(3):
-        for k in range(3):
-            p = l / 2 + (k - l) * alpha / 2
-            states.append((f"g{l}{k}", m * (1 - p) + e / 3 * p, e / 3 * (1 - p) + m * p))
+    names, states = [], []
+    for i, alpha in enumerate(alphas):
+        for l in range(3):
+            for k in range(3):
+                p = l / 2 + (k - l) * alpha / 2
+                names.append(f"g{i}_{l}{k}")
+                states.append((names[-1], m * (1 - p) + e / 3 * p, e / 3 * (1 - p) + m * p))
     logs = _log_states(collapsed, states)
-    names = [s[0] for s in states]
-    top = F.greatest(*names)
-    scaled = logs.withColumn("_top", top).withColumns({n: F.exp(F.col(n) - F.col("_top")) + 1e-10 for n in names})
-    one = shares.select(F.col("sample").alias("s1"), "snp", *[F.col(f"p{g}").alias(f"a{g}") for g in range(3)])
-    two = shares.select(F.col("sample").alias("s2"), "snp", *[F.col(f"p{g}").alias(f"b{g}") for g in range(3)])
-    met = scaled.join(one, "snp").join(two, "snp").filter("s1 <= s2")
-    doublet = sum(
-        (F.col(f"a{l}") * F.col(f"b{k}") * F.col(f"g{l}{k}") for l in range(3) for k in range(3) if (l, k) != (0, 0)),
-        F.col("a0") * F.col("b0") * F.col("g00"),
-    )
-    single = F.col("a0") * F.col("g00") + F.col("a1") * F.col("g11") + F.col("a2") * F.col("g22")
-    value = F.log(F.when(F.col("s1") == F.col("s2"), single).otherwise(doublet)) + F.col("_top")
-    llks = met.groupBy("cell", "s1", "s2").agg(
-        F.sum(value).alias("llk"), F.count(F.lit(1)).alias("n_snps"), F.sum("n_reads").cast("long").alias("n_reads")
-    )
+    cells = logs.select("cell", "snp", "n_reads", F.array(*names).alias("logs"))
+    side = shares.groupBy("snp").agg(F.sort_array(F.collect_list(F.struct("sample", "p0", "p1", "p2"))).alias("own"))
+    side = side.select("snp", F.transform("own", lambda x: x["sample"]).alias("who"), F.flatten(F.transform("own", lambda x: F.array(x["p0"], x["p1"], x["p2"]))).alias("shares"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*collapsed.schema, *shares.schema]}
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("snp")
+        every = np.unique(np.concatenate(rows["who"].to_list()))
+        n = len(every)
+        single = np.zeros(n)
+        llk, hits, read = np.zeros((len(alphas), n, n)), np.zeros((n, n), np.int64), np.zeros((n, n), np.int64)
+        step = max(1, PAIR_ROWS // (n * n))
+        logs = np.stack(rows["logs"].to_numpy()).reshape(len(rows), len(alphas), 3, 3)
+        top = logs.max(axis=(2, 3))
+        scaled = np.exp(logs - top[:, :, None, None]) + 1e-10
+        who, own, reads = rows["who"].to_list(), rows["shares"].to_list(), rows["n_reads"].to_numpy()
+        for begin in range(0, len(rows), step):
+            part = slice(begin, begin + step)
+            size = len(who[part])
+            g, there = np.zeros((size, n, 3)), np.zeros((size, n), np.int64)
+            for i, (w, p) in enumerate(zip(who[part], own[part])):
+                at = np.searchsorted(every, w)
+                g[i, at], there[i, at] = np.reshape(p, (-1, 3)), 1
+            both = there[:, :, None] * there[:, None, :]
+            hits += both.sum(axis=0)
+            read += (both * reads[part, None, None]).sum(axis=0)
+            for a, alpha in enumerate(alphas):
+                s = scaled[part, a]
+                if alpha == 0 or (singles and a == 0):
+                    one = np.einsum("vjg,vgg->vj", g, s)
+                    own_value = np.log(np.where(there > 0, one, 1.0)) + there * top[part, a, None]
+                    single += own_value.sum(axis=0)
+                if alpha > 0:
+                    mixed = np.einsum("vjl,vlm,vkm->vjk", g, s, g, optimize=True)
+                    llk[a] += (np.log(np.where(both > 0, mixed, 1.0)) + both * top[part, a, None, None]).sum(axis=0)
+        out = []
+        if singles or 0.0 in alphas:
+            own = np.flatnonzero(hits.diagonal())
+            out.append(pd.DataFrame({"s1": every[own], "s2": every[own], "alpha": 0.0, "llk": single[own], "n_snps": hits.diagonal()[own], "n_reads": read.diagonal()[own]}))
+        for a, alpha in enumerate(alphas):
+            if alpha == 0:
+                continue
+            j, k = np.nonzero(hits)
+            keep = j < k if alpha == 0.5 else j != k
+            j, k = j[keep], k[keep]
+            out.append(pd.DataFrame({"s1": every[j], "s2": every[k], "alpha": float(alpha), "llk": llk[a][j, k], "n_snps": hits[j, k], "n_reads": read[j, k]}))
+        found = pd.concat(out)
+        found.insert(0, "cell", rows["cell"].iloc[0])
+        return found
+
+    schema = f"cell {kinds['cell']}, s1 {kinds['sample']}, s2 {kinds['sample']}, alpha double, llk double, n_snps long, n_reads long"
+    return cells.join(side, "snp").groupBy("cell").applyInPandas(score, schema)
+
+
+def demultiplex(collapsed: DataFrame, shares: DataFrame, doublet_prior: float = 0.5, alphas: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """Best singlet, second singlet and best doublet of each cell, its call and posteriors.
+
+    ``shares`` are genotype shares (sample, snp, p0, p1, p2) from hard calls, PL
+    or GP.  A singlet has all bases from one sample; a doublet a share of the grid
+    ``alphas`` from a second one, of which the best for each pair counts.
+    """
+    scores = pair_scores(collapsed, shares, alphas, singles=True)
+    best = F.max(F.struct("llk", (-F.col("alpha")).alias("_a")))
+    llks = scores.groupBy("cell", "s1", "s2").agg(best.alias("_b"), F.max("n_snps").alias("n_snps"), F.max("n_reads").alias("n_reads"))
+    llks = llks.select("cell", "s1", "s2", F.col("_b.llk").alias("llk"), (-F.col("_b._a")).alias("alpha"), "n_snps", "n_reads")
     return call_cells(llks, shares.select("sample").distinct().count(), doublet_prior)
 
 

@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 def gc_windows(sequences: DataFrame, window: int, step: int, by: list[str], seq: str = "seq", bases: str = "ACGT") -> DataFrame:
     """GC bins of windows that end at multiples of ``step``: floor(gc / (gc + at) * window), null without known bases.
 
-    Windows are cut from the string at the steps only, so the work follows the
-    number of windows.
+    Windows are cut from the string at the steps only, inside its row: what leaves
+    the row is numbers, not copies of the sequence.
     """
     n = F.length(seq)
-    ends = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))
-    spread = sequences.filter(n > 0).select(*by, F.posexplode(ends).alias("bin", "_k"), F.translate(seq, "acgt", "ACGT").alias("_s"))
-    # a window holds the bases up to the bin's end, at most ``window`` of them
-    stop = F.least((F.col("bin") + 1) * step, F.length("_s"))
-    start = F.greatest((F.col("bin") + 1) * step - window, F.lit(0))
-    part = F.substring("_s", start + 1, stop - start)
-    gc = F.length(part) - F.length(F.regexp_replace(part, "[GC]", ""))
-    at = F.length(part) - F.length(F.regexp_replace(part, "[AT]", ""))
-    value = F.when(gc + at > 0, F.floor(gc / (gc + at) * window).cast("int"))
-    return spread.select(*by, "bin", value.alias("gc"))
+    upper = F.translate(seq, "acgt", "ACGT")
+    rows = sequences.filter(n > 0)
+    if window % step:
+        ends = F.sequence(F.lit(1), F.floor((F.length("_s") - 1) / step).cast("int") + 1)
+        part = lambda k: F.substring("_s", F.greatest(k * step - window, F.lit(0)) + 1, F.least(k * step, F.length("_s")) - F.greatest(k * step - window, F.lit(0)))
+        held = rows.select(*by, upper.alias("_s")).select(*by, F.posexplode(F.transform(ends, part)).alias("bin", "_w"))
+    else:
+        # pieces of one step are cut in one pass; a generator of one row keeps them from being cut anew for each window
+        pieces = F.regexp_extract_all(upper, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        cut = rows.select(*by, F.explode(F.array(pieces)).alias("_p"))
+        back = window // step
+        part = lambda p, i: F.array_join(F.slice("_p", F.greatest(i - back + 2, F.lit(1)), F.least(i + 1, F.lit(back))), "")
+        held = cut.select(*by, F.posexplode(F.transform("_p", part)).alias("bin", "_w"))
+    gc = F.length("_w") - F.length(F.translate("_w", "GC", ""))
+    at = F.length("_w") - F.length(F.translate("_w", "AT", ""))
+    return held.select(*by, "bin", F.when(gc + at > 0, F.floor(gc / (gc + at) * window).cast("int")).alias("gc"))
 
 
 def kmer_counts(sequences: DataFrame, k: int, by: list[str], seq: str = "seq") -> DataFrame:

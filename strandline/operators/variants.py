@@ -7,10 +7,12 @@ equi-join on the variant, so partial sums are made before any shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,15 +311,25 @@ def join_sites(genotypes: DataFrame, sites: DataFrame, keys: list[str], how: str
 def min_distance(sites: DataFrame, distance: int, order: str = "pos") -> DataFrame:
     """Sites at least ``distance`` from the previous kept one of their chromosome, in order of position.
 
-    The kept site depends on all before it.  It is found by a fold over the
-    sorted positions of a chromosome, which are gathered as one array of numbers.
+    Which sites are kept depends on all before them, so a chromosome's positions
+    pass one task in order; it remembers the last kept position only.
     """
-    gathered = sites.groupBy("chrom").agg(F.sort_array(F.collect_set(order)).alias("all"))
-    kept = F.aggregate(
-        "all", F.array().cast("array<int>"),
-        lambda a, p: F.when((F.size(a) == 0) | (p - F.element_at(a, -1) >= distance), F.concat(a, F.array(p.cast("int")))).otherwise(a),
-    )
-    return sites.join(gathered.select("chrom", F.explode(kept).alias(order)), ["chrom", order], "left_semi")
+    positions = sites.select("chrom", F.col(order).cast("long").alias("p")).distinct().repartition("chrom").sortWithinPartitions("chrom", "p")
+    kind = sites.schema["chrom"].dataType.simpleString()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, last = None, 0
+        for batch in batches:
+            keep = []
+            for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                good = c != chrom or p - last >= distance
+                if good:
+                    chrom, last = c, p
+                keep.append(good)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    found = positions.mapInArrow(kept, f"chrom {kind}, p long")
+    return sites.join(found.select("chrom", F.col("p").cast(sites.schema[order].dataType).alias(order)), ["chrom", order], "left_semi")
 
 
 def gap_clusters(rows: DataFrame, gap: int, by: list[str], order: str) -> DataFrame:
@@ -388,3 +400,29 @@ def gram_matrix(vectors: DataFrame, by: str, value: str) -> DataFrame:
 def union_samples(*tables: DataFrame) -> DataFrame:
     """Samples of several files side by side: in the long form, their rows one after another."""
     return reduce(lambda a, b: a.unionByName(b), tables)
+
+
+def haplotype_blocks(genotypes: DataFrame, size: int = 8, common: float = 0.05) -> DataFrame:
+    """(chrom, block, beg, end, haplotype, n, rare): haplotypes of blocks of ``size`` common variants, and their rare alternate alleles.
+
+    ``genotypes`` are phased rows (chrom, pos, ref, alts, sample, a1, a2); a
+    variant is common by the frequency of its alternate allele; ``rare`` counts
+    alternate alleles of the others between a block's ends on such haplotypes.
+    """
+    sides = genotypes.filter(F.col("a1").isNotNull() & F.col("a2").isNotNull()).select(
+        "chrom", "pos", "sample", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a1").alias("a")), F.struct(F.lit(1).alias("side"), F.col("a2").alias("a")))).alias("h")
+    ).select("chrom", "pos", "sample", "h.side", (F.col("h.a") > 0).cast("int").alias("allele"))
+    afs = sides.groupBy("chrom", "pos").agg(F.avg("allele").alias("af"))
+    often = afs.filter(F.col("af").between(common, 1 - common))
+    place = F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1
+    often = often.withColumn("block", F.floor(place / size)).select("chrom", "pos", "block")
+    ends = often.groupBy("chrom", "block").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "allele")))
+    words = sides.join(often, ["chrom", "pos"]).groupBy("chrom", "block", "sample", "side").agg(
+        F.array_join(F.transform(rows, lambda x: x["allele"].cast("string")), "").alias("haplotype")
+    )
+    seldom = sides.filter("allele = 1").join(often, ["chrom", "pos"], "left_anti").join(ends, "chrom").filter(F.col("pos").between(F.col("beg"), F.col("end")))
+    rare = seldom.groupBy("chrom", "block", "sample", "side").agg(F.count(F.lit(1)).alias("rare"))
+    held = words.join(rare, ["chrom", "block", "sample", "side"], "left")
+    out = held.groupBy("chrom", "block", "haplotype").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rare"), F.lit(0)).alias("rare"))
+    return out.join(ends, ["chrom", "block"]).select("chrom", "block", "beg", "end", "haplotype", "n", "rare")

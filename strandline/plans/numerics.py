@@ -15,7 +15,7 @@ from strandline.operators import variants as vr
 from strandline.plans import views
 from strandline.plans.formats import _FIVE, _sam, _sites, SAM_SQL, SITE_SQL
 from strandline.plans.queries import (
-    _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _hits, _read, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL,
+    _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _em_sql, _hits, _read, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL,
 )
 from strandline.plans.registry import query, rounded
 from strandline.plans.views import INTERVALS_SQL, PANEL_SQL, READS_SQL, SNPS_SQL
@@ -283,6 +283,18 @@ def mixture_em(spark, d):
     return rounded(pl.mixture_em(counts, start, 3)[0], "z", digits=5)
 
 
+_POST = [f"pow(10.0, -pl{g}/10.0)*{_H[g]}" for g in range(3)]
+
+
+@query(
+    f"WITH {PANEL_SQL}, {_em_sql(10)} SELECT sample, snp, " + ", ".join(f"round({_POST[g]} / ({' + '.join(_POST)}), 6) p{g}" for g in range(3)) + " FROM pls JOIN em10 USING (snp)"
+)
+def posterior_shares(spark, d):
+    """Genotype shares from PL and the pooled frequency after ten rounds."""
+    pls = vr.pl_from_gt(views.panel(spark, d))
+    return rounded(pl.posterior_shares(pls, vr.pooled_af_em(pls)), "p0", "p1", "p2")
+
+
 def _pair_sql(alpha: float, where: str) -> str:
     """Likelihoods of (cell, s1, s2) where a share of the bases comes from the second sample."""
     states = [(f"g{l}{k}", l / 2 + (k - l) * alpha / 2) for l in range(3) for k in range(3)]

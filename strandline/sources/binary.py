@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -145,3 +145,58 @@ def read_haplotype_blocks(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(list(parse_haplotype_blocks(text.as_py().split("\n"))), arrow)
 
     return texts.select(F.col("value")).mapInArrow(run, schema)
+
+
+def haplotype_alleles(blocks: DataFrame, haplotypes: list[int]) -> DataFrame:
+    """(chrom, pos, ref, alt, haplotype, allele) of some haplotypes of blocks of representatives."""
+    wanted = F.explode(F.array(*[F.lit(h) for h in haplotypes])).alias("haplotype")
+    rows = blocks.select("reps", F.explode("sites").alias("s")).select("reps", "s", wanted)
+    rep = F.get("reps", F.col("haplotype"))
+    allele = F.array_contains(F.col("s.carriers"), rep).cast("int").alias("allele")
+    return rows.filter(rep.isNotNull()).select("s.chrom", "s.pos", "s.ref", "s.alt", "haplotype", allele)
+
+
+def haplotype_block_lines(alleles: DataFrame, per_block: int) -> DataFrame:
+    """(chrom, block, line_number, value): blocks of representative haplotypes from (chrom, pos, ref, alt, haplotype, allele).
+
+    Blocks are ``per_block`` successive variants; haplotypes alike in all of them
+    share a representative, numbered by first holder.  Carriers are written as
+    steps from one carrier to the next.
+    """
+    order = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
+    sites = alleles.select("chrom", "pos", "ref", "alt").distinct().withColumn("n", F.row_number().over(order) - 1)
+    keyed = alleles.join(sites, ["chrom", "pos", "ref", "alt"]).withColumn("block", F.floor(F.col("n") / per_block))
+    rows = F.sort_array(F.collect_list(F.struct("n", "allele")))
+    held = keyed.groupBy("chrom", "block", "haplotype").agg(F.array_join(F.transform(rows, lambda x: x["allele"].cast("string")), "").alias("word"))
+    words = held.groupBy("chrom", "block", "word").agg(F.min("haplotype").alias("first"))
+    words = words.withColumn("rep", F.row_number().over(Window.partitionBy("chrom", "block").orderBy("first")) - 1)
+    reps = held.join(words.select("chrom", "block", "word", "rep"), ["chrom", "block", "word"])
+    said = reps.groupBy("chrom", "block").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("haplotype", "rep"))), lambda x: x["rep"].cast("string")), "|").alias("reps"), (F.max("rep") + 1).alias("n_reps")
+    )
+    edges = keyed.groupBy("chrom", "block").agg(F.min("pos").alias("pos"), F.count_distinct("n").alias("n_sites"))
+    head = said.join(edges, ["chrom", "block"]).select(
+        "chrom", "block", F.lit(-1).cast("long").alias("line_number"),
+        F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), F.lit("."), F.lit("."), F.lit("."), F.lit("."),
+                    F.concat(F.lit("VARIANTS="), F.col("n_sites").cast("string"), F.lit(";REPS="), F.col("n_reps").cast("string")), F.lit("GT"), F.col("reps")).alias("value"),
+    )
+    own = sites.withColumn("block", F.floor(F.col("n") / per_block)).withColumn("place", (F.col("n") % per_block + 1).cast("int"))
+    carried = own.join(words, ["chrom", "block"]).filter(F.substring("word", F.col("place"), F.lit(1)) == "1")
+    carriers = carried.groupBy("chrom", "block", "n").agg(F.sort_array(F.collect_list("rep")).alias("c"))
+    steps = F.transform("c", lambda x, i: (x - F.when(i > 0, F.get("c", i - 1)).otherwise(0)).cast("string"))
+    body = own.join(carriers.select("chrom", "block", "n", F.array_join(steps, ",").alias("steps")), ["chrom", "block", "n"], "left")
+    name = F.concat_ws(":", "chrom", F.col("pos").cast("string"))
+    lines = body.select(
+        "chrom", "block", F.col("n").cast("long").alias("line_number"),
+        F.concat_ws("\t", "chrom", F.col("pos").cast("string"), name, "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.coalesce("steps", F.lit(""))).alias("value"),
+    )
+    return head.unionByName(lines)
+
+
+def write_haplotype_blocks(alleles: DataFrame, path: str, per_block: int = 100) -> None:
+    """A text file of blocks in order, after its heading."""
+    spark = alleles.sparkSession
+    lines = haplotype_block_lines(alleles, per_block)
+    head = spark.createDataFrame([("", -1, 0, "##fileformat=M3VCF"), ("", -1, 1, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT")], "chrom string, block long, line_number long, value string")
+    every = head.unionByName(lines.withColumn("block", F.col("block").cast("long")))
+    every.coalesce(1).sortWithinPartitions("chrom", "block", "line_number").select("value").write.mode("overwrite").text(path)
