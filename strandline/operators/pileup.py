@@ -131,22 +131,50 @@ def singlet_score(nine: DataFrame, snps: DataFrame) -> DataFrame:
     ).withColumn("score", F.col("llk2") - F.col("llk0"))
 
 
+#: Cells of one block of a pairwise comparison.
+CELL_BLOCK = 256
+
+
 def pair_bayes_factors(nine: DataFrame, snps: DataFrame) -> DataFrame:
     """Same-person against different-person log likelihoods of cell pairs over shared variants.
 
-    The join is by variant; pairs are summed map-side before they move.
+    Cells are dealt over blocks by a hash and meet block by block: a variant of a
+    cell moves once for each block, and the pairs of two blocks are summed as
+    matrices, variant by variant.
     """
-    diagonal = nine.select("snp", "cell", *[F.col(f"g{g}{g}").alias(f"d{g}") for g in range(3)])
-    a = diagonal.withColumnsRenamed({"cell": "id1", "d0": "a0", "d1": "a1", "d2": "a2"})
-    b = diagonal.withColumnsRenamed({"cell": "id2", "d0": "b0", "d1": "b1", "d2": "b2"})
-    pairs = a.join(b, "snp").filter("id1 > id2").join(snps.select("snp", "af"), "snp")
-    h = hwe(F.col("af"))
-    same = sum((F.col(f"a{g}") * F.col(f"b{g}") * h[g] for g in (1, 2)), F.col("a0") * F.col("b0") * h[0])
-    left = sum((F.col(f"a{g}") * h[g] for g in (1, 2)), F.col("a0") * h[0])
-    right = sum((F.col(f"b{g}") * h[g] for g in (1, 2)), F.col("b0") * h[0])
-    return pairs.groupBy("id1", "id2").agg(
-        F.count(F.lit(1)).alias("n_snps"), F.sum(F.log(same)).alias("llk2"), F.sum(F.log(left * right)).alias("llk0")
-    ).withColumn("ldiff", F.col("llk2") - F.col("llk0"))
+    n = nine.select("cell").distinct().count()
+    blocks = max(1, -(-n // CELL_BLOCK))
+    kinds = {f.name: f.dataType.simpleString() for f in nine.schema}
+    rows = nine.select("cell", "snp", *[F.col(f"g{g}{g}").alias(f"d{g}") for g in range(3)]).join(snps.select("snp", "af"), "snp")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = rows.select("cell", "snp", "d0", "d1", "d2", "af", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        rows = rows.sort_values(["snp", "cell"])
+        one, two = np.unique(rows["cell"][rows["b"] == p]), np.unique(rows["cell"][rows["b"] == q])
+        hits, same, apart = (np.zeros((len(one), len(two))) for _ in range(3))
+        cell, block, like, af = rows["cell"].to_numpy(), rows["b"].to_numpy(), rows[["d0", "d1", "d2"]].to_numpy(), rows["af"].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], rows["snp"].to_numpy()[1:] != rows["snp"].to_numpy()[:-1], [True])))
+        for begin, end in zip(edge[:-1], edge[1:]):
+            own, other = block[begin:end] == p, block[begin:end] == q
+            if not own.any() or not other.any():
+                continue
+            x, y = like[begin:end][own], like[begin:end][other]
+            h = np.array([(1 - af[begin]) ** 2, 2 * af[begin] * (1 - af[begin]), af[begin] ** 2])
+            at = np.ix_(np.searchsorted(one, cell[begin:end][own]), np.searchsorted(two, cell[begin:end][other]))
+            hits[at] += 1
+            same[at] += np.log((x * h) @ y.T)
+            apart[at] += np.log(np.outer(x @ h, y @ h))
+        i, j = np.nonzero(hits)
+        if p == q:
+            i, j = i[one[i] > two[j]], j[one[i] > two[j]]
+        a, b = one[i], two[j]
+        return pd.DataFrame({"id1": np.maximum(a, b), "id2": np.minimum(a, b), "n_snps": hits[i, j].astype(np.int64), "llk2": same[i, j], "llk0": apart[i, j]})
+
+    out = met.groupBy("p", "q").applyInPandas(compare, f"id1 {kinds['cell']}, id2 {kinds['cell']}, n_snps long, llk2 double, llk0 double")
+    return out.withColumn("ldiff", F.col("llk2") - F.col("llk0"))
 
 
 def genotype_shares(panel: DataFrame, error: float = 0.1) -> DataFrame:

@@ -182,20 +182,56 @@ def ibs_matrix(queries: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
+#: Samples of one block of a pairwise comparison, and genotypes of one matrix product.
+SAMPLE_BLOCK, PRODUCT_CELLS = 512, 1 << 24
+
+
 def ibs0_free_pairs(panel: DataFrame, min_hom: int = 1) -> DataFrame:
-    """Pairs of samples without any site of opposite homozygotes.
+    """Pairs (id1, id2) of samples without any site of opposite homozygotes.
 
-    Sites need ``min_hom`` of either homozygote.  A pair is found by its sites
-    with opposite homozygotes and taken from all pairs of the table of samples.
+    Sites need ``min_hom`` of either homozygote.  Samples are dealt over blocks by
+    a hash and meet block by block: opposite homozygotes of all pairs of two
+    blocks are counted by matrix products over stretches of sites.
     """
     homs = panel.groupBy("snp").agg(count_if(F.col("code") == 1).alias("h0"), count_if(F.col("code") == 3).alias("h2"))
-    good = panel.join(homs.filter((F.col("h0") >= min_hom) & (F.col("h2") >= min_hom)).select("snp"), "snp", "left_semi")
-    ref = good.filter("code = 1").select("snp", F.col("sample").alias("x"))
-    alt = good.filter("code = 3").select("snp", F.col("sample").alias("y"))
-    opposite = ref.join(alt, "snp").select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2")).distinct()
-    one = panel.select(F.col("sample").alias("id1")).distinct()
-    two = panel.select(F.col("sample").alias("id2")).distinct()
-    return one.join(two, F.col("id1") < F.col("id2")).join(opposite, ["id1", "id2"], "left_anti")
+    good = homs.filter((F.col("h0") >= min_hom) & (F.col("h2") >= min_hom)).select("snp")
+    names = panel.select("sample").distinct()
+    blocks = max(1, -(-names.count() // SAMPLE_BLOCK))
+    block = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
+    told = panel.join(good, "snp", "left_semi").filter("code in (1, 3)").select("sample", F.xxhash64("snp").alias("snp"), (F.col("code") == 3).alias("alt"))
+    # a row without a site for each sample, so that those without homozygotes meet the others too
+    rows = told.unionByName(names.select("sample", F.lit(None).cast("long").alias("snp"), F.lit(False).alias("alt"))).withColumn("b", block)
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = rows.select("sample", "snp", "alt", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    kind = panel.schema["sample"].dataType.simpleString()
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        one, two = np.unique(rows["sample"][rows["b"] == p]), np.unique(rows["sample"][rows["b"] == q])
+        apart = np.zeros((len(one), len(two)), bool)
+        rows = rows[rows["snp"].notna()]
+        snp = rows["snp"].to_numpy(dtype=np.int64)
+        sites, place = np.unique(snp, return_inverse=True)
+        who, block, alt = rows["sample"].to_numpy(), rows["b"].to_numpy(), rows["alt"].to_numpy(dtype=bool)
+        step = max(1, PRODUCT_CELLS // max(len(one) + len(two), 1))
+        for begin in range(0, len(sites), step):
+            inside = (place >= begin) & (place < begin + step)
+
+            def homozygotes(ids: np.ndarray, of: int, is_alt: bool) -> np.ndarray:
+                at = inside & (block == of) & (alt == is_alt)
+                out = np.zeros((len(ids), min(step, len(sites) - begin)), np.float32)
+                out[np.searchsorted(ids, who[at]), place[at] - begin] = 1
+                return out
+
+            apart |= homozygotes(one, p, False) @ homozygotes(two, q, True).T > 0
+            apart |= homozygotes(one, p, True) @ homozygotes(two, q, False).T > 0
+        i, j = np.nonzero(~apart)
+        if p == q:
+            i, j = i[one[i] < two[j]], j[one[i] < two[j]]
+        a, b = one[i], two[j]
+        return pd.DataFrame({"id1": np.minimum(a, b), "id2": np.maximum(a, b)})
+
+    return met.groupBy("p", "q").applyInPandas(compare, f"id1 {kind}, id2 {kind}")
 
 
 def trio_table(panel: DataFrame, trios: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.__main__ import main
-from strandline.operators import clustering, pileup, variants
+from strandline.operators import clustering, intervals, pileup, variants
 from tests.test_files import SAM, VCF
 
 
@@ -116,3 +116,42 @@ def test_new_commands(spark, files):
     assert run(spark, files, "run-test", "--tsv", f"{f}/m.tsv")[0]["lines"] == "3"
     moved = run(spark, files, "bed-matched-shuffle", "--bed", f"{f}/pos.bed", "--places", f"{f}/pos.bed", "--fasta", f"{f}/a.fa")
     assert all(int(r["to_end"]) - int(r["to_beg"]) == int(r["end"]) - int(r["beg"]) for r in moved)
+
+
+def test_pairs_without_opposite_homozygotes(spark, monkeypatch):
+    """Blocks of three samples, sites two at a time, against all pairs."""
+    monkeypatch.setattr(variants, "SAMPLE_BLOCK", 3)
+    monkeypatch.setattr(variants, "PRODUCT_CELLS", 8)
+    rng = np.random.default_rng(7)
+    codes = rng.choice(4, (11, 6), p=[0.2, 0.15, 0.5, 0.15])
+    codes[10] = 2
+    rows = [(s, v, int(codes[s, v])) for s in range(11) for v in range(6)]
+    got = {(r.id1, r.id2) for r in variants.ibs0_free_pairs(spark.createDataFrame(rows, "sample int, snp int, code int")).collect()}
+    usable = [v for v in range(6) if (codes[:, v] == 1).any() and (codes[:, v] == 3).any()]
+    want = {(i, j) for i in range(11) for j in range(i + 1, 11) if not any({codes[i, v], codes[j, v]} == {1, 3} for v in usable)}
+    assert got == want and 0 < len(want) < 55
+
+
+def test_cells_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    genotypes = rng.integers(0, 3, (3, 40))
+    nine = pileup.nine_state(bases(spark, rng, genotypes, [(i % 3, i % 3, 0.0) for i in range(9)], 40, 2))
+    snps = spark.createDataFrame([(v, 0.3) for v in range(40)], "snp int, af double")
+    whole = sorted((r.id1, r.id2, r.n_snps, round(r.ldiff, 8)) for r in pileup.pair_bayes_factors(nine, snps).collect())
+    monkeypatch.setattr(pileup, "CELL_BLOCK", 2)
+    assert sorted((r.id1, r.id2, r.n_snps, round(r.ldiff, 8)) for r in pileup.pair_bayes_factors(nine, snps).collect()) == whole and len(whole) == 36
+
+
+def test_intervals_merge_over_borders(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(c), int(b), int(b + w)) for c, b, w in zip(rng.integers(0, 2, 300), rng.integers(-500, 5000, 300), rng.integers(0, 60, 300))]
+    table = spark.createDataFrame(rows, "chrom int, beg int, end int")
+    for adjacent in (False, True):
+        got = sorted(map(tuple, intervals.merge_intervals(table, adjacent=adjacent, width=64).select("chrom", "beg", "end").collect()))
+        want = []
+        for c, b, e in sorted(rows):
+            if want and want[-1][0] == c and b <= want[-1][2] + adjacent:
+                want[-1] = (c, want[-1][1], max(e, want[-1][2]))
+            else:
+                want.append((c, b, e))
+        assert got == want
