@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut
+from strandline.llm._shared import cut, uncut
 
 #: Rounds are logarithmic in the longest path; this many means that something is wrong.
 MAX_ROUNDS = 60
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(now, "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = cut(_star(_star(now, True), False), "stars")
+        before, now = now, cut(_star(_star(now, True), False), "stars")
+        uncut(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break

@@ -6,7 +6,7 @@ from strandline.llm.warc import BASE32
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = "list_filter(regexp_split_to_array({}, '" + _SPACE + "'), lambda x: x <> '')"
-_BOILER = " OR ".join(f"contains(lower(l), '{p}')" for p in q.BOILERPLATE)
+_BOILER = " OR ".join("contains(lower(l), '" + p.replace("'", "''") + "')" for p in q.BOILERPLATE)
 _MARKS = ", ".join(f"'{s}'" for s in q.SEPARATORS)
 
 OP4 = f"""

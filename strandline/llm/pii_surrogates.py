@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut, map_arrow, spread
+from strandline.llm._shared import cut, map_arrow, spread, uncut
 
 DEFAULT_KEY = "strandline surrogates"
 #: Attempts after which a surrogate grows by one character.
@@ -353,13 +353,16 @@ def exceptions(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame
     for _ in range(MAX_ROUNDS):
         losers = cut(collisions(units), "collisions")
         if losers.isEmpty():
+            uncut(losers)
             break
         moved = units.join(losers.withColumn("moved", F.lit(True)), ["kind", "canonical"], "left")
         moved = moved.withColumn("moved", F.coalesce("moved", F.lit(False))).withColumn(
             "attempt", F.col("attempt") + F.col("moved").cast("int")
         )
         moved = moved.select("kind", "canonical", "surrogate", "attempt", "moved")
-        units = cut(map_arrow(moved, again, "kind string, canonical string, surrogate string, attempt int"), "entities")
+        before, units = units, cut(map_arrow(moved, again, "kind string, canonical string, surrogate string, attempt int"), "entities")
+        uncut(before)
+        uncut(losers)
     else:
         raise RuntimeError("surrogates still collide")
     moved = units.filter("attempt > 0").select("kind", "canonical", "attempt")

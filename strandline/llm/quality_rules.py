@@ -36,6 +36,7 @@ SEPARATORS = ("|", ">", "»", "•")
 SEPARATOR_TOKEN = r"(?:^|[\x20\x09-\x0D])[|>»•](?=[\x20\x09-\x0D]|$)"
 #: Words that end in a run of exclamation marks.
 SHOUT_TOKEN = r"!!+(?=[\x20\x09-\x0D]|$)"
+#: Phrases of notices and controls, in lower case, in the four languages of the corpus.
 BOILERPLATE = (
     "accept all cookies",
     "all rights reserved",
@@ -46,6 +47,19 @@ BOILERPLATE = (
     "skip to content",
     "subscribe to our newsletter",
     "terms of use",
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "accepter les cookies",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar todas las cookies",
+    "política de privacidad",
+    "términos de uso",
+    "todos los derechos reservados",
 )
 #: Percent of a line's words that may be separators or shouts; symbols per 100 words.
 MAX_SEPARATOR_PERCENT = 20
