@@ -290,12 +290,12 @@ def interval_total_length(spark, d):
 
 @query(
     f'WITH {INTERVALS_SQL} SELECT a.id, b.id id2, CAST(least(a."end", b."end") - greatest(a.beg, b.beg) + 1 AS INT) bases FROM ivl a JOIN ivl b '
-    'ON a.chrom = b.chrom AND a.beg <= b."end" AND b.beg <= a."end" AND a.id < b.id'
+    'ON a.chrom = b.chrom AND a.beg <= b."end" AND b.beg <= a."end" WHERE NOT a.target AND b.target'
 )
 def interval_overlap_join(spark, d):
     v = views.intervals(spark, d)
-    v = v.drop("target")
-    pairs = iv.overlap_join(v, v.withColumnRenamed("id", "id2"), ["chrom"], 32).filter("id < id2")
+    own, targets = v.filter("not target").drop("target"), v.filter("target").drop("target").withColumnRenamed("id", "id2")
+    pairs = iv.overlap_join(own, targets, ["chrom"], 32)
     return pairs.select("id", "id2", iv.overlap_bases(F.col("beg"), F.col("end"), F.col("beg2"), F.col("end2")).alias("bases"))
 
 
