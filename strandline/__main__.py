@@ -118,7 +118,7 @@ def _ancestry(spark, o):
 def _isaf(spark, o):
     dosages = coded(spark, o.vcf).select("sample", "snp", F.when(F.col("code") > 0, F.col("code") - 1.0).alias("ds"))
     _, v = kernels.principal_components(dosages, int(o.max_pc))
-    return kernels.individual_frequencies(likelihoods(spark, o.vcf), {r.sample: r.v for r in v.collect()})
+    return kernels.individual_frequencies(likelihoods(spark, o.vcf), v)
 
 
 @command("vcf-ibs0-phase", "vcf", "chrom=")

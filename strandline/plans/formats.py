@@ -17,7 +17,7 @@ from strandline.operators.lineage import shared_dir
 from strandline.plans import views
 from strandline.plans.registry import query
 from strandline.plans.views import PANEL_SQL, READS_SQL, SNPS_SQL
-from strandline.sources import packed, profiles, sinks, text
+from strandline.sources import binary, packed, profiles, sinks, text
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -201,6 +201,36 @@ _expression("expression_n_pass", "N_PASS(FMT/GQ > 40) >= 2 && F_PASS(FMT/DP > 18
 _expression("expression_phred", "MIN(PHRED(FMT/DP / 100)) < 6 && MAX(ABS(FMT/GQ - 30)) > 25", "max(dp) / 100.0 > pow(10, -0.6) AND max(abs(gq - 30)) > 25")
 
 
+@query(f"WITH {PANEL_SQL} SELECT 'rs' || snp rsid, CAST(snp + 1 AS INT) pos, sample, CASE WHEN code = 0 THEN -1 ELSE CAST(code - 1 AS INT) END dose FROM panel")
+def bgen_scan(spark, d):
+    """Genotype shares packed, read, and taken as the likeliest genotype."""
+    panel = views.panel(spark, d)
+    g = panel.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("sample", "code"))).alias("c"))
+    code = lambda i: F.col("c")[i]
+    share = lambda i: F.when(code(i).isNotNull() & (code(i) > 0), F.array(*[(code(i) == k + 1).cast("float") for k in range(3)]))
+    rows = g.select(
+        F.concat(F.lit("v"), F.col("snp").cast("string")).alias("id"), F.concat(F.lit("rs"), F.col("snp").cast("string")).alias("rsid"), F.lit("1").alias("chrom"),
+        (F.col("snp") + 1).alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.array(*[share(i) for i in range(8)]).alias("gp"),
+    )
+    back = binary.bgen_of(binary.packed_bgen(rows, 8)).select("rsid", "pos", F.posexplode("gp").alias("sample", "s"))
+    best = F.when(F.col("s").isNull(), -1).otherwise(F.array_position(F.col("s").cast("array<double>"), F.lit(1.0)).cast("int") - 1)
+    # a file has all samples; those without a row in the panel are missing there and are left out here
+    return back.select("rsid", "pos", "sample", best.alias("dose")).join(panel.select("sample", (F.col("snp") + 1).alias("pos")), ["sample", "pos"], "left_semi")
+
+
+@query(f"WITH {PANEL_SQL} SELECT chrom, pos, haplotype, allele FROM (SELECT DISTINCT CAST(snp % 3 AS VARCHAR) chrom, CAST(snp + 1 AS INT) pos, h.h AS haplotype, CAST((snp * 7 + h.h * h.h) % 5 % 2 AS INT) allele FROM panel, (VALUES (0), (1), (2), (3), (4), (5)) h(h))")
+def haplotype_block_scan(spark, d):
+    """Haplotypes written as blocks of representatives and read back."""
+    sites = views.panel(spark, d).select("snp").distinct()
+    alleles = sites.withColumn("haplotype", F.explode(F.array(*[F.lit(h) for h in range(6)]))).select(
+        (F.col("snp") % 3).cast("string").alias("chrom"), (F.col("snp") + 1).alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), "haplotype",
+        ((F.col("snp") * 7 + F.col("haplotype") * F.col("haplotype")) % 5 % 2).cast("int").alias("allele"),
+    )
+    path = _path(spark, "haplotypes")
+    binary.write_haplotype_blocks(alleles, path, 10)
+    return binary.haplotype_alleles(binary.read_haplotype_blocks(spark, path), list(range(6))).select("chrom", "pos", "haplotype", "allele")
+
+
 # ---------------------------------------------------------------- reads
 
 SAM_SQL = (

@@ -628,8 +628,7 @@ def infer_ancestry(spark, d):
 @query()
 def individual_frequencies(spark, d):
     _, v = kernels.principal_components(_dosages(spark, d), 2)
-    # one row per sample of the panel: as many as there are people, not reads
-    return kernels.individual_frequencies(_likelihoods(spark, d), {r["sample"]: r.v for r in v.collect()})
+    return kernels.individual_frequencies(_likelihoods(spark, d), v)
 
 
 @query()

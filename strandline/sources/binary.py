@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Variants of one batch of a reader.
+BATCH_VARIANTS = 1000
+
+
 def parse_bgen(data: bytes) -> Iterator[tuple[str, str, str, int, str, str, list[tuple[float, float, float] | None]]]:
     """(id, rsid, chrom, pos, ref, alt, genotype shares per sample) of each variant of a BGEN file.
 
@@ -71,13 +75,17 @@ def parse_bgen(data: bytes) -> Iterator[tuple[str, str, str, int, str, str, list
         yield name, rsid, chrom, pos, *alleles, shares
 
 
-def read_bgen(spark: SparkSession, path: str, from_variant: int = 0, n_variants: int | None = None) -> DataFrame:
-    """chrom, pos, id, rsid, ref, alt, gp (an array of three shares per sample, null if missing)."""
-    schema = "id string, rsid string, chrom string, pos int, ref string, alt string, gp array<array<float>>"
+BGEN_SQL = "id string, rsid string, chrom string, pos int, ref string, alt string, gp array<array<float>>"
+
+
+def bgen_of(contents: DataFrame, from_variant: int = 0, n_variants: int | None = None) -> DataFrame:
+    """Variants of BGEN files given as one binary column."""
     end = None if n_variants is None else from_variant + n_variants
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "rsid", "chrom", "pos", "ref", "alt", "gp"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.float32()))]
+        arrow = pa.schema(list(zip(names, types)))
         for batch in batches:
             for content in batch.column(0):
                 rows = []
@@ -85,10 +93,44 @@ def read_bgen(spark: SparkSession, path: str, from_variant: int = 0, n_variants:
                     if i < from_variant or (end is not None and i >= end):
                         continue
                     rows.append(dict(zip(names, (*v[:6], [list(s) if s else None for s in v[6]]))))
-                types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, types))))
+                    if len(rows) == BATCH_VARIANTS:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return contents.mapInArrow(run, BGEN_SQL)
+
+
+def read_bgen(spark: SparkSession, path: str, from_variant: int = 0, n_variants: int | None = None) -> DataFrame:
+    """chrom, pos, id, rsid, ref, alt, gp (an array of three shares per sample, null if missing)."""
+    return bgen_of(spark.read.format("binaryFile").load(path).select("content"), from_variant, n_variants)
+
+
+def encode_bgen(rows: list[dict], n_samples: int) -> bytes:
+    """A BGEN file (layout 2, zlib, 8 bits) of rows as :func:`read_bgen` gives them."""
+
+    def text(form: str, value: str) -> bytes:
+        return struct.pack(form, len(value)) + value.encode()
+
+    out = [struct.pack("<IIII4sI", 20, 20, len(rows), n_samples, b"bgen", 1 | 2 << 2)]
+    for r in rows:
+        body = struct.pack("<IHBB", n_samples, 2, 2, 2) + bytes(2 | (128 if g is None else 0) for g in r["gp"]) + bytes([0, 8])
+        body += b"".join(bytes(round(x * 255) for x in g[:2]) if g else bytes(2) for g in r["gp"])
+        squeezed = zlib.compress(body)
+        out += [text("<H", r["id"]), text("<H", r["rsid"]), text("<H", r["chrom"]), struct.pack("<IH", r["pos"], 2), text("<I", r["ref"]), text("<I", r["alt"])]
+        out += [struct.pack("<II", len(squeezed) + 4, len(body)), squeezed]
+    return b"".join(out)
+
+
+def packed_bgen(variants: DataFrame, n_samples: int) -> DataFrame:
+    """(content): one file for each partition of variants; the head of a file tells their number, so a partition is held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([encode_bgen(rows, n_samples)], pa.binary())], ["content"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return variants.mapInArrow(run, "content binary")
 
 
 def parse_haplotype_blocks(lines: list[str]) -> Iterator[dict]:

@@ -20,7 +20,10 @@ def panel_of(rnd, n_samples=12, n_snps=60):
     return rnd.binomial(2, af), group
 
 
-def test_components_and_ancestry(spark):
+@pytest.mark.parametrize("exact", [2048, 0])
+def test_components_and_ancestry(spark, monkeypatch, exact):
+    """By the square of the samples, and by the sketch."""
+    monkeypatch.setattr(kernels, "EXACT_SAMPLES", exact)
     g, group = panel_of(np.random.default_rng(1))
     rows = [(f"s{i}", k, float(g[i, k])) for i in range(len(g)) for k in range(g.shape[1])]
     ud, v = kernels.principal_components(spark.createDataFrame(rows, "sample string, snp int, ds double"), 2)
@@ -56,7 +59,7 @@ def test_individual_frequencies_and_em(spark):
     g, group = panel_of(np.random.default_rng(3), 20, 4)
     like = [(k, f"s{i}", *[1.0 if g[i, k] == c else 1e-6 for c in range(3)]) for i in range(20) for k in range(4)]
     df = spark.createDataFrame(like, "snp int, sample string, l0 double, l1 double, l2 double")
-    vectors = {f"s{i}": [float(2 * group[i] - 1) / math.sqrt(20)] for i in range(20)}
+    vectors = spark.createDataFrame([(f"s{i}", [float(2 * group[i] - 1) / math.sqrt(20)]) for i in range(20)], "sample string, v array<double>")
     got = {(r.snp, r["sample"]): r.isaf for r in kernels.individual_frequencies(df, vectors, max_lambda=0.01).collect()}
     for k in range(4):
         for side in (0, 1):
