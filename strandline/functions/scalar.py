@@ -160,3 +160,17 @@ def classify_variant(ref: Column, alt: Column) -> Column:
         .when((F.left(r, F.lit(1)) == F.left(a, F.lit(1))) & (F.least(F.length(r), F.length(a)) == 1), "INDEL")
         .otherwise("CLUMPED")
     )
+
+
+#: Substitutions between bases of one chemical class.
+TRANSITIONS = ("AG", "GA", "CT", "TC")
+
+
+def change_kind(ref: Column, alt: Column) -> Column:
+    """ts or tv of a SNP, ins or del of an INDEL; null for others."""
+    kind = classify_variant(ref, alt)
+    apart = F.filter(F.zip_with(F.split(ref, ""), F.split(alt, ""), lambda a, b: F.concat(a, b)), lambda x: (F.length(x) == 2) & (F.left(x, F.lit(1)) != F.right(x, F.lit(1))))
+    return (
+        F.when((kind == "SNP") & F.upper(F.get(apart, F.lit(0))).isin(*TRANSITIONS), "ts").when(kind == "SNP", "tv")
+        .when((kind == "INDEL") & (F.length(alt) > F.length(ref)), "ins").when(kind == "INDEL", "del")
+    )

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import scalar
 from strandline.functions.scalar import hwe
 
 SNP_MASKS = {"ALL": (0, 1, 2, 3), "NREF": (2, 3), "REF": (1,), "HET": (2,), "ALT": (3,), "MISS": (0,)}
@@ -50,6 +51,18 @@ def sample_summary(panel: DataFrame, site_ac: DataFrame | None = None, ac_bins:
     return panel.groupBy("sample").agg(*aggs)
 
 
+def sample_summary_by_kind(panel: DataFrame, af_bins: tuple[float, ...] = ()) -> DataFrame:
+    """Variants of each sample by genotype class, SNPs and others apart (``is_snp``); with bins also non-reference ones by the site's ``af``."""
+    sides = (("SNP", F.col("is_snp")), ("OTH", ~F.col("is_snp")))
+    aggs = [count_if(F.col("code").isin(*codes) & side).alias(f"{name}_{tag}") for name, codes in SNP_MASKS.items() for tag, side in sides]
+    low = 0.0
+    for high in af_bins:
+        inside = F.col("code").isin(2, 3) & (F.col("af") > low) & (F.col("af") <= high)
+        aggs += [count_if(inside & side).alias(f"AF_{int(high * 1000)}_{tag}") for tag, side in sides]
+        low = high
+    return panel.groupBy("sample").agg(*aggs)
+
+
 def sample_field_sums(panel: DataFrame, fields: tuple[str, ...] = ("dp", "gq")) -> DataFrame:
     return panel.groupBy("sample").agg(*[F.sum(f).cast("long").alias(f"sum_{f}") for f in fields])
 
@@ -281,28 +294,30 @@ def _weights(af: Column) -> list[Column]:
     return [F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0) * p for g, p in enumerate(hwe(af))]
 
 
-def pooled_af_em(pls: DataFrame, rounds: int = 10) -> DataFrame:
+def pooled_af_em(pls: DataFrame, rounds: int = 10, ploidy: str | None = None) -> DataFrame:
     """Allele frequency of each site by EM over genotype likelihoods (snp, sample, pl0, pl1, pl2), from one half.
 
-    Likelihoods of a site are gathered in sorted order as one array of small
-    structs, so a round is an expression, not a shuffle.
+    With a column of copies, samples of one copy count by the two homozygotes and
+    once, those of none not at all.  Likelihoods of a site are gathered in sorted
+    order as one array of small structs, so a round is an expression, not a shuffle.
     """
-    own = pls.groupBy("snp").agg(
-        F.sort_array(
-            F.collect_list(F.struct(*[F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0).alias(f"l{g}") for g in range(3)]))
-        ).alias("ls"),
-        F.count(F.lit(1)).alias("n"),
+    copies = F.lit(2) if ploidy is None else F.col(ploidy)
+    like = [F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0).alias(f"l{g}") for g in range(3)]
+    own = pls.filter(copies > 0).groupBy("snp").agg(
+        F.sort_array(F.collect_list(F.struct(*like, copies.cast("int").alias("c")))).alias("ls"), F.count(F.lit(1)).alias("n"), F.sum(copies).cast("long").alias("an")
     )
-    af: Column = F.lit(0.5)
-    out = own.withColumn("af", af)
+    out = own.withColumn("af", F.lit(0.5))
     low = F.greatest(F.lit(1e-5), F.lit(0.5) / (2 * F.col("n") + 1))
 
     def share(x: Column, p: Column) -> Column:
         w0, w1, w2 = (x[f"l{g}"] * w for g, w in enumerate(hwe(p)))
-        return (w1 + 2 * w2) / (w0 + w1 + w2)
+        two = (w1 + 2 * w2) / (w0 + w1 + w2)
+        if ploidy is None:
+            return two
+        return F.when(x["c"] == 1, x["l2"] * p / (x["l0"] * (1 - p) + x["l2"] * p)).otherwise(two)
 
     for _ in range(rounds):
-        new = F.aggregate("ls", F.lit(0.0), lambda a, x: a + share(x, F.col("af"))) / (2 * F.col("n"))
+        new = F.aggregate("ls", F.lit(0.0), lambda a, x: a + share(x, F.col("af"))) / F.col("an")
         out = out.withColumn("af", F.least(F.greatest(new, low), 1 - low))
     return out.select("snp", "n", "af")
 
@@ -377,11 +392,20 @@ def gap_clusters(rows: DataFrame, gap: int, by: list[str], order: str) -> DataFr
     ).drop("_new")
 
 
+def likely_candidates(found: DataFrame, min_qual: float = 0.0, error: float = 0.01) -> DataFrame:
+    """Candidates (qual, dp, ad) of enough quality whose alternate reads are no less likely at one half than at an error rate."""
+    at = lambda p: scalar.log_binomial(F.col("dp"), F.col("ad"), p)
+    return found.filter((F.col("qual") >= min_qual) & (F.col("ad") <= F.col("dp")) & (at(error) <= at(0.5)))
+
+
 def merge_candidates(found: DataFrame, key: list[str], max_samples: int = 10) -> DataFrame:
-    """Candidate variants over samples: best quality, support, a bounded sample of names, depth histogram of 20 bins."""
+    """Candidate variants over samples: best quality, support, a bounded sample of names, histograms of depth and, with ``ad``, of allele balance."""
     w = Window.partitionBy(*key).orderBy(F.xxhash64("sample"), "sample")
     ranked = found.withColumn("_r", F.row_number().over(w))
     bins = [count_if(F.least(F.floor(F.col("dp") / 5), F.lit(19)) == b).alias(f"dp_{b}") for b in range(20)]
+    if "ad" in found.columns:
+        balance = F.least(F.floor(F.col("ad") * 20 / F.greatest(F.col("dp"), F.lit(1))), F.lit(19))
+        bins += [count_if(balance == b).alias(f"ab_{b}") for b in range(20)]
     out = ranked.groupBy(*key).agg(
         F.max("qual").alias("qual"), F.count(F.lit(1)).alias("n_samples"),
         F.sort_array(F.collect_list(F.when(F.col("_r") <= max_samples, F.col("sample")))).alias("samples"), *bins,

@@ -15,7 +15,7 @@ from strandline.operators import variants as vr
 from strandline.plans import views
 from strandline.plans.formats import _FIVE, _sam, _sites, SAM_SQL, SITE_SQL
 from strandline.plans.queries import (
-    _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _em_sql, _hits, _read, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL,
+    _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _em_sql, _hits, _read, CI, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL, SITES_SQL,
 )
 from strandline.plans.registry import query, rounded
 from strandline.plans.views import INTERVALS_SQL, PANEL_SQL, READS_SQL, SNPS_SQL
@@ -97,6 +97,23 @@ def chromosome_kinds(spark, d):
     return rows.select("c", "p", scalar.chrom_kind(F.col("c"), F.col("p")).alias("kind"))
 
 
+_RA = (
+    "CASE p_size % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'AC' WHEN 2 THEN 'A' WHEN 3 THEN 'C' WHEN 4 THEN 'GTT' ELSE 'CA' END r, "
+    "CASE p_size % 6 WHEN 0 THEN 'G' WHEN 1 THEN 'A' WHEN 2 THEN 'ACC' WHEN 3 THEN 'G' WHEN 4 THEN 'GTA' ELSE 'CG' END a"
+)
+
+
+@query(
+    f"SELECT p_partkey, CASE WHEN length(a) > length(r) THEN 'ins' WHEN length(a) < length(r) THEN 'del' WHEN p_size % 6 IN (0, 5) THEN 'ts' ELSE 'tv' END change FROM (SELECT p_partkey, p_size, {_RA} FROM part)"
+)
+def variant_changes(spark, d):
+    """Transitions, transversions, insertions and deletions."""
+    k = F.col("p_size") % 6
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k + 1).cast("int"))
+    ref, alt = pick("A", "AC", "A", "C", "GTT", "CA"), pick("G", "A", "ACC", "G", "GTA", "CG")
+    return _read(spark, d, "part").select("p_partkey", scalar.change_kind(ref, alt).alias("change"))
+
+
 # ---------------------------------------------------------------- filters that need names, files or functions
 
 
@@ -231,9 +248,57 @@ def peak_pairs(spark, d):
     return rd.pair_peaks(ends.filter("fwd"), ends.filter("not fwd"), 40)
 
 
+# ---------------------------------------------------------------- samples and candidates
+
+_AFB = (0.25, 0.5, 1.0)
+_KINDS = (("SNP", "snp % 4 > 0"), ("OTH", "snp % 4 = 0"))
+_BY_KIND = ", ".join(f"{CI.format('code IN (' + ','.join(map(str, c)) + f') AND {w}')} \"{n}_{t}\"" for n, c in vr.SNP_MASKS.items() for t, w in _KINDS)
+_BY_AF = ", ".join(f"{CI.format(f'code IN (2,3) AND af > {lo} AND af <= {hi} AND {w}')} AF_{int(hi * 1000)}_{t}" for lo, hi in zip((0.0, *_AFB), _AFB) for t, w in _KINDS)
+
+
+@query(f"WITH {PANEL_SQL}, {SITES_SQL} SELECT sample, {_BY_KIND}, {_BY_AF} FROM panel JOIN sites USING (snp) GROUP BY sample")
+def sample_summary_by_kind(spark, d):
+    panel = views.panel(spark, d)
+    joined = panel.join(vr.site_counts(panel).select("snp", "af"), "snp").withColumn("is_snp", F.col("snp") % 4 > 0)
+    return vr.sample_summary_by_kind(joined, _AFB)
+
+
+_LB = "lgamma(dp + 1) - lgamma(ad + 1) - lgamma(dp - ad + 1) + ad * ln({p}) + (dp - ad) * ln(1 - {p})"
+_ABB = ", ".join(f"{CI.format(f'least(floor(ad * 20 / greatest(dp, 1)::DOUBLE), 19) = {b}')} ab_{b}" for b in range(20))
+
+
+@query(
+    f"WITH {PANEL_SQL}, f AS (SELECT snp, gq qual, dp, CAST(gq % (dp + 1) AS INT) ad FROM panel WHERE code > 1) SELECT snp, max(qual) qual, CAST(count(*) AS BIGINT) n_samples, {_ABB} FROM f "
+    f"WHERE qual >= 5 AND {_LB.format(p='0.01::DOUBLE')} <= {_LB.format(p='0.5::DOUBLE')} GROUP BY snp"
+)
+def candidate_variants(spark, d):
+    """Candidates that pass the test of balance, merged over samples."""
+    found = views.panel(spark, d).filter("code > 1").select("sample", "snp", F.col("gq").alias("qual"), "dp", (F.col("gq") % (F.col("dp") + 1)).cast("int").alias("ad"))
+    return vr.merge_candidates(vr.likely_candidates(found, 5), ["snp"]).select("snp", "qual", "n_samples", *[f"ab_{b}" for b in range(20)])
+
+
 # ---------------------------------------------------------------- iterations, unrolled in SQL
 
 
+def _ploidy_sql(rounds: int) -> str:
+    out = f"{PLS_SQL}, lik AS (SELECT snp, c, pow(10.0, -pl0/10.0) l0, pow(10.0, -pl1/10.0) l1, pow(10.0, -pl2/10.0) l2 FROM (SELECT *, CASE WHEN snp % 22 <> 20 OR sample % 2 = 1 THEN 2 WHEN sample % 4 = 0 THEN 0 ELSE 1 END c FROM pls) WHERE c > 0), "
+    out += "em0 AS (SELECT DISTINCT snp, 0.5::DOUBLE af FROM lik)"
+    for r in range(1, rounds + 1):
+        out += (
+            f", em{r} AS (SELECT snp, least(greatest(sum(CASE WHEN c = 1 THEN l2*af/(l0*(1-af) + l2*af) ELSE (2*af*(1-af)*l1 + 2*af*af*l2) / ((1-af)*(1-af)*l0 + 2*af*(1-af)*l1 + af*af*l2) END) / sum(c), "
+            f"greatest(1e-5, 0.5/(2*count(*)+1))), 1 - greatest(1e-5, 0.5/(2*count(*)+1))) af, CAST(count(*) AS BIGINT) n FROM lik JOIN em{r - 1} USING (snp) GROUP BY snp)"
+        )
+    return out
+
+
+@query(f"WITH {PANEL_SQL}, {_ploidy_sql(10)} SELECT snp, n, round(af, 6) af FROM em10")
+def pooled_af_em_by_ploidy(spark, d):
+    """Samples of two, one and no copies at the sites of one chromosome."""
+    pls = vr.pl_from_gt(views.panel(spark, d))
+    copies = F.when((F.col("snp") % 22 != 20) | (F.col("sample") % 2 == 1), 2).when(F.col("sample") % 4 == 0, 0).otherwise(1)
+    return rounded(vr.pooled_af_em(pls.withColumn("copies", copies), ploidy="copies"), "af")
+
+
 def _gf_sql(rounds: int) -> str:
     out = f"{PLS_SQL}, lik AS (SELECT snp, pow(10.0, -pl0/10.0) l0, pow(10.0, -pl1/10.0) l1, pow(10.0, -pl2/10.0) l2 FROM pls), "
     out += "f0 AS (SELECT DISTINCT snp, 1/3.0::DOUBLE g0, 1/3.0::DOUBLE g1, 1/3.0::DOUBLE g2, 0.5::DOUBLE p FROM lik)"
