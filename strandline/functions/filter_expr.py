@@ -5,7 +5,7 @@ Operands: numbers, strings in quotes, site columns (CHROM, POS, ID, REF, ALT, QU
 Comparisons: = == != < <= > >= and ~ !~ (regular expression); arithmetic + - * /; functions MAX MIN AVG MEAN MEDIAN
 STDEV SUM COUNT ABS STRLEN, their per-sample forms SMPL_* and s*, N_PASS, F_PASS, BINOM, PHRED, and those that a caller
 gives.  Vectors are indexed by one place, a range or a list: AD[0], AF[1-], AF[0,2].  @name stands for the lines of a
-file, compared as a list of strings.  TYPE compares exactly by =, and by ~ if any allele has the type.
+file, compared as a list of strings.  TYPE has a value for each allele and compares as other vectors do.
 
 ``&`` and ``|`` combine per-sample conditions within a sample, ``&&`` and ``||`` across samples.  A vector compares
 existentially.  On missing values ``=`` holds only if both sides are missing, ``!=`` only if one is, others never.

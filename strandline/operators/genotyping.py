@@ -38,8 +38,8 @@ def contaminated_pl(bases: DataFrame, contamination: float = 0.0) -> DataFrame:
     return out.select("sample", "snp", "dp", "ad0", "ad1", *pl)
 
 
-#: Sums that add up over samples and files; ratios of them are the site's statistics.
-SITE_SUMS = ("abe_num", "abe_den", "abz_num", "abz_den", "bqz_num", "stz_num", "w2", "n_samples", "dp")
+#: Statistics that correlate the allele with a column of the bases.
+COVARIATES = {"bqz": "bq", "stz": "fwd"}
 
 
 def _correlation(n, sx, sxx, sy, syy, sxy) -> Column:
@@ -47,26 +47,38 @@ def _correlation(n, sx, sxx, sy, syy, sxy) -> Column:
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).otherwise(F.lit(0.0))
 
 
-def sample_site_sums(bases: DataFrame, hets: DataFrame) -> DataFrame:
-    """Weighted sums of each variant over samples: allele balance of heterozygotes, and correlation of the allele with quality and strand.
+def sample_site_sums(bases: DataFrame, hets: DataFrame, covariates: dict[str, str] | None = None, mismatches: str | None = None) -> DataFrame:
+    """Weighted sums of each variant over samples: allele balance of heterozygotes, and correlation of the allele with other columns.
 
-    Two levels: bases to (sample, snp), then to snp; both are summed map-side.
-    ``hets`` are (sample, snp) called heterozygous.
+    ``covariates`` name a statistic for each column (quality, strand, mapping
+    quality, cycle ...); ``mismatches`` is the column whose means by allele give
+    nm0 and nm1.  Two levels: bases to (sample, snp), then to snp; both are summed
+    map-side.  ``hets`` are (sample, snp) called heterozygous.
     """
-    alt, q, s = (F.col("allele") == 1).cast("double"), F.col("bq").cast("double"), F.col("fwd").cast("double")
-    per = bases.filter("allele < 2").groupBy("sample", "snp").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(1 - alt).alias("ref"), F.sum(alt).alias("a"), F.sum(q).alias("q"),
-        F.sum(q * q).alias("qq"), F.sum(q * alt).alias("qa"), F.sum(s).alias("s"), F.sum(s * alt).alias("sa"),
-    )
+    covariates = covariates or COVARIATES
+    alt = (F.col("allele") == 1).cast("double")
+    sums = []
+    for name, column in covariates.items():
+        x = F.col(column).cast("double")
+        sums += [F.sum(x).alias(f"{name}_x"), F.sum(x * x).alias(f"{name}_xx"), F.sum(x * alt).alias(f"{name}_xa")]
+    if mismatches:
+        m = F.col(mismatches).cast("double")
+        sums += [F.avg(F.when(alt == side, m)).alias(f"nm{side}") for side in (0, 1)]
+    per = bases.filter("allele < 2").groupBy("sample", "snp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(1 - alt).alias("ref"), F.sum(alt).alias("a"), *sums)
     per = per.join(hets.select("sample", "snp", F.lit(1.0).alias("het")), ["sample", "snp"], "left").fillna(0.0, ["het"])
-    n, w, het = F.col("n"), F.log(F.col("n") + 1), F.col("het")
-    bq = _correlation(n, F.col("q"), F.col("qq"), F.col("a"), F.col("a"), F.col("qa"))
-    st = _correlation(n, F.col("s"), F.col("s"), F.col("a"), F.col("a"), F.col("sa"))
+    n, w, het, a = F.col("n"), F.log(F.col("n") + 1), F.col("het"), F.col("a")
+    more = []
+    for name in covariates:
+        z = _correlation(n, F.col(f"{name}_x"), F.col(f"{name}_xx"), a, a, F.col(f"{name}_xa"))
+        more.append(F.sum(F.sqrt(n) * z * w).alias(f"{name}_num"))
+    if mismatches:
+        for side in (0, 1):
+            mean = F.col(f"nm{side}")
+            more += [F.sum(w * mean).alias(f"nm{side}_num"), F.sum(F.when(mean.isNotNull(), w)).alias(f"nm{side}_den")]
     return per.groupBy("snp").agg(
         F.sum(het * w * (F.col("ref") + 0.05) / (n + 0.1)).alias("abe_num"), F.sum(het * w).alias("abe_den"),
         F.sum(het * w * (F.col("ref") - n / 2) / F.sqrt(n / 4 + 1e-3)).alias("abz_num"), F.sum(het * w * w).alias("abz_den"),
-        F.sum(F.sqrt(n) * bq * w).alias("bqz_num"), F.sum(F.sqrt(n) * st * w).alias("stz_num"), F.sum(w * w).alias("w2"),
-        F.count(F.lit(1)).cast("double").alias("n_samples"), F.sum("n").alias("dp"),
+        F.sum(w * w).alias("w2"), F.count(F.lit(1)).cast("double").alias("n_samples"), F.sum("n").alias("dp"), *more,
     )
 
 
@@ -75,16 +87,16 @@ def merge_site_sums(*parts: DataFrame) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("snp").agg(*[F.sum(c).alias(c) for c in SITE_SUMS])
+    return every.groupBy("snp").agg(*[F.sum(c).alias(c) for c in parts[0].columns if c != "snp"])
 
 
 def site_statistics(sums: DataFrame) -> DataFrame:
+    """Allele balance, one statistic for each covariate, and mean mismatches by allele where they were summed."""
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
     root = lambda a, b: F.col(a) / F.sqrt(F.nullif(F.col(b), F.lit(0.0)))
-    return sums.select(
-        "snp", "n_samples", "dp", ratio("abe_num", "abe_den").alias("abe"), root("abz_num", "abz_den").alias("abz"),
-        root("bqz_num", "w2").alias("bqz"), root("stz_num", "w2").alias("stz"),
-    )
+    names = [c[:-4] for c in sums.columns if c.endswith("_num") and c[:-4] not in ("abe", "abz")]
+    more = [(ratio(f"{n}_num", f"{n}_den") if f"{n}_den" in sums.columns else root(f"{n}_num", "w2")).alias(n) for n in names]
+    return sums.select("snp", "n_samples", "dp", ratio("abe_num", "abe_den").alias("abe"), root("abz_num", "abz_den").alias("abz"), *more)
 
 
 def gene_hits(fragments: DataFrame, elements: DataFrame, kind: str = "exon", width: int = 10_000) -> DataFrame:

@@ -15,7 +15,7 @@ from strandline.operators import variants as vr
 from strandline.plans import views
 from strandline.plans.formats import _FIVE, _sam, _sites, SAM_SQL, SITE_SQL
 from strandline.plans.queries import (
-    _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _em_sql, _hits, _read, CI, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL, SITES_SQL,
+    _COR, _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _em_sql, _hits, _read, CI, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL, SITES_SQL,
 )
 from strandline.plans.registry import query, rounded
 from strandline.plans.views import INTERVALS_SQL, PANEL_SQL, READS_SQL, SNPS_SQL
@@ -263,6 +263,21 @@ def sample_summary_by_kind(spark, d):
     return vr.sample_summary_by_kind(joined, _AFB)
 
 
+@query(
+    f"WITH {READS_SQL}, p AS (SELECT cell, snp, count(*)::DOUBLE n, sum(allele)::DOUBLE a, sum(umi)::DOUBLE q, sum(umi*umi)::DOUBLE qq, sum(umi*allele)::DOUBLE qa, sum(bq*7%11)::DOUBLE s, "
+    "sum((bq*7%11)*(bq*7%11))::DOUBLE ss, sum((bq*7%11)*allele)::DOUBLE sa, avg(bq % 5) FILTER (WHERE allele = 0) m0, avg(bq % 5) FILTER (WHERE allele = 1) m1 FROM reads WHERE allele < 2 GROUP BY 1, 2), "
+    "w AS (SELECT *, ln(n + 1) w FROM p) SELECT snp, "
+    f"round(sum(sqrt(n)*w*({_COR.format(x='q', xx='qq', xa='qa')})) / sqrt(sum(w*w)), 6) mqz, round(sum(sqrt(n)*w*({_COR.format(x='s', xx='ss', xa='sa')})) / sqrt(sum(w*w)), 6) cyz, "
+    "round(sum(w*m0) / sum(w) FILTER (WHERE m0 IS NOT NULL), 6) nm0, round(sum(w*m1) / sum(w) FILTER (WHERE m1 IS NOT NULL), 6) nm1 FROM w GROUP BY snp"
+)
+def site_statistics_of_reads(spark, d):
+    """Correlation of the allele with mapping quality and cycle, and mean mismatches of reads by allele."""
+    bases = views.reads(spark, d).withColumnRenamed("cell", "sample").withColumn("cycle", F.col("bq") * 7 % 11).withColumn("nm", F.col("bq") % 5)
+    hets = bases.filter("allele < 2").groupBy("sample", "snp").agg(F.count_distinct("allele").alias("k")).filter("k = 2")
+    sums = gt.sample_site_sums(bases, hets, {"mqz": "umi", "cyz": "cycle"}, "nm")
+    return rounded(gt.site_statistics(sums).select("snp", "mqz", "cyz", "nm0", "nm1"), "mqz", "cyz", "nm0", "nm1")
+
+
 _LB = "lgamma(dp + 1) - lgamma(ad + 1) - lgamma(dp - ad + 1) + ad * ln({p}) + (dp - ad) * ln(1 - {p})"
 _ABB = ", ".join(f"{CI.format(f'least(floor(ad * 20 / greatest(dp, 1)::DOUBLE), 19) = {b}')} ab_{b}" for b in range(20))
 
