@@ -26,6 +26,15 @@ prune them, the full distance decides, and the shingle sets of what is left are
 compared exactly.  Bits per sample follow the logarithm of the number of
 fingerprints, the number of tables the wanted recall.
 
+That leaves links out: beyond the budget, in no common table, or within a long run
+whose forest held other pairs.  :func:`_rest` finds the rest exactly, among texts
+that are not yet of one class.  All shingles have one order, seldom ones first; two
+sets of similarity t share one of the first n - ceil(t n) + 1 of each, so these are
+the keys.  The place of a shared shingle bounds what two sets can share after it;
+parities of the members' last bits differ in no more bits than the sets in members;
+the sets of what is left are compared exactly.  No class of the wide ring is
+compared with itself, so a large group of near copies is not expanded into pairs.
+
 Defined cases: null and empty texts have no words and fingerprint zero, linked
 like any other; texts of fewer words than a shingle are one shingle; repeated rows
 share their class; rows without an id get a class but never name it; an empty
@@ -42,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import cut, map_arrow, spread
+from strandline.llm._shared import cut, map_arrow, spread, uncut
 from strandline.llm.components import connected_components
 
 SEED = 42
@@ -66,6 +75,13 @@ SIMILARITY = 0.8
 WIDE_RECALL = 0.98
 #: Distances by which forests of a long run are laid, so that a failed pair does not cut off its nearer neighbours.
 WIDE_FORESTS = (25, 38, WIDE_BUDGET)
+#: Fewest bits of the parities of a shingle set.
+PARITY_BITS = 512
+#: Shingles are ordered by how often their first bits occur, counted on about so many texts; any order gives the same result.
+ORDER_BITS = 16
+ORDER_TEXTS = 1 << 16
+#: Candidates that a task gathers before it hands them on.
+CANDIDATES = 1 << 19
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -294,22 +310,44 @@ def shingle_set(text: str, shingle_words: int = WIDE_SHINGLE_WORDS) -> np.ndarra
     return np.unique(np.array(_hashes(text, shingle_words), np.uint64))
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """Parities of how many members end in each value; at least two bits a member, a power of two in all."""
+    width = max(PARITY_BITS, 1 << (2 * len(own)).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the members that are in one of two sets only, from their parities; the wider are folded."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def wide_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
-    """(id column, h long, fp binary) for every row; h is a hash of the text."""
+    """(id column, h long, fp binary, n int, parity binary, s binary) for every row; h is a hash of the shingle set s of n members."""
     kind = docs.schema[id_col].dataType.simpleString()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    source = spread(docs.select(F.col(id_col).alias("k"), body.alias("t"))).withColumn("h", F.xxhash64("t"))
+    source = spread(docs.select(F.col(id_col).alias("k"), body.alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             sets = [shingle_set(value.as_py(), shingle_words) for value in batch.column(1)]
             counts = np.array([len(x) for x in sets], np.int64)
             joined = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             lanes = np.stack([simhash(_mixed(joined, lane), counts) for lane in range(WIDE_SEGMENTS // 4)], axis=1)
             fps = pa.array([x.tobytes() for x in lanes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], ["k", "h", "fp"])
+            held = [x.tobytes() for x in sets]
+            names = np.array([xxhash.xxh64_intdigest(x, SEED) for x in held], np.uint64).view(np.int64)
+            parities = pa.array([_parities(x).tobytes() for x in sets], pa.binary())
+            own = [pa.array(names), fps, pa.array(counts.astype(np.int32)), parities, pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], ["k", "h", "fp", "n", "parity", "s"])
 
-    return map_arrow(source.select("k", "t", "h"), run, f"k {kind}, h long, fp binary").withColumnRenamed("k", id_col)
+    schema = f"k {kind}, h long, fp binary, n int, parity binary, s binary"
+    return map_arrow(source.select("k", "t"), run, schema).withColumnRenamed("k", id_col)
 
 
 def wide_tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
@@ -389,21 +427,31 @@ def _wide_links(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     return map_arrow(keyed.select("fp", "key"), run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle_words: int, similarity: float) -> DataFrame:
-    """``pairs`` whose shingle sets have the similarity; one text stands for each fingerprint."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = nodes.join(ends, "fp", "left_semi").select("fp", "h")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(body.alias("t")).withColumn("h", F.xxhash64("t")).join(wanted, "h").groupBy("fp").agg(F.min("t").alias("t"))
+def _sieved(pairs: DataFrame, nodes: DataFrame, on: str, similarity: float) -> DataFrame:
+    """(a, b): hashes of the sets of ``pairs`` of the column ``on`` of ``nodes``, without those that parities show to be too far apart."""
+    own = [F.col(on), F.col("h"), F.col("n"), F.col("parity")]
+    met = pairs
+    for end, names in (("a", ("a", "x", "xn", "xp")), ("b", ("b", "y", "yn", "yp"))):
+        met = met.join(nodes.select(*[c.alias(name) for c, name in zip(own, names)]), end)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(value.as_py(), shingle_words).tobytes() for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.large_binary()).cast(pa.binary())], ["fp", "s"])
+            keep = []
+            for n, m, x, y in zip(*[batch.column(k).to_pylist() for k in range(2, 6)]):
+                most = (1 - similarity) * (n + m) / (1 + similarity)
+                keep.append(_apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= most * (1 + 1e-9) + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(met.select("x", "y", "xn", "yn", "xp", "yp"), near, "a long, b long")
 
-    held = cut(map_arrow(texts, sets, "fp binary, s binary"), "shingle-sets")
-    met = pairs.join(held.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(
-        held.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b"
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` of hashes whose shingle sets have the similarity; ``pairs`` are files of :func:`cut`, which go."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ends")
+    wanted = sets.select("h", "s").join(ends, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
+    held = cut(wanted, "met-sets")
+    met = pairs.join(held.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(
+        held.select(F.col("h").alias("b"), F.col("s").alias("y")), "b"
     )
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,31 +463,156 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, sh
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(met.select("a", "b", "x", "y"), alike, "a binary, b binary")
+    found = cut(map_arrow(met.select("a", "b", "x", "y"), alike, "a long, b long"), "links")
+    for done in (held, ends, pairs):
+        uncut(done)
+    return found
+
+
+# ---------------------------------------------------------------- the rest
+
+
+def _ranks(sets: DataFrame, n: int) -> np.ndarray:
+    """Rank of the first bits of a shingle hash: the seldomer, the smaller.  ``n`` is the number of sets."""
+    share = sets.filter(F.pmod(F.col("h"), F.lit(max(1, n // ORDER_TEXTS))) == 0).select("s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            counts += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bits", "n"])
+
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for row in map_arrow(share, run, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect():
+        counts[row.bits] = row.n
+    ranks = np.empty(1 << ORDER_BITS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << ORDER_BITS, dtype=np.uint64)
+    return ranks
+
+
+def _prefix(own: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a set in the common order: any set of the similarity has one of them among its own."""
+    shared = max(1, math.ceil(similarity * len(own) * (1 - 1e-12)))
+    low = np.uint64(64 - ORDER_BITS)
+    ordered = np.sort(ranks[(own >> low).astype(np.int64)] << low | own & (np.uint64(1) << low) - np.uint64(1))
+    return ordered[: max(0, len(own) - shared + 1)]
+
+
+def _across(keys: np.ndarray, rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (h, root, n, place) of equal keys that are of two classes and may have the similarity."""
+    h, root, n, place = rows.T
+    kind = np.where(root == 0, h, root)
+    left = n - place
+
+    def may(i, j):
+        # a pair meets at its first shared member too, and shares nothing before it
+        most = np.minimum(left[i], left[j]) * (1 + similarity)
+        return (kind[i] != kind[j]) & (most * (1 + 1e-9) >= similarity * (n[i] + n[j]))
+
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(edge, len(keys)))
+    for s, m in zip(edge[size > PAIRWISE_RUN], size[size > PAIRWISE_RUN]):
+        names, which, count = np.unique(kind[s : s + m], return_inverse=True, return_counts=True)
+        largest = int(count.argmax())
+        order = s + np.argsort(which == largest, kind="stable")  # the largest class comes last: only others look for pairs
+        for at in range(m - count[largest]):
+            j = order[at + 1 :]
+            j = j[may(order[at], j)]
+            yield np.full(len(j), h[order[at]]), h[j]
+    own = np.repeat(size, size)
+    nth = np.arange(len(keys)) - np.repeat(edge, size)
+    for d in range(1, PAIRWISE_RUN):
+        i = np.flatnonzero((own <= PAIRWISE_RUN) & (nth + d < own))
+        i = i[may(i, i + d)]
+        yield h[i], h[i + d]
+
+
+def _rest(sets: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of hashes of sets that may have the similarity and are not of one of ``classes`` (node, root)."""
+    ranks = _ranks(sets, n)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_prefix(np.frombuffer(x.as_py(), np.uint64), ranks, similarity).view(np.int64) for x in batch.column(2)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(_joined(keys, np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], ["h", "n", "keys"])
+
+    first = map_arrow(sets.select("h", "n", "s"), prefixes, "h long, n int, keys array<long>")
+    first = first.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = first.join(classes.select(F.col("node").alias("h"), "root"), "h", "left")
+    rows = first.select("h", F.coalesce("root", F.lit(0).cast("long")).alias("root"), "n", F.posexplode("keys").alias("place", "key"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+
+    def table(column: pa.Array) -> np.ndarray:
+        return np.stack([part.to_numpy(zero_copy_only=False).astype(np.int64) for part in column.flatten()], axis=1)
+
+    def handed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+        once = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+
+    def found(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        waiting, many = [], 0
+        for a, b in _across(keys, rows, similarity):
+            if not len(a):
+                continue
+            waiting.append((a, b))
+            many += len(a)
+            if many >= CANDIDATES:
+                yield handed(waiting)
+                waiting, many = [], 0
+        if waiting:
+            yield handed(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_runs(batches, table, found)
+
+    return map_arrow(rows.select(F.struct("h", "root", "n", "place").alias("row"), "key"), run, "a long, b long")
+
+
+def _similar(docs: DataFrame, text: str, id_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
+    """(id column, h, fp, component_id, root) for every row; root is the least hash of a set of the class."""
+    sets = cut(wide_fingerprints(docs, text, id_col, shingle_words), "shingle-sets")
+    prints = cut(sets.select(id_col, "h", "fp"), "fingerprints")
+    held = [F.first(c).alias(c) for c in ("fp", "n", "parity")]
+    nodes = cut(sets.groupBy("h").agg(F.min(id_col).alias("least"), *held), "nodes")
+    heads = nodes.groupBy("fp").agg(F.min(F.struct("h", "n", "parity")).alias("head"))
+    heads = cut(heads.select("fp", "head.*"), "heads")  # one set stands for each fingerprint, the others are of the rest
+    bits, tables = wide_tables(heads.count(), similarity, recall)
+    near = cut(_sieved(_wide_links(heads, bits, tables).distinct(), heads, "fp", similarity), "pairs")
+    classes = cut(connected_components(_verified(near, sets, similarity)), "wide-classes")
+    rest = _rest(sets, classes, nodes.count(), similarity).distinct()
+    more = _verified(cut(_sieved(rest, nodes, "h", similarity), "pairs"), sets, similarity)
+    uncut(sets)
+    links = classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
+    return _classes(prints, nodes, links, id_col, "h")
 
 
 def similar(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS,
     similarity: float = SIMILARITY, recall: float = WIDE_RECALL,
 ) -> DataFrame:
-    """(id column, fingerprint, component_id, root) for every row, by the Jaccard similarity of shingle sets."""
-    prints = cut(wide_fingerprints(docs, text, id_col, shingle_words), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("h").alias("h")), "nodes")
-    bits, tables = wide_tables(nodes.count(), similarity, recall)
-    pairs = cut(_wide_links(nodes, bits, tables).distinct(), "pairs")
-    return _classes(prints, nodes, _verified(pairs, nodes, docs, text, shingle_words, similarity), id_col)
+    """(id column, fingerprint, component_id, root) for every row, by the Jaccard similarity of shingle sets.
+
+    ``recall`` is that of the wide ring; :func:`_rest` finds what it leaves out.
+    """
+    return _similar(docs, text, id_col, shingle_words, similarity, recall).select(id_col, "fp", "component_id", "root")
 
 
 # ---------------------------------------------------------------- classes
 
 
-def _classes(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """(id column, fp, component_id, root) of every row; ``nodes`` hold the least id of each fingerprint."""
-    roots = connected_components(found).select(F.col("node").alias("fp"), "root")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _classes(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str, node: str = "fp") -> DataFrame:
+    """The columns of ``prints``, component_id and root of every row; ``nodes`` hold the least id of each value of ``node``."""
+    roots = connected_components(found).select(F.col("node").alias(node), "root")
+    placed = nodes.select(node, "least").join(roots, node, "left").withColumn("root", F.coalesce("root", node))
     placed = cut(placed, "placed")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(named, "root").select("fp", "component_id", "root"), "fp").select(id_col, "fp", "component_id", "root")
+    return prints.join(placed.join(named, "root").select(node, "component_id", "root"), node).select(*prints.columns, "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -450,13 +623,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS,
+    similarity: float = SIMILARITY, recall: float = WIDE_RECALL,
+) -> DataFrame:
     """``docs`` with one row of each class of :func:`similar`: the one that names it.
 
     Of rows that repeat that id, and of classes whose rows all lack an id, the
-    largest row stays.  ``options`` go to :func:`similar`.
+    largest row stays.
     """
-    found = cut(similar(docs, text, id_col, **options), "classes")
+    found = cut(_similar(docs, text, id_col, shingle_words, similarity, recall), "classes")
     naming = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
     naming = cut(naming, "naming")
     # texts are dealt by id and met there by a table of ids, at every size; they are not sorted
@@ -467,10 +643,10 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **opti
     if not repeated.isEmpty():
         rows = docs.join(repeated.select(id_col), id_col, "left_semi")
         kept = kept.unionByName(rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(row).alias("_row")).select("_row.*"))
-    nameless = found.filter(F.col("component_id").isNull()).select("fp", "root").distinct()
+    nameless = found.filter(F.col("component_id").isNull()).select("h", "root").distinct()
     if not nameless.isEmpty():
         rows = docs.filter(F.col(id_col).isNull()).select(row.alias("_row"), F.col(text).alias("_text"))
-        rows = wide_fingerprints(rows, "_text", "_row", options.get("shingle_words", WIDE_SHINGLE_WORDS))
-        rows = rows.join(nameless, "fp").groupBy("root").agg(F.max("_row").alias("_row"))
+        rows = wide_fingerprints(rows, "_text", "_row", shingle_words)
+        rows = rows.select("_row", "h").join(nameless, "h").groupBy("root").agg(F.max("_row").alias("_row"))
         kept = kept.unionByName(rows.select("_row.*"))
     return kept

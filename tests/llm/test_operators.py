@@ -161,6 +161,39 @@ def test_similar_texts(spark):
     assert sorted(kept, key=str) == sorted({c for cs in named.values() for c in cs}, key=str)
 
 
+def test_similar_texts_lose_no_link(spark):
+    """Many texts whose similarities lie about the threshold: the classes are those of all pairs."""
+    rnd = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    common = [rnd.choice(vocabulary) for _ in range(40)]
+    rows = []
+    for group in range(30):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(12, 160))] + common * (group % 3 == 0)
+        for _ in range(14):
+            now = list(words)
+            for _ in range(rnd.randint(1, max(1, len(words) // 40))):
+                now[rnd.randrange(len(now))] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(now)))
+    sets = [shingles(text) for _, text in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and alike(sets[i], sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    got = {r.doc_id: r.component_id for r in simhash_pigeonring.similar(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == root and 60 < len(set(root)) < 360
+    # the rest is whole without the wide ring too
+    sets = simhash_pigeonring.cut(simhash_pigeonring.wide_fingerprints(docs(spark, rows)), "test")
+    none = spark.createDataFrame([], "node long, root long")
+    rest = {(r.a, r.b) for r in simhash_pigeonring._rest(sets, none, len(rows), 0.8).collect()}
+    held = {r.h: frozenset(np.frombuffer(r.s, np.uint64).tolist()) for r in sets.collect()}
+    want = {(a, b) for a in held for b in held if a < b and alike(held[a], held[b])}
+    assert len(want) > 200 and want <= rest
+    parities = {h: simhash_pigeonring._parities(np.array(sorted(s), np.uint64)) for h, s in held.items()}
+    assert all(simhash_pigeonring._apart(parities[a], parities[b]) <= len(held[a] ^ held[b]) for a, b in rest)
+
+
 def test_wide_ring_loses_no_near_pair():
     """The chains prune only pairs beyond the budget."""
     rng = np.random.default_rng(1)
