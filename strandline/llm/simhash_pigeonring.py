@@ -76,11 +76,11 @@ WIDE_RECALL = 0.98
 #: Distances by which forests of a long run are laid, so that a failed pair does not cut off its nearer neighbours.
 WIDE_FORESTS = (25, 38, WIDE_BUDGET)
 #: Fewest bits of the parities of a shingle set.
-PARITY_BITS = 512
+PARITY_BITS = 1024
 #: Shingles are ordered by how often their first bits occur, counted on about so many texts; any order gives the same result.
 ORDER_BITS = 16
 ORDER_TEXTS = 1 << 16
-#: Candidates that a task gathers before it hands them on.
+#: Candidates of long runs that a task gathers before it hands them on.
 CANDIDATES = 1 << 19
 LANES = np.uint64(0x0101010101010101)
 
@@ -316,13 +316,17 @@ def _parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1)
 
 
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Parities in ``width`` bytes."""
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> int:
     """At most the members that are in one of two sets only, from their parities; the wider are folded."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum())
 
 
 def wide_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
@@ -500,37 +504,63 @@ def _prefix(own: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray
     return ordered[: max(0, len(own) - shared + 1)]
 
 
-def _across(keys: np.ndarray, rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (h, root, n, place) of equal keys that are of two classes and may have the similarity."""
-    h, root, n, place = rows.T
+def _may(rows: np.ndarray, similarity: float):
+    """Which pairs of ``rows`` (h, root, n, place, parities if any) are of two classes and may have the similarity."""
+    h, root, n, place = rows[:, :4].T
     kind = np.where(root == 0, h, root)
     left = n - place
+    parities = rows[:, 4:].view(np.uint64)
 
-    def may(i, j):
+    def may(i, j) -> np.ndarray:
         # a pair meets at its first shared member too, and shares nothing before it
-        most = np.minimum(left[i], left[j]) * (1 + similarity)
-        return (kind[i] != kind[j]) & (most * (1 + 1e-9) >= similarity * (n[i] + n[j]))
+        both = np.minimum(left[i], left[j]) * (1 + similarity)
+        ok = (kind[i] != kind[j]) & (both * (1 + 1e-9) >= similarity * (n[i] + n[j]))
+        if parities.shape[1] and ok.any():
+            apart = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=-1, dtype=np.int64)
+            ok &= apart * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) * (1 + 1e-9) + 1e-9
+        return ok
 
+    return may, kind
+
+
+def _short_runs(keys: np.ndarray, rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left, right) of row numbers in short runs of equal keys; the numbers of rows of long runs of several classes."""
+    may, kind = _may(rows, similarity)
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(edge, len(keys)))
-    for s, m in zip(edge[size > PAIRWISE_RUN], size[size > PAIRWISE_RUN]):
-        names, which, count = np.unique(kind[s : s + m], return_inverse=True, return_counts=True)
-        largest = int(count.argmax())
-        order = s + np.argsort(which == largest, kind="stable")  # the largest class comes last: only others look for pairs
-        for at in range(m - count[largest]):
-            j = order[at + 1 :]
-            j = j[may(order[at], j)]
-            yield np.full(len(j), h[order[at]]), h[j]
     own = np.repeat(size, size)
     nth = np.arange(len(keys)) - np.repeat(edge, size)
+    left, right = [], []
     for d in range(1, PAIRWISE_RUN):
         i = np.flatnonzero((own <= PAIRWISE_RUN) & (nth + d < own))
         i = i[may(i, i + d)]
-        yield h[i], h[i + d]
+        left.append(i)
+        right.append(i + d)
+    several = np.logical_or.reduceat(kind != np.repeat(kind[edge], size), edge)
+    return np.concatenate(left), np.concatenate(right), np.flatnonzero((own > PAIRWISE_RUN) & np.repeat(several, size))
+
+
+def _long_runs(keys: np.ndarray, rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of pairs in long runs of equal keys."""
+    may, kind = _may(rows, similarity)
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    for s, m in zip(edge, np.diff(np.append(edge, len(keys)))):
+        _, which, count = np.unique(kind[s : s + m], return_inverse=True, return_counts=True)
+        largest = int(count.argmax())
+        order = s + np.argsort(which == largest, kind="stable")  # the largest class comes last: only others look for pairs
+        for at in range(m - count[largest]):
+            j = order[at + 1 :]
+            j = j[may(order[at], j)]
+            if len(j):
+                yield np.full(len(j), rows[order[at], 0]), rows[j, 0]
+
 
+def _rest(sets: DataFrame, nodes: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of hashes of sets that may have the similarity and are not of one of ``classes`` (node, root).
 
-def _rest(sets: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of hashes of sets that may have the similarity and are not of one of ``classes`` (node, root)."""
+    Pairs of short runs of a key are told at once; rows of long runs get their parities first, so that a group of
+    texts that share passages, but are not alike, is not expanded into pairs.
+    """
     ranks = _ranks(sets, n)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,38 +570,58 @@ def _rest(sets: DataFrame, classes: DataFrame, n: int, similarity: float) -> Dat
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(_joined(keys, np.zeros(0, np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], ["h", "n", "keys"])
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key").sortWithinPartitions("key")
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = map_arrow(sets.select("h", "n", "s"), prefixes, "h long, n int, keys array<long>")
     first = first.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     first = first.join(classes.select(F.col("node").alias("h"), "root"), "h", "left")
     rows = first.select("h", F.coalesce("root", F.lit(0).cast("long")).alias("root"), "n", F.posexplode("keys").alias("place", "key"))
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
 
-    def table(column: pa.Array) -> np.ndarray:
-        return np.stack([part.to_numpy(zero_copy_only=False).astype(np.int64) for part in column.flatten()], axis=1)
+    def table(column: pa.StructArray) -> np.ndarray:
+        parts = column.flatten()
+        out = np.stack([part.to_numpy(zero_copy_only=False).astype(np.int64) for part in parts[:4]], axis=1)
+        if len(parts) == 4:
+            return out
+        folded = b"".join(_folded(np.frombuffer(x, np.uint8), PARITY_BITS // 8).tobytes() for x in parts[4].to_pylist())
+        return np.concatenate((out, np.frombuffer(folded, np.int64).reshape(len(out), -1)), axis=1)
 
-    def handed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+    def handed(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         once = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+        return [once[:, 0], once[:, 1]]
 
-    def found(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def short(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, rest = _short_runs(keys, rows, similarity)
+        a, b = handed(rows[i, 0], rows[j, 0])
+        blank = np.arange(len(a) + len(rest)) < len(a)
+        held = [np.concatenate(x) for x in ((a, rows[rest, 0]), (b, rows[rest, 1]), (a, keys[rest]), (a, rows[rest, 3]))]
+        marked = [pa.array(held[0]), pa.array(held[1]), pa.array(held[2], mask=blank), pa.array(held[3], mask=blank)]
+        yield pa.RecordBatch.from_arrays(marked, ["a", "b", "key", "place"])
+
+    def long(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         waiting, many = [], 0
-        for a, b in _across(keys, rows, similarity):
-            if not len(a):
-                continue
-            waiting.append((a, b))
-            many += len(a)
+        for pair in _long_runs(keys, rows, similarity):
+            waiting.append(pair)
+            many += len(pair[0])
             if many >= CANDIDATES:
-                yield handed(waiting)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in handed(*map(np.concatenate, zip(*waiting)))], ["a", "b"])
                 waiting, many = [], 0
         if waiting:
-            yield handed(waiting)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in handed(*map(np.concatenate, zip(*waiting)))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_runs(batches, table, found)
+    def run_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_runs(batches, table, short)
+
+    def run_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_runs(batches, table, long)
 
-    return map_arrow(rows.select(F.struct("h", "root", "n", "place").alias("row"), "key"), run, "a long, b long")
+    rows = dealt(rows).select(F.struct("h", "root", "n", "place").alias("row"), "key")
+    met = cut(map_arrow(rows, run_short, "a long, b long, key long, place long"), "runs")
+    rows = met.filter("key is not null").select(F.col("a").alias("h"), F.col("b").alias("root"), "key", "place")
+    rows = dealt(rows.join(nodes.select("h", "n", "parity"), "h"))
+    rows = rows.select(F.struct("h", "root", "n", "place", "parity").alias("row"), "key")
+    return met.filter("key is null").select("a", "b").unionAll(map_arrow(rows, run_long, "a long, b long"))
 
 
 def _similar(docs: DataFrame, text: str, id_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
@@ -585,7 +635,7 @@ def _similar(docs: DataFrame, text: str, id_col: str, shingle_words: int, simila
     bits, tables = wide_tables(heads.count(), similarity, recall)
     near = cut(_sieved(_wide_links(heads, bits, tables).distinct(), heads, "fp", similarity), "pairs")
     classes = cut(connected_components(_verified(near, sets, similarity)), "wide-classes")
-    rest = _rest(sets, classes, nodes.count(), similarity).distinct()
+    rest = _rest(sets, nodes, classes, nodes.count(), similarity).distinct()
     more = _verified(cut(_sieved(rest, nodes, "h", similarity), "pairs"), sets, similarity)
     uncut(sets)
     links = classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
