@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from strandline.llm import fill_in_middle as fim
+from strandline.llm import importance_resampling as i
 from strandline.llm import quality_rules as q
 from strandline.llm import source_mixing as m
 from strandline.llm.warc import BASE32
@@ -67,4 +69,57 @@ SELECT id AS doc_id, size, source_size, target, CAST((SELECT sum(greatest(0, lea
 FROM p JOIN i USING (skey) LEFT JOIN c USING (skey), t
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4, "op5_warc": OP5, "op10_source_mixing": OP10}
+_UNSAFE = r"\\|<s>|</s>|\[INST\]|\[/INST\]|\[SYS\]|\[/SYS\]|\[ROLE\]|\[/ROLE\]|\[END\]"
+_ESCAPED = "length({0}) + len(regexp_extract_all({0}, '" + _UNSAFE + "'))"
+
+OP11 = f"""
+WITH g AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) x(i))
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS LAST, r, t)) turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS LAST, t) FILTER (WHERE r = 'assistant'), '')) loss_sha256,
+  CAST(3 + sum({_ESCAPED.format("t")} + CASE r WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 5
+    ELSE 19 + {_ESCAPED.format("r")} END) AS BIGINT) formatted_chars, 0::BIGINT n_rewritten
+FROM g GROUP BY conv_id
+"""
+
+#: CRC-32 of a list of bytes, with the table of its steps as a list ``st``.
+_STEP = "list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
+_BYTES = "list_transform(range(1, 2 * strlen(w) + 1, 2), lambda k: CAST('0x' || substr(hex(encode(w)), k, 2) AS BIGINT))"
+_CRC = f"xor(list_reduce(list_concat([4294967295], {_BYTES}), lambda a, b: xor(a // 256, st[xor(a, b) % 256 + 1])), 4294967295)"
+_LOWER = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH steps AS (SELECT list(s ORDER BY i) st FROM (SELECT i, {_STEP} s FROM range(256) x(i))),
+d AS (SELECT row_number() OVER () k, doc_id, {_LOWER} ws FROM documents),
+w AS (SELECT k, unnest(ws) w FROM d), b AS (SELECT unnest({_LOWER}) w FROM benchmark),
+h AS (SELECT w, {_CRC} % {i.BUCKETS} bucket FROM (SELECT w FROM w UNION SELECT w FROM b), steps),
+s AS (SELECT bucket, count(*) n FROM w JOIN h USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) n FROM b JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (SELECT coalesce(sum(n), 0)::DOUBLE + {i.BUCKETS} FROM s)
+  / ((coalesce(s.n, 0) + 1)::DOUBLE * (SELECT coalesce(sum(n), 0)::DOUBLE + {i.BUCKETS} FROM t)))) gain FROM s FULL JOIN t USING (bucket)),
+f AS (SELECT k, CAST(sum(gain) AS BIGINT) weight FROM w JOIN h USING (w) JOIN g USING (bucket) GROUP BY k),
+c AS (SELECT doc_id, k, CAST(len(ws) AS BIGINT) n_features, coalesce(weight, 0) weight,
+  CAST('0x' || substr(sha256('{i.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) u FROM d LEFT JOIN f USING (k)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) score FROM c),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) rank FROM z WHERE n_features >= {i.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * {i.DRAW_PERCENT} // 100 FROM r) THEN rank END rank FROM z LEFT JOIN r USING (k)
+"""
+
+_P, _S, _M = (f"'{x}'" for x in fim.MARKERS)
+_H = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) h{k + 1}" for k in range(4))
+_CUT = "array_to_string(list_slice(u, {}, {}), '')"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) h FROM documents),
+l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') u, {_H} FROM d),
+k AS (SELECT *, CAST(len(u) AS BIGINT) n, h1 % (len(u) + 1) x, h2 % (len(u) + 1) y, t = '' OR contains(t, {_P}) OR contains(t, {_S}) OR contains(t, {_M})
+  OR h3 % 100 >= {fim.FIM_PERCENT} plain FROM l),
+c AS (SELECT *, {_CUT.format("1", "least(x, y)")} p, {_CUT.format("least(x, y) + 1", "greatest(x, y)")} m, {_CUT.format("greatest(x, y) + 1", "n")} s FROM k)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END form,
+  CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END prefix_chars, CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN h4 % 100 < {fim.SPM_PERCENT} THEN {_S} || s || {_P} || p || {_M} || m ELSE {_P} || p || {_S} || s || {_M} || m END) output_sha256,
+  sha256(t) restored_sha256 FROM c
+"""
+
+ORACLE_SQL = {"op4_quality_rules": OP4, "op5_warc": OP5, "op10_source_mixing": OP10, "op11_chat_format": OP11}
+ORACLE_SQL |= {"op12_importance_resampling": OP12, "op13_fill_in_middle": OP13}

@@ -9,9 +9,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import (
+    chat_format,
+    fill_in_middle,
     html_blocks,
+    importance_resampling,
     license_scan,
     multiprobe_lsh,
     pii_surrogates,
@@ -25,6 +29,9 @@ from strandline.llm import (
 from strandline.llm._shared import table
 from strandline.llm.oracle import ORACLE_SQL  # noqa: F401  the entry module reads it here
 
+#: Text of both turns of the conversation added to op11.
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; STRANDLINE_TOKENIZERS names another folder."""
@@ -83,6 +90,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(CONTROL_TURN)
+    # conversation -7 holds only control strings
+    added = spark.range(2).select(
+        F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    return chat_format.read_back(chat_format.spans(turns.unionByName(added)))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.restore(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+    first = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    return made.select(*first, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_html_blocks": op2_html_blocks,
@@ -94,4 +124,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_multiprobe_lsh": op9_multiprobe_lsh,
     "op10_source_mixing": op10_source_mixing,
+    "op11_chat_format": op11_chat_format,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
