@@ -17,7 +17,7 @@ from strandline.operators.lineage import shared_dir
 from strandline.plans import views
 from strandline.plans.registry import query
 from strandline.plans.views import PANEL_SQL, READS_SQL, SNPS_SQL
-from strandline.sources import binary, packed, profiles, sinks, text
+from strandline.sources import bgzf, binary, packed, profiles, sinks, text
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -97,6 +97,28 @@ def bcf_sites_scan(spark, d):
     )
 
 
+@query(f"WITH {SITE_SQL} SELECT chrom, pos, id, ref, alt, CAST(qual AS DOUBLE) qual, flt, CAST(idp AS VARCHAR) idp FROM site")
+def bcf_file_scan(spark, d):
+    """Sorted, indexed BCF files written by tasks and read in byte ranges."""
+    none = F.array().cast("array<struct<sample: string, fields: map<string,string>>>")
+    path = _path(spark, "bcf")
+    bgzf.write_variants(_sites(spark, d).withColumn("samples", none), path, [str(i) for i in range(1, 23)], [], ["LOW", "X"], ["IDP", "NM"], [])
+    v = bgzf.read_variants(spark, path, split=1 << 16)
+    return v.select(
+        "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), F.col("qual").cast("double").alias("qual"), F.array_join("filters", ";").alias("flt"), F.col("info")["IDP"].alias("idp")
+    )
+
+
+@query(f"WITH {SITE_SQL} SELECT chrom, pos, id, ref, alt FROM site WHERE chrom IN ('3', '11') AND pos <= 5000 AND pos + length(ref) > 100")
+def vcf_blocks_region_scan(spark, d):
+    """Block-compressed, indexed VCF text; the lines of regions go through the text reader."""
+    path = _path(spark, "vcf-blocks")
+    lines = sinks.vcf_lines(_sites(spark, d))
+    bgzf.write_lines(lines, path, ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"])])
+    v = text.read_variants(spark, bgzf.read_lines(spark, path, "3:100-5000;11:100-5000"))
+    return v.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"))
+
+
 @query(f"WITH {PANEL_SQL} SELECT 's' || sample AS sample, CAST(snp + 1 AS INT) pos, CASE code WHEN 0 THEN './.' WHEN 1 THEN '0/0' WHEN 2 THEN '0/1' ELSE '1/1' END gt, CAST(dp AS VARCHAR) dp FROM panel")
 def bcf_genotypes_scan(spark, d):
     g = _genotypes(spark, d).groupBy("chrom", "pos", "ref", "alts").agg(F.sort_array(F.collect_list(F.struct("sample", F.to_json("fields").alias("f")))).alias("c"))
@@ -276,6 +298,33 @@ def bam_scan(spark, d):
     return _sam_out(packed.alignments_of(packed.packed_alignments(_sam(spark, d), [str(i) for i in range(1, 6)])))
 
 
+@query(f"WITH {SAM_SQL} SELECT {_SAM_OUT} FROM sam")
+def bam_file_scan(spark, d):
+    """Sorted, indexed BAM files written by tasks and read in byte ranges."""
+    path = _path(spark, "bam")
+    bgzf.write_alignments(_sam(spark, d), path, [str(i) for i in range(1, 6)])
+    return _sam_out(bgzf.read_alignments(spark, path, split=1 << 18))
+
+
+@query(
+    f"WITH {SAM_SQL} SELECT qname, chrom, pos, cigar FROM sam WHERE chrom IN ('2', '4') AND pos <= 9000 AND pos + CASE cigar WHEN '20M' THEN 20 ELSE 17 END > 500 "
+    "OR chrom = '5' AND pos <= 16385 AND pos + CASE cigar WHEN '20M' THEN 20 ELSE 17 END > 16384"
+)
+def bam_region_scan(spark, d):
+    """What overlaps three regions, by the chunks that the files' indices name."""
+    path = _path(spark, "bam")
+    bgzf.write_alignments(_sam(spark, d), path, [str(i) for i in range(1, 6)])
+    return bgzf.read_alignments(spark, path, "2:500-9000;4:500-9000;5:16384-16385").select("qname", "chrom", "pos", "cigar")
+
+
+@query(f"WITH {SAM_SQL} SELECT qname, flag, pos FROM sam WHERE chrom = '3' AND pos >= 2000 AND pos < 12000")
+def bam_pushed_filter(spark, d):
+    """Conditions of a query that reach the index."""
+    path = _path(spark, "bam")
+    bgzf.write_alignments(_sam(spark, d), path, [str(i) for i in range(1, 6)])
+    return bgzf.read_alignments(spark, path).filter("chrom = '3' AND pos >= 2000 AND pos < 12000").select("qname", "flag", "pos")
+
+
 @query(f"WITH {SAM_SQL} SELECT qname, pos FROM sam WHERE flag & 3844 = 0 AND mapq >= 20 AND chrom IN ('2', '4') AND pos BETWEEN 500 AND 9000")
 def interval_reads_scan(spark, d):
     """Unmarked reads of enough mapping quality that begin inside regions."""

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 BAM_MAGIC, BCF_MAGIC = b"BAM\1", b"BCF\2\2"
 CIGAR_LETTERS = "MIDNSHP=X"
 BASE_LETTERS = "=ACMGRSVTWYHKDBN"
+BASE_PAIRS = [a + b for a in BASE_LETTERS for b in BASE_LETTERS]
+QUALITY_SHOWN = bytes((q + 33) % 256 for q in range(256))
 TAG_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 END_OF_BLOCKS = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK_BYTES = 0xFF00
@@ -100,64 +102,76 @@ def decode_alignments(data: bytes) -> Iterator[dict]:
         f.numbers("i")
     names.append(None)  # index -1
     while not f.at_end():
-        body = f.take(f.numbers("i")[0])
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, span = struct.unpack_from("<iiBBHHHiiii", body)
-        at = 32 + n_name
-        cigar = "".join(f"{x >> 4}{CIGAR_LETTERS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", body, at))
-        at += 4 * n_cigar
-        packed = body[at : at + (n_seq + 1) // 2]
-        seq = "".join(BASE_LETTERS[b >> 4] + BASE_LETTERS[b & 15] for b in packed)[:n_seq]
-        at += (n_seq + 1) // 2
-        qual = body[at : at + n_seq]
-        tags = list(_tags(body[at + n_seq :]))
-        yield {
-            "qname": body[32 : 32 + n_name - 1].decode("utf-8"), "flag": flag, "chrom": names[ref], "pos": pos + 1, "mapq": mapq, "cigar": cigar or None,
-            "rnext": None if mate < 0 else "=" if mate == ref else names[mate], "pnext": mate_pos + 1, "tlen": span, "seq": seq or None,
-            "qual": None if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode("ascii"),
-            "tags": [(n, v) for n, _, v in tags], "tag_types": [(n, k) for n, k, _ in tags],
-        }
+        yield alignment(f.take(f.numbers("i")[0]), names)
+
+
+def alignment(body: bytes, names: list[str | None]) -> dict:
+    """Row of one record; ``names`` ends with None."""
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, span = struct.unpack_from("<iiBBHHHiiii", body)
+    at = 32 + n_name
+    cigar = "".join(f"{x >> 4}{CIGAR_LETTERS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", body, at))
+    at += 4 * n_cigar
+    packed = body[at : at + (n_seq + 1) // 2]
+    seq = "".join([BASE_PAIRS[b] for b in packed])[:n_seq]
+    at += (n_seq + 1) // 2
+    qual = body[at : at + n_seq]
+    tags = list(_tags(body[at + n_seq :]))
+    return {
+        "qname": body[32 : 32 + n_name - 1].decode("utf-8"), "flag": flag, "chrom": names[ref], "pos": pos + 1, "mapq": mapq, "cigar": cigar or None,
+        "rnext": None if mate < 0 else "=" if mate == ref else names[mate], "pnext": mate_pos + 1, "tlen": span, "seq": seq or None,
+        "qual": None if not qual or qual[0] == 255 else qual.translate(QUALITY_SHOWN).decode("ascii"),
+        "tags": [(n, v) for n, _, v in tags], "tag_types": [(n, k) for n, k, _ in tags],
+    }
+
+
+def alignments_head(chroms: list[str], header: str = "@HD\tVN:1.6\n", lengths: list[int] | None = None) -> bytes:
+    """What stands before the records of a BAM file."""
+    out = [BAM_MAGIC, struct.pack("<i", len(header.encode())), header.encode(), struct.pack("<i", len(chroms))]
+    for c, size in zip(chroms, lengths or [(1 << 29) - 1] * len(chroms)):
+        out += [struct.pack("<i", len(c.encode()) + 1), c.encode() + b"\0", struct.pack("<i", size)]
+    return b"".join(out)
+
+
+def alignment_record(r: dict, place: dict[str | None, int]) -> bytes:
+    """A row as a record; ``place`` numbers the sequences, None as -1."""
+    name, seq, ref = r["qname"].encode() + b"\0", r["seq"] or "", place[r["chrom"]]
+    number, ops = "", []
+    for c in r["cigar"] or "":
+        if c.isdigit():
+            number += c
+        else:
+            ops.append(int(number) << 4 | CIGAR_LETTERS.index(c))
+            number = ""
+    codes = [BASE_LETTERS.index(c) for c in seq] + [0] * (len(seq) % 2)
+    body = struct.pack(
+        "<iiBBHHHiiii", ref, r["pos"] - 1, len(name), r["mapq"], 4680, len(ops), r["flag"], len(seq),
+        ref if r["rnext"] == "=" else place[r["rnext"]], r["pnext"] - 1, r["tlen"],
+    )
+    body += name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+    body += bytes(ord(q) - 33 for q in r["qual"]) if r["qual"] else b"\xff" * len(seq)
+    kinds = dict(r["tag_types"] or ())
+    for key, value in dict(r["tags"] or ()).items():
+        kind = kinds.get(key, "Z")
+        body += key.encode() + kind.encode()
+        if kind == "i":
+            body += struct.pack("<i", int(value))
+        elif kind == "f":
+            body += struct.pack("<f", float(value))
+        elif kind == "A":
+            body += value[0].encode()
+        elif kind == "B":
+            sub, *values = value.split(",")
+            body += sub.encode() + struct.pack("<I", len(values))
+            body += struct.pack(f"<{len(values)}{TAG_NUMBERS[sub]}", *map(float if sub == "f" else int, values))
+        else:
+            body += value.encode() + b"\0"
+    return struct.pack("<i", len(body)) + body
 
 
 def encode_alignments(rows: Iterable[dict], chroms: list[str], header: str = "@HD\tVN:1.6\n") -> bytes:
     """A BAM file of rows as :func:`decode_alignments` gives them (maps or lists of pairs for tags)."""
     place = {c: i for i, c in enumerate(chroms)} | {None: -1}
-    out = [BAM_MAGIC, struct.pack("<i", len(header)), header.encode(), struct.pack("<i", len(chroms))]
-    for c in chroms:
-        out += [struct.pack("<i", len(c) + 1), c.encode() + b"\0", struct.pack("<i", (1 << 29) - 1)]
-    for r in rows:
-        name, seq, ref = r["qname"].encode() + b"\0", r["seq"] or "", place[r["chrom"]]
-        number, ops = "", []
-        for c in r["cigar"] or "":
-            if c.isdigit():
-                number += c
-            else:
-                ops.append(int(number) << 4 | CIGAR_LETTERS.index(c))
-                number = ""
-        codes = [BASE_LETTERS.index(c) for c in seq] + [0] * (len(seq) % 2)
-        body = struct.pack(
-            "<iiBBHHHiiii", ref, r["pos"] - 1, len(name), r["mapq"], 4680, len(ops), r["flag"], len(seq),
-            ref if r["rnext"] == "=" else place[r["rnext"]], r["pnext"] - 1, r["tlen"],
-        )
-        body += name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-        body += bytes(ord(q) - 33 for q in r["qual"]) if r["qual"] else b"\xff" * len(seq)
-        kinds = dict(r["tag_types"])
-        for key, value in dict(r["tags"]).items():
-            kind = kinds.get(key, "Z")
-            body += key.encode() + kind.encode()
-            if kind == "i":
-                body += struct.pack("<i", int(value))
-            elif kind == "f":
-                body += struct.pack("<f", float(value))
-            elif kind == "A":
-                body += value[0].encode()
-            elif kind == "B":
-                sub, *values = value.split(",")
-                body += sub.encode() + struct.pack("<I", len(values))
-                body += struct.pack(f"<{len(values)}{TAG_NUMBERS[sub]}", *map(float if sub == "f" else int, values))
-            else:
-                body += value.encode() + b"\0"
-        out += [struct.pack("<i", len(body)), body]
-    return blocked(b"".join(out))
+    return blocked(b"".join([alignments_head(chroms, header), *[alignment_record(r, place) for r in rows]]))
 
 
 # ---------------------------------------------------------------- variants
@@ -232,42 +246,46 @@ def decode_variants(data: bytes) -> Iterator[dict]:
     strings, contigs, samples = _dictionaries(f.take(f.numbers("I")[0]).decode("utf-8"))
     while not f.at_end():
         n_shared, n_own = f.numbers("II")
-        shared, own = f.take(n_shared), f.take(n_own)
-        chrom, pos, _, _, n_info, n_allele, n_sample_fmt = struct.unpack_from("<iiifHHI", shared)
-        raw_qual = struct.unpack_from("<I", shared, 12)[0]
-        at = 24
-
-        def value(data: bytes, at: int) -> tuple[list, int, int]:
-            code, n, at = _typed(data, at)
-            got, at = _values(data, code, at, n)
-            return got, at, code
-
-        name, at, _ = value(shared, at)
-        alleles = []
-        for _ in range(n_allele):
-            allele, at, _ = value(shared, at)
-            alleles.append(allele[0])
-        filters, at, _ = value(shared, at)
-        info = []
-        for _ in range(n_info):
-            key, at, _ = value(shared, at)
-            got, at, code = value(shared, at)
-            info.append((strings[key[0]], "" if code == 0 else _shown(got)))
-        n_samples, n_fmt = n_sample_fmt & 0xFFFFFF, n_sample_fmt >> 24
-        fields: list[list[tuple[str, str]]] = [[] for _ in range(n_samples)]
-        at = 0
-        for _ in range(n_fmt):
-            key, at, _ = value(own, at)
-            tag = strings[key[0]]
-            code, n, at = _typed(own, at)
-            for cell in fields:
-                got, at = _values(own, code, at, n)
-                cell.append((tag, _genotype([x or 0 for x in got]) if tag == "GT" else _shown(got)))
-        yield {
-            "chrom": contigs[chrom], "pos": pos + 1, "id": None if not name or name[0] in (".", "") else name[0], "ref": alleles[0], "alts": alleles[1:],
-            "qual": None if raw_qual == BCF_FLOAT_MISSING else struct.unpack("<f", struct.pack("<I", raw_qual))[0],
-            "filters": [strings[i] for i in filters], "info": info, "samples": [(s, c) for s, c in zip(samples, fields)],
-        }
+        yield variant(f.take(n_shared), f.take(n_own), strings, contigs, samples)
+
+
+def variant(shared: bytes, own: bytes, strings: list[str], contigs: list[str], samples: list[str]) -> dict:
+    """Row of one record, of its part for all samples and that for each."""
+    chrom, pos, _, _, n_info, n_allele, n_sample_fmt = struct.unpack_from("<iiifHHI", shared)
+    raw_qual = struct.unpack_from("<I", shared, 12)[0]
+    at = 24
+
+    def value(data: bytes, at: int) -> tuple[list, int, int]:
+        code, n, at = _typed(data, at)
+        got, at = _values(data, code, at, n)
+        return got, at, code
+
+    name, at, _ = value(shared, at)
+    alleles = []
+    for _ in range(n_allele):
+        allele, at, _ = value(shared, at)
+        alleles.append(allele[0])
+    filters, at, _ = value(shared, at)
+    info = []
+    for _ in range(n_info):
+        key, at, _ = value(shared, at)
+        got, at, code = value(shared, at)
+        info.append((strings[key[0]], "" if code == 0 else _shown(got)))
+    n_samples, n_fmt = n_sample_fmt & 0xFFFFFF, n_sample_fmt >> 24
+    fields: list[list[tuple[str, str]]] = [[] for _ in range(n_samples)]
+    at = 0
+    for _ in range(n_fmt):
+        key, at, _ = value(own, at)
+        tag = strings[key[0]]
+        code, n, at = _typed(own, at)
+        for cell in fields:
+            got, at = _values(own, code, at, n)
+            cell.append((tag, _genotype([x or 0 for x in got]) if tag == "GT" else _shown(got)))
+    return {
+        "chrom": contigs[chrom], "pos": pos + 1, "id": None if not name or name[0] in (".", "") else name[0], "ref": alleles[0], "alts": alleles[1:],
+        "qual": None if raw_qual == BCF_FLOAT_MISSING else struct.unpack("<f", struct.pack("<I", raw_qual))[0],
+        "filters": [strings[i] for i in filters], "info": info, "samples": [(s, c) for s, c in zip(samples, fields)],
+    }
 
 
 def _descriptor(code: int, n: int) -> bytes:
@@ -284,41 +302,57 @@ def _text(value: str) -> bytes:
     return _descriptor(7, len(raw)) + raw
 
 
-def encode_variants(rows: Iterable[dict], contigs: list[str], samples: list[str], filters: list[str], info: list[str], formats: list[str]) -> bytes:
-    """A BCF file of rows as :func:`decode_variants` gives them; INFO values and FORMAT fields but GT are stored as text."""
+def variants_head(contigs: list[str], samples: list[str], filters: list[str], info: list[str], formats: list[str]) -> str:
+    """Header text that numbers what the records of a BCF file name."""
     head = ["##fileformat=VCFv4.2", *[f"##FILTER=<ID={x}>" for x in filters], *[f"##INFO=<ID={x}>" for x in info], *[f"##FORMAT=<ID={x}>" for x in formats]]
     head += [f"##contig=<ID={x}>" for x in contigs] + ["\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]) + "\n\0"]
-    header = "\n".join(head)
-    strings, places, _ = _dictionaries(header)
-    number = {s: i for i, s in enumerate(strings)}
-    out = [BCF_MAGIC, struct.pack("<I", len(header.encode())), header.encode()]
-    for r in rows:
-        known = {name: dict(c) for name, c in r["samples"]}
-        cells = [known.get(name, {}) for name in samples]  # a sample without a call is missing
-        alleles = [r["ref"], *r["alts"]]
-        qual = struct.pack("<I", BCF_FLOAT_MISSING) if r["qual"] is None else struct.pack("<f", r["qual"])
-        shared = struct.pack("<iii", places.index(r["chrom"]), r["pos"] - 1, len(r["ref"])) + qual
-        shared += struct.pack("<HHI", len(r["info"]), len(alleles), len(formats) << 24 | len(samples)) + _text(r["id"] or ".")
-        shared += b"".join(map(_text, alleles)) + (_ints([number[x] for x in r["filters"]]) if r["filters"] else b"\0")
-        for key, value in dict(r["info"]).items():
-            shared += _ints([number[key]]) + (_text(value) if value else b"\0")
-        own = b""
-        for tag in formats:
-            own += _ints([number[tag]])
-            if tag == "GT":
-                coded = []
-                for c in cells:
-                    gt = c.get("GT", "./.")
-                    parts = gt.replace("|", "/").split("/")
-                    coded.append([(0 if x == "." else int(x) + 1) << 1 | (i > 0 and "|" in gt) for i, x in enumerate(parts)])
-                width = max(map(len, coded), default=1)
-                own += _descriptor(1, width) + b"".join(struct.pack(f"<{width}b", *(x + [-127] * (width - len(x)))) for x in coded)
-            else:
-                texts = [c.get(tag, ".").encode() for c in cells]
-                width = max(map(len, texts), default=1)
-                own += _descriptor(7, width) + b"".join(t.ljust(width, b"\0") for t in texts)
-        out += [struct.pack("<II", len(shared), len(own)), shared, own]
-    return blocked(b"".join(out))
+    return "\n".join(head)
+
+
+def variants_start(header: str) -> bytes:
+    return BCF_MAGIC + struct.pack("<I", len(header.encode())) + header.encode()
+
+
+def variant_record(r: dict, number: dict[str, int], places: dict[str, int], samples: list[str], formats: list[str]) -> bytes:
+    """A row as a record; ``number`` and ``places`` number strings and contigs."""
+    known = {name: dict(c) for name, c in r["samples"]}
+    cells = [known.get(name, {}) for name in samples]  # a sample without a call is missing
+    alleles = [r["ref"], *r["alts"]]
+    qual = struct.pack("<I", BCF_FLOAT_MISSING) if r["qual"] is None else struct.pack("<f", r["qual"])
+    shared = struct.pack("<iii", places[r["chrom"]], r["pos"] - 1, len(r["ref"])) + qual
+    shared += struct.pack("<HHI", len(r["info"]), len(alleles), len(formats) << 24 | len(samples)) + _text(r["id"] or ".")
+    shared += b"".join(map(_text, alleles)) + (_ints([number[x] for x in r["filters"]]) if r["filters"] else b"\0")
+    for key, value in dict(r["info"]).items():
+        shared += _ints([number[key]]) + (_text(value) if value else b"\0")
+    own = b""
+    for tag in formats:
+        own += _ints([number[tag]])
+        if tag == "GT":
+            coded = []
+            for c in cells:
+                gt = c.get("GT", "./.")
+                parts = gt.replace("|", "/").split("/")
+                coded.append([(0 if x == "." else int(x) + 1) << 1 | (i > 0 and "|" in gt) for i, x in enumerate(parts)])
+            width = max(map(len, coded), default=1)
+            own += _descriptor(1, width) + b"".join(struct.pack(f"<{width}b", *(x + [-127] * (width - len(x)))) for x in coded)
+        else:
+            texts = [c.get(tag, ".").encode() for c in cells]
+            width = max(map(len, texts), default=1)
+            own += _descriptor(7, width) + b"".join(t.ljust(width, b"\0") for t in texts)
+    return struct.pack("<II", len(shared), len(own)) + shared + own
+
+
+def numbered(header: str) -> tuple[dict[str, int], dict[str, int]]:
+    """Numbers of the strings and of the contigs of a header."""
+    strings, contigs, _ = _dictionaries(header)
+    return {s: i for i, s in enumerate(strings)}, {c: i for i, c in enumerate(contigs)}
+
+
+def encode_variants(rows: Iterable[dict], contigs: list[str], samples: list[str], filters: list[str], info: list[str], formats: list[str]) -> bytes:
+    """A BCF file of rows as :func:`decode_variants` gives them; INFO values and FORMAT fields but GT are stored as text."""
+    header = variants_head(contigs, samples, filters, info, formats)
+    number, places = numbered(header)
+    return blocked(b"".join([variants_start(header), *[variant_record(r, number, places, samples, formats) for r in rows]]))
 
 
 # ---------------------------------------------------------------- tables

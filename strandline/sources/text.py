@@ -13,8 +13,9 @@ from strandline.functions.scalar import attribute
 from strandline.operators.intervals import merge_intervals
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path)
+def _lines(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    """Lines of files; a table of lines, as of :func:`strandline.sources.bgzf.read_lines`, may stand for a path."""
+    return path if isinstance(path, DataFrame) else spark.read.text(path)
 
 
 def _missing(c: Column) -> Column:
