@@ -61,12 +61,15 @@ g AS (SELECT *, CASE WHEN ratio <= lvl THEN cap::DOUBLE ELSE weight * ((SELECT t
   / sum(weight) FILTER (WHERE ratio > lvl) OVER () END AS target FROM l),
 h AS (SELECT *, CAST(round(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / greatest((SELECT total FROM t), 1)::DOUBLE * {m.POINTS}) AS BIGINT) AS hi FROM g),
 i AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM h),
-n AS (SELECT (range + 1) * {m.GOLDEN} % {m.POINTS} AS pt FROM range((SELECT CAST((total + block - 1) // block AS BIGINT) FROM t))),
-c AS (SELECT skey, count(*) AS slots FROM n JOIN i ON pt >= lo AND pt < hi GROUP BY skey),
-p AS (SELECT s.*, CAST(coalesce(sum(size) OVER (PARTITION BY skey ORDER BY rank_key, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beg FROM s)
-SELECT id AS doc_id, size, source_size, target, CAST((SELECT sum(greatest(0, least(e * source_size + beg + size, coalesce(slots, 0) * block)
-  - (e * source_size + beg))) FROM range({m.MAX_EPOCHS}) x(e)) AS BIGINT) AS taken
-FROM p JOIN i USING (skey) LEFT JOIN c USING (skey), t
+n AS (SELECT range slot, (range + 1) * {m.GOLDEN} % {m.POINTS} AS pt FROM range((SELECT CAST((total + block - 1) // block AS BIGINT) FROM t))),
+c AS (SELECT skey, slot, row_number() OVER (PARTITION BY skey ORDER BY slot) - 1 rnk FROM n JOIN i ON pt >= lo AND pt < hi),
+u AS (SELECT i.*, CAST(round(target) AS BIGINT) lim, coalesce(slots, 0) slots FROM i LEFT JOIN (SELECT skey, count(*) slots FROM c GROUP BY skey) USING (skey)),
+p AS (SELECT s.*, CAST(coalesce(sum(size) OVER (PARTITION BY skey ORDER BY rank_key, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beg FROM s),
+k AS (SELECT p.*, u.source_size, u.target, u.lim, u.slots, p.beg // block AS rnk, (total + block - 1) // block AS last FROM p JOIN u USING (skey), t)
+SELECT id AS doc_id, size, source_size, target, CAST((SELECT sum(greatest(0, least(e * source_size + beg + size, lim)
+  - (e * source_size + beg))) FROM range({m.MAX_EPOCHS}) x(e)) AS BIGINT) AS taken,
+  CAST(CASE WHEN size > 0 AND beg < lim THEN coalesce(slot, last + rnk - slots) END AS BIGINT) first_slot
+FROM k LEFT JOIN c USING (skey, rnk)
 """
 
 _UNSAFE = r"\\|<s>|</s>|\[INST\]|\[/INST\]|\[SYS\]|\[/SYS\]|\[ROLE\]|\[/ROLE\]|\[END\]"

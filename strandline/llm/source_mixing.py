@@ -10,9 +10,14 @@ Schedule.  Golden-ratio points, as integers of 32 bits, pass through the
 cumulated targets: slot n belongs to the source whose stretch holds its point.
 Slots are ranked per source.  Slot r of a source takes tokens [r B, (r + 1) B) of
 the source's stream: its documents in a keyed random order, epoch after epoch,
-three at most.  A document's ``taken`` sums its overlaps with scheduled blocks,
-by a join on (source, block).  Blocks grow with the input; a source whose target
-is short in them takes its target, to the nearest word, not whole blocks.
+three at most.  The stream ends at the source's target, to the nearest word: a
+slot beyond it takes nothing, and the few blocks that the points leave over (their
+counts differ from the shares by a discrepancy that grows as a logarithm) follow
+after the last slot.  So every source meets its target, whatever the size of the
+table or of a block; the schedule says in which order.  A document's ``taken``
+sums its overlaps with scheduled blocks, by a join on (source, block);
+``first_slot`` is the slot that takes its first word.  Blocks grow with the input,
+which bounds the schedule's memory only.
 
 Scale.  Prefix sums of sizes run in two levels (source and leading digits of the
 random key, then within), ranks too (source and chunk of slots), so no source is
@@ -37,8 +42,6 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: At most so many slots; a block holds the sum of sizes over this, rounded up.
 MAX_SLOTS = 1 << 18
-#: Where blocks hold several words, targets under so many blocks are settled to the word.
-FINE_BLOCKS = 1000
 #: 2^32 divided by the golden ratio.
 GOLDEN = 2654435769
 POINTS = 1 << 32
@@ -136,7 +139,7 @@ def streamed(sized: DataFrame, rows: int, known: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """(id column, size, source_size, target, taken) for every document."""
+    """(id column, size, source_size, target, taken, first_slot) for every document."""
     sized = cut(sizes(docs, text, id_col, source), "sizes")
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     block = max(1, -(-total // MAX_SLOTS))
@@ -144,18 +147,14 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     sources = cut(targets(sized, total), "sources")
     plan = schedule(sources, slots)
     counts = plan.groupBy("skey").agg(F.count(F.lit(1)).alias("slots"))
-    known = sources.select("skey", "source_size", "target").join(counts, "skey", "left")
-    scheduled = F.coalesce("slots", F.lit(0)) * F.lit(block)
-    short = F.lit(block > 1) & (F.col("target") < FINE_BLOCKS * block)
-    known = known.withColumn("limit", F.when(short, F.round("target").cast("long")).otherwise(scheduled))
-    if block > 1:
-        settled = known.filter(short).select("skey", "limit")
-        own = settled.filter("limit > 0").select(
-            "skey", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("limit") - 1) / block))).alias("rank")
-        )
-        plan = plan.join(settled, "skey", "left_anti").select("skey", "rank").unionByName(own)
+    known = sources.join(counts, "skey", "left").select(
+        "skey", "source_size", "target", F.round("target").cast("long").alias("limit"), F.coalesce("slots", F.lit(0)).alias("slots")
+    )
+    known = known.withColumn("blocks", F.expr(f"(limit + {block - 1}) div {block}"))
+    left = known.filter("blocks > slots").select("skey", "slots", F.explode(F.sequence("slots", F.col("blocks") - 1)).alias("rank"))
+    plan = plan.unionByName(left.select("skey", (F.lit(slots) + F.col("rank") - F.col("slots")).alias("slot"), "rank"))
     placed = cut(
-        streamed(sized, rows, known).select(
+        streamed(sized, rows, known.drop("slots", "blocks")).select(
             "id", "skey", "size", "start", "source_size", "target", "limit"
         ),
         "placed",
@@ -174,7 +173,7 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     )
     joined = pieces.join(plan, ["skey", "rank"])
     words = F.least(F.col("to"), (F.col("rank") + 1) * block) - F.greatest(F.col("from"), F.col("rank") * block)
-    taken = joined.groupBy("skey", "start").agg(F.sum(words).alias("taken"))
+    taken = joined.groupBy("skey", "start").agg(F.sum(words).alias("taken"), F.min_by("slot", "rank").alias("slot"))
     held = placed.join(taken, ["skey", "start"], "left")
     return held.select(
         F.col("id").alias(id_col),
@@ -182,6 +181,7 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
         "source_size",
         "target",
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"),
+        F.when(F.col("size") > 0, F.col("slot")).alias("first_slot"),
     )
 
 

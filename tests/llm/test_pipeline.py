@@ -91,18 +91,9 @@ def mixing(rows):
             break
         free -= over
     target = {s: weight[s] * level if s in free else 3 * held[s] for s in names}
-    high, edges = 0.0, []
-    for s in names:
-        low, high = high, high + target[s]
-        edges.append((s, round(low / total * 2**32), round(high / total * 2**32)))
-    block = max(1, -(-total // source_mixing.MAX_SLOTS))
-    slots = defaultdict(int)
-    for n in range(-(-total // block)):
-        point = (n + 1) * 2654435769 % 2**32
-        slots[next(s for s, a, b in edges if a <= point < b)] += 1
     out = []
     for s in names:
-        limit = slots[s] * block
+        limit = int(target[s] + 0.5)
         own = [(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest(), r, n) for r, n in zip(rows, sizes) if r["source"] == s]
         own.sort(key=lambda x: (x[0], x[1]["doc_id"]))
         at, taken = 0, [0] * len(own)
