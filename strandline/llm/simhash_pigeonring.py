@@ -24,16 +24,23 @@ expected).  Fingerprints that agree on a sample of bits, in one of several
 tables, are candidates; chains of up to four segments within 3, 6, 10, 13 bits
 prune them, the full distance decides, and the shingle sets of what is left are
 compared exactly.  Bits per sample follow the logarithm of the number of
-fingerprints, the number of tables the wanted recall.
+fingerprints, so that a random pair meets about once in a table; the number of
+tables is constant, so that what moves grows with the texts alone.
 
-That leaves links out: beyond the budget, in no common table, or within a long run
-whose forest held other pairs.  :func:`_rest` finds the rest exactly, among texts
+That leaves links out: beyond the budget, in no common table (the more, the longer
+the samples), or within a long run whose forest held other pairs.  :func:`_rest` finds the rest exactly, among texts
 that are not yet of one class.  All shingles have one order, seldom ones first; two
 sets of similarity t share one of the first n - ceil(t n) + 1 of each, so these are
 the keys.  The place of a shared shingle bounds what two sets can share after it;
 parities of the members' last bits differ in no more bits than the sets in members;
 the sets of what is left are compared exactly.  No class of the wide ring is
 compared with itself, so a large group of near copies is not expanded into pairs.
+The rows of a frequent key are dealt by the sizes of their sets, whose ratio the
+similarity bounds, and in blocks of which every two meet in one task, so no task
+holds such a run.
+
+Sets are named by 64 bits; where another 64 bits show that two sets share a name,
+these are named anew.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked
 like any other; texts of fewer words than a shingle are one shingle; repeated rows
@@ -71,8 +78,8 @@ WIDE_BUDGET = 54
 WIDE_CHAIN = 4
 WIDE_SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Share of pairs of exactly that similarity that some table should bring together.
-WIDE_RECALL = 0.98
+#: Tables of sampled bits.
+WIDE_TABLES = 40
 #: Distances by which forests of a long run are laid, so that a failed pair does not cut off its nearer neighbours.
 WIDE_FORESTS = (25, 38, WIDE_BUDGET)
 #: Fewest bits of the parities of a shingle set.
@@ -80,6 +87,10 @@ PARITY_BITS = 1024
 #: Shingles are ordered by how often their first bits occur, counted on about so many texts; any order gives the same result.
 ORDER_BITS = 16
 ORDER_TEXTS = 1 << 16
+#: Rows of a frequent key are cut into blocks of about so many, which meet two by two.
+MEETING_ROWS = 512
+#: Rows of one key that a task holds before it takes the key for a frequent one.
+HELD_ROWS = 1 << 16
 #: Candidates of long runs that a task gathers before it hands them on.
 CANDIDATES = 1 << 19
 LANES = np.uint64(0x0101010101010101)
@@ -254,9 +265,13 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _joined(left, fps), _joined(right, fps)
 
 
-def _in_runs(batches: Iterator[pa.RecordBatch], fps_of, found) -> Iterator[pa.RecordBatch]:
-    """``found(keys, fps)`` over whole runs of equal keys of sorted batches (fp, key); ``fps_of`` makes an array of a column."""
+def _in_runs(batches: Iterator[pa.RecordBatch], fps_of, found, beyond=None) -> Iterator[pa.RecordBatch]:
+    """``found(keys, fps)`` over whole runs of equal keys of sorted batches (fp, key); ``fps_of`` makes an array of a column.
+
+    With ``beyond``, runs of more than ``HELD_ROWS`` rows are given to it in pieces as they come.
+    """
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    passing = None  # key of a run that goes to ``beyond``
 
     def taken() -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
@@ -265,8 +280,19 @@ def _in_runs(batches: Iterator[pa.RecordBatch], fps_of, found) -> Iterator[pa.Re
         k = batch.column(1).to_numpy(zero_copy_only=False)
         if not len(k):
             continue
-        waiting.append((k, fps_of(batch.column(0))))
+        fps = fps_of(batch.column(0))
+        if passing is not None:
+            end = int(np.searchsorted(k, passing, "right"))
+            if end:
+                yield from beyond(k[:end], fps[:end])
+            if end == len(k):
+                continue
+            passing, k, fps = None, k[end:], fps[end:]
+        waiting.append((k, fps))
         if k[-1] == waiting[0][0][0]:  # one run goes on: only gather
+            if beyond and sum(len(w[0]) for w in waiting) > HELD_ROWS:
+                yield from beyond(*taken())
+                waiting, passing = [], k[-1]
             continue
         keys, fps = taken()
         end = int(np.searchsorted(keys, keys[-1]))
@@ -310,6 +336,18 @@ def shingle_set(text: str, shingle_words: int = WIDE_SHINGLE_WORDS) -> np.ndarra
     return np.unique(np.array(_hashes(text, shingle_words), np.uint64))
 
 
+def set_name(members: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(members, SEED)
+
+
+def second_name(members: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(members, SEED + 1)
+
+
 def _parities(own: np.ndarray) -> np.ndarray:
     """Parities of how many members end in each value; at least two bits a member, a power of two in all."""
     width = max(PARITY_BITS, 1 << (2 * len(own)).bit_length())
@@ -330,14 +368,12 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
-    """(id column, h long, fp binary, n int, parity binary, s binary) for every row; h is a hash of the shingle set s of n members."""
+    """(id column, h long, h2 long, fp binary, n int, parity binary, s binary) for every row; h and h2 are hashes of the shingle set s of n members."""
     kind = docs.schema[id_col].dataType.simpleString()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = spread(docs.select(F.col(id_col).alias("k"), body.alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             sets = [shingle_set(value.as_py(), shingle_words) for value in batch.column(1)]
             counts = np.array([len(x) for x in sets], np.int64)
@@ -345,21 +381,18 @@ def wide_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id
             lanes = np.stack([simhash(_mixed(joined, lane), counts) for lane in range(WIDE_SEGMENTS // 4)], axis=1)
             fps = pa.array([x.tobytes() for x in lanes], pa.binary())
             held = [x.tobytes() for x in sets]
-            names = np.array([xxhash.xxh64_intdigest(x, SEED) for x in held], np.uint64).view(np.int64)
+            names = [pa.array(np.array([name(x) for x in held], np.uint64).view(np.int64)) for name in (set_name, second_name)]
             parities = pa.array([_parities(x).tobytes() for x in sets], pa.binary())
-            own = [pa.array(names), fps, pa.array(counts.astype(np.int32)), parities, pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *own], ["k", "h", "fp", "n", "parity", "s"])
+            own = [*names, fps, pa.array(counts.astype(np.int32)), parities, pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], ["k", "h", "h2", "fp", "n", "parity", "s"])
 
-    schema = f"k {kind}, h long, fp binary, n int, parity binary, s binary"
+    schema = f"k {kind}, h long, h2 long, fp binary, n int, parity binary, s binary"
     return map_arrow(source.select("k", "t"), run, schema).withColumnRenamed("k", id_col)
 
 
-def wide_tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a sample, tables) for ``n`` fingerprints: a random pair meets about once, a similar one with ``recall``."""
-    cosine = 2 * similarity / (1 + similarity)
-    agree = 1 - math.acos(min(cosine, 1.0)) / math.pi
-    bits = min(max(16, math.ceil(math.log2(max(n, 1)))), 60)
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)))
+def sample_bits(n: int) -> int:
+    """Bits of a sample for ``n`` fingerprints."""
+    return min(max(16, math.ceil(math.log2(max(n, 1)))), 60)
 
 
 def _wide_keys(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -504,17 +537,29 @@ def _prefix(own: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray
     return ordered[: max(0, len(own) - shared + 1)]
 
 
-def _may(rows: np.ndarray, similarity: float):
-    """Which pairs of ``rows`` (h, root, n, place, parities if any) are of two classes and may have the similarity."""
+#: Columns of the rows of runs; those of frequent keys have two more, and parities.
+ROW = ("h", "root", "n", "place")
+CELL_ROW = (*ROW, "part", "home")
+
+
+def _may(rows: np.ndarray, similarity: float, cells: bool = False):
+    """Which pairs of ``rows`` are of two classes and may have the similarity.
+
+    In ``cells``, rows of one part meet each other in a cell of that part alone, those of
+    different parts in the cell of both, and rows that are guests there meet no other guest.
+    """
     h, root, n, place = rows[:, :4].T
     kind = np.where(root == 0, h, root)
     left = n - place
-    parities = rows[:, 4:].view(np.uint64)
+    parities = rows[:, len(CELL_ROW) :].view(np.uint64)
 
     def may(i, j) -> np.ndarray:
         # a pair meets at its first shared member too, and shares nothing before it
         both = np.minimum(left[i], left[j]) * (1 + similarity)
         ok = (kind[i] != kind[j]) & (both * (1 + 1e-9) >= similarity * (n[i] + n[j]))
+        if cells:
+            ok &= (rows[i, 5] | rows[j, 5]) > 0
+            ok &= (rows[i, 4] != rows[j, 4]) | (rows[i, 4] < 0)
         if parities.shape[1] and ok.any():
             apart = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=-1, dtype=np.int64)
             ok &= apart * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) * (1 + 1e-9) + 1e-9
@@ -541,8 +586,8 @@ def _short_runs(keys: np.ndarray, rows: np.ndarray, similarity: float) -> tuple[
 
 
 def _long_runs(keys: np.ndarray, rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of pairs in long runs of equal keys."""
-    may, kind = _may(rows, similarity)
+    """Hashes of pairs in the cells of frequent keys."""
+    may, kind = _may(rows, similarity, True)
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     for s, m in zip(edge, np.diff(np.append(edge, len(keys)))):
         _, which, count = np.unique(kind[s : s + m], return_inverse=True, return_counts=True)
@@ -581,23 +626,31 @@ def _rest(sets: DataFrame, nodes: DataFrame, classes: DataFrame, n: int, similar
 
     def table(column: pa.StructArray) -> np.ndarray:
         parts = column.flatten()
-        out = np.stack([part.to_numpy(zero_copy_only=False).astype(np.int64) for part in parts[:4]], axis=1)
-        if len(parts) == 4:
+        fixed = parts[: len(ROW)] if len(parts) == len(ROW) else parts[: len(CELL_ROW)]
+        out = np.stack([part.to_numpy(zero_copy_only=False).astype(np.int64) for part in fixed], axis=1)
+        if len(parts) == len(ROW):
             return out
-        folded = b"".join(_folded(np.frombuffer(x, np.uint8), PARITY_BITS // 8).tobytes() for x in parts[4].to_pylist())
+        folded = b"".join(_folded(np.frombuffer(x, np.uint8), PARITY_BITS // 8).tobytes() for x in parts[-1].to_pylist())
         return np.concatenate((out, np.frombuffer(folded, np.int64).reshape(len(out), -1)), axis=1)
 
     def handed(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         once = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
         return [once[:, 0], once[:, 1]]
 
+    def marked(a: np.ndarray, b: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        """Pairs, and rows of frequent keys."""
+        blank = np.arange(len(a) + len(rows)) < len(a)
+        held = [np.concatenate(x) for x in ((a, rows[:, 0]), (b, rows[:, 1]), (a, keys), (a, rows[:, 2]), (a, rows[:, 3]))]
+        columns = [pa.array(held[0]), pa.array(held[1]), *[pa.array(x, mask=blank) for x in held[2:]]]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "n", "place"])
+
     def short(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         i, j, rest = _short_runs(keys, rows, similarity)
-        a, b = handed(rows[i, 0], rows[j, 0])
-        blank = np.arange(len(a) + len(rest)) < len(a)
-        held = [np.concatenate(x) for x in ((a, rows[rest, 0]), (b, rows[rest, 1]), (a, keys[rest]), (a, rows[rest, 3]))]
-        marked = [pa.array(held[0]), pa.array(held[1]), pa.array(held[2], mask=blank), pa.array(held[3], mask=blank)]
-        yield pa.RecordBatch.from_arrays(marked, ["a", "b", "key", "place"])
+        yield marked(*handed(rows[i, 0], rows[j, 0]), keys[rest], rows[rest])
+
+    def frequent(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        yield marked(none, none, keys, rows)
 
     def long(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         waiting, many = [], 0
@@ -611,29 +664,61 @@ def _rest(sets: DataFrame, nodes: DataFrame, classes: DataFrame, n: int, similar
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in handed(*map(np.concatenate, zip(*waiting)))], ["a", "b"])
 
     def run_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_runs(batches, table, short)
+        return _in_runs(batches, table, short, frequent)
 
     def run_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _in_runs(batches, table, long)
 
-    rows = dealt(rows).select(F.struct("h", "root", "n", "place").alias("row"), "key")
-    met = cut(map_arrow(rows, run_short, "a long, b long, key long, place long"), "runs")
-    rows = met.filter("key is not null").select(F.col("a").alias("h"), F.col("b").alias("root"), "key", "place")
-    rows = dealt(rows.join(nodes.select("h", "n", "parity"), "h"))
-    rows = rows.select(F.struct("h", "root", "n", "place", "parity").alias("row"), "key")
+    rows = dealt(rows).select(F.struct(*ROW).alias("row"), "key")
+    met = cut(map_arrow(rows, run_short, "a long, b long, key long, n long, place long"), "runs")
+    rows = cells(met.filter("key is not null").select(F.col("a").alias("h"), F.col("b").alias("root"), "key", "n", "place"), similarity)
+    rows = dealt(rows.join(nodes.select("h", "parity"), "h"))
+    rows = rows.select(F.struct(*CELL_ROW, "parity").alias("row"), "key")
     return met.filter("key is null").select("a", "b").unionAll(map_arrow(rows, run_long, "a long, b long"))
 
 
-def _similar(docs: DataFrame, text: str, id_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
-    """(id column, h, fp, component_id, root) for every row; root is the least hash of a set of the class."""
-    sets = cut(wide_fingerprints(docs, text, id_col, shingle_words), "shingle-sets")
-    prints = cut(sets.select(id_col, "h", "fp"), "fingerprints")
+def cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows (h, root, key, n, place) of frequent keys, dealt to cells: key is the cell's, part and home as :func:`_may` reads them.
+
+    A set is at home among those of about its size and a guest among those of the next
+    size.  The rows of a key and size are cut into parts; every two parts share a cell.
+    """
+    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(similarity) + 1e-9) if similarity < 1 else F.col("n")
+    placed = rows.select("*", F.explode(F.array(*[F.struct((size + g).cast("long").alias("size"), F.lit(1 - g).alias("home")) for g in (0, 1)])).alias("c"))
+    placed = placed.select("h", "root", "key", "n", "place", "c.*")
+    many = placed.groupBy("key", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("any"))
+    # cells without anybody at home go; only the table of large ones is joined, as Spark sees fit for its size
+    large = many.filter((F.col("rows") > MEETING_ROWS) | (F.col("any") == 0)).select(
+        "key", "size", F.when(F.col("any") == 0, 0).otherwise(F.ceil(F.col("rows") / MEETING_ROWS)).cast("int").alias("parts")
+    )
+    placed = placed.join(large, ["key", "size"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).filter("parts > 0")
+    own = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("key", "size", F.least("own", "other"), F.greatest("own", "other"))
+    # in the cell of one part all may meet: that is part -1 of it
+    part = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    return placed.select("h", "root", cell.alias("key"), "n", "place", part.alias("part"), "home")
+
+
+def _similar(docs: DataFrame, text: str, id_col: str, shingle_words: int, similarity: float, tables: int) -> DataFrame:
+    """(id column, h, h0, h2, fp, component_id, root) for every row; root is the least name of a set of the class."""
+    sets = wide_fingerprints(docs, text, id_col, shingle_words)
+    sets = cut(sets.withColumn("h0", F.col("h")), "shingle-sets")
     held = [F.first(c).alias(c) for c in ("fp", "n", "parity")]
-    nodes = cut(sets.groupBy("h").agg(F.min(id_col).alias("least"), *held), "nodes")
+    while True:
+        nodes = sets.groupBy("h").agg(F.min(id_col).alias("least"), *held, F.min("h2").alias("low"), F.max("h2").alias("high"))
+        nodes = cut(nodes, "nodes")
+        shared = nodes.filter("low <> high").select("h", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            break
+        apart = sets.join(shared, "h", "left").withColumn("h", F.when(F.col("shared"), F.xxhash64("h", "h2")).otherwise(F.col("h")))
+        before, sets = sets, cut(apart.drop("shared"), "shingle-sets")
+        uncut(before)
+        uncut(nodes)
+    prints = cut(sets.select(id_col, "h", "h0", "h2", "fp"), "fingerprints")
     heads = nodes.groupBy("fp").agg(F.min(F.struct("h", "n", "parity")).alias("head"))
     heads = cut(heads.select("fp", "head.*"), "heads")  # one set stands for each fingerprint, the others are of the rest
-    bits, tables = wide_tables(heads.count(), similarity, recall)
-    near = cut(_sieved(_wide_links(heads, bits, tables).distinct(), heads, "fp", similarity), "pairs")
+    near = cut(_sieved(_wide_links(heads, sample_bits(heads.count()), tables).distinct(), heads, "fp", similarity), "pairs")
     classes = cut(connected_components(_verified(near, sets, similarity)), "wide-classes")
     rest = _rest(sets, nodes, classes, nodes.count(), similarity).distinct()
     more = _verified(cut(_sieved(rest, nodes, "h", similarity), "pairs"), sets, similarity)
@@ -644,13 +729,13 @@ def _similar(docs: DataFrame, text: str, id_col: str, shingle_words: int, simila
 
 def similar(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS,
-    similarity: float = SIMILARITY, recall: float = WIDE_RECALL,
+    similarity: float = SIMILARITY, tables: int = WIDE_TABLES,
 ) -> DataFrame:
     """(id column, fingerprint, component_id, root) for every row, by the Jaccard similarity of shingle sets.
 
-    ``recall`` is that of the wide ring; :func:`_rest` finds what it leaves out.
+    ``tables`` are those of the wide ring; :func:`_rest` finds what they leave out.
     """
-    return _similar(docs, text, id_col, shingle_words, similarity, recall).select(id_col, "fp", "component_id", "root")
+    return _similar(docs, text, id_col, shingle_words, similarity, tables).select(id_col, "fp", "component_id", "root")
 
 
 # ---------------------------------------------------------------- classes
@@ -675,14 +760,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 def keep_one(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle_words: int = WIDE_SHINGLE_WORDS,
-    similarity: float = SIMILARITY, recall: float = WIDE_RECALL,
+    similarity: float = SIMILARITY, tables: int = WIDE_TABLES,
 ) -> DataFrame:
     """``docs`` with one row of each class of :func:`similar`: the one that names it.
 
     Of rows that repeat that id, and of classes whose rows all lack an id, the
     largest row stays.
     """
-    found = cut(_similar(docs, text, id_col, shingle_words, similarity, recall), "classes")
+    found = cut(_similar(docs, text, id_col, shingle_words, similarity, tables), "classes")
     naming = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
     naming = cut(naming, "naming")
     # texts are dealt by id and met there by a table of ids, at every size; they are not sorted
@@ -693,10 +778,10 @@ def keep_one(
     if not repeated.isEmpty():
         rows = docs.join(repeated.select(id_col), id_col, "left_semi")
         kept = kept.unionByName(rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(row).alias("_row")).select("_row.*"))
-    nameless = found.filter(F.col("component_id").isNull()).select("h", "root").distinct()
+    nameless = found.filter(F.col("component_id").isNull()).select(F.col("h0").alias("h"), "h2", "root").distinct()
     if not nameless.isEmpty():
         rows = docs.filter(F.col(id_col).isNull()).select(row.alias("_row"), F.col(text).alias("_text"))
         rows = wide_fingerprints(rows, "_text", "_row", shingle_words)
-        rows = rows.select("_row", "h").join(nameless, "h").groupBy("root").agg(F.max("_row").alias("_row"))
+        rows = rows.select("_row", "h", "h2").join(nameless, ["h", "h2"]).groupBy("root").agg(F.max("_row").alias("_row"))
         kept = kept.unionByName(rows.select("_row.*"))
     return kept
