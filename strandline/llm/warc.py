@@ -8,8 +8,9 @@ text writer makes the archives (``\\r\\n\\r\\n`` between records, gzip), and any
 file system that Spark writes to will do.
 
 Archives are bounded in bytes: payloads up to ``SMALL_BYTES`` go to files of
-``MAX_RECORDS`` rows at most; longer ones are written by classes of doubling
-length, with half as many rows a file in each class.
+``MAX_RECORDS`` rows at most; longer ones have classes of doubling length, with half
+as many rows a file in each class.  Class and file are columns of one write, so
+the table is scanned once, whatever its longest payload.
 
 Reading.  Each archive is one binary row, unpacked as a stream and parsed by
 ``Content-Length``, a record at a time.  Transactions are assembled
@@ -140,16 +141,14 @@ def write(
         ],
         F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF)),
     )
-    longest = pages.agg(F.max(F.octet_length(payload))).first()[0] or 0
-    out = rows.select("bytes", F.concat_ws(CRLF + CRLF, request, main, metadata).alias("value"))
-    low = -1
-    for k in range(max(0, (longest - 1) // small_bytes).bit_length() + 1):  # a class without rows writes nothing of note
-        high = small_bytes << k
-        own = out.filter((F.col("bytes") > low) & (F.col("bytes") <= high)).select("value")
-        own.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option(
-            "maxRecordsPerFile", max(1, max_records >> k)
-        ).text(f"{path}/class-{k}")
-        low = high
+    steps = F.expr(f"(bytes - 1) div {small_bytes}")
+    kind = F.when(steps <= 0, 0).otherwise(F.length(F.bin(steps)))
+    # of so many consecutive rows of a task no more belong to one class
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    out = rows.select(F.concat_ws(CRLF + CRLF, request, main, metadata).alias("value"), kind.alias("class"), nth.alias("nth"))
+    most = F.greatest(F.lit(1).cast("long"), F.expr(f"shiftright({max_records}L, class)"))
+    out = out.select("value", "class", F.floor(F.col("nth") / most).alias("stretch"))
+    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").partitionBy("class", "stretch").text(path)
 
 
 RECORD = pa.schema(

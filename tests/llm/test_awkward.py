@@ -208,4 +208,8 @@ def test_archives_by_length(spark, tmp_path):
     got = warc.captures(warc.records(spark, path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
     assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(4, 9), (7, 10)}
-    assert len({p.parent.name for p in tmp_path.rglob("*.gz")}) == 8
+    files = list(tmp_path.rglob("*.gz"))
+    assert {p.parent.parent.name for p in files} == {f"class={k}" for k in (0, 1, 2, 4, 7)}
+    for p in files:
+        n = sum(r.kind != "request" and r.kind != "metadata" for r in warc.records(spark, str(p), False).collect())
+        assert 0 < n <= max(1, 4 >> int(p.parent.parent.name[6:]))
