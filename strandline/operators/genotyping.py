@@ -17,8 +17,8 @@ MAX_QUALITY = 40
 MAX_ERROR = 0.75
 
 
-def contaminated_pl(bases: DataFrame, contamination: float = 0.0) -> DataFrame:
-    """PL of each (sample, snp) from (allele, bq), where a share of the bases comes from somebody else.
+def contaminated_pl(bases: DataFrame, contamination: float | Column = 0.0) -> DataFrame:
+    """PL of each (sample, snp) from (allele, bq), where a share of the bases, one for all or a column, comes from somebody else.
 
     A base's three factors are renormalised, then multiplied; alleles other than
     the two are left out.

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalar
 from strandline.functions.scalar import hwe
+from strandline.operators.lineage import cut
 
 SNP_MASKS = {"ALL": (0, 1, 2, 3), "NREF": (2, 3), "REF": (1,), "HET": (2,), "ALT": (3,), "MISS": (0,)}
 
@@ -294,11 +295,12 @@ def _weights(af: Column) -> list[Column]:
     return [F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0) * p for g, p in enumerate(hwe(af))]
 
 
-def pooled_af_em(pls: DataFrame, rounds: int = 10, ploidy: str | None = None) -> DataFrame:
+def pooled_af_em(pls: DataFrame, rounds: int = 10, ploidy: str | None = None, samples: int | None = None) -> DataFrame:
     """Allele frequency of each site by EM over genotype likelihoods (snp, sample, pl0, pl1, pl2), from one half.
 
     With a column of copies, samples of one copy count by the two homozygotes and
-    once, those of none not at all.  Likelihoods of a site are gathered in sorted
+    once, those of none not at all.  Of ``samples`` in all (of two copies), those without
+    a row have flat likelihoods.  Likelihoods of a site are gathered in sorted
     order as one array of small structs, so a round is an expression, not a shuffle.
     """
     copies = F.lit(2) if ploidy is None else F.col(ploidy)
@@ -306,6 +308,8 @@ def pooled_af_em(pls: DataFrame, rounds: int = 10, ploidy: str | None = None) ->
     own = pls.filter(copies > 0).groupBy("snp").agg(
         F.sort_array(F.collect_list(F.struct(*like, copies.cast("int").alias("c")))).alias("ls"), F.count(F.lit(1)).alias("n"), F.sum(copies).cast("long").alias("an")
     )
+    if samples is not None:
+        own = own.withColumns({"an": F.lit(2 * samples).cast("long"), "flat": F.lit(samples) - F.col("n"), "n": F.lit(samples).cast("long")})
     out = own.withColumn("af", F.lit(0.5))
     low = F.greatest(F.lit(1e-5), F.lit(0.5) / (2 * F.col("n") + 1))
 
@@ -317,13 +321,14 @@ def pooled_af_em(pls: DataFrame, rounds: int = 10, ploidy: str | None = None) ->
         return F.when(x["c"] == 1, x["l2"] * p / (x["l0"] * (1 - p) + x["l2"] * p)).otherwise(two)
 
     for _ in range(rounds):
-        new = F.aggregate("ls", F.lit(0.0), lambda a, x: a + share(x, F.col("af"))) / F.col("an")
+        told = F.aggregate("ls", F.lit(0.0), lambda a, x: a + share(x, F.col("af")))
+        new = (told if samples is None else told + 2 * F.col("flat") * F.col("af")) / F.col("an")
         out = out.withColumn("af", F.least(F.greatest(new, low), 1 - low))
     return out.select("snp", "n", "af")
 
 
-def hwe_score(pls: DataFrame, afs: DataFrame) -> DataFrame:
-    """Score test against Hardy-Weinberg shares and inbreeding of each site."""
+def hwe_score(pls: DataFrame, afs: DataFrame, samples: int | None = None) -> DataFrame:
+    """Score test against Hardy-Weinberg shares and inbreeding of each site; of ``samples`` in all, those without a row are flat."""
     a = F.col("af")
     joined = pls.join(afs.select("snp", "af"), "snp")
     like = [F.pow(F.lit(10.0), -F.col(f"pl{g}") / 10.0) for g in range(3)]
@@ -335,6 +340,8 @@ def hwe_score(pls: DataFrame, afs: DataFrame) -> DataFrame:
         F.first("af").alias("af"), F.sum(u).alias("su"), F.sum(u * u).alias("suu"), F.sum(het).alias("het"), F.count(F.lit(1)).alias("n")
     )
     p0, p1, p2 = hwe(F.col("af"))
+    if samples is not None:
+        out = out.withColumn("het", F.col("het") + (F.lit(samples) - F.col("n")) * p1).withColumn("n", F.lit(samples).cast("long"))
     return out.select(
         "snp", "n", "af",
         (F.col("su") / F.sqrt(F.col("suu") + 1 / p0 + 4 / p1 + 1 / p2)).alias("z"),
@@ -359,28 +366,78 @@ def join_sites(genotypes: DataFrame, sites: DataFrame, keys: list[str], how: str
     return genotypes.join(sites, keys, how)
 
 
-def min_distance(sites: DataFrame, distance: int, order: str = "pos") -> DataFrame:
+#: Positions are cut into bins of at least so many bases.
+CHAIN_BIN = 1 << 16
+
+
+def min_distance(sites: DataFrame, distance: int, order: str = "pos", bin_width: int = CHAIN_BIN) -> DataFrame:
     """Sites at least ``distance`` from the previous kept one of their chromosome, in order of position.
 
-    Which sites are kept depends on all before them, so a chromosome's positions
-    pass one task in order; it remembers the last kept position only.
+    Which sites are kept depends on all before them: they are a chain, from each the
+    next one far enough away.  Bins of positions are walked apart: for every place at
+    which a chain may come into a bin, the place at which it leaves to a later one.
+    Steps from bin to bin are then doubled until the chains from the first sites
+    are known at every bin (a number of joins that is logarithmic in the bins), and each
+    bin is walked once more from where its chain comes in.  Sites without a chromosome
+    or position are not kept.
     """
-    positions = sites.select("chrom", F.col(order).cast("long").alias("p")).distinct().repartition("chrom").sortWithinPartitions("chrom", "p")
     kind = sites.schema["chrom"].dataType.simpleString()
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chrom, last = None, 0
-        for batch in batches:
-            keep = []
-            for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                good = c != chrom or p - last >= distance
-                if good:
-                    chrom, last = c, p
-                keep.append(good)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    found = positions.mapInArrow(kept, f"chrom {kind}, p long")
-    return sites.join(found.select("chrom", F.col("p").cast(sites.schema[order].dataType).alias(order)), ["chrom", order], "left_semi")
+    positions = sites.select("chrom", F.col(order).cast("long").alias("p")).dropna().distinct()
+    if distance > 1:
+        positions = _chained(positions, distance, max(bin_width, distance), kind)
+    found = positions.select("chrom", F.col("p").cast(sites.schema[order].dataType).alias(order))
+    return sites.join(found, ["chrom", order], "left_semi")
+
+
+def _chained(positions: DataFrame, distance: int, width: int, kind: str) -> DataFrame:
+    """(chrom, p) of the chains through distinct positions."""
+    placed = cut(positions.withColumn("b", F.floor(F.col("p") / width)))
+    # bins of a chromosome are bounded by its length, whatever the number of sites
+    later = Window.partitionBy("chrom").orderBy("b")
+    bins = placed.groupBy("chrom", "b").agg(F.min("p").alias("first"))
+    bins = cut(bins.select("chrom", "b", "first", F.lead("first").over(later).alias("next"), F.lead("first", 2).over(later).alias("after")))
+    # a bin's own sites, and as guests those of the next one, where a step from it may end
+    guests = placed.select("chrom", "p", (F.col("b") - 1).alias("b"), F.lit(True).alias("guest"))
+    both = placed.select("chrom", "p", "b", F.lit(False).alias("guest")).unionByName(guests.join(bins, ["chrom", "b"], "left_semi"))
+    both = both.join(bins, ["chrom", "b"])
+
+    def leave(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(rows.loc[~rows["guest"], "p"].to_numpy())
+        near = np.sort(rows.loc[rows["guest"], "p"].to_numpy())
+        step = np.searchsorted(own, own + distance)
+        last = np.where(step == len(own), np.arange(len(own)), np.minimum(step, len(own) - 1))
+        while (last[last] != last).any():
+            last = last[last]
+        to = np.searchsorted(near, own[last] + distance)
+        # beyond the next bin's sites: the first of the bin after it, or of the next one that has any
+        far = rows["after"].iloc[0] if len(near) else rows["next"].iloc[0]
+        ends = np.append(near, -1)[to].astype(float)
+        ends[to == len(near)] = far
+        out = pd.DataFrame({"chrom": rows["chrom"].iloc[0], "p": own, "to": pd.array(ends, "Float64").astype("Int64")})
+        return out.dropna()
+
+    leaves = cut(both.groupBy("chrom", "b").applyInPandas(leave, f"chrom {kind}, p long, to long"))
+    starts = bins.groupBy("chrom").agg(F.min("first").alias("p"))
+    entries = cut(leaves.select("chrom", F.col("to").alias("p")).unionAll(starts).distinct())
+    jump = cut(leaves.join(entries, ["chrom", "p"], "left_semi"))  # only places where a chain may come in
+    reached, n = cut(starts), -1
+    while (now := reached.count()) != n:
+        n = now
+        onward = reached.join(jump, ["chrom", "p"]).select("chrom", F.col("to").alias("p"))
+        reached = cut(reached.unionAll(onward).distinct())
+        jump = cut(jump.join(jump.select("chrom", F.col("p").alias("to"), F.col("to").alias("_t")), ["chrom", "to"]).select("chrom", "p", F.col("_t").alias("to")))
+    entered = reached.select("chrom", F.floor(F.col("p") / width).alias("b"), F.col("p").alias("entry"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(rows["p"].to_numpy())
+        step = np.searchsorted(own, own + distance)
+        keep, at = [], int(np.searchsorted(own, rows["entry"].iloc[0]))
+        while at < len(own):
+            keep.append(at)
+            at = int(step[at])
+        return pd.DataFrame({"chrom": rows["chrom"].iloc[0], "p": own[keep]})
+
+    return placed.join(entered, ["chrom", "b"]).groupBy("chrom", "b").applyInPandas(walk, f"chrom {kind}, p long")
 
 
 def gap_clusters(rows: DataFrame, gap: int, by: list[str], order: str) -> DataFrame:

@@ -665,4 +665,4 @@ def delta_scores(spark, d):
 
 # ---------------------------------------------------------------- more, by subject; they register themselves
 
-from strandline.plans import formats, numerics  # noqa: E402, F401
+from strandline.plans import cohort, formats, numerics  # noqa: E402, F401
