@@ -1,8 +1,11 @@
 """Operator 1: personal data and secrets replaced by keyed surrogates.
 
 Detection finds e-mail addresses, phone, card, account and social-security
-numbers, IPv4 addresses, credentials, and names (a known given name, a form of
-address or an introduction such as "my name is" before capitalised words).  Each entity has a canonical form; its
+numbers, IPv4 and IPv6 addresses, credentials (by a label or by the prefix of
+their issuer), and names (a known given name, a form of address or an introduction
+such as "my name is" before capitalised words).  An account number counts if its
+check digits hold or the word IBAN stands before it; phone numbers keep the
+country code, which the first digits tell.  Each entity has a canonical form; its
 surrogate is drawn from an HMAC of key, type, canonical form and attempt, so the
 same entity gets the same surrogate in all documents (coreference), and keeps
 its format: punctuation, digit and letter classes, check digits, reserved
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -51,11 +55,13 @@ SALTS = 32
 GIVEN = {
     ("latin", "m"): (
         "James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Jürgen Klaus Wolfgang "
-        "Dieter François Jacques Philippe Antoine Carlos Javier Miguel Alejandro"
+        "Dieter François Jacques Philippe Antoine Carlos Javier Miguel Alejandro John Peter Andrew George Edward Henry "
+        "Stephen Kevin Brian Hans Stefan Matthias Pierre Laurent Juan José Amit Rajesh Ahmed Mohammed Omar Hiroshi"
     ).split(),
     ("latin", "f"): (
         "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Margaret Nancy Betty Ursula Monika Sabine "
-        "Brigitte Françoise Jacqueline Sylvie Véronique Carmen Dolores Guadalupe Mercedes"
+        "Brigitte Françoise Jacqueline Sylvie Véronique Carmen Dolores Guadalupe Mercedes Emma Olivia Emily Alice Laura "
+        "Julia Hannah Rebecca Rachel Petra Heike Claudia Camille Nathalie Isabel Lucía Priya Anjali Fatima Aisha Yuki"
     ).split(),
     ("cyrillic", "m"): "Александр Дмитрий Сергей Владимир Николай Михаил Андрей Алексей".split(),
     ("cyrillic", "f"): "Екатерина Наталья Ольга Татьяна Светлана Людмила Ирина Марина".split(),
@@ -72,7 +78,7 @@ ADDRESS_F = frozenset(["Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Madame",
 ADDRESS_N = frozenset(["Dr", "Prof"])
 #: Words before a name that no list needs to know; their first letter may be a capital.
 INTRODUCTIONS = (
-    "my name is", "name:", "ich heiße", "mein Name ist", "je m'appelle", "mon nom est", "me llamo", "mi nombre es",
+    "my name is", "name:", "signed by", "ich heiße", "mein Name ist", "je m'appelle", "mon nom est", "me llamo", "mi nombre es",
     "меня зовут", "με λένε",
 )
 EMAIL_DOMAINS = ("example.com", "example.net", "example.org")
@@ -81,23 +87,37 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Where two kinds overlap the earlier one wins.
 NUMERIC = (
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)")),
+    ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:])")),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("card", re.compile(
         r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(
         r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
         r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-        r"|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+        r"|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])"
+        r"|(?<![\w.,+-])0[1-9](?:([ .-])\d{2})(?:\2\d{2}){3}(?![\w-])")),
 )
+#: What stands before an account number whose check digits do not hold.
+LABELLED_IBAN = re.compile(r"IBAN\W{0,3}\Z", re.IGNORECASE)
+#: Fixed values (E.164): country codes of two digits; those that begin with 1 or 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 "
+    "90 91 92 93 94 95 98".split()
+)
 EMAIL = re.compile(r"[\w.%+-]+@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)+")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{12,}")
+#: How tokens of known issuers begin.
+ISSUED = re.compile(
+    r"(?<![A-Za-z0-9])(sk-(?:[a-z]{2,5}-)?|sk_live_|sk_test_|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|hf_|npm_|AIza)[A-Za-z0-9_-]{16,}"
+)
+ISSUED_HINTS = ("sk-", "sk_", "gh", "glpat-", "xox", "hf_", "npm_", "AIza")
 CREDENTIAL = re.compile(
     r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/=.~!@-]{6,})",
     re.IGNORECASE,
 )
 CREDENTIAL_HINT = re.compile(r"[=:]")
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+)?"
+_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ](?:['’][A-ZÀ-ÖØ-Þ])?[^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+)?"
 GIVEN_OF = {name: kind for kind, names in GIVEN.items() for name in names}
 _LEAD = "|".join(sorted([*ADDRESS_M, *ADDRESS_F, *ADDRESS_N, *GIVEN_OF], key=lambda n: (-len(n), n)))
 #: Begins with a letter of few kinds, so that the search skips quickly; :func:`detect` looks at the character before.
@@ -109,6 +129,22 @@ WORD_OR_DIGIT = re.compile(r"[A-Za-z0-9]")
 JOINED = re.compile(r"\w+(?:[-'’]\w+)*")
 
 
+def is_ipv6(text: str) -> bool:
+    """Whether a text is an address of the network, and no scope of a program such as ``a::b``."""
+    groups = [g for g in text.split(":") if g]
+    if len(groups) < 3 and not (groups and len(groups[0]) > 2 and HAS_DIGIT.search(text)):
+        return False
+    try:
+        return int(ipaddress.IPv6Address(text)) > 1  # neither the unspecified nor the loop-back address
+    except ValueError:
+        return False
+
+
+def code_length(digits: str) -> int:
+    """Digits of the country code that an international number begins with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+
+
 def script_of(word: str) -> str:
     c = word[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -127,6 +163,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if "AKIA" in text or "ASIA" in text:
         for m in ACCESS_KEY.finditer(text):
             add(1, m.start(), m.end(), "secret", m[0])
+    if any(h in text for h in ISSUED_HINTS):
+        for m in ISSUED.finditer(text):
+            if HAS_DIGIT.search(m[0]):
+                add(1, m.start(), m.end(), "secret", m[0])
     if CREDENTIAL_HINT.search(text):
         for m in CREDENTIAL.finditer(text):
             if WORD_OR_DIGIT.search(m[1]):
@@ -134,7 +174,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if HAS_DIGIT.search(text):
         for rank, (kind, pattern) in enumerate(NUMERIC):
             for m in pattern.finditer(text):
-                plain = m[0] if kind == "ip" else "".join(c for c in m[0] if c.isalnum())
+                plain = m[0] if kind in ("ip", "ipv6") else "".join(c for c in m[0] if c.isalnum())
+                if kind == "ipv6" and not is_ipv6(plain):
+                    continue
+                if kind == "iban" and _mod97(plain[4:] + plain[:4]) != 1 and not LABELLED_IBAN.search(text[max(0, m.start() - 8) : m.start()]):
+                    continue
+                if kind == "phone" and m[0].startswith("+"):
+                    plain = "+" + plain
                 add(2 + rank, m.start(), m.end(), kind, plain)
     for m in NAME.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
@@ -241,13 +287,25 @@ class Surrogates:
         if kind == "iban":
             body = self._shape(canonical[4:], draws)
             return canonical[:2] + f"{98 - _mod97(body + canonical[:2] + '00'):02d}" + body
-        if kind == "secret" and canonical[:4] in ("AKIA", "ASIA"):
-            return canonical[:4] + self._shape(canonical[4:], draws)
-        if kind == "phone" and len(canonical) > 10:
-            lead = len(canonical) - 10  # the country code stays
+        if kind == "ipv6":
+            return "".join(self._hex(c, draws) for c in canonical)
+        if kind == "secret":
+            issued = ISSUED.match(canonical)
+            lead = 4 if canonical[:4] in ("AKIA", "ASIA") else issued.end(1) if issued else 0
+            return canonical[:lead] + self._shape(canonical[lead:], draws)
+        if kind == "phone":  # the country code stays, or the zero before a national number
+            lead = 1 + code_length(canonical[1:]) if canonical[0] == "+" else max(int(canonical[0] == "0"), len(canonical) - 10)
             return canonical[:lead] + self._shape(canonical[lead:], draws)
         return self._shape(canonical, draws)
 
+    @staticmethod
+    def _hex(c: str, draws: Iterator[int]) -> str:
+        """A hexadecimal digit other than zero in the same case; zero and marks stay."""
+        if c in ":0":
+            return c
+        new = "123456789abcdef"[next(draws) % 15]
+        return new.upper() if c.isupper() else new
+
     @staticmethod
     def _shape(text: str, draws: Iterator[int]) -> str:
         """Digits for digits (no leading zero where there was none), letters for letters of the same case."""
@@ -284,7 +342,7 @@ class Surrogates:
     def _dressed(shown: str, kind: str, new: str) -> str:
         """The surrogate in the punctuation of the text that it replaces."""
         if kind in ("card", "ssn", "phone", "iban"):
-            rest = iter(new)
+            rest = iter(new.lstrip("+"))
             return "".join(next(rest) if c.isalnum() else c for c in shown) + "".join(rest)
         if kind == "email" and shown.isupper():
             return new.upper()
