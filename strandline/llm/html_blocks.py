@@ -1,17 +1,22 @@
 """Operator 2: main text of HTML pages from flat text blocks and a decision tree.
 
 A page is cut at block-level tags into flat text blocks.  Each block has its
-word count and link density, those of its neighbours, and four marks: whether it
-is a heading, stands in an article, stands outside on a page that has one, or
-stands in a container that names itself boilerplate (menu, footer, advert, form,
-comments ...).  A decision tree trained on the small labelled table below says
-which blocks are the article; they are joined by an empty line.  The marks settle
-well-built pages; where they are absent or misleading (plain pages, link lists
-inside an article) word counts and link densities do.
-
-Names on html, body, main and article elements say nothing of their text, nor do
-names such as ``no-sidebar`` or ``search-enabled``; an article that opens inside
-a container of a layout name (``sidebar``, ``top`` ...) is an article still.
+word count and link density, those of its neighbours, and six marks: whether it is
+a heading or a paragraph, stands in an article, stands outside on a page that has
+one, reads like a notice, or stands in a container that names itself boilerplate
+(menu, footer, advert, form, comments ...).  A decision tree trained on the small
+labelled table below says which blocks are the article; they are joined by an empty
+line.  The marks settle well-built pages; where they are absent or misleading (plain
+pages, a form around everything, link lists inside an article) word counts and
+link densities do.
+
+A name counts by its place in a class: ``site-footer`` and ``footer-links`` are
+footers, ``tag-search`` and ``category-social`` are topics, ``no-sidebar`` and
+``search-enabled`` are states.  Names on html, body, main and article elements say
+nothing of their text.  An article that opens inside a container of a layout name
+(``sidebar``, ``top`` ...) is an article still.  A form, or a container whose name
+speaks of layout or of content too, that holds most of a page's words is only half a
+mark of boilerplate: the tree sees it as such and judges the blocks by their words.
 
 The scanner goes over a page once: its patterns never try a place in two ways.
 The tree is grown once on the driver (a few dozen splits over some hundred rows)
@@ -55,7 +60,7 @@ BOILER_NAMES = frozenset(
     "cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation "
     "newsletter notice notification overlay pager pagination popup promo promotion related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar "
-    "topbar warning widget".split()
+    "topbar warning widget feedback responses disclosure cta".split()
 )
 #: Boilerplate only outside an article.
 OUTER_TAGS = frozenset(["header"])
@@ -64,6 +69,11 @@ OUTER_NAMES = frozenset(["header", "top", "bottom"])
 LAYOUT_NAMES = frozenset("banner bottom header menu nav navbar navigation search sidebar skip social tags toolbar top topbar".split())
 #: Elements whose own names are not read, and names that speak of a state.
 UNNAMED_TAGS = frozenset(["html", "body", "main", "article"])
+#: What a class is about, if more follows than the word for a box.
+TOPIC_FIRST = frozenset("cat category format section status tag tags topic type".split())
+BOX_NAMES = frozenset("area bar block box buttons cloud col container group inner item items links list outer panel row wrap wrapper".split())
+#: Names that speak of content, whatever else stands beside them.
+CONTENT_NAMES = frozenset("article body content entry main page post story text".split())
 STATE_FIRST = frozenset("disable enable has hide is no not show with without".split())
 STATE_LAST = frozenset("closed disabled enabled layout off on open site".split())
 
@@ -78,8 +88,17 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: Short blocks that hold one of these read like notices.
+NOTICE = re.compile(
+    r"\b(?:subscribe (?:to|now)|sign up|newsletter|all rights reserved|accept (?:all )?cookies|we use cookies|privacy policy|terms of (?:use|service)"
+    r"|share this|follow us|log ?in|advertisement|sponsored|read more|click here|leave a (?:reply|comment)|skip to content)\b",
+    re.IGNORECASE,
+)
+NOTICE_WORDS = 15
 #: What a container is: text, boilerplate by the name of its place, boilerplate.
 TEXT, LAYOUT, BOILER = 0, 1, 2
+#: Share of a page's words above which a soft container is half a mark.
+MOST = 0.5
 
 
 @dataclass(slots=True)
@@ -88,49 +107,73 @@ class Block:
     words: int
     link_words: int
     main: bool
-    boiler: bool
+    boiler: float
     heading: bool
+    paragraph: bool = False
+    notice: bool = False
+
+
+@dataclass(slots=True)
+class Container:
+    """An open or closed element that marks boilerplate; soft ones may turn out to wrap the page."""
+
+    parent: int
+    kind: int
+    soft: bool
+    words: int = 0
+    main: bool = False
 
 
-def _named(value: str, in_main: bool) -> int:
-    """What the names of a class or id attribute say."""
-    found = TEXT
+def _named(value: str, in_main: bool) -> tuple[int, bool]:
+    """What the names of a class or id attribute say, and whether softly."""
+    found, soft = TEXT, True
     for name in value.split():
         parts = [p.lower() for p in NAME_PART.findall(name)]
         if not parts or parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
             continue
-        for part in parts:
-            if part in BOILER_NAMES or (part in OUTER_NAMES and not in_main):
+        if parts[0] in TOPIC_FIRST and len(parts) > 1 and parts[-1] not in BOX_NAMES:
+            continue
+        while len(parts) > 1 and parts[-1] in BOX_NAMES:
+            parts.pop()
+        says = [p in BOILER_NAMES or (p in OUTER_NAMES and not in_main) for p in parts]
+        for part, said in zip(parts, says):
+            if said:
                 found = max(found, LAYOUT if part in LAYOUT_NAMES else BOILER)
-    return found
+        if any(says):  # in the middle of a name, or beside a name of content, it says less
+            soft &= not (says[0] or says[-1]) or any(p in CONTENT_NAMES for p in parts)
+    return found, soft
 
 
-def _container(tag: str, attrs: str, in_main: bool) -> int:
-    """What an element's tag and attributes say of its text."""
+def _container(tag: str, attrs: str, in_main: bool) -> tuple[int, bool]:
+    """What an element's tag and attributes say of its text, and whether softly."""
     if tag in BOILER_TAGS or (tag in OUTER_TAGS and not in_main):
-        return BOILER
-    found = TEXT
+        return BOILER, tag == "form"
+    found, soft = TEXT, True
     for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             if tag not in UNNAMED_TAGS:
-                found = max(found, _named(value, in_main))
+                said, softly = _named(value, in_main)
+                found = max(found, said)
+                soft &= softly or said == TEXT
         elif name == "role":
             if value.lower() in BOILER_ROLES:
-                return BOILER
+                return BOILER, False
         elif name == "style":
             if HIDDEN_STYLE.search(value):
-                return BOILER
+                return BOILER, False
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return BOILER
-    return found
+            return BOILER, False
+    return found, soft or found == LAYOUT
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page, in order; blocks without a word are left out."""
     out: list[Block] = []
-    # open elements: name, in main, kind of container, in a link
-    stack: list[tuple[str, bool, int, bool]] = [("", False, TEXT, False)]
+    inside: list[int] = []  # of each block its innermost container of boilerplate, -1 for none
+    containers: list[Container] = []
+    # open elements: name, in main, innermost container, in a link
+    stack: list[tuple[str, bool, int, bool]] = [("", False, -1, False)]
     pieces: list[str] = []
     links: list[str] = []
     heading = False
@@ -139,9 +182,15 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             words = html_lib.unescape("".join(pieces)).split()
             if words:
-                _, main, kind, _ = stack[-1]
+                name, main, own, _ = stack[-1]
                 linked = len(html_lib.unescape("".join(links)).split()) if links else 0
-                out.append(Block(" ".join(words), len(words), linked, main, kind != TEXT, heading))
+                text = " ".join(words)
+                notice = len(words) <= NOTICE_WORDS and NOTICE.search(text) is not None
+                paragraph = name == "p" or (name == "a" and len(stack) > 1 and stack[-2][0] == "p")
+                out.append(Block(text, len(words), linked, main, 0.0, heading, paragraph, notice))
+                inside.append(own)
+                if own >= 0:
+                    containers[own].words += len(words)
             pieces.clear()
             links.clear()
 
@@ -192,18 +241,40 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             while stack[-1][0] == "a":
                 stack.pop()
-        _, main, kind, link = stack[-1]
-        own = _container(tag, m.group(3), main or tag in MAIN_TAGS)
+        _, main, own, link = stack[-1]
+        kind, soft = _container(tag, m.group(3), main or tag in MAIN_TAGS)
+        new = own
         if tag in MAIN_TAGS:
-            if kind == LAYOUT and not main and not _named(" ".join(_names(m.group(3))), True):
-                kind = TEXT
+            if not main and _named(" ".join(_names(m.group(3))), True)[0] == TEXT:
+                if own >= 0:
+                    containers[own].main = True
+                while new >= 0 and containers[new].kind == LAYOUT:
+                    new = containers[new].parent
             main = True
-        new = max(kind, own)
-        if block or tag == "a" or new != stack[-1][2]:
-            if new != stack[-1][2]:
+        if kind != TEXT:
+            containers.append(Container(new, kind, soft))
+            new = len(containers) - 1
+        if block or tag == "a" or new != own:
+            if new != own:
                 flush()
             stack.append((tag, main, new, link or tag == "a"))
     flush()
+    marks = _marks(containers, sum(b.words for b in out))
+    for b, own in zip(out, inside):
+        b.boiler = marks[own] if own >= 0 else 0.0
+    return out
+
+
+def _marks(containers: list[Container], words: int) -> list[float]:
+    """How much each container marks boilerplate, what holds it counted in: a half or a whole."""
+    for c in reversed(containers):  # a container comes after the one that holds it
+        if c.parent >= 0:
+            containers[c.parent].words += c.words
+            containers[c.parent].main |= c.main
+    out: list[float] = []
+    for c in containers:
+        half = c.words > MOST * words and (c.soft or (c.main and c.kind == BOILER))
+        out.append(max(0.5 if half else 1.0, out[c.parent] if c.parent >= 0 else 0.0))
     return out
 
 
@@ -213,22 +284,27 @@ def _names(attrs: str) -> list[str]:
 
 FEATURES = (
     "words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density",
-    "in_article", "outside_article", "in_boilerplate", "heading",
+    "in_article", "outside_article", "in_boilerplate", "heading", "paragraph", "notice",
 )
 
 
 def features(page: list[Block]) -> list[tuple[float, ...]]:
     own = [(float(b.words), b.link_words / b.words) for b in page]
     padded = [(0.0, 0.0), *own, (0.0, 0.0)]
-    has = any(b.main and not b.boiler for b in page)
+    has = any(b.main and b.boiler < 1 for b in page)
     return [
-        (*padded[i + 1], *padded[i], *padded[i + 2], float(b.main), float(has and not b.main), float(b.boiler), float(b.heading))
+        (
+            *padded[i + 1], *padded[i], *padded[i + 2], float(b.main), float(has and not b.main), b.boiler, float(b.heading),
+            float(b.paragraph), float(b.notice),
+        )
         for i, b in enumerate(page)
-    ]
+    ]
 
 
 #: The labelled table: pages as rows (words, words in links, in an article, in a
-#: boilerplate container, heading, is article text), labelled by hand.
+#: boilerplate container (half: see above), heading, is article text[, paragraph, notice]),
+#: labelled by hand.  Where the last two are not given, article text and other prose stand
+#: in paragraphs, headings do not, and nothing reads like a notice.
 LABELLED = (
     # news page with an article element
     ((1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (9, 0, 0, 1, 0, 0), (8, 0, 1, 0, 1, 1), (32, 0, 1, 0, 0, 1),
@@ -279,16 +355,42 @@ LABELLED = (
     # named containers around a plain text
     ((12, 0, 0, 1, 0, 0), (22, 0, 0, 1, 0, 0), (6, 0, 0, 0, 1, 1), (24, 0, 0, 0, 0, 1), (70, 5, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1),
      (30, 0, 0, 1, 0, 0), (65, 3, 0, 1, 0, 0)),
+    # paragraphs of an article that are links as a whole, or nearly
+    ((5, 0, 1, 0, 1, 1), (3, 2, 1, 0, 0, 1, 1), (3, 3, 1, 0, 0, 1, 1), (40, 2, 1, 0, 0, 1, 1), (8, 8, 1, 0, 0, 1, 1), (4, 4, 1, 0, 0, 1, 1), (22, 22, 1, 0, 0, 1, 1)),
+    # short notices in an article, in no container and no paragraph, beside short text that is none
+    ((6, 0, 1, 0, 1, 1), (50, 1, 1, 0, 0, 1, 1), (4, 0, 1, 0, 0, 0, 0, 1), (70, 0, 1, 0, 0, 1, 1), (6, 2, 1, 0, 0, 0, 0, 1), (5, 0, 1, 0, 0, 1, 0, 0), (9, 0, 1, 0, 0, 1, 1, 1),
+     (12, 0, 1, 0, 0, 1, 1, 0), (7, 0, 1, 0, 0, 1, 0, 0), (3, 3, 0, 0, 0, 0, 0, 1)),
+    # paragraphs of an article that only read like notices
+    ((6, 0, 1, 0, 1, 1), (50, 1, 1, 0, 0, 1, 1), (3, 0, 1, 0, 0, 1, 1, 1), (70, 0, 1, 0, 0, 1, 1), (4, 0, 1, 0, 0, 1, 1, 1), (3, 0, 1, 0, 0, 1, 1, 1), (6, 1, 0, 1, 0, 0)),
+    ((31, 0, 1, 0, 0, 1, 1), (3, 0, 1, 0, 0, 1, 1, 1), (9, 2, 0, 1, 0, 0, 0, 1)),
+    # article text in plain div elements and lines of a list
+    ((5, 0, 1, 0, 1, 1), (44, 0, 1, 0, 0, 1, 0), (61, 3, 1, 0, 0, 1, 0), (9, 0, 1, 0, 0, 1, 0), (6, 0, 1, 0, 0, 1, 0), (13, 1, 1, 0, 0, 1, 0), (30, 0, 1, 0, 0, 1, 0)),
+    ((2, 2, 0, 0, 0, 0), (6, 0, 0, 0, 1, 1), (39, 0, 0, 0, 0, 1, 0), (75, 4, 0, 0, 0, 1, 0), (18, 0, 0, 0, 0, 1, 0), (4, 4, 0, 0, 0, 0), (5, 1, 0, 0, 0, 0, 0, 1)),
+    # a form around the whole page, with an article inside
+    ((2, 2, 0, .5, 0, 0), (1, 1, 0, .5, 0, 0), (6, 0, 1, .5, 1, 1), (48, 2, 1, .5, 0, 1), (7, 0, 1, .5, 0, 1), (66, 0, 1, .5, 0, 1), (3, 3, 1, .5, 0, 1, 1), (5, 0, 1, .5, 0, 0, 0, 1),
+     (9, 2, 0, .5, 0, 0), (20, 1, 1, 1, 0, 0), (14, 3, 0, 1, 0, 0)),
+    # the same without an article: menu, text, labels of fields, copyright line
+    ((2, 2, 0, .5, 0, 0), (3, 3, 0, .5, 0, 0), (5, 0, 0, .5, 1, 1), (52, 0, 0, .5, 0, 1), (9, 0, 0, .5, 0, 1), (80, 5, 0, .5, 0, 1), (36, 1, 0, .5, 0, 1), (2, 0, 0, .5, 0, 0, 0),
+     (1, 0, 0, .5, 0, 0, 0), (6, 1, 0, .5, 0, 0, 0, 1), (2, 2, 0, .5, 0, 0)),
+    # a container of a layout name around a blog post in div elements
+    ((1, 1, 0, .5, 0, 0), (7, 0, 0, .5, 1, 1), (58, 0, 0, .5, 0, 1, 0), (43, 2, 0, .5, 0, 1, 0), (11, 0, 0, .5, 0, 1, 0), (90, 3, 0, .5, 0, 1, 0), (4, 4, 0, .5, 0, 0), (3, 3, 0, .5, 0, 0),
+     (30, 2, 0, 1, 0, 0), (45, 0, 0, 1, 0, 0)),
     # text of one paragraph
     ((26, 0, 0, 0, 0, 1),), ((150, 0, 0, 0, 0, 1),), ((5, 0, 0, 0, 0, 1),), ((9, 0, 1, 0, 0, 1),), ((9, 0, 0, 1, 0, 0),), ((3, 3, 0, 0, 0, 0),),
 )
-MAX_DEPTH = 7
+MAX_DEPTH = 9
+#: Blocks of so many words, most of them in no link, are prose.
+PROSE_WORDS = 8
 
 
 def labelled_rows() -> list[tuple[tuple[float, ...], int]]:
     rows = []
     for page in LABELLED:
-        own = [Block("", w, l, bool(m), bool(b), bool(h)) for w, l, m, b, h, _ in page]
+        own = []
+        for w, l, m, b, h, kept, *more in page:
+            usual = not h and (kept or (w >= PROSE_WORDS and 2 * l < w))
+            paragraph, notice = (*more, *(bool(usual), False)[len(more) :])
+            own.append(Block("", w, l, bool(m), float(b), bool(h), bool(paragraph), bool(notice)))
         rows += list(zip(features(own), (r[5] for r in page)))
     return rows
 
