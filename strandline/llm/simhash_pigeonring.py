@@ -686,12 +686,10 @@ def cells(rows: DataFrame, similarity: float) -> DataFrame:
     size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(similarity) + 1e-9) if similarity < 1 else F.col("n")
     placed = rows.select("*", F.explode(F.array(*[F.struct((size + g).cast("long").alias("size"), F.lit(1 - g).alias("home")) for g in (0, 1)])).alias("c"))
     placed = placed.select("h", "root", "key", "n", "place", "c.*")
-    many = placed.groupBy("key", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("any"))
-    # cells without anybody at home go; only the table of large ones is joined, as Spark sees fit for its size
-    large = many.filter((F.col("rows") > MEETING_ROWS) | (F.col("any") == 0)).select(
-        "key", "size", F.when(F.col("any") == 0, 0).otherwise(F.ceil(F.col("rows") / MEETING_ROWS)).cast("int").alias("parts")
-    )
-    placed = placed.join(large, ["key", "size"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).filter("parts > 0")
+    many = placed.groupBy("key", "size").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > MEETING_ROWS)
+    # a file of the few large cells: by its size Spark sends it to the rows, or deals both
+    large = cut(many.select("key", "size", F.ceil(F.col("rows") / MEETING_ROWS).cast("int").alias("parts")), "large-cells")
+    placed = placed.join(large, ["key", "size"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("key", "size", F.least("own", "other"), F.greatest("own", "other"))
