@@ -20,7 +20,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
@@ -31,6 +31,10 @@ SITE = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "TYPE", "%ILEN", "
 GENOTYPE_CLASSES = ("hom", "het", "hap", "mis", "ref", "alt", "rr", "ra", "ar", "aa", "aA", "Aa", "a", "r")
 
 
+#: Stands for a list that has nothing in common with a row; a line holds no such character.
+NO_LINE = "\n"
+
+
 @dataclass
 class Value:
     """An operand: a function of a sample (or of None for site values) to an array of doubles or strings."""
@@ -149,6 +153,8 @@ class Parser:
             return value
         if kind == "file":
             listed = self.lines(word[1:])
+            if isinstance(listed, Column):
+                return Value(lambda s: listed, False, True)
             return Value(lambda s: F.array(*[F.lit(x) for x in listed]).cast("array<string>"), False, True)
         raise ValueError(f"unexpected {word!r}")
 
@@ -411,10 +417,27 @@ def compile_filter(
     return Parser(text, info or set(), formats or set(), strings or set(), functions or {}, lines).parse().site()
 
 
-def apply_filters(rows, include: str | None = None, exclude: str | None = None, info: set[str] | None = None, formats: set[str] | None = None, **more):
-    """Rows that an include filter keeps, or an exclude filter does not drop; not both at once."""
+def apply_filters(
+    rows, include: str | None = None, exclude: str | None = None, info: set[str] | None = None, formats: set[str] | None = None,
+    lists: dict[str, tuple[str, DataFrame]] | None = None, **more,
+):
+    """Rows that an include filter keeps, or an exclude filter does not drop; not both at once.
+
+    ``lists`` are long lists behind @names: the column that they are compared with, and a
+    table of one column.  They meet the rows in a join; a row's list is what it has in common.
+    """
     if include and exclude:
         raise ValueError("include and exclude exclude each other")
+    columns, met = rows.columns, {}
+    for name, (column, table) in (lists or {}).items():
+        mark = f"_list_{name}"
+        rows = rows.join(table.select(F.col(table.columns[0]).alias(mark)).dropna().distinct(), F.col(column) == F.col(mark), "left")
+        met[name] = F.array(F.coalesce(mark, F.lit(NO_LINE)))
+    if met:
+        other = more.get("lines", lines_of)
+        more["lines"] = lambda name: met[name] if name in met else other(name)
     if include:
-        return rows.filter(compile_filter(include, info, formats, **more))
-    return rows.filter(~compile_filter(exclude, info, formats, **more)) if exclude else rows
+        rows = rows.filter(compile_filter(include, info, formats, **more))
+    elif exclude:
+        rows = rows.filter(~compile_filter(exclude, info, formats, **more))
+    return rows.select(*columns) if met else rows

@@ -1,4 +1,4 @@
-"""Queries of whole cohorts: genotyping from reads to calls, frequencies with inbreeding."""
+"""Queries of whole cohorts: genotyping from reads to calls, frequencies with inbreeding, mixtures with doublets, gene models."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandline.operators import dense, inbreeding
+from strandline.operators import dense, genes, inbreeding, mixtures
+from strandline.operators import pileup as pl
 from strandline.operators import variants as vr
 from strandline.plans import views
 from strandline.plans.formats import SAM_SQL, SEQ, _sam
+from strandline.plans.queries import _CT, _hits, HITS_SQL
 from strandline.plans.registry import query, rounded
-from strandline.plans.views import PANEL_SQL
+from strandline.plans.views import PANEL_SQL, READS_SQL
 
 # ---------------------------------------------------------------- inbreeding
 
@@ -186,3 +188,96 @@ def dense_genotype_sites(spark, d):
     out = _dense(spark, d)[1]
     fine = {"z": 5, "abz": 5, "bqz": 5, "stz": 5, "mqz": 5, "cyz": 5, "af": 6, "f": 6, "abe": 6}
     return out.select("snp", "n_with_reads", "dp", *[F.round(c, n).alias(c) for c, n in fine.items()])
+
+
+# ---------------------------------------------------------------- mixtures with doublets
+
+_CLUSTERS, _DOUBLET = 3, 0.2
+
+
+def _doublet_sql(rounds: int) -> str:
+    out = (
+        f"start AS (SELECT gene, k cluster, (gene * 7 + k * 13) % 50 + 1.0::DOUBLE w FROM (SELECT DISTINCT tx gene FROM ct), range({_CLUSTERS}) t(k)), "
+        f"p0 AS (SELECT cluster, gene, w / sum(w) OVER (PARTITION BY cluster) p FROM start), s0 AS (SELECT DISTINCT cluster, 1.0::DOUBLE / {_CLUSTERS} pi FROM start)"
+    )
+    for r in range(1, rounds + 1):
+        out += (
+            f", o{r} AS (SELECT a.cluster a, b.cluster b, CASE WHEN a.cluster = b.cluster THEN ln({1 - _DOUBLET} * a.pi) ELSE ln({_DOUBLET} * a.pi * b.pi / sum(CASE WHEN a.cluster < b.cluster THEN a.pi * b.pi END) OVER ()) END prior "
+            f"FROM s{r - 1} a, s{r - 1} b WHERE a.cluster <= b.cluster), "
+            f"l{r} AS (SELECT cell, a, b, sum((umis + 0.01) * ln((x.p + y.p) / 2)) + any_value(prior) ll FROM ct JOIN p{r - 1} x ON x.gene = tx JOIN p{r - 1} y ON y.gene = tx JOIN o{r} ON a = x.cluster AND b = y.cluster GROUP BY 1, 2, 3), "
+            f"z{r} AS (SELECT cell, a, b, exp(ll - m) / sum(exp(ll - m)) OVER (PARTITION BY cell) z FROM (SELECT *, max(ll) OVER (PARTITION BY cell) m FROM l{r})), "
+            f"w{r} AS (SELECT cell, cluster, sum(z) w FROM (SELECT cell, a cluster, CASE WHEN a = b THEN z ELSE z / 2 END z FROM z{r} UNION ALL SELECT cell, b, z / 2 FROM z{r} WHERE a < b) GROUP BY 1, 2), "
+            f"s{r} AS (SELECT cluster, avg(w) pi FROM w{r} GROUP BY 1), "
+            f"p{r} AS (SELECT cluster, gene, w / sum(w) OVER (PARTITION BY cluster) p FROM (SELECT cluster, tx gene, sum(w * (umis + 0.01)) w FROM ct JOIN w{r} USING (cell) GROUP BY 1, 2))"
+        )
+    return out
+
+
+def _mixture(spark, d):
+    counts = pl.umi_counts(_hits(spark, d), 3).select("cell", F.col("tx").alias("gene"), "umis")
+    start = counts.select("gene").distinct().withColumn("cluster", F.explode(F.array(*[F.lit(i) for i in range(_CLUSTERS)])))
+    start = start.withColumn("w", ((F.col("gene") * 7 + F.col("cluster") * 13) % 50 + 1).cast("double"))
+    start = start.join(start.groupBy("cluster").agg(F.sum("w").alias("t")), "cluster").select("cluster", "gene", (F.col("w") / F.col("t")).alias("p"))
+    return mixtures.mixture_with_doublets(counts, start, _DOUBLET, 3)
+
+
+@query(
+    f"WITH {READS_SQL}, {HITS_SQL}, {_CT}, {_doublet_sql(3)} SELECT cell, CAST(arg_max(a, z) AS INT) best, CAST(CASE WHEN arg_max(a, z) < arg_max(b, z) THEN arg_max(b, z) END AS INT) other, "
+    "round(coalesce(sum(z) FILTER (WHERE a < b), 0), 5) p_doublet FROM z3 GROUP BY cell"
+)
+def mixture_doublets(spark, d):
+    """Cells of one profile or of two."""
+    return _mixture(spark, d)[0].select("cell", "best", "other", F.round("p_doublet", 5).alias("p_doublet"))
+
+
+@query(f"WITH {READS_SQL}, {HITS_SQL}, {_CT}, {_doublet_sql(3)} SELECT CAST(cluster AS INT) cluster, gene, round(p, 7) p FROM p3")
+def mixture_doublet_profiles(spark, d):
+    return rounded(_mixture(spark, d)[1], "p", digits=7)
+
+
+# ---------------------------------------------------------------- gene models
+
+_MODELS = (
+    "e AS (SELECT DISTINCT CAST(p_partkey % 3 AS VARCHAR) chrom, CASE p_partkey % 2 WHEN 0 THEN '+' ELSE '-' END strand, CAST(p_partkey * 37 % 5000 AS INT) beg, "
+    "CAST(p_partkey * 37 % 5000 + p_size AS INT) \"end\", 't' || p_partkey % 180 tx, 'g' || p_partkey % 60 gene FROM part), "
+    "f AS (SELECT DISTINCT CAST(l_orderkey % 20 AS INT) cell, l_orderkey umi, CAST(l_orderkey % 3 AS VARCHAR) chrom, CASE l_orderkey % 2 WHEN 0 THEN '+' ELSE '-' END strand, "
+    "CAST(l_partkey % 5000 AS INT) beg, CAST(l_partkey % 5000 + 20 AS INT) \"end\" FROM lineitem), "
+    "h0 AS (SELECT DISTINCT cell, umi, f.beg b, f.\"end\" z, tx, gene, tx || ':' || chrom || ':' || e.beg || '-' || e.\"end\" exon FROM f JOIN e USING (chrom, strand) WHERE f.beg <= e.\"end\" AND e.beg <= f.\"end\")"
+)
+_GENES = (
+    "k AS (SELECT gene, chrom, CAST(floor((min(beg) + max(\"end\")) / 500.0) AS BIGINT) bin FROM e GROUP BY gene, chrom), "
+    "m AS (SELECT DISTINCT cell, umi, min(gene) OVER (PARTITION BY cell, umi, chrom, bin) element FROM (SELECT DISTINCT cell, umi, gene FROM h) JOIN k USING (gene)) "
+    "SELECT level, element, cell, CAST(count(*) AS BIGINT) umis FROM (SELECT DISTINCT 'exon' AS level, exon element, cell, umi FROM h UNION ALL SELECT DISTINCT 'transcript', tx, cell, umi FROM h "
+    "UNION ALL SELECT 'gene', element, cell, umi FROM m) GROUP BY ALL"
+)
+
+
+def _models(spark, d):
+    """Molecules of several stretches, and exons of transcripts of genes."""
+    n = F.col("l_orderkey")
+    side = lambda c: F.when(c % 2 == 0, "+").otherwise("-").alias("strand")
+    fragments = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        (n % 20).cast("int").alias("cell"), n.alias("umi"), (n % 3).cast("string").alias("chrom"), side(n), (F.col("l_partkey") % 5000).cast("int").alias("beg"),
+        (F.col("l_partkey") % 5000 + 20).cast("int").alias("end"),
+    )
+    k = F.col("p_partkey")
+    elements = spark.read.parquet(f"{d}/part.parquet").select(
+        (k % 3).cast("string").alias("chrom"), side(k), (k * 37 % 5000).cast("int").alias("beg"), (k * 37 % 5000 + F.col("p_size")).cast("int").alias("end"), F.lit("exon").alias("type"),
+        F.concat(F.lit("t"), (k % 180).cast("string")).alias("transcript_id"), F.concat(F.lit("g"), (k % 60).cast("string")).alias("gene_id"),
+    ).distinct()
+    return fragments, elements
+
+
+@query(f"WITH {_MODELS}, h AS (SELECT * FROM h0), {_GENES}")
+def element_umis(spark, d):
+    """Molecules of each cell at exons, transcripts and genes."""
+    return genes.element_umis(*_models(spark, d), unique_bin=1000, width=500)
+
+
+@query(
+    f"WITH {_MODELS}, n AS (SELECT cell, umi, count(*) c FROM f GROUP BY 1, 2), t AS (SELECT cell, umi, tx FROM (SELECT DISTINCT cell, umi, tx, b, z FROM h0) JOIN n USING (cell, umi) GROUP BY 1, 2, 3 HAVING count(*) = any_value(c)), "
+    f"h AS (SELECT h0.* FROM h0 SEMI JOIN t USING (cell, umi, tx)), {_GENES}"
+)
+def compatible_element_umis(spark, d):
+    """The same where a transcript must hold all of a molecule's stretches."""
+    return genes.element_umis(*_models(spark, d), unique_bin=1000, whole=True, width=500)

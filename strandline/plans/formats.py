@@ -624,20 +624,12 @@ def pileup_dump_scan(spark, d):
 
 @query("SELECT CAST(vec_id AS INT) AS i, CAST(vec_id % 7 AS DOUBLE) / 8 w FROM embeddings")
 def svm_model_scan(spark, d):
-    """A model is saved as text and loaded; the table of its support vectors comes back."""
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("i"), (F.col("vec_id") % 7 / F.lit(8.0)).alias("w")).orderBy("i").collect()
-    model = {"sequences": [_word(r.i) for r in rows], "weights": [r.w for r in rows], "kernel": {"length": 8, "k": 5, "most": 3}}
-    path = _path(spark, "model")
-    kernels.save_model(spark, model, path)
-    back = kernels.load_model(spark, path)
-    assert back["kernel"] == model["kernel"]
-    return spark.createDataFrame([(_number(s), w) for s, w in zip(back["sequences"], back["weights"])], "i int, w double")
-
-
-def _word(i: int) -> str:
-    return "".join("ACGT"[i >> 2 * k & 3] for k in range(12))
-
-
-def _number(word: str) -> int:
-    return sum("ACGT".index(c) << 2 * k for k, c in enumerate(word))
-
+    """The support vectors of a model, saved as text by tasks and read as a table."""
+    word = F.concat(*[F.substring(F.lit("ACGT"), F.shiftright(F.col("vec_id").cast("int"), 2 * k).bitwiseAND(3) + 1, F.lit(1)) for k in range(12)])
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(word.alias("sequence"), (F.col("vec_id") % 7 / F.lit(8.0)).alias("weight"))
+    path, kernel = _path(spark, "model"), {"length": 8, "k": 5, "most": 3}
+    kernels.save_vectors(rows, kernel, path)
+    back, said = kernels.load_vectors(spark, path)
+    assert said == kernel
+    number = sum((F.instr(F.lit("ACGT"), F.substring("sequence", k + 1, 1)) - 1) * (1 << 2 * k) for k in range(12))
+    return back.select(number.cast("int").alias("i"), F.col("weight").alias("w"))

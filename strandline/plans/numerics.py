@@ -13,7 +13,7 @@ from strandline.operators import reads as rd
 from strandline.operators import sequence as sq
 from strandline.operators import variants as vr
 from strandline.plans import views
-from strandline.plans.formats import _FIVE, _sam, _sites, SAM_SQL, SITE_SQL
+from strandline.plans.formats import _FIVE, _path, _sam, _sites, SAM_SQL, SITE_SQL
 from strandline.plans.queries import (
     _COR, _CT, _DS, _E, _H, _ONE, _SHARE, _TWO, _collapsed, _em_sql, _hits, _read, CI, COLLAPSED_SQL, HITS_SQL, NINE_SQL, PLS_SQL, SITES_SQL,
 )
@@ -127,10 +127,11 @@ def expression_user_functions(spark, d):
 
 @query(f"WITH {SITE_SQL} SELECT chrom, pos FROM site WHERE p_partkey % 100 = 7")
 def expression_file_list(spark, d):
-    """Names in a file."""
+    """Names in a file, which meet the rows in a join."""
     rows = _sites(spark, d).withColumn("samples", F.array().cast("array<map<string,string>>"))
-    listed = [r.id for r in rows.filter("(pos - 1) % 100 = 7").select("id").collect()]
-    return filter_expr.apply_filters(rows, "ID = @names", lines=lambda _: listed).select("chrom", "pos")
+    path = _path(spark, "names")
+    rows.filter("(pos - 1) % 100 = 7").select("id").write.text(path)
+    return filter_expr.apply_filters(rows, "ID = @names", lists={"names": ("id", spark.read.text(path))}).select("chrom", "pos")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE CAST('0x' || substr(md5('1:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), 1, 8) AS BIGINT) / 4294967296 < 0.1")
@@ -153,10 +154,10 @@ def positional_zip(spark, d):
     return vr.zip_sites(panel.select("sample", "snp", "code"), panel.select("sample", "snp", (F.col("dp") * 2).alias("dp2")), ["sample", "snp"])
 
 
-@query(f"WITH {PANEL_SQL} SELECT sample, snp, code FROM panel WHERE sample < 3 UNION ALL SELECT sample + 100, snp, code FROM panel WHERE sample >= 5")
+@query(f"WITH {PANEL_SQL} SELECT sample, snp, code FROM panel WHERE sample < 4 UNION ALL SELECT sample + 100, snp, code FROM panel WHERE sample >= 4")
 def pasted_call_sets(spark, d):
     panel = views.panel(spark, d).select("sample", "snp", "code")
-    return vr.union_samples(panel.filter("sample < 3"), panel.filter("sample >= 5").withColumn("sample", F.col("sample") + 100))
+    return vr.union_samples(panel.filter("sample < 4"), panel.filter("sample >= 4").withColumn("sample", F.col("sample") + 100))
 
 
 @query(f"WITH {PANEL_SQL} SELECT sex, snp, CAST(sum(greatest(code - 1, 0)) AS BIGINT) ac FROM (SELECT *, CASE WHEN sample % 2 = 0 THEN 'male' ELSE 'female' END sex FROM panel) GROUP BY 1, 2")
