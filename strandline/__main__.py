@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.filter_expr import apply_filters
-from strandline.operators import clustering, genotyping, intervals, kernels, pileup, reads, sequence, variants
+from strandline.operators import clustering, dense, genes, genotyping, intervals, kernels, pileup, reads, sequence, variants
 from strandline.operators.lineage import cut
-from strandline.sources import binary, profiles, sinks, text
+from strandline.sources import bgzf, binary, profiles, sinks, text
 
 COMMANDS: dict = {}
 
@@ -26,8 +26,28 @@ def command(name: str, *options: str):
     return add
 
 
+def reads_of(spark: SparkSession, path: str, regions: str | None = None) -> DataFrame:
+    """Reads of a SAM file, or of BAM files, whose index serves the regions."""
+    if path.endswith(".bam") or bgzf.is_blocked(path, ".bam"):
+        return bgzf.read_alignments(spark, path, regions)
+    return text.read_reads(spark, path)
+
+
+def sites_of(spark: SparkSession, path: str, regions: str | None = None) -> DataFrame:
+    """Variants of a VCF, plain or in blocks, or of BCF files."""
+    if path.endswith(".bcf") or bgzf.is_blocked(path, ".bcf"):
+        return bgzf.read_variants(spark, path, regions).drop("samples")
+    return text.read_variants(spark, lines_of(spark, path, regions))
+
+
+def lines_of(spark: SparkSession, path: str, regions: str | None = None) -> str | DataFrame:
+    """A VCF in blocks as a table of lines, any other as its path."""
+    return bgzf.read_lines(spark, path, regions) if bgzf.is_blocked(path, ".gz") else path
+
+
 def coded(spark: SparkSession, path: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Genotypes of a VCF in the long coded form: snp is the variant's name; half-missing calls are missing."""
+    path = lines_of(spark, path)
     g = text.read_genotypes(spark, path)
     if include or exclude:
         sites = text.read_variants(spark, path)
@@ -90,7 +110,7 @@ def _mendel(spark, o):
 @command("vcf-extract", "vcf", "ids")
 def _extract(spark, o):
     wanted = text.read_barcodes(spark, o.ids).withColumnRenamed("barcode", "id")
-    return text.read_variants(spark, o.vcf).join(wanted, "id", "left_semi").withColumn("info", F.to_json("info")).withColumns(
+    return sites_of(spark, o.vcf).join(wanted, "id", "left_semi").withColumn("info", F.to_json("info")).withColumns(
         {c: F.array_join(c, ",") for c in ("alts", "filters")}
     )
 
@@ -131,14 +151,14 @@ def _phase(spark, o):
 
 @command("cram-flagstat-all", "sam")
 def _flagstat(spark, o):
-    return reads.flag_lattice(text.read_reads(spark, o.sam))
+    return reads.flag_lattice(reads_of(spark, o.sam))
 
 
 @command("cram-update-rg", "sam", "rg-map")
 def _update_rg(spark, o):
     c = F.split("value", r"\s+")
     groups = spark.read.text(o.rg_map).select(F.get(c, F.lit(0)).alias("keep"), F.explode(F.slice(c, 2, F.size(c))).alias("rg"))
-    r = reads.merge_read_groups(text.read_reads(spark, o.sam).withColumn("rg", F.col("tags")["RG"]), groups)
+    r = reads.merge_read_groups(reads_of(spark, o.sam).withColumn("rg", F.col("tags")["RG"]), groups)
     # the record with its group renamed; all other columns and tags as they are
     own = F.map_filter("tags", lambda k, _: k != "RG")
     renamed = r.withColumn("tags", F.when(F.col("rg").isNull(), own).otherwise(F.map_concat(own, F.create_map(F.lit("RG"), F.col("rg")))))
@@ -147,10 +167,10 @@ def _update_rg(spark, o):
 
 def bases_of(spark, o, cell_tag: str = "CB") -> tuple[DataFrame, DataFrame]:
     """(collapsed bases, variants) of a SAM file at the SNPs of a VCF, by a cell tag and UB."""
-    sites = text.read_variants(spark, o.vcf).filter((F.size("alts") == 1) & (F.length("ref") == 1) & (F.length(F.get("alts", F.lit(0))) == 1))
+    sites = sites_of(spark, o.vcf).filter((F.size("alts") == 1) & (F.length("ref") == 1) & (F.length(F.get("alts", F.lit(0))) == 1))
     sites = sites.select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.coalesce(F.col("info")["AF"].cast("double"), F.lit(0.5)).alias("af"))
     sites = sites.withColumn("snp", F.concat_ws(":", "chrom", "pos", "ref", "alt"))
-    r = reads.read_filter(text.read_reads(spark, o.sam), 0xF04, int(o.min_mq)).select(
+    r = reads.read_filter(reads_of(spark, o.sam), 0xF04, int(o.min_mq)).select(
         "chrom", "pos", "cigar", "seq", "qual", F.col("tags")[cell_tag].alias("cell"), F.col("tags")["UB"].alias("umi"), "qname"
     )
     b = reads.usable_bases(reads.base_at(r.filter("cell is not null"), sites), int(o.min_bq))
@@ -192,7 +212,7 @@ def _dge(spark, o):
 
 @command("transcript-count", "sam", "max-nm=3")
 def _transcripts(spark, o):
-    r = text.read_reads(spark, o.sam)
+    r = reads_of(spark, o.sam)
     cell, umi = reads.barcode_from_name(F.col("qname"))
     hits = r.select(
         cell.alias("cell"), umi.alias("umi"), F.col("chrom").alias("tx"), F.col("qname").alias("read_id"),
@@ -213,7 +233,7 @@ def _candidates(spark, o):
     """Variants seen in any of several call sets: best quality, support and a bounded sample of names."""
     parts = []
     for p in o.vcfs.split(","):
-        sites = text.read_variants(spark, p).select(F.concat_ws(":", "chrom", "pos", "ref", F.array_join("alts", ",")).alias("snp"), "qual")
+        sites = sites_of(spark, p).select(F.concat_ws(":", "chrom", "pos", "ref", F.array_join("alts", ",")).alias("snp"), "qual")
         parts.append(coded(spark, p).filter("code > 1").join(sites, "snp").select("sample", "snp", "qual", F.coalesce("dp", F.lit(0)).alias("dp")))
     out = variants.merge_candidates(variants.union_samples(*parts), ["snp"], int(o.max_samples))
     return out.withColumn("samples", F.array_join("samples", ","))
@@ -235,22 +255,49 @@ def _mix(spark, o):
         F.get(c, F.lit(0)).alias("barcode1"), F.get(c, F.lit(1)).alias("barcode2"), alpha.alias("alpha"),
         F.coalesce(F.get(c, F.lit(3)).try_cast("double"), 1 - alpha).alias("beta"),
     )
-    r = text.read_reads(spark, o.sam).withColumn("barcode", F.col("tags")["CB"])
+    r = reads_of(spark, o.sam).withColumn("barcode", F.col("tags")["CB"])
     return reads.mix_barcodes(r, pairs, unit_hash(F.col("tags")["UB"]), bool(o.drop_other)).select("qname", "chrom", "pos", "barcode")
 
 
 @command("procap-ends", "sam", "min-mq=0")
 def _procap(spark, o):
-    r = reads.read_filter(text.read_reads(spark, o.sam), 0xF04, int(o.min_mq))
+    r = reads.read_filter(reads_of(spark, o.sam), 0xF04, int(o.min_mq))
     end = F.col("pos") + reads.aligned_length(F.col("cigar")) - 1
     rows = r.select("chrom", F.col("pos").alias("beg"), end.alias("end"), (F.col("flag").bitwiseAND(16) == 0).alias("fwd"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"))
     return reads.procap_ends(rows)
 
 
+@command("dense-genotype", "sams", "vcf", "regions=", "min-mq=0", "contamination=0.01")
+def _dense_genotype(spark, o):
+    """Genotypes of a VCF's variants in many samples (NAME=PATH between commas), of BAM files by their index."""
+    parts = []
+    for said in o.sams.split(","):
+        name, _, path = said.partition("=")
+        parts.append(reads_of(spark, path, o.regions or None).withColumn("sample", F.lit(name)))
+    all_reads = parts[0]
+    for p in parts[1:]:
+        all_reads = all_reads.unionByName(p)
+    sites = sites_of(spark, o.vcf, o.regions or None).filter(F.size("alts") == 1).select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
+    sites = sites.withColumn("snp", F.concat_ws(":", "chrom", "pos", "ref", "alt"))
+    samples = spark.createDataFrame([(s.partition("=")[0], float(o.contamination)) for s in o.sams.split(",")], "sample string, contamination double")
+    return dense.dense_genotypes(all_reads, sites, samples, min_mapq=int(o.min_mq))[0]
+
+
+@command("element-umis", "sam", "gtf", "uniq-bin=1000000000", "whole=")
+def _element_umis(spark, o):
+    """UMIs of each cell at exons, transcripts and genes."""
+    r = reads.read_filter(reads_of(spark, o.sam)).select(
+        "chrom", "pos", "cigar", F.col("tags")["CB"].alias("cell"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"),
+        F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"),
+    )
+    stretches = reads.aligned_blocks(r.filter("cell is not null")).select("cell", "umi", "chrom", "strand", "beg", "end")
+    return genes.element_umis(stretches, text.read_gtf(spark, o.gtf), int(o.uniq_bin), bool(o.whole))
+
+
 @command("make-dge", "sam", "gtf")
 def _make_dge(spark, o):
     """UMIs of each cell and gene: aligned blocks of reads on exons of their strand."""
-    r = reads.read_filter(text.read_reads(spark, o.sam)).select(
+    r = reads.read_filter(reads_of(spark, o.sam)).select(
         "chrom", "pos", "cigar", F.col("tags")["CB"].alias("cell"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"),
         F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"),
     )
@@ -282,7 +329,7 @@ def _depth(spark, o):
 @command("vcf-normal-form", "vcf", "fasta")
 def _normal(spark, o):
     bins = text.sequence_bins(text.read_fasta(spark, o.fasta), 1000)
-    v = text.read_variants(spark, o.vcf).select("chrom", "pos", "ref", F.explode("alts").alias("alt"))
+    v = sites_of(spark, o.vcf).select("chrom", "pos", "ref", F.explode("alts").alias("alt"))
     return genotyping.normalise(v, bins, 1000)
 
 
@@ -320,11 +367,11 @@ def _bgen(spark, o):
 def _update_sites(spark, o):
     """INFO fields removed, replaced and added from a site file; names from a table of known variants."""
     names = lambda x: x.split(",") if x else None
-    sites = text.read_variants(spark, o.vcf)
-    other = text.read_variants(spark, o.site_vcf) if o.site_vcf else None
+    sites = sites_of(spark, o.vcf)
+    other = sites_of(spark, o.site_vcf) if o.site_vcf else None
     out = variants.update_info(sites, other, names(o.remove), names(o.replace), names(o.add))
     if o.dbsnp:
-        known = text.read_variants(spark, o.dbsnp).select(*variants.SITE_KEY, F.col("id").alias("_known"))
+        known = sites_of(spark, o.dbsnp).select(*variants.SITE_KEY, F.col("id").alias("_known"))
         out = variants.join_sites(out, known, variants.SITE_KEY, "left").withColumn("id", F.coalesce("_known", "id")).drop("_known")
     return out.withColumn("info", F.to_json("info")).withColumns({c: F.array_join(c, ",") for c in ("alts", "filters")})
 
@@ -335,7 +382,7 @@ def _delta(spark, o):
     width, flank = 1000, int(o.flank)
     bins = text.sequence_bins(text.read_fasta(spark, o.fasta), width)
     near = lambda k, name: bins.select("chrom", (F.col("bin") + k).alias("bin"), F.col("seq").alias(name))
-    v = text.read_variants(spark, o.vcf).filter(F.length("ref") == 1).select("chrom", "pos", "ref", F.explode("alts").alias("alt"))
+    v = sites_of(spark, o.vcf).filter(F.length("ref") == 1).select("chrom", "pos", "ref", F.explode("alts").alias("alt"))
     v = v.withColumn("bin", F.floor((F.col("pos") - 1) / width).cast("int"))
     for k, name in ((0, "own"), (1, "before"), (-1, "after")):
         v = v.join(near(k, name), ["chrom", "bin"], "inner" if k == 0 else "left")
@@ -408,7 +455,7 @@ def _mux_pileup(spark, o):
 @command("digital-pileup", "sam")
 def _digital(spark, o):
     """Merged fragments of each cell and UMI, without strand."""
-    r = reads.read_filter(text.read_reads(spark, o.sam)).select("chrom", "pos", "cigar", F.col("tags")["CB"].alias("cell"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"))
+    r = reads.read_filter(reads_of(spark, o.sam)).select("chrom", "pos", "cigar", F.col("tags")["CB"].alias("cell"), F.coalesce(F.col("tags")["UB"], "qname").alias("umi"))
     blocks = reads.aligned_blocks(r.filter("cell is not null")).select("cell", "umi", "chrom", "beg", "end")
     merged = intervals.merge_intervals(blocks, ["cell", "umi", "chrom"])
     return merged.select("cell", "umi", F.concat_ws("", "chrom", F.lit(":"), F.col("beg").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("fragment"))

@@ -84,6 +84,15 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return [(prefix + f.path, f.size) for f in sorted(keep, key=lambda f: f.path)]
 
 
+def is_blocked(path: str, suffix: str) -> bool:
+    """Whether a file, or the first data file of a folder, has the suffix and consists of blocks."""
+    try:
+        found = listed(path, (suffix,))
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):  # none there, a pattern, or not for Arrow
+        return False
+    return bool(found) and found[0][0].endswith(suffix) and Blocks(found[0][0]).size_at(0) is not None
+
+
 class Blocks:
     """Blocks of a file, fetched as they are needed; ``fetched`` counts the bytes."""
 

@@ -218,3 +218,24 @@ def test_other_indices(bam):
                 assert all(any(a <= at < z for a, z in chunks) for at in need)
     assert bgzf.bin_of(0, 1) == 4681 and bgzf.bin_of(0, 1 << 29) == 0 and bgzf.bin_of(16383, 16385) == 585
     assert bgzf.regions_of("2:5-9,3;4:7") == [bgzf.Region("2", 5, 9), bgzf.Region("3"), bgzf.Region("4", 7, 7)]
+
+
+def test_dense_genotyping_of_indexed_files(spark, tmp_path):
+    """The command over two samples' BAM files and a block-compressed VCF, whole and for a region."""
+    from strandline.__main__ import main
+
+    rnd = random.Random(2)
+    truth = {(s, k): rnd.choice([0, 1, 2]) for s in "ab" for k in range(6)}
+    for s in "ab":
+        rows = [
+            (f"{s}{k}.{i}", 0, str(1 + k % 2), 1000 * k + 95, 60, "11M", "*", 0, 0, "AAAAA" + ("C" if rnd.random() < (0, 0.5, 1)[truth[s, k]] else "A") + "AAAAA", "I" * 11, {}, {})
+            for k in range(6) for i in range(24)
+        ]
+        bgzf.write_alignments(spark.createDataFrame(rows, packed.READS_SQL).withColumn("rnext", F.lit(None).cast("string")), str(tmp_path / f"{s}.bam"), CHROMS, files=1)
+    sites = spark.createDataFrame([(str(1 + k % 2), 1000 * k + 100, None, "A", ["C"], None, [], {}) for k in range(6)], "chrom string, pos int, id string, ref string, alts array<string>, qual float, filters array<string>, info map<string,string>")
+    bgzf.write_lines(sinks.vcf_lines(sites), str(tmp_path / "sites"), ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"], files=1)
+    for regions, places in ((None, range(6)), ("2:900-3200", (1, 3))):
+        out = str(tmp_path / f"calls-{regions is None}")
+        main(["dense-genotype", "--sams", f"a={tmp_path / 'a.bam'},b={tmp_path / 'b.bam'}", "--vcf", str(tmp_path / "sites"), "--out", out, *(["--regions", regions] if regions else [])])
+        got = {(r["sample"], r.snp): int(r.gt) for r in spark.read.csv(out, sep="\t", header=True).collect()}
+        assert got == {(s, f"{1 + k % 2}:{1000 * k + 100}:A:C"): truth[s, k] for s in "ab" for k in places}
