@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandline.operators import dense, genes, inbreeding, mixtures
+from strandline.operators import dense, genes, inbreeding, kernels, mixtures
 from strandline.operators import pileup as pl
 from strandline.operators import variants as vr
 from strandline.plans import views
@@ -105,6 +105,29 @@ def inbreeding_search(spark, d):
     return inbreeding.inbreeding_search(likelihoods, vectors)
 
 
+def _ridge_sql(rounds: int) -> str:
+    """Frequencies of each sample's own, from one half: expected genotypes, projected on the vector with a ridge of their mean."""
+    low, root = 0.5 / (2 * _SAMPLES + 1), math.sqrt(_SAMPLES)
+    out = f"{_FULL_SQL}, r0 AS (SELECT *, 0.5::DOUBLE p FROM lik)"
+    for r in range(1, rounds + 1):
+        out += (
+            f", a{r} AS (SELECT *, (l1*2*p*(1-p) + 2*l2*p*p) / (l0*(1-p)*(1-p) + l1*2*p*(1-p) + l2*p*p) y FROM r{r - 1}), "
+            f"b{r} AS (SELECT *, avg(y) OVER (PARTITION BY snp) / 2 mean FROM a{r}), "
+            f"c{r} AS (SELECT *, mean > 0.5 + 1e-9 flip, CASE WHEN mean > 0.5 + 1e-9 THEN 2 - y ELSE y END t, CASE WHEN mean > 0.5 + 1e-9 THEN 1 - mean ELSE mean END minor FROM b{r}), "
+            f"d{r} AS (SELECT *, (1 - minor) / greatest(2 * minor * {_SAMPLES}, 1e-10) lam FROM c{r}), "
+            f"e{r} AS (SELECT *, ({_SAMPLES} / (({root} + lam) * ({root} + lam)) * sum(t) OVER w / {_SAMPLES} + 1 / ((1 + lam) * (1 + lam)) * {_V} * sum({_V} * t) OVER w) / 2 q FROM d{r} WINDOW w AS (PARTITION BY snp)), "
+            f"r{r} AS (SELECT snp, sample, l0, l1, l2, least(greatest(CASE WHEN flip THEN 1 - q ELSE q END, {low}), {1 - low}) p FROM e{r})"
+        )
+    return out
+
+
+@query(f"WITH {PANEL_SQL}, {_ridge_sql(2)} SELECT snp, sample, round(p, 6) isaf FROM r2")
+def individual_frequency_rounds(spark, d):
+    """Two rounds of frequencies that differ from sample to sample."""
+    likelihoods, vectors = _full_likelihoods(spark, d)
+    return rounded(kernels.individual_frequencies(likelihoods, vectors, 1.0, 2), "isaf")
+
+
 # ---------------------------------------------------------------- dense genotyping
 
 _KINDS = "CASE p_size % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
