@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.filter_expr import apply_filters
-from strandline.operators import clustering, dense, genes, genotyping, intervals, kernels, pileup, reads, sequence, variants
+from strandline.operators import clustering, dense, gapped, genes, genotyping, intervals, kernels, pileup, reads, sequence, variants
 from strandline.operators.lineage import cut
 from strandline.sources import bgzf, binary, profiles, sinks, text
 
@@ -390,25 +390,41 @@ def _delta(spark, o):
     left = F.right(F.concat(F.coalesce("before", F.lit("")), F.left("own", inside)), F.lit(flank))
     right = F.left(F.concat(F.substring(F.col("own"), inside + 2, F.lit(width)), F.coalesce("after", F.lit(""))), F.lit(flank))
     rows = v.select("chrom", "pos", "ref", "alt", left.alias("left"), right.alias("right"))
-    return kernels.delta_scores(rows, kernels.load_model(spark, o.model)).drop("left", "right")
-
-
-@command("bed-delta-svm-train", "positive", "negative", "fasta", "model", "length=10", "k=6", "mismatches=3", "max-regions=2000")
+    model, said = gapped.load_words(spark, o.model)
+    weights = gapped.mismatch_weights(*[said[k] for k in ("kind", "length", "k", "most")])
+    for allele in ("ref", "alt"):
+        rows = rows.withColumn("_s", F.concat("left", allele, "right"))
+        rows = gapped.sequence_scores(rows, model, weights, said["peak"], said["half"], "_s", f"_{allele}")
+    return rows.select("chrom", "pos", "ref", "alt", (F.col("_alt") - F.col("_ref")).alias("delta"))
+
+
+@command(
+    "bed-delta-svm-train", "positive", "negative", "fasta", "model", "kind=est_trunc", "length=10", "k=6", "mismatches=3", "peak=0", "half=50", "c=1", "positive-weight=1", "epsilon=0.001",
+    "rounds=60", "folds=0", "predictions=",
+)
 def _train(spark, o):
-    """A classifier of two sets of regions; a training set fits one machine, by ``max-regions`` of each set."""
+    """A classifier of two sets of regions of any size; with ``folds``, the scores of each fold by the others go to ``predictions``."""
     bins = text.sequence_bins(text.read_fasta(spark, o.fasta), 1000)
-    found = []
+    found = None
     for path, label in ((o.positive, 1), (o.negative, 0)):
         spans = text.read_bed(spark, path).select("chrom", "beg", "end").distinct()
         spread = spans.withColumn("bin", F.explode(F.sequence(F.floor((F.col("beg") - 1) / 1000), F.floor((F.col("end") - 1) / 1000))))
         parts = spread.join(bins, ["chrom", "bin"]).groupBy("chrom", "beg", "end").agg(F.sort_array(F.collect_list(F.struct("bin", "seq"))).alias("p"))
         whole = F.array_join(F.transform("p", lambda x: x["seq"]), "")
         seq = F.substring(whole, ((F.col("beg") - 1) % 1000 + 1).cast("int"), (F.col("end") - F.col("beg") + 1).cast("int"))
-        rows = parts.select(seq.alias("seq")).orderBy(F.md5("seq")).limit(int(o.max_regions)).collect()
-        found += [(r.seq, label) for r in rows]
-    model = kernels.train_svm([s for s, _ in found], [y for _, y in found], length=int(o.length), k=int(o.k), most=int(o.mismatches))
-    kernels.save_model(spark, model, o.model)
-    return spark.createDataFrame([(len(found), len(model["sequences"]))], "sequences int, vectors int")
+        rows = parts.select("chrom", "beg", "end", seq.alias("sequence"), F.lit(label).alias("label"))
+        found = rows if found is None else found.unionByName(rows)
+    said = {"kind": o.kind, "length": int(o.length), "k": int(o.k), "most": int(o.mismatches), "peak": int(o.peak), "half": float(o.half)}
+    weights = gapped.mismatch_weights(*[said[k] for k in ("kind", "length", "k", "most")])
+    ready = gapped.cut(gapped.prepared(found, weights, said["peak"], said["half"]))
+    training = {"c": float(o.c), "positive": float(o.positive_weight), "rounds": int(o.rounds), "epsilon": float(o.epsilon)}
+    model = gapped.train_words(ready, weights, **training)
+    gapped.save_words(spark, model, said, o.model)
+    if int(o.folds) > 1 and o.predictions:
+        place = F.concat_ws(":", "chrom", F.col("beg").cast("string"), F.col("end").cast("string"))
+        scores = gapped.fold_scores(ready.withColumn("region", place), weights, "region", int(o.folds), **training)
+        scores.write.mode("overwrite").csv(o.predictions, sep="\t", header=True)
+    return ready.agg(F.count(F.lit(1)).alias("sequences")).withColumns({"objective": F.lit(model["objective"]), "gap": F.lit(model["gap"])})
 
 
 @command("cram-verify-bam", "sam", "vcf", "model-vcf", "max-pc=2", "min-mq=20", "min-bq=13")

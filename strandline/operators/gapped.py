@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.lineage import cut
@@ -273,6 +273,56 @@ def word_scores(rows: DataFrame, model: dict) -> DataFrame:
     return rows.withColumn("score", of("words", "shares")).drop("words", "shares")
 
 
+def vector_model(vectors: DataFrame, weights: np.ndarray, bias: float = 0.0) -> dict:
+    """A classifier from a table of support vectors: rows of :func:`prepared` with ``weight``; summed by word before the driver takes one number a word."""
+    part = F.explode(F.arrays_zip("words", "shares"))
+    sums = vectors.select("weight", part.alias("w")).groupBy(F.col("w.words").alias("at")).agg(F.sum(F.col("weight") * F.col("w.shares")).alias("value")).toPandas()
+    out = np.zeros(4 ** (len(weights) - 1))
+    out[sums["at"].to_numpy(np.int64)] = sums["value"]
+    return {"coefficients": out, "scores": neighbour_sums(out, weights), "bias": bias}
+
+
+def sequence_scores(rows: DataFrame, model: dict, weights: np.ndarray, peak: int = 0, half: float = 50.0, seq: str = "sequence", name: str = "score") -> DataFrame:
+    """``rows`` with the score of their sequences; the words of a sequence do not leave its row."""
+    length = len(weights) - 1
+    sent = rows.sparkSession.sparkContext.broadcast((model["scores"], model["bias"]))
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        table, bias = sent.value
+        out = np.full(len(texts), bias)
+        for n, t in enumerate(texts):
+            x, v = sequence_words(t, length, peak, half)
+            norm = _form(x, v, x, v, weights)
+            if norm > 0:
+                out[n] += float(table[x] @ v) / math.sqrt(norm)
+        return pd.Series(out)
+
+    return rows.withColumn(name, of(F.col(seq)))
+
+
+def save_words(spark: SparkSession, model: dict, settings: dict, path: str) -> None:
+    """A classifier as text: a folder of its settings with the bias, and one of words and their coefficients."""
+    at = np.flatnonzero(model["coefficients"])
+    words = spark.createDataFrame(pd.DataFrame({"at": at, "c": model["coefficients"][at]}), "at int, c double")
+    words.select(F.concat_ws("\t", F.col("at").cast("string"), F.col("c").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/words")
+    head = [(f"{k}\t{v}",) for k, v in sorted((settings | {"bias": model["bias"]}).items())]
+    spark.createDataFrame(head, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
+def load_words(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """(classifier, settings) of :func:`save_words`."""
+    said = dict(r.value.split("\t") for r in spark.read.text(f"{path}/settings").collect())
+    settings = {k: v if k == "kind" else float(v) if k in ("half", "bias") else int(v) for k, v in said.items()}
+    bias = settings.pop("bias")
+    part = F.split("value", "\t")
+    words = spark.read.text(f"{path}/words").select(part[0].cast("int").alias("at"), part[1].cast("double").alias("c")).toPandas()
+    out = np.zeros(4 ** settings["length"])
+    out[words["at"].to_numpy(np.int64)] = words["c"]
+    weights = mismatch_weights(*[settings[k] for k in ("kind", "length", "k", "most")])
+    return {"coefficients": out, "scores": neighbour_sums(out, weights), "bias": bias}, settings
+
+
 def fold_scores(rows: DataFrame, weights: np.ndarray, by: str, folds: int = 5, **training) -> DataFrame:
     """Each row's ``fold``, by a hash of ``by``, and its ``score`` by a classifier of the other folds."""
     held = cut(rows.withColumn("fold", F.pmod(F.xxhash64(by), F.lit(folds)).cast("int")))

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandline.operators import dense, genes, inbreeding, kernels, mixtures
+from strandline.operators import dense, gapped, genes, inbreeding, kernels, mixtures
 from strandline.operators import pileup as pl
 from strandline.operators import variants as vr
 from strandline.plans import views
@@ -304,3 +304,42 @@ def element_umis(spark, d):
 def compatible_element_umis(spark, d):
     """The same where a transcript must hold all of a molecule's stretches."""
     return genes.element_umis(*_models(spark, d), unique_bin=1000, whole=True, width=500)
+
+
+# ---------------------------------------------------------------- gapped k-mer classifiers
+
+_GAPPED = gapped.mismatch_weights("est_trunc", 4, 3, 2)
+_GAPPED_SQL = (
+    "t AS (SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^CGT]', 'A', 'g') s FROM documents), "
+    "v AS (SELECT vec_id, list_reduce(list_transform(range(0, 12), lambda k: substr('ACGT', CAST((vec_id >> CAST(2 * k AS INT)) & 3 AS INT) + 1, 1)), lambda a, b: a || b) s FROM embeddings), "
+    "l AS (SELECT unnest(['A', 'C', 'G', 'T']) x), w AS (SELECT a.x || b.x || c.x || d.x u FROM l a, l b, l c, l d), "
+    f"m AS (SELECT p.u, q.u z, CASE hamming(p.u, q.u) {' '.join(f'WHEN {m} THEN {float(x)!r}::DOUBLE' for m, x in enumerate(_GAPPED) if x)} END y FROM w p, w q WHERE hamming(p.u, q.u) <= 2), "
+    + ", ".join(
+        f"{n}f AS (SELECT {k}, substr(s, CAST(p AS INT), 4) u FROM (SELECT {k}, s, unnest(range(1, length(s) - 2)) p FROM {n} WHERE length(s) > 3)), "
+        f"{n}b AS (SELECT {k}, u, count(*)::DOUBLE n FROM (SELECT * FROM {n}f UNION ALL SELECT {k}, reverse(translate(u, 'ACGT', 'TGCA')) FROM {n}f) GROUP BY 1, 2), "
+        f"{n}n AS (SELECT a.{k}, sqrt(sum(a.n * m.y * b.n)) r FROM {n}b a JOIN m ON a.u = m.u JOIN {n}b b ON b.{k} = a.{k} AND b.u = m.z GROUP BY 1)"
+        for n, k in (("t", "doc_id"), ("v", "vec_id"))
+    )
+    + ", c AS (SELECT u, sum((vec_id % 7 - 3) / 8.0::DOUBLE * n / r) c FROM vb JOIN vn USING (vec_id) GROUP BY 1), g AS (SELECT m.u, sum(m.y * c.c) g FROM m JOIN c ON c.u = m.z GROUP BY 1), "
+    "o AS (SELECT doc_id, sum(n * g.g) / any_value(r) s FROM tb JOIN tn USING (doc_id) JOIN g USING (u) GROUP BY 1)"
+)
+
+
+@query(f"WITH {_GAPPED_SQL} SELECT doc_id, round(coalesce(o.s, 0), 4) score FROM documents LEFT JOIN o USING (doc_id)")
+def gapped_document_scores(spark, d):
+    """Every document, read as bases, by a classifier given as a table of support vectors."""
+    base = lambda k: F.substring(F.lit("ACGT"), F.shiftright(F.col("vec_id").cast("int"), 2 * k).bitwiseAND(3) + 1, F.lit(1))
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(*[base(k) for k in range(12)]).alias("sequence"), ((F.col("vec_id") % 7 - 3) / F.lit(8.0)).alias("weight"))
+    model = gapped.vector_model(gapped.prepared(vectors, _GAPPED), _GAPPED)
+    out = gapped.sequence_scores(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), model, _GAPPED, seq="text")
+    return rounded(out.select("doc_id", "score"), "score", digits=4)
+
+
+@query()
+def gapped_fold_scores(spark, d):
+    """Customers of one segment told from the others by segment and name spelled in bases: scores of each fold by a classifier of the other."""
+    weights = gapped.mismatch_weights("est_trunc", 6, 4, 2)
+    spelled = F.translate(F.concat(F.md5("c_mktsegment"), F.md5("c_name")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", spelled.alias("sequence"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label"))
+    out = gapped.fold_scores(gapped.prepared(rows, weights, peak=20, half=20.0), weights, "c_custkey", folds=2, rounds=6)
+    return rounded(out.select("c_custkey", "label", "fold", "score"), "score", digits=4)

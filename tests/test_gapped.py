@@ -158,3 +158,23 @@ def test_awkward_tables(spark):
     empty = gapped.prepared(spark.createDataFrame([], SCHEMA), weights)
     none = gapped.train_words(empty, weights)
     assert none["objective"] == 0 and none["bias"] == 0 and gapped.word_scores(empty, none).count() == 0
+
+
+def test_saved_words_and_vectors(spark, tmp_path):
+    rows = sequences(30)
+    said = {"kind": "est_trunc", "length": 6, "k": 4, "most": 2, "peak": 10, "half": 9.0}
+    weights = gapped.mismatch_weights("est_trunc", 6, 4, 2)
+    table = spark.createDataFrame(rows, SCHEMA)
+    ready = gapped.cut(gapped.prepared(table, weights, 10, 9.0))
+    model = gapped.train_words(ready, weights, rounds=5)
+    gapped.save_words(spark, model, said, str(tmp_path / "m"))
+    back, settings = gapped.load_words(spark, str(tmp_path / "m"))
+    assert settings == said and np.allclose(back["scores"], model["scores"]) and back["bias"] == model["bias"]
+    want = {r.id: r.score for r in gapped.word_scores(ready, model).collect()}
+    got = {r.id: r.score for r in gapped.sequence_scores(table, back, weights, 10, 9.0).collect()}
+    assert got == pytest.approx(want)
+    # a table of vectors scores as the sum of kernel values does
+    vectors = [(s, (-1.0) ** i) for i, s, _ in rows[:7]]
+    sums = gapped.vector_model(gapped.prepared(spark.createDataFrame(vectors, "sequence string, weight double"), weights, 10, 9.0), weights, 0.25)
+    got = gapped.sequence_scores(table, sums, weights, 10, 9.0).filter("id = 20").first().score
+    assert got == pytest.approx(0.25 + sum(w * gapped.kernel_value(s, rows[20][1], weights, 10, 9.0) for s, w in vectors))
