@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandline.operators import dense, gapped, genes, inbreeding, kernels, mixtures
+from strandline.operators import clustering, dense, gapped, genes, inbreeding, kernels, mixtures, phasing
 from strandline.operators import pileup as pl
 from strandline.operators import variants as vr
 from strandline.plans import views
@@ -343,3 +343,38 @@ def gapped_fold_scores(spark, d):
     rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", spelled.alias("sequence"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label"))
     out = gapped.fold_scores(gapped.prepared(rows, weights, peak=20, half=20.0), weights, "c_custkey", folds=2, rounds=6)
     return rounded(out.select("c_custkey", "label", "fold", "score"), "score", digits=4)
+
+
+# ---------------------------------------------------------------- phasing of joined blocks, communities at all levels
+
+
+@query()
+def phased_panel(spark, d):
+    """Every genotype of the panel with its alleles by haplotype, in blocks of four sites that share two."""
+    return phasing.phased(views.panel(spark, d).select("sample", "snp", "code"), 4, 2)
+
+
+_SUPPLIES_SQL = "supplies AS (SELECT 2 * l_suppkey a, 2 * l_partkey + 1 b, count(*)::DOUBLE w FROM lineitem GROUP BY 1, 2)"
+
+
+def _supplies(spark, d):
+    """Suppliers and the parts they delivered, as one graph."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.groupBy((2 * F.col("l_suppkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+@query(
+    f"WITH {_SUPPLIES_SQL}, e AS (SELECT a, b, w FROM supplies UNION ALL SELECT b, a, w FROM supplies), s AS (SELECT a // 2 % 10 x, sum(w) tot, sum(CASE WHEN a // 2 % 10 = b // 2 % 10 THEN w ELSE 0 END) o FROM e GROUP BY 1) "
+    "SELECT CAST(count(*) AS BIGINT) n_groups, sum(tot) / 2 weight, round(sum(o) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 8) modularity FROM s"
+)
+def grouping_modularity(spark, d):
+    """Modularity of suppliers and parts grouped by their last digit."""
+    edges = _supplies(spark, d)
+    nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
+    return rounded(clustering.modularity(edges, nodes.withColumn("community", F.expr("node div 2 % 10"))), "modularity", digits=8)
+
+
+@query()
+def graph_community_levels(spark, d):
+    """Communities of suppliers and parts at all levels, from three rounds of moves each."""
+    return clustering.community_levels(_supplies(spark, d), rounds=3)
