@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import error_of
-from strandline.operators.intervals import overlap_join
+from strandline.operators.intervals import overlapped_names
 from strandline.operators.pileup import pair_scores
 
 MAX_QUALITY = 40
@@ -100,9 +100,15 @@ def site_statistics(sums: DataFrame) -> DataFrame:
 
 
 def gene_hits(fragments: DataFrame, elements: DataFrame, kind: str = "exon", width: int = 10_000) -> DataFrame:
-    """Distinct (cell, umi, gene) of fragments (cell, umi, chrom, strand, beg, end) on elements of their strand."""
+    """Distinct (cell, umi, gene) of fragments (cell, umi, chrom, strand, beg, end) on elements of their strand.
+
+    A fragment takes the names of its genes along as one array and is dealt by its
+    molecule; pairs are formed only there, where equal ones meet in one task.
+    """
     own = elements.filter(F.col("type") == kind).select("chrom", "strand", "beg", "end", F.col("gene_id").alias("gene"))
-    return overlap_join(fragments, own, ["chrom", "strand"], width).select("cell", "umi", "gene").distinct()
+    met = overlapped_names(fragments.select("cell", "umi", "chrom", "strand", "beg", "end"), own, ["chrom", "strand"], ["gene"], width)
+    dealt = met.select("cell", "umi", "met").repartition("cell", "umi")
+    return dealt.select("cell", "umi", F.explode("met.gene").alias("gene")).distinct()
 
 
 def pair_likelihoods(collapsed: DataFrame, shares: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
