@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.intervals import overlap_join
+from strandline.operators.intervals import overlap_join, overlapped_names
+from strandline.operators.lineage import cut
 
 UNIQUE_BIN = 1_000_000_000
 
@@ -19,26 +20,57 @@ def element_umis(fragments: DataFrame, elements: DataFrame, unique_bin: int = UN
     With ``whole``, a transcript counts only if each of the molecule's stretches overlaps an
     exon of it, and with it its exons and gene.
 
-    Everything is counted by sets of (molecule, element), so a molecule of many stretches
-    or a gene of many exons is no group that a task must hold.
+    The work does not grow with the pairs of stretches and exons.  Exons of a transcript
+    and gene are merged, and a stretch takes the numbers of those it meets along as one array to its
+    molecule's task.  An exon counts a molecule at the first of its stretches that overlaps
+    it, so stretches that lie alike, whatever their molecules, meet exons as one row with a count.
     """
     exons = elements.filter((F.col("type") == "exon") & F.col("transcript_id").isNotNull()).select(
         "chrom", "strand", "beg", "end", F.col("transcript_id").alias("tx"), F.col("gene_id").alias("gene"),
         F.concat_ws(":", "transcript_id", "chrom", F.concat_ws("-", "beg", "end")).alias("exon"),
     ).distinct()
     stretches = fragments.select("cell", "umi", "chrom", "strand", "beg", "end").distinct()
-    marked = stretches.withColumn("stretch", F.struct("chrom", "strand", "beg", "end"))
-    hits = overlap_join(marked, exons, ["chrom", "strand"], width).select("cell", "umi", "stretch", "exon", "tx", "gene").distinct()
+    longest = exons.agg(F.max(F.col("end") - F.col("beg"))).first()[0] or 0
+    near = max(1, min(width, longest + 1))
+    # one row a transcript, or a gene, so one task numbers them; genes in the order of their names
+    units = exons.select("tx", "gene").distinct()
+    units = units.withColumn("u", F.row_number().over(Window.orderBy("tx", "gene"))).withColumn("t", F.min("u").over(Window.partitionBy("tx")))
+    units = cut(units.withColumn("g", F.when(F.col("gene").isNotNull(), F.dense_rank().over(Window.orderBy("gene")))))
+    numbered = exons.join(units, exons["tx"].eqNullSafe(units["tx"]) & exons["gene"].eqNullSafe(units["gene"]))
+    # transcript and gene as one number, so that no table of names need meet the pairs
+    numbered = numbered.select("chrom", "strand", "beg", "end", (F.shiftleft(F.col("t").cast("long"), 32) + F.coalesce("g", F.lit(0))).alias("u"))
+    met = overlapped_names(stretches, numbered, ["chrom", "strand"], ["u"], near)
+    held = met.select("cell", "umi", "chrom", "strand", "beg", "end", F.col("met.u").alias("us")).repartition("cell", "umi")
+    held = held.withColumn("u", F.explode("us")).drop("us")
+    held = held.withColumn("t", F.shiftright("u", 32).cast("int")).withColumn("g", F.nullif(F.col("u").bitwiseAND((1 << 32) - 1), F.lit(0)).cast("int"))
+    first = F.max("end").over(Window.partitionBy("cell", "umi", "chrom", "strand").orderBy("beg", "end").rowsBetween(Window.unboundedPreceding, -1))
+    alone = stretches.withColumn("_before", first).filter("_before IS NULL OR _before < end")
+    by: list[str] = []
     if whole:
         many = stretches.groupBy("cell", "umi").agg(F.count(F.lit(1)).alias("_all"))
-        told = hits.select("cell", "umi", "stretch", "tx").distinct().groupBy("cell", "umi", "tx").agg(F.count(F.lit(1)).alias("_own"))
-        fit = told.join(many, ["cell", "umi"]).filter("_own = _all").select("cell", "umi", "tx")
-        hits = hits.join(fit, ["cell", "umi", "tx"], "left_semi")
-    level = lambda name, c: hits.select(F.lit(name).alias("level"), F.col(c).alias("element"), "cell", "umi").distinct()
-    genes = elements.filter(F.col("gene_id").isNotNull()).groupBy(F.col("gene_id").alias("gene"), F.col("chrom").alias("_c")).agg(
+        told = held.select("cell", "umi", "chrom", "strand", "beg", "end", "t").distinct().groupBy("cell", "umi", "t").agg(F.count(F.lit(1)).alias("_own"))
+        fit = told.join(many, ["cell", "umi"]).filter("_own = _all").select("cell", "umi", "t")
+        held = held.join(fit, ["cell", "umi", "t"], "left_semi")
+        alone, by = alone.join(fit, ["cell", "umi"]), ["t"]
+    # what ended too far before matters to no exon
+    alone = alone.withColumn("_before", F.when(F.col("_before") >= F.col("beg") - longest, F.col("_before")))
+    alike = alone.groupBy(*by, "cell", "chrom", "strand", "beg", "end", "_before").agg(F.count(F.lit(1)).alias("_n"))
+    names = exons.join(units.select("tx", "t").distinct(), "tx").select("t", "chrom", "strand", "beg", "end", "exon").distinct()
+    places = names.select(*by, "chrom", "strand", "beg", "end").distinct()
+    at = overlap_join(alike, places, [*by, "chrom", "strand"], near).filter("_before IS NULL OR _before < beg2")
+    at = at.groupBy(*by, "chrom", "strand", F.col("beg2").alias("beg"), F.col("end2").alias("end"), "cell").agg(F.sum("_n").alias("umis"))
+    # a name on both strands counts a molecule once: those few are counted by sets
+    odd = names.groupBy("exon").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("exon")
+    once = at.join(names.join(odd, "exon", "left_anti"), [*by, "chrom", "strand", "beg", "end"]).select(F.lit("exon").alias("level"), F.col("exon").alias("element"), "cell", "umis")
+    both = overlap_join(alone if whole else stretches, names.join(odd, "exon", "left_semi"), [*by, "chrom", "strand"], near)
+    both = both.select("exon", "cell", "umi").distinct().groupBy(F.lit("exon").alias("level"), F.col("exon").alias("element"), "cell").agg(F.count(F.lit(1)).alias("umis"))
+    tx = held.select("cell", "umi", "t").distinct().groupBy("t", "cell").agg(F.count(F.lit(1)).alias("umis"))
+    tx = tx.join(units.select("tx", "t").distinct(), "t").select(F.lit("transcript").alias("level"), F.col("tx").alias("element"), "cell", "umis")
+    middles = elements.filter(F.col("gene_id").isNotNull()).groupBy(F.col("gene_id").alias("gene"), F.col("chrom").alias("_c")).agg(
         ((F.min("beg") + F.max("end")) / max(unique_bin // 2, 1)).cast("long").alias("_bin")
     )
-    placed = hits.select("cell", "umi", "gene").distinct().join(genes, "gene").groupBy("cell", "umi", "_c", "_bin").agg(F.min("gene").alias("element"))
-    unique = placed.select(F.lit("gene").alias("level"), "element", "cell", "umi").distinct()
-    every = level("exon", "exon").unionByName(level("transcript", "tx")).unionByName(unique)
-    return every.groupBy("level", "element", "cell").agg(F.count(F.lit(1)).alias("umis"))
+    genes = units.select("gene", "g").distinct()
+    placed = held.select("cell", "umi", "g").distinct().join(middles.join(genes, "gene").select("g", "_c", "_bin"), "g")
+    unique = placed.groupBy("cell", "umi", "_c", "_bin").agg(F.min("g").alias("g")).select("cell", "umi", "g").distinct().groupBy("g", "cell").agg(F.count(F.lit(1)).alias("umis"))
+    unique = unique.join(genes, "g").select(F.lit("gene").alias("level"), F.col("gene").alias("element"), "cell", "umis")
+    return once.unionByName(both).unionByName(tx).unionByName(unique)

@@ -107,8 +107,8 @@ def gene_hits(fragments: DataFrame, elements: DataFrame, kind: str = "exon", wid
     """
     own = elements.filter(F.col("type") == kind).select("chrom", "strand", "beg", "end", F.col("gene_id").alias("gene"))
     met = overlapped_names(fragments.select("cell", "umi", "chrom", "strand", "beg", "end"), own, ["chrom", "strand"], ["gene"], width)
-    dealt = met.select("cell", "umi", "met").repartition("cell", "umi")
-    return dealt.select("cell", "umi", F.explode("met.gene").alias("gene")).distinct()
+    dealt = met.select("cell", "umi", F.col("met.gene").alias("met")).repartition("cell", "umi")
+    return dealt.select("cell", "umi", F.explode("met").alias("gene")).distinct()
 
 
 def pair_likelihoods(collapsed: DataFrame, shares: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
