@@ -32,10 +32,14 @@ def gc_windows(sequences: DataFrame, window: int, step: int, by: list[str], seq:
 
 
 def kmer_counts(sequences: DataFrame, k: int, by: list[str], seq: str = "seq") -> DataFrame:
-    """k-mers of each sequence and how often they occur; only words leave their row, not the sequence."""
+    """k-mers of each sequence and how often they occur; only words leave their row, not the sequence.
+
+    Words are dealt by their sequence before they are counted: few repeat inside one,
+    so a table of them in the task that reads would hold nearly all that it reads.
+    """
     n = F.length(seq)
     words = F.transform(F.sequence(F.lit(1), n - k + 1), lambda p: F.substring(F.col(seq), p, F.lit(k)))
-    spread = sequences.filter(n >= k).select(*by, F.explode(words).alias("kmer"))
+    spread = sequences.filter(n >= k).select(*by, F.explode(words).alias("kmer")).repartition(*by)
     return spread.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
