@@ -55,6 +55,8 @@ BATCH_ROWS = 5000
 BLOCK_START = b"\x1f\x8b\x08\x04"
 #: Fixed values of the index formats: bits of the smallest bin and levels of bins, unless a file says otherwise.
 MIN_SHIFT, DEPTH = 14, 5
+#: A written chunk ends after so many bytes, where the next one begins: there it may be divided.
+CHUNK_BYTES = 1 << 20
 LAST_PLACE = 1 << 29
 
 
@@ -351,18 +353,25 @@ class IndexBuilder:
         self.bins: dict[int, dict[int, list[list[int]]]] = {}
         self.windows: dict[int, dict[int, int]] = {}
         self.last: tuple[int, int] = (-1, -1)
+        self.after = 0
         self.sorted = True
 
     def add(self, ref: int, beg: int, end: int, first: int, after: int) -> None:
         """A record over [beg, end) of a sequence, from one virtual offset to another."""
+        before, self.after = self.after, after
         if ref < 0:
             return
         end = max(end, beg + 1)
         self.sorted &= (ref, beg) >= self.last
         self.last = (ref, beg)
         chunks = self.bins.setdefault(ref, {}).setdefault(bin_of(beg, end), [])
-        if chunks and chunks[-1][1] == first:
+        # the record before ended where this one begins, be it in the next block
+        follows = bool(chunks) and chunks[-1][1] in (before, first)
+        if follows and (first >> 16) - (chunks[-1][0] >> 16) < CHUNK_BYTES:
             chunks[-1][1] = after
+        elif follows:
+            chunks[-1][1] = first
+            chunks.append([first, after])
         else:
             chunks.append([first, after])
         windows = self.windows.setdefault(ref, {})
@@ -626,8 +635,9 @@ def planned(kind: type, files: list[tuple[str, int]], regions: list[Region] | No
         for r in regions:
             if r.chrom in names:
                 chunks += index.chunks(names.index(r.chrom), r.beg - 1, r.end)
+        starts = index.starts()
         for a, z in merged(chunks):
-            out += [Range(path, x, y, False) for x, y in divided(a, z, split, index.starts())]
+            out += [Range(path, x, y, False) for x, y in divided(a, z, split, starts)]
         if isinstance(form, Lines):
             out.append(Range(path, 0, size << 16, False, True))
     return out
