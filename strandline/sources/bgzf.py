@@ -844,7 +844,7 @@ class Writer(DataSourceArrowWriter):
             blocks.put(head)
             blocks.flush()
             for batch in iterator:
-                for row in batch.to_pylist():
+                for row in packed.rows_of(batch):
                     record, ref, beg, end = code(row)
                     if len(blocks.pending) + len(record) > packed.BLOCK_BYTES:
                         blocks.flush()
