@@ -1,4 +1,4 @@
-"""Rows and records of alignments: the same as before, in fewer steps."""
+"""Rows and records of alignments: the same as before, in fewer steps and with bounded files."""
 
 import pyarrow as pa
 import pytest
@@ -24,3 +24,13 @@ def test_records_come_back_and_wrong_letters_do_not_pass():
     for wrong in ({"seq": "aCGT"}, {"seq": "0CGT"}, {"seq": "AC T"}, {"qual": "I I"}):
         with pytest.raises(ValueError):
             packed.alignment_record(ROW | wrong, {"1": 0, None: -1})
+
+
+def test_a_partition_becomes_files_of_bounded_size():
+    rows = [ROW | {"qname": f"q{i * 7919 % 10007}.{i}"} for i in range(6000)]
+    files = list(packed.packed_files(iter(rows), ["1"], most=8_000))
+    assert len(files) > 2 and max(map(len, files)) < 60_000
+    assert [r["qname"] for f in files for r in packed.decode_alignments(f)] == [r["qname"] for r in rows]
+    assert len(list(packed.packed_files(iter(rows), ["1"]))) == 1
+    (empty,) = packed.packed_files(iter([]), ["1"])
+    assert list(packed.decode_alignments(empty)) == []
