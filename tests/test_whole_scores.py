@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandline.operators import kernels
 
 MODEL = kernels.train_svm(["TTGACGTCAATTGACGTCAA", "ATTGACGTCAACTGACGTCA", "CCCGGGTTTCCCGGGTTTCC"], [1, 1, 0], length=8, k=5, most=3)
@@ -46,3 +48,11 @@ def test_query_reads_whole_documents(spark):
     got = {r.doc_id: r["count"] for r in delta_scores(spark, d).groupBy("doc_id").count().collect()}
     want = {r.doc_id: len(r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_texts_of_one_file_part_are_dealt_out(spark):
+    text = "".join(random.Random(6).choice("ACGT") for _ in range(30))
+    rows = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1)
+    out = kernels.scan_texts(rows, MODEL)
+    assert out.count() == 1200
+    assert len({r[0] for r in out.select(F.spark_partition_id()).distinct().collect()}) > 1
