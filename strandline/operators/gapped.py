@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from strandline.operators.lineage import cut
 KINDS = ("gkm", "est_full", "est_trunc")
 #: Words are at most so long; a table of scores then takes 128 MB.
 LONGEST = 12
+#: The weights of all pairs of so long words are one table of 512 kB, by the XOR of their codes.
+TABLED = 8
 #: Steps along the line from the best classifier to the next one at which the loss is known.
 STEPS = np.linspace(0.0, 1.0, 21)
 #: A cutting plane that has had no weight for so many rounds is dropped.
@@ -114,13 +117,31 @@ def _form(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, weights: n
         table = np.zeros(4**length)
         table[y] = b
         return float(a @ neighbour_sums(table, weights)[x])
-    total, low, rows = 0.0, (4**length - 1) // 3, max(1, (1 << 20) // max(len(y), 1))
+    total, rows = 0.0, max(1, (1 << 20) // max(len(y), 1))
+    known = _weights_apart(weights.tobytes()) if length <= TABLED else None
     for begin in range(0, len(x), rows):
         apart = x[begin : begin + rows, None] ^ y
-        total += float(a[begin : begin + rows] @ (weights[np.bitwise_count((apart | apart >> 1) & low)] @ b))
+        total += float(a[begin : begin + rows] @ ((_weight_apart(apart, weights) if known is None else np.take(known, apart)) @ b))
     return total
 
 
+def _weight_apart(apart: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weight of two words by the XOR of their codes."""
+    return weights[np.bitwise_count((apart | apart >> 1) & (4 ** (len(weights) - 1) - 1) // 3)]
+
+
+@lru_cache(maxsize=8)
+def _weights_apart(weights: bytes) -> np.ndarray:
+    """The same of every XOR."""
+    held = np.frombuffer(weights)
+    return _weight_apart(np.arange(4 ** (len(held) - 1)), held)
+
+
+def _dealt(sequences: DataFrame) -> DataFrame:
+    """Rows dealt anew: kernels take far longer than reading, and a file of short sequences is few tasks."""
+    return sequences.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def kernel_value(a: str | None, b: str | None, weights: np.ndarray, peak: int = 0, half: float = 50.0, gamma: float | None = None) -> float:
     """Normalised kernel of two sequences; with ``gamma`` exp(gamma * (K - 1)).  Sequences without words agree with nothing."""
     length = len(weights) - 1
@@ -144,7 +165,7 @@ def prepared(sequences: DataFrame, weights: np.ndarray, peak: int = 0, half: flo
             shares.append(v / norm if norm > 0 else v[:0])
         return pd.DataFrame({"words": words, "shares": shares})
 
-    return sequences.withColumn("_of", of(F.col(seq))).select(*[c for c in sequences.columns if c != seq], "_of.words", "_of.shares")
+    return _dealt(sequences).withColumn("_of", of(F.col(seq))).select(*[c for c in sequences.columns if c != seq], "_of.words", "_of.shares")
 
 
 def _row_sums(table: np.ndarray, words: pd.Series, shares: pd.Series) -> np.ndarray:
@@ -298,7 +319,7 @@ def sequence_scores(rows: DataFrame, model: dict, weights: np.ndarray, peak: int
                 out[n] += float(table[x] @ v) / math.sqrt(norm)
         return pd.Series(out)
 
-    return rows.withColumn(name, of(F.col(seq)))
+    return _dealt(rows).withColumn(name, of(F.col(seq)))
 
 
 def save_words(spark: SparkSession, model: dict, settings: dict, path: str) -> None:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import gapped, kernels
 
@@ -178,3 +179,21 @@ def test_saved_words_and_vectors(spark, tmp_path):
     sums = gapped.vector_model(gapped.prepared(spark.createDataFrame(vectors, "sequence string, weight double"), weights, 10, 9.0), weights, 0.25)
     got = gapped.sequence_scores(table, sums, weights, 10, 9.0).filter("id = 20").first().score
     assert got == pytest.approx(0.25 + sum(w * gapped.kernel_value(s, rows[20][1], weights, 10, 9.0) for s, w in vectors))
+
+
+def test_sequences_of_one_file_part_are_dealt_out(spark):
+    weights = gapped.mismatch_weights("est_trunc", 4, 3, 2)
+    rows = spark.createDataFrame([(i, "ACGTTGCA") for i in range(40)], "k int, sequence string").coalesce(1)
+    model = {"scores": np.ones(4**4), "bias": 0.0}
+    for out in (gapped.prepared(rows, weights), gapped.sequence_scores(rows, model, weights)):
+        assert out.count() == 40
+        assert len(out.select(F.spark_partition_id()).distinct().collect()) > 1
+
+
+def test_form_by_table_and_by_count_agree():
+    rng = np.random.default_rng(3)
+    for length in (gapped.TABLED, gapped.TABLED + 1):
+        weights = gapped.mismatch_weights("gkm", length, 4, 3)
+        x, y = rng.integers(0, 4**length, 30), rng.integers(0, 4**length, 20)
+        want = sum(weights[sum((int(p) >> 2 * i & 3) != (int(q) >> 2 * i & 3) for i in range(length))] for p in x for q in y)
+        assert abs(gapped._form(x, np.ones(30), y, np.ones(20), weights) - want) < 1e-6
