@@ -26,6 +26,7 @@ def mixture_with_doublets(
     and an aggregate over the counts each way, whatever the number of pairs; cells and
     pairs never form a table.  The shares, one number a cluster, meet on the driver.
     """
+    counts, profiles = cut(counts), cut(profiles)
     k = profiles.select("cluster").distinct().count()
     pairs = sorted(combinations(range(k), 2), key=lambda ab: (ab[1], ab[0]))
     wide = cut(profiles.groupBy("gene").agg(*[F.sum(F.when(F.col("cluster") == i, F.col("p"))).alias(f"p{i}") for i in range(k)]))

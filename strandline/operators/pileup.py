@@ -396,8 +396,10 @@ def mixture_em(counts: DataFrame, profiles: DataFrame, rounds: int = 10, pseudo:
     """Multinomial mixture by EM: counts (cell, gene, umis), start profiles (cluster, gene, p).
 
     Returns (posteriors (cell, cluster, z), profiles, shares).  Rounds are
-    aggregates; each is cut by a checkpoint.
+    aggregates; each is cut by a checkpoint, and so are the counts, which every round reads twice,
+    and the start.
     """
+    counts, profiles = cut(counts), cut(profiles)
     shares = profiles.select("cluster").distinct()
     k = shares.count()
     shares = shares.withColumn("pi", F.lit(1.0 / k))

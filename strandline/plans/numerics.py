@@ -12,6 +12,7 @@ from strandline.operators import pileup as pl
 from strandline.operators import reads as rd
 from strandline.operators import sequence as sq
 from strandline.operators import variants as vr
+from strandline.operators.lineage import cut
 from strandline.plans import views
 from strandline.plans.formats import _FIVE, _path, _sam, _sites, SAM_SQL, SITE_SQL
 from strandline.plans.queries import (
@@ -357,7 +358,7 @@ def _mixture_sql(rounds: int) -> str:
 
 @query(f"WITH {READS_SQL}, {HITS_SQL}, {_CT}, {_mixture_sql(3)} SELECT cell, cluster, round(z, 5) z FROM z3")
 def mixture_em(spark, d):
-    counts = pl.umi_counts(_hits(spark, d), 3).select("cell", F.col("tx").alias("gene"), "umis")
+    counts = cut(pl.umi_counts(_hits(spark, d), 3).select("cell", F.col("tx").alias("gene"), "umis"))
     start = counts.select("gene").distinct().withColumn("cluster", F.explode(F.array(F.lit(0), F.lit(1))))
     start = start.withColumn("w", ((F.col("gene") * 7 + F.col("cluster") * 13) % 50 + 1).cast("double"))
     start = start.join(start.groupBy("cluster").agg(F.sum("w").alias("t")), "cluster").select("cluster", "gene", (F.col("w") / F.col("t")).alias("p"))
