@@ -157,8 +157,12 @@ def merge_mates(one: DataFrame, two: DataFrame, order: list[str]) -> DataFrame:
 
 
 def merge_read_groups(reads: DataFrame, groups: DataFrame) -> DataFrame:
-    """Read groups renamed by (rg, keep); others stay."""
-    return reads.join(groups, "rg", "left").withColumn("rg", F.coalesce("keep", "rg")).drop("keep")
+    """Read groups renamed by (rg, keep); others stay.
+
+    ``groups`` has a row for each read group of a header, so every task holds it: dealt
+    by read group, a task would take all reads of one.
+    """
+    return reads.join(F.broadcast(groups), "rg", "left").withColumn("rg", F.coalesce("keep", "rg")).drop("keep")
 
 
 def augmented_ops(cigar: str, md: str | None, seq: str, qual: str) -> list[tuple[int, str, str, str]]:
