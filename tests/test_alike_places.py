@@ -26,7 +26,7 @@ def joined_rows(df):
     return out
 
 
-@pytest.mark.parametrize("name", ["interval_overlap_join"])
+@pytest.mark.parametrize("name", ["interval_overlap_join", "contained_intervals"])
 def test_places_meet_in_place_of_rows(spark, tmp_path, name):
     # 300 orders of one chromosome and day with two lengths, a fifth of them targets
     rows = [(30 * i + i % 2, 22 * i, datetime.datetime(1995, 3, 1), "1-URGENT" if i % 5 == 0 else "5-LOW") for i in range(300)]
