@@ -23,19 +23,25 @@ def contaminated_pl(bases: DataFrame, contamination: float | Column = 0.0) -> Da
     A base's three factors are renormalised, then multiplied; alleles other than
     the two are left out.
     """
+    return pls_of_sums(bases.filter("allele < 2").groupBy("sample", "snp").agg(*pl_sums(contamination)))
+
+
+def pl_sums(contamination: float | Column) -> list[Column]:
+    """Aggregates over the bases of a (sample, snp) from which :func:`pls_of_sums` makes its PL."""
     e = F.least(error_of(F.least(F.col("bq"), F.lit(MAX_QUALITY)).cast("double")), F.lit(MAX_ERROR))
     m, c = 1 - e, contamination
     own = [m * (1 - c) + e * c / 3, m / 2 + e / 6, m * c + e * (1 - c) / 3]
     total = own[0] + own[1] + own[2]
     ref = F.col("allele") == 0
     logs = [F.sum(F.log(F.when(ref, own[g] / total).otherwise(own[2 - g] / total))).alias(f"l{g}") for g in range(3)]
-    out = bases.filter("allele < 2").groupBy("sample", "snp").agg(
-        F.count(F.lit(1)).alias("dp"), F.count_if(ref).alias("ad0"), F.count_if(~ref).alias("ad1"), *logs
-    )
+    return [F.count(F.lit(1)).alias("dp"), F.count_if(ref).alias("ad0"), F.count_if(~ref).alias("ad1"), *logs]
+
+
+def pls_of_sums(sums: DataFrame) -> DataFrame:
     top = F.greatest("l0", "l1", "l2")
     scale = -10 / math.log(10)
     pl = [F.least(F.floor((F.col(f"l{g}") - top) * scale + 0.5), F.lit(255)).cast("int").alias(f"pl{g}") for g in range(3)]
-    return out.select("sample", "snp", "dp", "ad0", "ad1", *pl)
+    return sums.select("sample", "snp", "dp", "ad0", "ad1", *pl)
 
 
 #: Statistics that correlate the allele with a column of the bases.
@@ -56,6 +62,12 @@ def sample_site_sums(bases: DataFrame, hets: DataFrame, covariates: dict[str, st
     map-side.  ``hets`` are (sample, snp) called heterozygous.
     """
     covariates = covariates or COVARIATES
+    per = bases.filter("allele < 2").groupBy("sample", "snp").agg(*covariate_sums(covariates, mismatches))
+    return sums_over_samples(per, hets, covariates, mismatches)
+
+
+def covariate_sums(covariates: dict[str, str], mismatches: str | None = None) -> list[Column]:
+    """Aggregates over the bases of a (sample, snp), the first level of :func:`sample_site_sums`."""
     alt = (F.col("allele") == 1).cast("double")
     sums = []
     for name, column in covariates.items():
@@ -64,7 +76,11 @@ def sample_site_sums(bases: DataFrame, hets: DataFrame, covariates: dict[str, st
     if mismatches:
         m = F.col(mismatches).cast("double")
         sums += [F.avg(F.when(alt == side, m)).alias(f"nm{side}") for side in (0, 1)]
-    per = bases.filter("allele < 2").groupBy("sample", "snp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(1 - alt).alias("ref"), F.sum(alt).alias("a"), *sums)
+    return [F.count(F.lit(1)).cast("double").alias("n"), F.sum(1 - alt).alias("ref"), F.sum(alt).alias("a"), *sums]
+
+
+def sums_over_samples(per: DataFrame, hets: DataFrame, covariates: dict[str, str], mismatches: str | None = None) -> DataFrame:
+    """The second level of :func:`sample_site_sums`: from (sample, snp) to snp."""
     per = per.join(hets.select("sample", "snp", F.lit(1.0).alias("het")), ["sample", "snp"], "left").fillna(0.0, ["het"])
     n, w, het, a = F.col("n"), F.log(F.col("n") + 1), F.col("het"), F.col("a")
     more = []
